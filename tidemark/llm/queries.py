@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import table
+from .common import scratch, table
+from .langid import identify, learn_dictionaries
 from .mixing import mix_sources
+from .simhash import near_duplicates
 from .token_counts import token_counts
+from .warc import read_warc, write_warc
 
 
 def tokenizer_path(name: str) -> str:
@@ -17,6 +22,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
@@ -25,8 +34,26 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{scratch(spark)}/warc-{uuid.uuid4().hex}"
+    write_warc(table(spark, sf_dir, "pages"), path)
+    return read_warc(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "problem")
+
+
+def fold(doc_id: Column, n: int) -> Column:
+    """crc32 of the id's text, modulo n."""
+    return F.crc32(doc_id.cast("string").cast("binary")) % n
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    learned = learn_dictionaries(docs.where(fold(F.col("doc_id"), 5) != 0))
+    out = identify(docs.select("doc_id", "text"), learned, min_margin=0.01)
+    return out.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score", "margin", "rejected")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_mixing, op6_token_counts)}
+    return {f.__name__: f for f in (op1_simhash, op5_mixing, op6_token_counts, op8_warc, op10_language)}
 
 
 #: The same mix by sorting: documents in the order of their hash, as long as the running sum stays within the budget.
@@ -68,5 +95,19 @@ SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken
 """
 
 
+OP8_SQL = """
+WITH p AS (
+  SELECT page_id, COALESCE(html, '') AS payload FROM pages
+), d AS (
+  SELECT page_id, CAST(octet_length(encode(payload)) AS BIGINT) AS payload_bytes, sha1(payload) AS payload_digest FROM p
+), k AS (
+  SELECT *, CASE WHEN payload_bytes >= 1000 THEN MAX(page_id) OVER (PARTITION BY payload_digest, payload_bytes) END AS keeper FROM d
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < keeper THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < keeper THEN keeper END AS refers_to, CAST(NULL AS VARCHAR) AS problem
+FROM k
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": OP5_SQL}
+    return {"op5_mixing": OP5_SQL, "op8_warc": OP8_SQL}
