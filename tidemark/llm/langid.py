@@ -18,10 +18,16 @@ from pyspark.sql import functions as F
 from .mixing import hash60
 
 LETTER = re.compile(r"[^\W\d_]")
+OTHER = re.compile(r"[\W\d_]+")
 BLOCK = 4096
 
 
-def learn_dictionaries(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", dict_bytes: int = 65536, slice_chars: int = 2048) -> dict[str, bytes]:
+def plain(text: str) -> bytes:
+    """What is compressed: the letters in lower case, runs of anything else as one space."""
+    return OTHER.sub(" ", text).lower().encode()
+
+
+def learn_dictionaries(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", dict_bytes: int = 131072, slice_chars: int = 1024) -> dict[str, bytes]:
     """A raw-content dictionary per language, of at most dict_bytes, from slices of hash-sampled labelled documents.
 
     What reaches the driver is bounded: about 4 * dict_bytes / slice_chars slices a language, whatever the table's size.
@@ -42,7 +48,7 @@ def learn_dictionaries(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     for lang in sorted(parts, key=lambda x: (-counts[x], x)):
         seen, size, taken = set(), 0, []
         for _, part in sorted(parts[lang]):
-            data = part.encode()
+            data = plain(part)
             if data and part not in seen and size < dict_bytes:
                 seen.add(part)
                 taken.append(data[: dict_bytes - size])
@@ -64,7 +70,7 @@ class Compressors:
             self.packs.append(zstandard.ZstdCompressor(level=level, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False).compress)
 
     def sizes(self, text: str) -> list[int]:
-        data = text.encode()
+        data = plain(text)
         blocks = [data[k : k + BLOCK] for k in range(0, len(data), BLOCK)]
         return [sum(len(pack(b)) for b in blocks) for pack in self.packs]
 
@@ -76,7 +82,7 @@ def classify(sizes: list[int], langs: list[str]) -> tuple[str, float, float]:
     return langs[k], 1.0 / (1.0 + sum(math.exp(-60.0 * x) for x in rest)), min(rest, default=1.0)
 
 
-def identify(docs: DataFrame, dictionaries: dict[str, bytes], *, id_col: str = "doc_id", text_col: str = "text", min_margin: float = 0.0, level: int = 3) -> DataFrame:
+def identify(docs: DataFrame, dictionaries: dict[str, bytes], *, id_col: str = "doc_id", text_col: str = "text", min_margin: float = 0.0, level: int = 9) -> DataFrame:
     """One row per input row: id, lang_pred, score, margin, rejected. Only the text is looked at. No shuffle.
 
     Null texts, texts without a letter, and all texts where nothing was learned: lang_pred 'und', score and margin 0.
