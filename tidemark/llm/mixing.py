@@ -2,8 +2,8 @@
 
 Every document has a 60-bit hash of its id. A source is taken whole as often as its target allows; what then remains of
 its target is a budget, spent on the documents with the smallest hashes. The hash below which they lie is found without
-sorting documents: sizes are summed by source and by the leading 15 bits of the hash, the bucket in which the running sum
-passes the budget is the boundary, and only the documents of that bucket are summed again by the next 15 bits. After four
+sorting documents: sizes are summed by source and by the leading 12 bits of the hash, the bucket in which the running sum
+passes the budget is the boundary, and only the documents of that bucket are summed again by the next 12 bits. After five
 such levels the threshold is exact, so the same rows always give the same mix, and a larger budget takes a superset.
 """
 
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, word_count
 
-LEVEL_BITS, LEVELS = 15, 4
+LEVEL_BITS, LEVELS = 12, 5
 
 
 def hash60(key: Column) -> Column:

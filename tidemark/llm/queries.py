@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .common import scratch, table
 from .langid import identify, learn_dictionaries
 from .mixing import mix_sources
+from .packing import pack
 from .simhash import near_duplicates
 from .token_counts import token_counts
 from .warc import read_warc, write_warc
@@ -34,6 +35,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{scratch(spark)}/warc-{uuid.uuid4().hex}"
     write_warc(table(spark, sf_dir, "pages"), path)
@@ -53,7 +58,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op5_mixing, op6_token_counts, op8_warc, op10_language)}
+    return {f.__name__: f for f in (op1_simhash, op5_mixing, op6_token_counts, op7_packing, op8_warc, op10_language)}
 
 
 #: The same mix by sorting: documents in the order of their hash, as long as the running sum stays within the budget.
