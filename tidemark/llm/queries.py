@@ -12,6 +12,7 @@ from .common import scratch, table
 from .langid import identify, learn_dictionaries
 from .mixing import mix_sources
 from .packing import pack
+from .quality import fit, score
 from .simhash import near_duplicates
 from .token_counts import token_counts
 from .warc import read_warc, write_warc
@@ -27,6 +28,22 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def fold(doc_id: Column, n: int) -> Column:
+    """crc32 of the id's text, modulo n."""
+    return F.crc32(doc_id.cast("string").cast("binary")) % n
+
+
+def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str):
+    """Learnt from the labels of documents outside the held-out fold."""
+    return fit(docs, table(spark, sf_dir, "labels").where(fold(F.col("doc_id"), 3) != 1))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score(docs, quality_model(spark, docs, sf_dir))
+    return scored.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
@@ -45,11 +62,6 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_warc(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "problem")
 
 
-def fold(doc_id: Column, n: int) -> Column:
-    """crc32 of the id's text, modulo n."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % n
-
-
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     learned = learn_dictionaries(docs.where(fold(F.col("doc_id"), 5) != 0))
@@ -58,7 +70,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op5_mixing, op6_token_counts, op7_packing, op8_warc, op10_language)}
+    return {f.__name__: f for f in (op1_simhash, op4_quality, op5_mixing, op6_token_counts, op7_packing, op8_warc, op10_language)}
 
 
 #: The same mix by sorting: documents in the order of their hash, as long as the running sum stays within the budget.
