@@ -8,10 +8,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import nearest
 from .common import scratch, table
+from .embed_dedup import embedding_duplicates
 from .langid import identify, learn_dictionaries
 from .mixing import mix_sources
 from .packing import pack
+from .pii import replace
 from .quality import fit, score
 from .simhash import near_duplicates
 from .token_counts import token_counts
@@ -28,6 +31,19 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+#: The key of this repository's own runs; a deployment passes a secret one.
+PII_KEY = b"tidemark surrogate key"
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = replace(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    return out.select("doc_id", "text", F.size("pii_entities").alias("n_entities"), "pii_entities")
+
+
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id's text, modulo n."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n
@@ -62,6 +78,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_warc(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "problem")
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     learned = learn_dictionaries(docs.where(fold(F.col("doc_id"), 5) != 0))
@@ -70,7 +90,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op4_quality, op5_mixing, op6_token_counts, op7_packing, op8_warc, op10_language)}
+    return {f.__name__: f for f in (op1_simhash, op2_nearest, op3_pii, op4_quality, op5_mixing, op6_token_counts, op7_packing, op8_warc, op9_embedding_dedup, op10_language)}
 
 
 #: The same mix by sorting: documents in the order of their hash, as long as the running sum stays within the budget.
