@@ -146,14 +146,25 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_docs: int = 4000, id_col: str
     return train([r["text"] for r in rows], [r["label"] for r in rows], **options)
 
 
-def score(docs: DataFrame, model: QualityModel, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs's columns plus quality_score (0 to 1). Null text counts as empty and scores as the bias does. No shuffle."""
+def scorer(model: QualityModel, docs: DataFrame):
+    """A column function: text -> probability of label 1; null text counts as empty."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def scored(texts):
         import pandas as pd
 
-        return pd.Series(held.value.scores([t or "" for t in texts]))
+        return pd.Series(held.value.scores([t or "" for t in texts]), dtype="float64")
 
-    return docs.withColumn("quality_score", scored(F.col(text_col)))
+    return scored
+
+
+def score(docs: DataFrame, model: QualityModel, *, text_col: str = "text", score_col: str = "quality_score") -> DataFrame:
+    """docs's columns plus score_col (0 to 1), which replaces a column of that name. Empty and null texts score as the bias
+    does. No shuffle; rows, repeats included, keep their other columns."""
+    return docs.withColumn(score_col, scorer(model, docs)(F.col(text_col)))
+
+
+def keep_good(docs: DataFrame, model: QualityModel, *, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The documents that score at least threshold, with the columns of docs."""
+    return docs.where(scorer(model, docs)(F.col(text_col)) >= threshold)
