@@ -19,6 +19,7 @@ from .mixing import hash60
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 ODD = np.uint64(0xD6E8FEB86659FD93)
+INVERSE = np.uint64(pow(int(ODD), -1, 2**64))
 NGRAMS = (3, 4, 5)
 #: Bytes featurised at a time; longer texts go in several blocks, cut at white space where there is some.
 BLOCK = 1 << 18
@@ -35,14 +36,13 @@ def features(data: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarr
     wide = data.astype(np.uint64)
     start = ~space & np.concatenate(([True], space[:-1]))
     # Words: differences of a running polynomial hash, brought back to the word's own start.
-    power = np.full(n + 1, ODD)
-    power[0] = 1
-    power = np.cumprod(power)
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((wide + np.uint64(1)) * power[:-1])))
+    power, back = np.full(n, ODD), np.full(n, INVERSE)
+    power[0] = back[0] = 1
+    power, back = np.cumprod(power), np.cumprod(back)
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((wide + np.uint64(1)) * power)))
     end = ~space & np.concatenate((space[1:], [True]))
     a, b = np.nonzero(start)[0], np.nonzero(end)[0] + 1
-    back = power[n - a] if len(a) else power[:0]
-    words = ((total[b] - total[a]) * back * MIX) >> shift
+    words = ((total[b] - total[a]) * back[a] * MIX) >> shift
     yield a, words
     # A word that repeats the one before it is a feature of its own, whichever word it is.
     again = a[1:][words[1:] == words[:-1]]
