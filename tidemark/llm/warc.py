@@ -42,6 +42,8 @@ def unchunked(body: bytes) -> bytes:
         size = int(body[at:end].split(b";")[0], 16)
         at = end + 2
         if size == 0:
+            if body[at:] != CRLF and not body.endswith(CRLF + CRLF):  # nothing but trailers may follow
+                raise ValueError("last chunk cut short")
             return b"".join(out)
         if len(body) < at + size + 2 or body[at + size : at + size + 2] != CRLF:
             raise ValueError("chunk cut short")
