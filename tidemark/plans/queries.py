@@ -3,27 +3,66 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..config import RuleConfig
+from ..operators import rules
 from ..operators.features import FEATURES_SQL, features
+from ..session import materialize
 from ..sources.payments import EVENTS_SQL, LINEITEM_SQL, payments_from_events, payments_from_lineitem
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[Query, str | None]] = {}
+#: Rules that fire on the driver's tables: fewer senders than by default.
+LOOSE = replace(RuleConfig(), r3_senders=3)
+E_SQL, L_SQL = f"WITH {EVENTS_SQL}, {FEATURES_SQL}", f"WITH {LINEITEM_SQL}, {FEATURES_SQL}"
+E_RULES = f"{E_SQL}, {rules.rules_sql(3)}"
+_HELD: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def register(name: str, query: Query, sql: str | None = None) -> None:
     REGISTRY[name] = (query, sql)
 
 
-register("features_events", lambda s, d: features(payments_from_events(s, d)), f"WITH {EVENTS_SQL}, {FEATURES_SQL} SELECT * FROM features")
-register("features_lineitem", lambda s, d: features(payments_from_lineitem(s, d)), f"WITH {LINEITEM_SQL}, {FEATURES_SQL} SELECT * FROM features")
+def held(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table that several queries start from, written once per session and data folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _HELD:
+        _HELD[key] = materialize(make(), name)
+    return _HELD[key]
+
+
+def p1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return payments_from_events(spark, sf_dir)
+
+
+def f1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return held(spark, sf_dir, "features", lambda: features(p1(spark, sf_dir)))
+
+
+def hits1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return held(spark, sf_dir, "rule-hits", lambda: rules.apply_rules(p1(spark, sf_dir), f1(spark, sf_dir), LOOSE))
+
+
+register("features_events", lambda s, d: features(p1(s, d)), f"{E_SQL} SELECT * FROM features")
+register("features_lineitem", lambda s, d: features(payments_from_lineitem(s, d)), f"{L_SQL} SELECT * FROM features")
+register("rule_structuring", lambda s, d: rules.structuring(p1(s, d)).drop("reason"), f"{E_RULES} SELECT * FROM r1")
+register("rule_layering", lambda s, d: rules.layering(p1(s, d)).drop("reason"), f"{E_RULES} SELECT * FROM r2")
+register("rule_smurfing", lambda s, d: rules.smurfing(p1(s, d), LOOSE).drop("reason"), f"{E_RULES} SELECT * FROM r3")
+register("rule_round_dollar", lambda s, d: rules.round_dollar(f1(s, d)).drop("reason"), f"{E_RULES} SELECT * FROM r4")
+register("rule_dormant_lineitem", lambda s, d: rules.dormant(features(payments_from_lineitem(s, d))).drop("reason"), f"{L_SQL}, {rules.rules_sql()} SELECT * FROM r5")
+register("rule_large_cash_24h", lambda s, d: rules.large_cash(p1(s, d)), f"{E_RULES} SELECT * FROM r7")
+register("rule_layering_lineitem", lambda s, d: rules.layering(payments_from_lineitem(s, d)).drop("reason"), f"{L_SQL}, {rules.rules_sql()} SELECT * FROM r2")
+register("rules_applied", lambda s, d: hits1(s, d).drop("reason_codes"), f"{E_RULES} SELECT * FROM rule_hits")
 
 
 def queries() -> dict[str, Query]:
+
     return {k: q for k, (q, _) in REGISTRY.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return {k: s for k, (_, s) in REGISTRY.items() if s}
