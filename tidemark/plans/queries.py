@@ -59,6 +59,8 @@ register("rules_applied", lambda s, d: hits1(s, d).drop("reason_codes"), f"{E_RU
 
 
 def queries() -> dict[str, Query]:
+    from . import evaluation  # noqa: F401  registers its own
+
 
     return {k: q for k, (q, _) in REGISTRY.items()}
 
