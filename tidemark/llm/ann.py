@@ -4,7 +4,7 @@ Vectors are dealt into shards and queries into blocks; each pair of a shard and
 sorted array of values per random projection. Around a query's own value, a window as wide as the search radius is
 counted in every array; vectors that fall into enough windows are verified by their exact product. The radius grows,
 which widens the same windows (virtual rehashing: nothing is hashed again), until the wanted number of verified vectors
-lies within it. The largest product becomes the smallest distance by one more component that gives all vectors the same
+lies within it. The first shard's answers bound the radius in all others. The largest product becomes the smallest distance by one more component that gives all vectors the same
 norm (Neyshabur and Srebro, 2015); the counting follows Huang et al., 2015.
 """
 
@@ -15,9 +15,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
 from .vectors import matrix, usable
 
-PROJECTIONS, SHARE, GROWTH, SEED = 40, 0.5, 1.3, 17
+PROJECTIONS, SHARE, GROWTH, SEED = 32, 0.5, 1.3, 17
 SHARD_ROWS, QUERY_ROWS = 8192, 1024
 
 
@@ -34,44 +35,51 @@ class Shard:
         self.order = np.argsort(values, axis=1).astype(np.int32)
         self.values = np.take_along_axis(values, self.order, axis=1)
 
-    def search(self, q: np.ndarray, own: int, k: int, first: float) -> tuple[np.ndarray, np.ndarray]:
-        """(positions, products) of the k best found for one query, best first, ties to the smaller id."""
-        n = len(self.ids)
-        scale = self.longest / np.linalg.norm(q)
-        at = np.append(q * scale, 0.0) @ self.axes
-        counts = np.zeros(n, np.int32)
-        low = high = None
-        done = np.zeros(n, bool)
-        done[np.searchsorted(self.ids, own) : np.searchsorted(self.ids, own, side="right")] = True
-        goal = min(k, n - int(done.sum()))
-        found, products = np.zeros(0, np.int64), np.zeros(0)
-        radius = first
-        while goal:
-            new_low = np.array([np.searchsorted(v, a - radius) for v, a in zip(self.values, at, strict=True)])
-            new_high = np.array([np.searchsorted(v, a + radius, side="right") for v, a in zip(self.values, at, strict=True)])
-            if low is None:
-                fresh = [o[i:j] for o, i, j in zip(self.order, new_low, new_high, strict=True)]
-            else:
-                fresh = [o[i:j] for o, i, j in zip(self.order, new_low, low, strict=True)] + [o[i:j] for o, i, j in zip(self.order, high, new_high, strict=True)]
-            low, high = new_low, new_high
-            counts += np.bincount(np.concatenate(fresh), minlength=n).astype(np.int32)
-            passed = np.nonzero((counts >= SHARE * PROJECTIONS) & ~done)[0]
-            if len(passed):
+    def windows(self, at: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last rank of each query's window in each array: (projections, queries) each."""
+        low = np.stack([np.searchsorted(v, a - radius) for v, a in zip(self.values, at.T, strict=True)])
+        return low, np.stack([np.searchsorted(v, a + radius, side="right") for v, a in zip(self.values, at.T, strict=True)])
+
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int, first: float, least: np.ndarray | None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Per query (positions, products) of the k best found, best first, ties to the smaller id.
+
+        least: products that k vectors elsewhere reach already, if known: the radius then starts, and ends, where a product
+        of that size lies. Else it starts at first and grows until k verified vectors lie within it.
+        """
+        n, m = len(self.ids), len(self.order)
+        scale = self.longest / np.linalg.norm(queries, axis=1)
+        at = np.column_stack([queries * scale[:, None], np.zeros(len(queries))]) @ self.axes
+        far = lambda product, s: np.sqrt(np.maximum(0.0, 2 * self.longest**2 - 2 * product * s)) * (1 + 1e-9) + 1e-9 * self.longest
+        radius = np.full(len(queries), first) if least is None else far(least, scale)
+        lows, highs = self.windows(at, radius)
+        out = []
+        for i, q in enumerate(queries):
+            r, low, high = radius[i], lows[:, i], highs[:, i]
+            fresh = [o[a:b] for o, a, b in zip(self.order, low, high, strict=True)]
+            counts, done = np.zeros(n, np.int64), np.zeros(n, bool)
+            done[np.searchsorted(self.ids, own[i]) : np.searchsorted(self.ids, own[i], side="right")] = True
+            goal = min(k, n - int(done.sum()))
+            found, products = np.zeros(0, np.int64), np.zeros(0)
+            while goal:
+                counts += np.bincount(np.concatenate(fresh), minlength=n)
+                passed = np.nonzero((counts >= SHARE * m) & ~done)[0]
                 done[passed] = True
                 found, products = np.append(found, passed), np.append(products, self.x[passed] @ q)
-            whole = bool((high - low).min() == n)
-            if len(found) >= goal:
-                kth = np.partition(products, len(products) - goal)[len(products) - goal]
-                distance = np.sqrt(max(0.0, 2 * self.longest**2 - 2 * kth * scale))
-                if distance <= radius or whole:
+                if least is not None or (high - low).min() == n:
                     break
-                radius = min(radius * GROWTH, distance * (1 + 1e-9))
-            else:
-                if whole:
-                    break
-                radius *= GROWTH
-        best = np.lexsort((self.ids[found], -products))[:k]
-        return found[best], products[best]
+                grown = r * GROWTH
+                if len(found) >= goal:
+                    distance = far(np.partition(products, len(products) - goal)[len(products) - goal], scale[i])
+                    if distance <= r * (1 + 1e-8) + 1e-8 * self.longest:
+                        break
+                    grown = min(grown, distance)
+                r = grown
+                new_low, new_high = (x[:, 0] for x in self.windows(at[i : i + 1], np.array([r])))
+                fresh = [o[a:b] for o, a, b in zip(self.order, new_low, low, strict=True)] + [o[a:b] for o, a, b in zip(self.order, high, new_high, strict=True)]
+                low, high = new_low, new_high
+            best = np.lexsort((self.ids[found], -products))[:k]
+            out.append((found[best], products[best]))
+        return out
 
     def reach(self, k: int) -> float:
         """A first radius: the median distance at which few of the shard's own vectors have k others."""
@@ -106,15 +114,28 @@ def nearest(vectors: DataFrame, queries: Column, *, id_col: str = "vec_id", vect
         if rows.num_rows and asking.num_rows:
             dim = rows["dim"][0].as_py()
             shard = Shard(matrix(rows["v"], dim), rows["id"].to_numpy(), longest[dim])
-            first = shard.reach(k)
-            for q, own in zip(matrix(asking["v"], dim), asking["id"].to_pylist(), strict=True):
-                at, score = shard.search(q, own, k, first)
-                out["query_id"] += [own] * len(at)
-                out["vec_id"] += shard.ids[at].tolist()
-                out["score"] += score.tolist()
+            own, known = asking["id"].to_numpy(), asking["least"].to_numpy()
+            told = np.isfinite(known)
+            for some, least in ((~told, None), (told, known[told])):
+                if some.any():
+                    q = matrix(asking["v"].filter(pa.array(some)), dim)
+                    first = shard.reach(k) if least is None else 0.0
+                    for name, (at, score) in zip(own[some].tolist(), shard.search(q, own[some], k, first, least), strict=True):
+                        out["query_id"] += [name] * len(at)
+                        out["vec_id"] += shard.ids[at].tolist()
+                        out["score"] += score.tolist()
         return pa.table(out, schema=pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]))
 
-    keys = ["dim", "shard", "block"]
-    part = data.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(search, "query_id long, vec_id long, score double")
+    def run(which: Column, asked: DataFrame) -> DataFrame:
+        keys = ["dim", "shard", "block"]
+        asked = asked.where(which).toDF(*asked.columns)  # columns of its own: both sides come from one table
+        return data.where(which).groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(search, "query_id long, vec_id long, score double")
+
+    # One shard, a sample by hash, is searched first: its k-th product bounds how far the others need to look.
+    unknown = F.lit(float("nan"))
+    scouted = materialize(run(F.col("shard") == 0, asked.withColumn("least", unknown)), "ann-scout")
+    bounds = scouted.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("kth")).where(F.col("n") >= k)
+    told = asked.join(materialize(bounds.select("query_id", "kth"), "ann-bounds"), F.col("id") == F.col("query_id"), "left").withColumn("least", F.coalesce("kth", unknown)).drop("query_id", "kth", "n")
+    part = scouted.unionByName(run(F.col("shard") > 0, told))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return part.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
