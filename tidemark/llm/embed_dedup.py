@@ -101,18 +101,21 @@ def embedding_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_c
 
     kind = {f.name: f.dataType.simpleString() for f in distinct.schema.fields}
     placed = materialize(distinct.select("label", "dim", "v", "rep", "n").mapInArrow(place, f"label {kind['label']}, dim int, v {kind['v']}, rep long, n long, cell int, host boolean"), "vec-placed")
-    sizes = materialize(placed.groupBy("label", "dim", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "vec-cells")
-    rows = placed.join(sizes, ["label", "dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    # A host meets every block of the cell; every row, guests too, is met by the hosts of every block.
-    tasks = F.when(F.col("host"), F.concat(F.transform(every, lambda j: F.struct(F.col("block").alias("i"), j.alias("j"), F.lit(True).alias("left"), (j == F.col("block")).alias("right"))),
-                                          F.transform(F.filter(every, lambda i: i != F.col("block")), lambda i: F.struct(i.alias("i"), F.col("block").alias("j"), F.lit(False).alias("left"), F.lit(True).alias("right")))))
-    tasks = tasks.otherwise(F.transform(every, lambda i: F.struct(i.alias("i"), F.col("block").alias("j"), F.lit(False).alias("left"), F.lit(True).alias("right"))))
-    dealt = rows.withColumn("t", F.explode(tasks)).select("label", "dim", "cell", "t.i", "t.j", "t.left", "t.right", "v", "rep", "n")
+    # Hosts and all rows of a cell are blocked apart: a host meets every block, a row is met by every block of hosts.
+    many = lambda n: F.greatest(F.ceil(n / BLOCK), F.lit(1)).cast("int")
+    sizes = placed.groupBy("label", "dim", "cell").agg(many(F.count_if("host")).alias("hosts"), many(F.count(F.lit(1))).alias("others"))
+    rows = placed.join(materialize(sizes, "vec-cells"), ["label", "dim", "cell"])
+    block = lambda n, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    cols = ["label", "dim", "cell", "i", "j", "v", "rep", "n"]
+    lefts = rows.where("host").withColumns({"i": block("hosts", 0), "j": every("others")}).select(*cols, F.lit(True).alias("left"))
+    rights = rows.withColumns({"j": block("others", 1), "i": every("hosts")}).select(*cols, F.lit(False).alias("left"))
+    dealt = lefts.unionByName(rights)
 
     def meet(group: pa.Table) -> pa.Table:
         dim = group["dim"][0].as_py()
-        left, right = group["left"].to_numpy(), group["right"].to_numpy()
+        left = group["left"].to_numpy()
+        right = ~left
         x, rep, n = unit(matrix(group["v"], dim)), group["rep"].to_numpy(), group["n"].to_numpy()
         if not left.any() or not right.any():
             return pa.table({"rep": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "root": pa.array([], pa.int64())})
