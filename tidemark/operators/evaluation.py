@@ -15,7 +15,10 @@ from pyspark.sql import functions as F
 from ..config import RULES, PolicyConfig, ScoreConfig
 from .frames import with_frame
 
-WHOLE = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+def whole_table():
+    """The frame of all rows, for tables of few rows."""
+    return Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
 
 def safe(n: Column, d: Column) -> Column:
@@ -40,7 +43,7 @@ def percentile_against_train(scores: DataFrame, value: str, n_folds: int = 5) ->
     shares = []
     for k in range(n_folds):
         others = [j for j in range(n_folds) if j != k]
-        shares.append(safe(sum((F.sum(f"_n{j}").over(upto) for j in others), F.lit(0)), sum((total[j].over(WHOLE) for j in others), F.lit(0))))
+        shares.append(safe(sum((F.sum(f"_n{j}").over(upto) for j in others), F.lit(0)), sum((total[j].over(whole_table()) for j in others), F.lit(0))))
     lookup = counts.select("_v", F.array(*shares).alias("_shares"))
     return scores.join(lookup, F.col(value) == F.col("_v")).withColumn("model_component", F.element_at("_shares", F.col("fold") + 1)).drop("_v", "_shares")
 
@@ -201,7 +204,7 @@ def average_rank(df: DataFrame, value: str) -> DataFrame:
     """df plus average_rank: the mean rank of a row's ties as a share of all rows; one row per distinct value is ordered."""
     counts = df.groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
     upto = F.sum("_n").over(Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranks = counts.select("_v", ((upto - F.col("_n") + (F.col("_n") + 1) / 2.0) / F.sum("_n").over(WHOLE)).alias("average_rank"))
+    ranks = counts.select("_v", ((upto - F.col("_n") + (F.col("_n") + 1) / 2.0) / F.sum("_n").over(whole_table())).alias("average_rank"))
     return df.join(ranks, F.col(value) == F.col("_v")).drop("_v")
 
 
