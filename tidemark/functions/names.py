@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -75,6 +76,7 @@ def script_of(name: Column) -> Column:
     return F.when(name.isNull() | other, "other").when(name.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
 
 
+@lru_cache(maxsize=1 << 17)
 def jaro_winkler(a: str, b: str, scale: float = 0.1, boost: float = 0.7) -> float:
     """Jaro similarity, and for those above boost a bonus for up to four equal first letters."""
     if a == b:

@@ -20,53 +20,49 @@ BASE = ("transaction_id", "entity_id", "counterparty_id", "txn_epoch", "amount_c
 def counterparty_history(payments: DataFrame, cfg: FeatureConfig) -> DataFrame:
     """Payments with pair_prev (the pair's previous payment), degree (entities that the counterparty has dealt with by
     then) and cp_first. Payments without a counterparty, such as cash, have none of them."""
-    base = payments.select(*[F.coalesce(c, F.lit("")).alias(c) if c == "counterparty_id" else F.col(c) for c in BASE])
+    base = payments.selectExpr(*["coalesce(counterparty_id, '') AS counterparty_id" if c == "counterparty_id" else c for c in BASE])
     named = base.where("counterparty_id != ''")
-    pair = ["entity_id", "counterparty_id"]
-    named = with_running(named, pair, "txn_epoch", cfg.chunk, before={"pair_prev": ("max", F.col("txn_epoch"))}, tie="transaction_id")
     # A pair's first payment adds to the counterparty's degree. Per span, first payments are counted from the pairs.
-    firsts = base.where("counterparty_id != ''").groupBy(*pair).agg(F.min("txn_epoch").alias("t"))
-    totals = firsts.groupBy("counterparty_id", F.floor(F.col("t") / cfg.chunk).alias("_span")).agg(F.count(F.lit(1)).alias("_t_degree"), F.min("t").alias("_t_cp_first"))
-    spans = base.where("counterparty_id != ''").select("counterparty_id", F.floor(F.col("txn_epoch") / cfg.chunk).alias("_span")).distinct()
+    firsts = named.groupBy("entity_id", "counterparty_id").agg(F.min("txn_epoch").alias("t"))
+    totals = firsts.groupBy("counterparty_id", F.expr(f"floor(t / {cfg.chunk}) AS _span")).agg(F.count(F.lit(1)).alias("_t_degree"), F.min("t").alias("_t_cp_first"))
+    spans = named.selectExpr("counterparty_id", f"floor(txn_epoch / {cfg.chunk}) AS _span").distinct()
     totals = spans.join(totals, ["counterparty_id", "_span"], "left")
-    first = F.when(F.col("pair_prev").isNull(), F.col("txn_epoch"))
-    named = with_running(named, ["counterparty_id"], "txn_epoch", cfg.chunk, at={"degree": ("sum", first.isNotNull().cast("long")), "cp_first": ("min", first)}, totals=totals)
-    cash = base.where("counterparty_id = ''").withColumns({"pair_prev": F.lit(None).cast("long"), "degree": F.lit(0).cast("long"), "cp_first": F.lit(None).cast("long")})
-    return named.unionByName(cash)
+    paired = with_running(named, ["entity_id", "counterparty_id"], "txn_epoch", cfg.chunk, before={"pair_prev": ("max", "txn_epoch")}, tie="transaction_id")
+    first = {"degree": ("sum", "CAST(pair_prev IS NULL AS BIGINT)"), "cp_first": ("min", "CASE WHEN pair_prev IS NULL THEN txn_epoch END")}
+    known = with_running(paired, ["counterparty_id"], "txn_epoch", cfg.chunk, at=first, totals=totals)
+    cash = base.where("counterparty_id = ''").selectExpr("*", "CAST(NULL AS BIGINT) AS pair_prev", "CAST(0 AS BIGINT) AS degree", "CAST(NULL AS BIGINT) AS cp_first")
+    return known.unionByName(cash)
 
 
 SUMS = ("cnt7", "sum7", "cash7", "cnt30", "sum30", "out48", "in48", "distinct7", "new7")
 
 
 def entries_and_exits(history: DataFrame, cfg: FeatureConfig) -> DataFrame:
-    """One event per payment, and one for each time at which something of it leaves a frame."""
-    t, cents, one = F.col("txn_epoch"), F.col("amount_cents"), F.lit(1).cast("long")
-    named = F.col("counterparty_id") != ""
-    cash = F.when(F.col("is_cash") == 1, cents)
-    out, into = F.when(F.col("direction") == "outbound", cents), F.when(F.col("direction") == "inbound", cents)
-
-    def event(time, row: bool, **sums):
-        return F.struct(time.cast("long").alias("time"), F.lit(row).alias("is_row"), *[F.coalesce(sums.get(k, F.lit(None)).cast("long"), F.lit(0).cast("long")).alias(k) for k in SUMS])
-
-    # In a 7-day frame a counterparty counts by its first payment there: from the payment, or from when the pair's
-    # previous payment has left, until the payment leaves.
-    seen_from = F.greatest(t, F.col("pair_prev") + cfg.week + 1)
-    counts = named & (seen_from <= t + cfg.week)
-    now = named & (F.col("pair_prev").isNull() | (seen_from == t))
-    # It is new while its first payment anywhere lies in the frame.
-    new = named & (t <= F.col("cp_first") + cfg.week)
-    flag = lambda c, n=one: F.when(c, n)
-    events = F.array(
-        event(t, True, cnt7=one, sum7=cents, cash7=cash, cnt30=one, sum30=cents, out48=out, in48=into, distinct7=flag(now), new7=flag(new)),
-        event(t + cfg.week + 1, False, cnt7=-one, sum7=-cents, cash7=-cash, distinct7=flag(counts, -one)),
-        event(t + cfg.month + 1, False, cnt30=-one, sum30=-cents),
-        event(t + cfg.two_days + 1, False, out48=-out, in48=-into),
-        F.when(counts & ~now, event(seen_from, False, distinct7=one)),
-        F.when(new, event(F.col("cp_first") + cfg.week + 1, False, new7=-one)),
+    """One event per payment, and one for each time at which something of it leaves a frame.
+
+    In a 7-day frame a counterparty counts by its first payment there: from the payment, or from when the pair's previous
+    payment has left (seen_from), until the payment leaves. It is new while its first payment anywhere lies in the frame.
+    """
+    t, c = "txn_epoch", "amount_cents"
+    cash, out, into = f"CASE WHEN is_cash = 1 THEN {c} ELSE 0 END", f"CASE WHEN direction = 'outbound' THEN {c} ELSE 0 END", f"CASE WHEN direction = 'inbound' THEN {c} ELSE 0 END"
+
+    def event(time: str, row: bool, **sums: str) -> str:
+        return f"named_struct('time', CAST({time} AS BIGINT), 'is_row', {row}, {', '.join(f"'{k}', CAST({sums.get(k, '0')} AS BIGINT)" for k in SUMS)})"
+
+    events = [
+        event(t, True, cnt7="1", sum7=c, cash7=cash, cnt30="1", sum30=c, out48=out, in48=into, distinct7="IF(now, 1, 0)", new7="IF(new, 1, 0)"),
+        event(f"{t} + {cfg.week + 1}", False, cnt7="-1", sum7=f"-{c}", cash7=f"-({cash})", distinct7="IF(counts, -1, 0)"),
+        event(f"{t} + {cfg.month + 1}", False, cnt30="-1", sum30=f"-{c}"),
+        event(f"{t} + {cfg.two_days + 1}", False, out48=f"-({out})", in48=f"-({into})"),
+        f"CASE WHEN counts AND NOT now THEN {event('seen_from', False, distinct7='1')} END",
+        f"CASE WHEN new THEN {event(f'cp_first + {cfg.week + 1}', False, new7='-1')} END",
+    ]
+    named = "counterparty_id != ''"
+    marked = history.selectExpr("*", f"greatest({t}, pair_prev + {cfg.week + 1}) AS seen_from").selectExpr(
+        "*", f"{named} AND seen_from <= {t} + {cfg.week} AS counts", f"{named} AND (pair_prev IS NULL OR seen_from = {t}) AS now", f"{named} AND coalesce({t} <= cp_first + {cfg.week}, false) AS new"
     )
-    exploded = history.withColumn("e", F.explode(F.filter(events, lambda e: e.isNotNull())))
-    keep = [F.when(F.col("e.is_row"), F.col(c)).alias(c) for c in history.columns if c != "entity_id"]
-    return exploded.select("entity_id", "e.time", "e.is_row", *keep, *[F.col(f"e.{k}").alias(f"d_{k}") for k in SUMS])
+    exploded = marked.selectExpr("*", f"explode(filter(array({', '.join(events)}), x -> x IS NOT NULL)) AS e")
+    return exploded.selectExpr("entity_id", "e.time", "e.is_row", *[f"IF(e.is_row, {x}, NULL) AS {x}" for x in history.columns if x != "entity_id"], *[f"e.{k} AS d_{k}" for k in SUMS])
 
 
 def features(payments: DataFrame, cfg: FeatureConfig | None = None) -> DataFrame:
@@ -74,32 +70,30 @@ def features(payments: DataFrame, cfg: FeatureConfig | None = None) -> DataFrame
     cfg = cfg or FeatureConfig()
     history = materialize(counterparty_history(payments, cfg), "feature-history")
     events = entries_and_exits(history, cfg)
-    x = F.when(F.col("is_row"), F.col("amount_cents").cast("double"))
-    before = {"prior_n": ("sum", F.col("is_row").cast("long")), "prior_sum": ("sum", x), "prior_sq": ("sum", x * x), "prev_time": ("max", F.when(F.col("is_row"), F.col("time")))}
-    run = with_running(events, ["entity_id"], "time", cfg.chunk, at={k: ("sum", F.col(f"d_{k}")) for k in SUMS}, before=before, tie="transaction_id").where("is_row")
-    mean = F.col("prior_sum") / F.col("prior_n")
-    run = run.withColumns({"mean": F.when(F.col("prior_n") > 0, mean), "var": F.when(F.col("prior_n") > 0, F.col("prior_sq") / F.col("prior_n") - mean * mean)})
-    sigma = F.sqrt(F.when(F.col("var") > 0, F.col("var")))
-    t, named = F.col("txn_epoch"), F.col("counterparty_id") != ""
-    return run.select(
+    x = "CAST(IF(is_row, amount_cents, NULL) AS DOUBLE)"
+    before = {"prior_n": ("sum", "CAST(is_row AS BIGINT)"), "prior_sum": ("sum", x), "prior_sq": ("sum", f"{x} * {x}"), "prev_time": ("max", "IF(is_row, time, NULL)")}
+    run = with_running(events, ["entity_id"], "time", cfg.chunk, at={k: ("sum", f"d_{k}") for k in SUMS}, before=before, tie="transaction_id").where("is_row")
+    run = run.selectExpr("*", "CASE WHEN prior_n > 0 THEN prior_sum / prior_n END AS mean").selectExpr("*", "CASE WHEN prior_n > 0 THEN prior_sq / prior_n - mean * mean END AS var")
+    run = run.selectExpr("*", "sqrt(CASE WHEN var > 0 THEN var END) AS sigma")
+    return run.selectExpr(
         *BASE,
-        F.col("cnt7").alias("txn_count_7d"),
-        F.col("sum7").alias("txn_sum_7d_cents"),
-        F.col("cnt30").alias("txn_count_30d"),
-        F.col("sum30").alias("txn_sum_30d_cents"),
-        F.when((F.col("prior_n") >= cfg.min_history) & (sigma >= cfg.min_sigma), (F.col("amount_cents").cast("double") - F.col("mean")) / sigma).otherwise(0.0).alias("amount_zscore_entity"),
-        (F.col("amount_cents") % cfg.round_cents == 0).cast("int").alias("is_round_amount"),
-        F.coalesce((t - F.col("prev_time")) / 86400.0, F.lit(-1.0)).alias("days_since_prev_txn"),
-        F.col("distinct7").alias("distinct_counterparties_7d"),
-        F.when(F.col("in48") == 0, 0.0).otherwise(F.least(F.try_divide(F.col("out48").cast("double"), F.col("in48").cast("double")), F.lit(cfg.ratio_cap))).alias("outbound_to_inbound_ratio_48h"),
-        F.try_divide(F.col("cash7").cast("double"), F.col("sum7").cast("double")).alias("cash_ratio_7d"),
-        F.col("degree").alias("counterparty_entity_degree_asof"),
-        F.when(named, (t - F.col("cp_first")) / 86400.0).otherwise(0.0).alias("counterparty_age_days"),
-        (F.col("new7").cast("double") / F.col("cnt7").cast("double")).alias("new_counterparty_ratio_7d"),
-        F.floor(F.pmod(t, F.lit(86400)) / 3600).cast("int").alias("hour_of_day"),
-        F.pmod(F.floor(t / 86400) + 4, F.lit(7)).isin(0, 6).cast("int").alias("is_weekend"),
-        F.col("prior_n").alias("prior_txn_count"),
-        F.coalesce("mean", F.lit(0.0)).alias("prior_mean_cents"),
+        "cnt7 AS txn_count_7d",
+        "sum7 AS txn_sum_7d_cents",
+        "cnt30 AS txn_count_30d",
+        "sum30 AS txn_sum_30d_cents",
+        f"CASE WHEN prior_n >= {cfg.min_history} AND sigma >= {cfg.min_sigma!r}D THEN (CAST(amount_cents AS DOUBLE) - mean) / sigma ELSE 0.0D END AS amount_zscore_entity",
+        f"CAST(amount_cents % {cfg.round_cents} = 0 AS INT) AS is_round_amount",
+        "coalesce((txn_epoch - prev_time) / 86400.0D, -1.0D) AS days_since_prev_txn",
+        "distinct7 AS distinct_counterparties_7d",
+        f"CASE WHEN in48 = 0 THEN 0.0D ELSE least(try_divide(CAST(out48 AS DOUBLE), CAST(in48 AS DOUBLE)), {cfg.ratio_cap!r}D) END AS outbound_to_inbound_ratio_48h",
+        "try_divide(CAST(cash7 AS DOUBLE), CAST(sum7 AS DOUBLE)) AS cash_ratio_7d",
+        "degree AS counterparty_entity_degree_asof",
+        "CASE WHEN counterparty_id != '' THEN (txn_epoch - cp_first) / 86400.0D ELSE 0.0D END AS counterparty_age_days",
+        "CAST(new7 AS DOUBLE) / CAST(cnt7 AS DOUBLE) AS new_counterparty_ratio_7d",
+        "CAST(floor(pmod(txn_epoch, 86400) / 3600) AS INT) AS hour_of_day",
+        "CAST(pmod(floor(txn_epoch / 86400) + 4, 7) IN (0, 6) AS INT) AS is_weekend",
+        "prior_n AS prior_txn_count",
+        "coalesce(mean, 0.0D) AS prior_mean_cents",
     )
 
 

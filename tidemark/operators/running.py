@@ -9,16 +9,16 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-AGGREGATES = {"sum": F.sum, "min": F.min, "max": F.max}
-COMBINE = {"sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)), "min": F.least, "max": F.greatest}
+#: How what earlier spans add up to (a) and the own span's part (b) combine.
+COMBINE = {"sum": "coalesce({a}, 0) + coalesce({b}, 0)", "min": "least({a}, {b})", "max": "greatest({a}, {b})"}
 
 
-def span_totals(events: DataFrame, keys: Sequence[str], time: str, columns: Mapping[str, tuple[str, Column]], span: int) -> DataFrame:
+def span_totals(events: DataFrame, keys: Sequence[str], time: str, columns: Mapping[str, tuple[str, str]], span: int) -> DataFrame:
     """Per key and span, the aggregates of that span alone; map-side partial aggregation takes care of hot keys."""
-    return events.groupBy(*keys, F.floor(F.col(time) / span).alias("_span")).agg(*[AGGREGATES[kind](c).alias(f"_t_{name}") for name, (kind, c) in columns.items()])
+    return events.groupBy(*keys, F.expr(f"floor({time} / {span}) AS _span")).agg(*[F.expr(f"{kind}({sql}) AS _t_{name}") for name, (kind, sql) in columns.items()])
 
 
 def with_running(
@@ -27,28 +27,32 @@ def with_running(
     time: str,
     span: int,
     *,
-    at: Mapping[str, tuple[str, Column]] | None = None,
-    before: Mapping[str, tuple[str, Column]] | None = None,
+    at: Mapping[str, tuple[str, str]] | None = None,
+    before: Mapping[str, tuple[str, str]] | None = None,
     tie: str | None = None,
     totals: DataFrame | None = None,
 ) -> DataFrame:
-    """events plus running aggregates per key, by ("sum" | "min" | "max", column).
+    """events plus running aggregates per key, by ("sum" | "min" | "max", SQL expression).
 
     at: over all events up to the same time, those at that time included; before: over those strictly before by (time,
-    tie). totals may be passed where span_totals has a cheaper source than events. Null keys form a key of their own.
+    tie). totals may be passed where span_totals has a cheaper source than events. Keys must not be null.
     """
     at, before = dict(at or {}), dict(before or {})
     columns = at | before
     totals = span_totals(events, keys, time, columns, span) if totals is None else totals
-    earlier = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_span").alias("_s"), *[AGGREGATES[kind](f"_t_{name}").over(earlier).alias(f"_c_{name}") for name, (kind, _) in columns.items()])
-    spanned = events.withColumn("_span", F.floor(F.col(time) / span))
-    on = F.col("_span") == F.col("_s")
-    for i, k in enumerate(keys):
-        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    joined = spanned.join(carried, on, "left")
-    own = Window.partitionBy(*keys, "_span")
-    upto = own.orderBy(time).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    prior = own.orderBy(time, *([tie] if tie else [])).rowsBetween(Window.unboundedPreceding, -1)
-    values = {name: COMBINE[kind](F.col(f"_c_{name}"), AGGREGATES[kind](c).over(prior if name in before else upto)) for name, (kind, c) in columns.items()}
-    return joined.select(*events.columns, *[v.alias(name) for name, v in values.items()])
+    by = ", ".join(keys)
+    earlier = f"OVER (PARTITION BY {by} ORDER BY _span ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    carried = totals.selectExpr(*[f"{k} AS _k{i}" for i, k in enumerate(keys)], "_span AS _s", *[f"{kind}(_t_{name}) {earlier} AS _c_{name}" for name, (kind, _) in columns.items()])
+    on = " AND ".join(["_span = _s", *[f"{k} = _k{i}" for i, k in enumerate(keys)]])
+    joined = events.selectExpr("*", f"floor({time} / {span}) AS _span").join(carried, F.expr(on), "left")
+    upto = f"OVER (PARTITION BY {by}, _span ORDER BY {time} RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    prior = f"OVER (PARTITION BY {by}, _span ORDER BY {', '.join([time, tie] if tie else [time])} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+
+    def value(name: str, over: str) -> str:
+        kind, sql = columns[name]
+        return f"{COMBINE[kind].format(a=f'_c_{name}', b=f'{kind}({sql}) {over}')} AS {name}"
+
+    # The finer order comes first: it serves the coarser one too, and rows are sorted once.
+    if before:
+        joined = joined.selectExpr(*events.columns, "_span", *[f"_c_{name}" for name in at], *[value(name, prior) for name in before])
+    return joined.selectExpr(*events.columns, *before, *[value(name, upto) for name in at])

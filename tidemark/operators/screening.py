@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.names import CYRILLIC, folded_tokens, keys_of, script_of, similarity
+from ..session import materialize
 from .evaluation import hash15
 
 FIELDS = ("Country", "LastName", "GivenName", "Aliases", "DateOfBirthOrShipBuildDate", "Schedule", "Item", "DateOfListing", "EntityOrShip", "ShipIMONumber")
@@ -50,24 +51,27 @@ def name_index(listed: DataFrame) -> DataFrame:
 
 
 def candidates(queries: DataFrame, index: DataFrame) -> DataFrame:
-    """Pairs of a query (query_id, q_folded, q_year) and a name that share any blocking key, each pair once."""
-    left = queries.select("query_id", "q_folded", "q_year", F.explode(keys_of(F.col("q_folded"))).alias("k"))
-    right = index.withColumn("k", F.explode(keys_of(F.col("folded"))))
-    return left.join(right, "k").dropDuplicates(["query_id", "party", "name"]).drop("k")
+    """Pairs (q_folded, folded) of distinct folded names that share any blocking key, each pair once."""
+    left = queries.select("q_folded").distinct().select("q_folded", F.explode(keys_of(F.col("q_folded"))).alias("k"))
+    right = index.select("folded").distinct().select("folded", F.explode(keys_of(F.col("folded"))).alias("k"))
+    return left.join(right, "k").select("q_folded", "folded").distinct()
 
 
 def screen(queries: DataFrame, listed: DataFrame, *, id_col: str = "query_id", name_col: str = "name", year_col: str | None = None, top: int = 3) -> DataFrame:
     """query_id, rank, party, kind, score, matched_name: the best name of each party, the best parties of each query.
 
-    Known birth years a year apart or less add a little, others take 15 %. Equal scores: the smaller name, then party.
+    Names that fold alike are compared once. Known birth years a year apart or less add a little, others take 15 %. Equal
+    scores: the smaller name, then party.
     """
     q = queries.select(F.col(id_col).alias("query_id"), folded_tokens(F.col(name_col)).alias("q_folded"), (F.col(year_col) if year_col else F.lit(None)).cast("int").alias("q_year"))
-    scored = candidates(q, name_index(listed)).withColumn("s", similarity("q_folded", "folded"))
+    q, index = materialize(q, "screen-queries"), materialize(name_index(listed), "screen-index")
+    pairs = materialize(candidates(q, index).withColumn("s", similarity("q_folded", "folded")).where("s > 0"), "screen-pairs")
     near = F.abs(F.col("q_year") - F.col("birth_year")) <= 1
     score = F.when(near.isNull(), F.col("s")).when(near, F.least(F.lit(1.0), F.col("s") + 0.02)).otherwise(F.col("s") * 0.85)
-    best = scored.withColumn("score", score).where("score > 0").groupBy("query_id", "party", "kind").agg(F.max("score").alias("score"), F.max_by("name", F.struct("score", F.reverse("name"))).alias("matched_name"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "party"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", "rank", "party", "kind", F.bround("score", 4).alias("score"), "matched_name")
+    scored = q.join(pairs, "q_folded").join(index, "folded").withColumn("score", score)
+    best = scored.groupBy("query_id", "party", "kind").agg(F.min_by(F.struct("score", "name"), F.struct(-F.col("score"), "name")).alias("b"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("b.score"), "party"))
+    return best.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", "rank", "party", "kind", F.bround("b.score", 4).alias("score"), F.col("b.name").alias("matched_name"))
 
 
 def describe(listed: DataFrame) -> DataFrame:
