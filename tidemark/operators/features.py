@@ -44,25 +44,21 @@ def entries_and_exits(history: DataFrame, cfg: FeatureConfig) -> DataFrame:
     payment has left (seen_from), until the payment leaves. It is new while its first payment anywhere lies in the frame.
     """
     t, c = "txn_epoch", "amount_cents"
-    cash, out, into = f"CASE WHEN is_cash = 1 THEN {c} ELSE 0 END", f"CASE WHEN direction = 'outbound' THEN {c} ELSE 0 END", f"CASE WHEN direction = 'inbound' THEN {c} ELSE 0 END"
-
-    def event(time: str, row: bool, **sums: str) -> str:
-        return f"named_struct('time', CAST({time} AS BIGINT), 'is_row', {row}, {', '.join(f"'{k}', CAST({sums.get(k, '0')} AS BIGINT)" for k in SUMS)})"
-
-    events = [
-        event(t, True, cnt7="1", sum7=c, cash7=cash, cnt30="1", sum30=c, out48=out, in48=into, distinct7="IF(now, 1, 0)", new7="IF(new, 1, 0)"),
-        event(f"{t} + {cfg.week + 1}", False, cnt7="-1", sum7=f"-{c}", cash7=f"-({cash})", distinct7="IF(counts, -1, 0)"),
-        event(f"{t} + {cfg.month + 1}", False, cnt30="-1", sum30=f"-{c}"),
-        event(f"{t} + {cfg.two_days + 1}", False, out48=f"-({out})", in48=f"-({into})"),
-        f"CASE WHEN counts AND NOT now THEN {event('seen_from', False, distinct7='1')} END",
-        f"CASE WHEN new THEN {event(f'cp_first + {cfg.week + 1}', False, new7='-1')} END",
-    ]
+    cash, out, into = f"IF(is_cash = 1, {c}, 0)", f"IF(direction = 'outbound', {c}, 0)", f"IF(direction = 'inbound', {c}, 0)"
     named = "counterparty_id != ''"
     marked = history.selectExpr("*", f"greatest({t}, pair_prev + {cfg.week + 1}) AS seen_from").selectExpr(
         "*", f"{named} AND seen_from <= {t} + {cfg.week} AS counts", f"{named} AND (pair_prev IS NULL OR seen_from = {t}) AS now", f"{named} AND coalesce({t} <= cp_first + {cfg.week}, false) AS new"
     )
-    exploded = marked.selectExpr("*", f"explode(filter(array({', '.join(events)}), x -> x IS NOT NULL)) AS e")
-    return exploded.selectExpr("entity_id", "e.time", "e.is_row", *[f"IF(e.is_row, {x}, NULL) AS {x}" for x in history.columns if x != "entity_id"], *[f"e.{k} AS d_{k}" for k in SUMS])
+    # Kinds of events: 0 the payment itself; 1, 2, 3 it leaves 7 days, 30 days, 48 hours; 4 its counterparty counts by it from
+    # now on; 5 its counterparty is no longer new.
+    kinds = "filter(array(0, 1, 2, 3, IF(counts AND NOT now, 4, NULL), IF(new, 5, NULL)), k -> k IS NOT NULL)"
+    events = marked.selectExpr("*", f"explode({kinds}) AS kind")
+    times = [t, f"{t} + {cfg.week + 1}", f"{t} + {cfg.month + 1}", f"{t} + {cfg.two_days + 1}", "seen_from", f"cp_first + {cfg.week + 1}"]
+    time = f"CASE kind {' '.join(f'WHEN {k} THEN {x}' for k, x in enumerate(times))} END"
+    entry = lambda value, left: f"CASE kind WHEN 0 THEN {value} WHEN {left} THEN -({value}) ELSE 0 END"
+    sums = {"cnt7": entry("1", 1), "sum7": entry(c, 1), "cash7": entry(cash, 1), "cnt30": entry("1", 2), "sum30": entry(c, 2), "out48": entry(out, 3), "in48": entry(into, 3)}
+    sums |= {"distinct7": "CASE kind WHEN 0 THEN IF(now, 1, 0) WHEN 1 THEN IF(counts, -1, 0) WHEN 4 THEN 1 ELSE 0 END", "new7": "CASE kind WHEN 0 THEN IF(new, 1, 0) WHEN 5 THEN -1 ELSE 0 END"}
+    return events.selectExpr("entity_id", f"CAST({time} AS BIGINT) AS time", "kind = 0 AS is_row", *[f"IF(kind = 0, {x}, NULL) AS {x}" for x in history.columns if x != "entity_id"], *[f"CAST({sums[k]} AS BIGINT) AS d_{k}" for k in SUMS])
 
 
 def features(payments: DataFrame, cfg: FeatureConfig | None = None) -> DataFrame:
