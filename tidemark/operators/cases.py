@@ -140,6 +140,11 @@ def deviations(scored: DataFrame, entity_id: str, names: tuple[str, ...] = FEATU
     return row.select(F.explode(F.array(*parts)).alias("p")).select("p.*")
 
 
+def top_deviations(scored: DataFrame, entity_id: str, n: int = 8, names: tuple[str, ...] = FEATURES) -> DataFrame:
+    """The n features that deviate most, either way; of equals by name."""
+    return deviations(scored, entity_id, names).orderBy(F.desc(F.abs("deviation_sigma")), "feature").limit(n)
+
+
 def ego_network(scored: DataFrame, entity_id: str, max_nodes: int = 45) -> DataFrame:
     """(entity_id, counterparty_id): the entity's counterparties that connect 2 to 12 entities, else all; a third of
     max_nodes of them by id, and peers by counterparty and id while there is room."""

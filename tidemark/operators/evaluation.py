@@ -208,6 +208,16 @@ def average_rank(df: DataFrame, value: str) -> DataFrame:
     return df.join(ranks, F.col(value) == F.col("_v")).drop("_v")
 
 
+def best_amount_f1(payments: DataFrame) -> DataFrame:
+    """The best F1 that a threshold on the amount alone reaches, and that threshold; of equals the higher one."""
+    counts = payments.groupBy("amount_cents").agg(F.sum("is_suspicious").alias("pos"), F.count(F.lit(1)).alias("n"))
+    down = Window.orderBy(F.desc("amount_cents")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    steps = counts.select("amount_cents", F.sum("pos").over(down).alias("tp"), F.sum("n").over(down).alias("flagged"), F.sum("pos").over(whole_table()).alias("p"))
+    f1 = safe(2 * F.col("tp"), F.col("flagged") + F.col("p"))
+    best = F.max(F.struct(f1.alias("f1"), "amount_cents"))
+    return steps.agg(best.alias("b")).select(F.col("b.f1").alias("best_f1"), F.col("b.amount_cents").alias("threshold_cents"))
+
+
 def densest_windows(scored: DataFrame, cfg: ScoreConfig | None = None, width: int = 604_800, least: int = 3) -> DataFrame:
     """Per structuring case: its size and span, the most deposits in any window, and what rule and model made of it."""
     cfg = cfg or ScoreConfig()

@@ -126,6 +126,22 @@ def spellings_column(names: pd.Series) -> pd.Series:
     return names.map(spellings)
 
 
+def negatives(names: DataFrame, listed: DataFrame, n: int, hard: int = 0, seed: str = "negatives") -> DataFrame:
+    """(query_id, name): n names that fold unlike every listed one, by hash; and `hard` more that take a listed party's last
+    word with another's first, and are no listed name themselves."""
+    index = name_index(listed).withColumn("key", F.array_join(F.array_sort("folded"), " "))
+    free = names.select("name", F.array_join(F.array_sort(folded_tokens(F.col("name"))), " ").alias("key")).where("key != ''").dropDuplicates(["key"]).join(index.select("key").distinct(), "key", "left_anti")
+    easy = free.select("name", hash15(F.lit(seed), F.col("name")).alias("h")).orderBy("h").limit(n).select(F.concat(F.lit("easy-"), F.col("h").cast("string")).alias("query_id"), "name")
+    if not hard:
+        return easy
+    words = index.select(F.split("name", " ").alias("w")).where("size(w) > 1").select(F.element_at("w", 1).alias("first"), F.element_at("w", -1).alias("last"))
+    half = lambda c, salt: words.select(F.col(c).alias(c)).distinct().select(c, (hash15(F.lit(seed), F.lit(salt), F.col(c)) % 997).alias("slot"))
+    mixed = half("first", "a").join(half("last", "b"), "slot").select(F.concat_ws(" ", "first", "last").alias("name"))
+    mixed = mixed.withColumn("key", F.array_join(F.array_sort(folded_tokens(F.col("name"))), " ")).join(index.select("key").distinct(), "key", "left_anti")
+    more = mixed.select("name", hash15(F.lit(seed), F.lit("hard"), F.col("name")).alias("h")).orderBy("h").limit(hard)
+    return easy.unionByName(more.select(F.concat(F.lit("hard-"), F.col("h").cast("string")).alias("query_id"), "name"))
+
+
 def evaluate(listed: DataFrame, negatives: DataFrame, target: float = 0.95) -> DataFrame:
     """(split, kind, queries, rate, threshold): recall per kind of spelling and alert rate of negatives (query_id, name), at
     the highest threshold of 0.700 to 1.000 whose recall on the development half reaches the target (else 0.700)."""

@@ -59,7 +59,7 @@ register("rules_applied", lambda s, d: hits1(s, d).drop("reason_codes"), f"{E_RU
 
 
 def queries() -> dict[str, Query]:
-    from . import console, customers, evaluation, generated, models, screening, streams  # noqa: F401  each registers its own
+    from . import console, customers, evaluation, generated, models, relational, screening, streams  # noqa: F401  each registers its own
 
 
     return {k: q for k, (q, _) in REGISTRY.items()}

@@ -13,8 +13,8 @@ WORDS = "[" + ", ".join(f"'{x.lower()}'" for x in (*GIVEN, *FAMILY)) + "]"
 
 
 def word_pairs(spark, _):
-    words = spark.createDataFrame([(x.lower(),) for x in (*GIVEN, *FAMILY)], "a string")
-    pairs = words.crossJoin(words.withColumnRenamed("a", "b"))  # a fixed list of words with itself
+    words = [x.lower() for x in (*GIVEN, *FAMILY)]
+    pairs = spark.createDataFrame([(a, b) for a in words for b in words], "a string, b string")
     return pairs.select("a", "b", F.round(jaro_winkler_column("a", "b"), 9).alias("similarity"))
 
 
@@ -25,6 +25,6 @@ register(
     f"WITH {CUSTOMER_NAMES_SQL} SELECT query_id, array_to_string([t for t in string_split(trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')), ' ') if NOT list_contains([{', '.join(repr(x) for x in STOP)}], t)], ' ') AS tokens FROM cnames",
 )
 register("screening", lambda s, d: sc.screen(customer_names(s, d), listed_parties(s, d)))
-register("screening_evaluation", lambda s, d: sc.evaluate(listed_parties(s, d), customer_names(s, d)))
+register("screening_evaluation", lambda s, d: sc.evaluate(listed_parties(s, d), sc.negatives(customer_names(s, d), listed_parties(s, d), 500, 100)))
 register("list_description", lambda s, d: sc.describe(listed_parties(s, d)), """SELECT 'parties' AS what, 'individual' AS value, COUNT(*) AS n FROM supplier UNION ALL SELECT 'primary names', 'latin', COUNT(*) FROM supplier UNION ALL SELECT 'aliases', 'latin', COUNT(*) FROM supplier
   UNION ALL SELECT 'with birth year', 'all', COUNT(*) FROM supplier UNION ALL SELECT 'countries', 'all', 1""")

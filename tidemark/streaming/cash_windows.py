@@ -122,6 +122,12 @@ def start(alert_stream: DataFrame, sink: str, checkpoint: str, **trigger):
     return alert_stream.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def start_kafka(alert_stream: DataFrame, servers: str, topic: str, checkpoint: str, **options: str):
+    """Writes alerts to a compacted Kafka topic under their keys: taken again, an alert replaces itself."""
+    sink = to_json(alert_stream).writeStream.format("kafka").outputMode("append").option("kafka.bootstrap.servers", servers)
+    return sink.option("topic", topic).option("kafka.acks", "all").option("checkpointLocation", checkpoint).options(**options).start()
+
+
 def latest_alerts(spark: SparkSession, sink: str) -> DataFrame:
     """The fullest alert per key: of equals the last batch's."""
     rows = spark.read.schema(ALERT + ", batch long").parquet(sink)
