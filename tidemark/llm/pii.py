@@ -40,7 +40,7 @@ TITLE = {name: g for g, names in HONORIFICS.items() for name in names}
 NAME_PART = r"[A-ZÀ-ÖØ-ÞА-ЯЁΑ-Ω][\w’'-]*[^\W\d_]"
 NAME = re.compile(rf"\b({'|'.join(sorted(map(re.escape, TITLE), key=len, reverse=True))})\.?[  ]({NAME_PART}(?:[  ]{NAME_PART}){{0,2}})")
 EMAIL = re.compile(r"[\w+%-][\w.+%-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}\b")
-NUMBER = re.compile(r"(?<![\w.+])(?:(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .\-/]?\d{2,4}){1,5})|(?P<ip>(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d))|(?P<ssn>\d{3}-\d{2}-\d{4})|(?P<card>\d(?:[ -]?\d){12,18}))(?![\w]|\.\d)")
+NUMBER = re.compile(r"(?<![\w+])(?<!\d\.)(?:(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .\-/]?\d{2,4}){1,5})|(?P<ip>(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d))|(?P<ssn>\d{3}-\d{2}-\d{4})|(?P<card>\d(?:[ -]?\d){12,18}))(?![\w]|\.\d)")
 SECRET = re.compile(r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|xox[abpr]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9]{20,})\b")
 ASSIGNED = re.compile(r"(?i)\b(?:api[_-]?key|secret|token|passw(?:or)?d|access[_-]?key|auth)\b[\"']?\s*[:=]\s*[\"']?(?P<v>[A-Za-z0-9_+/.=-]{12,})")
 IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b")
