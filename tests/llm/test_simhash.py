@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from tidemark.llm.components import connected_components
-from tidemark.llm.simhash import Balls, drop_near_duplicates, near_duplicates, near_links, simhash
+from tidemark.llm.simhash import Balls, drop_near_duplicates, near_duplicates, near_links, similar_documents, simhash
 
 
 def plain_fingerprint(text):
@@ -77,19 +77,50 @@ def test_buckets_are_linear():
         Balls(3, 5, 3)
 
 
+def shingle_set(text, k=5):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))}
+
+
+def test_similar_documents_are_what_they_say(spark, docs, corpus, words):
+    import random
+
+    rng, rows = random.Random(12), []
+    for k in range(60):  # families: an original and copies with a few words changed
+        base = [rng.choice(words) + str(rng.randrange(40)) for _ in range(rng.randint(60, 250))]
+        rows.append((1000 + 10 * k, " ".join(base)))
+        for c in range(1, 4):
+            w = list(base)
+            for _ in range(max(1, len(w) // 60)):
+                w[rng.randrange(len(w))] = "changed"
+            rows.append((1000 + 10 * k + c, " ".join(w)))
+    texts = {k: t for k, t, *_ in corpus if k is not None} | dict(rows)
+    sets = {k: shingle_set(t) for k, t in texts.items()}
+    near = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    every = docs.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r["doc_id"]: r["component_id"] for r in similar_documents(every).collect()}
+    root = groups(sorted(texts), near)
+    assert all(root[k] == root[got[k]] for k in texts)  # nothing is grouped that isn't linked
+    linked = [k for k in texts if root[k] != k]
+    assert len(linked) > 150 and sum(got[k] != k for k in linked) >= 0.97 * len(linked)
+    assert {got[k] for k in range(240, 280)} <= set(range(5)) and got[None] is None
+    assert len({got[k] for k in (320, 321, 322)}) == 1
+
+
 def test_one_document_of_each_group_stays(docs, corpus):
     names = docs.columns
-    kept = drop_near_duplicates(docs)
-    assert kept.columns == names
-    ids = [r["doc_id"] for r in kept.collect()]
-    components = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs).collect() if r["doc_id"] is not None}
-    assert sorted(i for i in ids if i is not None) == sorted(set(components.values()))
-    assert ids.count(None) == 2
+    for find in (near_duplicates, similar_documents):
+        kept = drop_near_duplicates(docs, find=find)
+        assert kept.columns == names
+        ids = [r["doc_id"] for r in kept.collect()]
+        components = {r["doc_id"]: r["component_id"] for r in find(docs).collect() if r["doc_id"] is not None}
+        assert sorted(i for i in ids if i is not None) == sorted(set(components.values()))
+        assert ids.count(None) == 2
 
 
 def test_empty_and_clashing_columns(spark, no_docs):
     assert near_duplicates(no_docs).count() == 0
-    assert drop_near_duplicates(no_docs).count() == 0
+    assert drop_near_duplicates(no_docs).count() == similar_documents(no_docs).count() == 0
     odd = spark.createDataFrame([(1, "a b c d e", 3, 4), (2, "a b c d e", 5, 6)], "doc_id long, text string, fp long, component_id long")
     assert {r["component_id"] for r in near_duplicates(odd).collect()} == {1}
     assert [tuple(r) for r in drop_near_duplicates(odd).collect()] == [(1, "a b c d e", 3, 4)]

@@ -9,7 +9,7 @@ once to a bucket with all of its variants there, which the receiving task expand
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -81,9 +81,10 @@ class Balls:
             out |= (np.bitwise_count(x & w).astype(np.int64) & 1) << k
         return out
 
-    def links(self, pairs: np.ndarray, bucket: int, radius: int) -> np.ndarray:
+    def links(self, pairs: np.ndarray, bucket: int, radius: int, central: bool = False) -> np.ndarray:
         """Links (smaller rep, other rep) between fingerprints that share a variant of this bucket: for each variant
-        from its smallest rep to the others, which is enough to connect them."""
+        from its smallest rep to the others, which is enough to connect them. central: also from the one nearest to the
+        variant, so that what links to the middle of a group is found where its smallest rep lies at the rim."""
         pairs = pairs[np.argsort(pairs["rep"])]
         fps, reps, home = pairs["fp"].copy(), pairs["rep"].copy(), self.place(pairs["fp"])
         found = [np.zeros((0, 2), np.int64)]
@@ -95,21 +96,27 @@ class Balls:
             which = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[at], n)
             variants = fps[who] ^ self.masks[which]
             order = np.argsort(variants)
-            variants, who = variants[order], who[order]
+            variants, who, which = variants[order], who[order], which[order]
             new = np.ones(len(variants) + 1, bool)
             new[1:-1] = variants[1:] != variants[:-1]
             shared = ~(new[:-1] & new[1:])
             who, starts = who[shared], np.nonzero(new[:-1][shared])[0]
             if not len(who):
                 continue
-            head = np.repeat(np.minimum.reduceat(who, starts), np.diff(np.append(starts, len(who))))
-            keep = (head != who) & (np.bitwise_count(fps[head] ^ fps[who]) <= radius)
-            links = np.unique(head[keep] * len(fps) + who[keep])
-            found.append(np.stack([reps[links // len(fps)], reps[links % len(fps)]], axis=1))
+            sizes = np.diff(np.append(starts, len(who)))
+            heads = [np.minimum.reduceat(who, starts)]
+            if central:
+                off = np.bitwise_count(self.masks[which[shared]]).astype(np.int64)
+                heads.append(np.minimum.reduceat(off * len(fps) + who, starts) % len(fps))
+            for h in heads:
+                head = np.repeat(h, sizes)
+                keep = (head != who) & (np.bitwise_count(fps[head] ^ fps[who]) <= radius)
+                links = np.unique(np.minimum(head, who)[keep] * len(fps) + np.maximum(head, who)[keep])
+                found.append(np.stack([reps[links // len(fps)], reps[links % len(fps)]], axis=1))
         return np.unique(np.concatenate(found), axis=0)
 
 
-def near_links(distinct: DataFrame, n: int, radius: int = 4) -> DataFrame:
+def near_links(distinct: DataFrame, n: int, radius: int = 4, central: bool = False) -> DataFrame:
     """Links (a, b) between the reps of distinct fingerprints (fp, rep), n of them, that connect all within the radius."""
     masks = sum(1 for k in range(radius // 2 + 1) for _ in combinations(range(64), k))
     buckets = pow2_at_least(max(8, n * masks / TASK_VARIANTS))
@@ -132,7 +139,7 @@ def near_links(distinct: DataFrame, n: int, radius: int = 4) -> DataFrame:
 
     def meet(group: pa.Table) -> pa.Table:
         pairs = np.frombuffer(b"".join(group["pairs"].to_pylist()), PAIR)
-        links = Balls(radius, bits, sub_bits).links(pairs, group["bucket"][0].as_py(), radius)
+        links = Balls(radius, bits, sub_bits).links(pairs, group["bucket"][0].as_py(), radius, central)
         return pa.table({"a": links[:, 0], "b": links[:, 1]})
 
     sent = distinct.select("fp", "rep").mapInArrow(send, "bucket int, pairs binary")
@@ -156,10 +163,92 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """docs without all but the smallest id of each group, and without repeats of an id. Texts are shuffled only where the
-    list of dropped ids is too large for Spark to broadcast. Rows with a null id stay."""
-    found = materialize(near_duplicates(docs, id_col=id_col, **options).select(F.col(id_col).alias("_id"), "component_id"), "simhash-found")
+#: Odd multipliers that make several independent hashes of one hash of a word: fixed at random.
+MIXERS = np.random.default_rng(23).integers(0, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def word_fingerprints(words: list[bytes], tables: int) -> list[int]:
+    """As many independent fingerprints of the distinct words; a few changed words move few bits, whatever their order."""
+    from xxhash import xxh64_intdigest
+
+    if not words:
+        return [0] * tables
+    h = np.fromiter((xxh64_intdigest(w, SEED) for w in set(words)), np.uint64)
+    out = []
+    for m in MIXERS[:tables]:
+        x = h * m
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(29)
+        counts = np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(counts * 2 > len(h), bitorder="little").view(np.int64)[0]))
+    return out
+
+
+def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
+    """The distinct hashes of the word shingles (fewer words: the whole sequence)."""
+    from xxhash import xxh64_intdigest
+
+    n = max(1, len(words) - shingle + 1)
+    return np.unique(np.fromiter((xxh64_intdigest(b" ".join(words[i : i + shingle]), SEED) for i in range(n)), np.uint64, n)).view(np.int64)
+
+
+def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 4, tables: int = 4) -> DataFrame:
+    """One row per input row: id, component_id (smallest id reachable). Documents link if the Jaccard similarity of their
+    word shingles is at least `similarity`.
+
+    Candidates collide by ball hashing, in any of several fingerprints of their distinct words, and each colliding pair is
+    verified on the shingles of the whole texts. Texts with the same words are collapsed first. Null text counts as empty;
+    texts without words are copies of one another. Rows with a null id: component null. Empty table: empty result.
+    """
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh128_hexdigest
+
+        for batch in batches:
+            rows = [(t or "").encode().lower().split() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([xxh128_hexdigest(b" ".join(w), SEED) for w in rows], pa.string()), pa.array([word_fingerprints(w, tables) for w in rows], pa.list_(pa.int64()))], ["id", "words", "fps"])
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_hashes((t or "").encode().lower().split(), shingle) for t in part.column(1).to_pylist()], pa.list_(pa.int64()))], ["id", "s"])
+
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    known = materialize(src.mapInArrow(prints, "id long, words string, fps array<long>"), "similar-prints")
+    distinct = materialize(known.where("id IS NOT NULL").groupBy("words").agg(F.min("id").alias("rep"), F.first("fps").alias("fps")), "similar-distinct")
+    found = None
+    for k in range(tables):
+        own = distinct.select(F.col("fps")[k].alias("fp"), "rep")
+        firsts = materialize(own.groupBy("fp").agg(F.min("rep").alias("rep"), F.count(F.lit(1)).alias("n")), "similar-fps")
+        same = own.join(firsts.where("n > 1").select("fp", F.col("rep").alias("a")), "fp").where("rep != a").select("a", F.col("rep").alias("b"))
+        links = near_links(firsts.select("fp", "rep"), firsts.count(), radius, central=True).unionByName(same)
+        found = links if found is None else found.unionByName(links)
+    pairs = materialize(found.distinct(), "similar-pairs")
+    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct(), "similar-wanted")
+    # An id on several rows: the words of its smallest row stand for it, as in `distinct`.
+    texts = src.join(wanted, F.col("id") == F.col("_id"), "left_semi").groupBy("id").agg(F.min("text").alias("text")) if _repeats(known) else src.join(wanted, F.col("id") == F.col("_id"), "left_semi")
+    sets = materialize(texts.mapInArrow(shingles, "id long, s array<long>"), "similar-shingles")
+    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
+    both = left.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    links = materialize(both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b"), "similar-links")
+    parts = connected_components(links)
+    by_words = distinct.join(parts, F.col("rep") == F.col("node"), "left").select(F.col("words").alias("_w"), F.coalesce("component", "rep").alias("component_id"))
+    out = known.join(materialize(by_words, "similar-known"), (F.col("words") == F.col("_w")) & F.col("id").isNotNull(), "left")
+    return out.select(F.col("id").alias(id_col), "component_id")
+
+
+def _repeats(known: DataFrame) -> bool:
+    return not known.where("id IS NOT NULL").groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+
+
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", find: Callable[..., DataFrame] = similar_documents, **options) -> DataFrame:
+    """docs without all but the smallest id of each group that `find` gives (similar_documents or near_duplicates), and
+    without repeats of an id. Texts are shuffled only where the list of dropped ids is too large for Spark to broadcast.
+    Rows with a null id stay."""
+    found = materialize(find(docs, id_col=id_col, **options).select(F.col(id_col).alias("_id"), "component_id"), "simhash-found")
     again = found.where("_id = component_id").groupBy("_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_id")
     again = materialize(again, "simhash-again")
     gone = materialize(found.where("_id != component_id").select("_id").distinct(), "simhash-gone")
