@@ -22,7 +22,7 @@ from .components import connected_components
 
 SEED = 42
 #: Variants that one task, and one block within it, expands.
-TASK_VARIANTS, BLOCK_VARIANTS = 16_000_000, 1_000_000
+TASK_VARIANTS, BLOCK_VARIANTS = 64_000_000, 1_000_000
 PAIR = np.dtype([("fp", "<u8"), ("rep", "<i8")])
 
 
@@ -206,8 +206,10 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         from xxhash import xxh128_hexdigest
 
         for batch in batches:
-            rows = [(t or "").encode().lower().split() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([xxh128_hexdigest(b" ".join(w), SEED) for w in rows], pa.string()), pa.array([word_fingerprints(w, tables) for w in rows], pa.list_(pa.int64()))], ["id", "words", "fps"])
+            for k in range(0, batch.num_rows, 256):  # the words of few documents at a time are held
+                part = batch.slice(k, 256)
+                rows = [(t or "").encode().lower().split() for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([xxh128_hexdigest(b" ".join(w), SEED) for w in rows], pa.string()), pa.array([word_fingerprints(w, tables) for w in rows], pa.list_(pa.int64()))], ["id", "words", "fps"])
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
