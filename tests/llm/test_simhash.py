@@ -107,6 +107,29 @@ def test_similar_documents_are_what_they_say(spark, docs, corpus, words):
     assert len({got[k] for k in (320, 321, 322)}) == 1
 
 
+def test_similar_documents_finds_block_edits(spark):
+    """Blocks put in or cut off, at 0.80 to 0.85: every pair is found, and its words may be new or the text's own."""
+    import random
+
+    rng, rows, pairs = random.Random(31), [], []
+    for size in (40, 100, 300):
+        for k in range(12):
+            base = [f"w{rng.randrange(3000)}" for _ in range(size)]
+            for n in range(1, size):
+                block = [f"new{k}-{i}" if k % 2 else rng.choice(base) for i in range(n)]
+                other = base[:-n] if k % 3 == 0 else base + block if k % 3 == 1 or size < 100 else base[: size // 2] + block + base[size // 2 :]
+                a, b = shingle_set(" ".join(base)), shingle_set(" ".join(other))
+                if not 0.8 <= len(a & b) / len(a | b):
+                    break
+                best = other
+            a, b = shingle_set(" ".join(base)), shingle_set(" ".join(best))
+            assert 0.8 <= len(a & b) / len(a | b) <= 0.85
+            pairs.append((len(rows), len(rows) + 1))
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(best))]
+    got = {r["doc_id"]: r["component_id"] for r in similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: a for a, b in pairs for k in (a, b)}
+
+
 def test_one_document_of_each_group_stays(docs, corpus):
     names = docs.columns
     for find in (near_duplicates, similar_documents):

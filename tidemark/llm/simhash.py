@@ -81,10 +81,9 @@ class Balls:
             out |= (np.bitwise_count(x & w).astype(np.int64) & 1) << k
         return out
 
-    def links(self, pairs: np.ndarray, bucket: int, radius: int, central: bool = False) -> np.ndarray:
+    def links(self, pairs: np.ndarray, bucket: int, radius: int) -> np.ndarray:
         """Links (smaller rep, other rep) between fingerprints that share a variant of this bucket: for each variant
-        from its smallest rep to the others, which is enough to connect them. central: also from the one nearest to the
-        variant, so that what links to the middle of a group is found where its smallest rep lies at the rim."""
+        from its smallest rep to the others, which is enough to connect them."""
         pairs = pairs[np.argsort(pairs["rep"])]
         fps, reps, home = pairs["fp"].copy(), pairs["rep"].copy(), self.place(pairs["fp"])
         found = [np.zeros((0, 2), np.int64)]
@@ -96,7 +95,7 @@ class Balls:
             which = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[at], n)
             variants = fps[who] ^ self.masks[which]
             order = np.argsort(variants)
-            variants, who, which = variants[order], who[order], which[order]
+            variants, who = variants[order], who[order]
             new = np.ones(len(variants) + 1, bool)
             new[1:-1] = variants[1:] != variants[:-1]
             shared = ~(new[:-1] & new[1:])
@@ -104,19 +103,14 @@ class Balls:
             if not len(who):
                 continue
             sizes = np.diff(np.append(starts, len(who)))
-            heads = [np.minimum.reduceat(who, starts)]
-            if central:
-                off = np.bitwise_count(self.masks[which[shared]]).astype(np.int64)
-                heads.append(np.minimum.reduceat(off * len(fps) + who, starts) % len(fps))
-            for h in heads:
-                head = np.repeat(h, sizes)
-                keep = (head != who) & (np.bitwise_count(fps[head] ^ fps[who]) <= radius)
-                links = np.unique(np.minimum(head, who)[keep] * len(fps) + np.maximum(head, who)[keep])
-                found.append(np.stack([reps[links // len(fps)], reps[links % len(fps)]], axis=1))
+            head = np.repeat(np.minimum.reduceat(who, starts), sizes)
+            keep = (head != who) & (np.bitwise_count(fps[head] ^ fps[who]) <= radius)
+            links = np.unique(head[keep] * len(fps) + who[keep])
+            found.append(np.stack([reps[links // len(fps)], reps[links % len(fps)]], axis=1))
         return np.unique(np.concatenate(found), axis=0)
 
 
-def near_links(distinct: DataFrame, n: int, radius: int = 4, central: bool = False) -> DataFrame:
+def near_links(distinct: DataFrame, n: int, radius: int = 4) -> DataFrame:
     """Links (a, b) between the reps of distinct fingerprints (fp, rep), n of them, that connect all within the radius."""
     masks = sum(1 for k in range(radius // 2 + 1) for _ in combinations(range(64), k))
     buckets = pow2_at_least(max(8, n * masks / TASK_VARIANTS))
@@ -139,7 +133,7 @@ def near_links(distinct: DataFrame, n: int, radius: int = 4, central: bool = Fal
 
     def meet(group: pa.Table) -> pa.Table:
         pairs = np.frombuffer(b"".join(group["pairs"].to_pylist()), PAIR)
-        links = Balls(radius, bits, sub_bits).links(pairs, group["bucket"][0].as_py(), radius, central)
+        links = Balls(radius, bits, sub_bits).links(pairs, group["bucket"][0].as_py(), radius)
         return pa.table({"a": links[:, 0], "b": links[:, 1]})
 
     sent = distinct.select("fp", "rep").mapInArrow(send, "bucket int, pairs binary")
@@ -163,87 +157,166 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Odd multipliers that make several independent hashes of one hash of a word: fixed at random.
-MIXERS = np.random.default_rng(23).integers(0, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Sampled documents for the order of shingles, shared shingles that are ordered at most, and rows of one bucket of prefixes.
+ORDER_DOCS, ORDER_SHINGLES, BUCKET_ROWS = 10_000, 500_000, 500_000
+PREFIX = np.dtype([("h", "<i8"), ("node", "<i8"), ("size", "<i4"), ("pos", "<i4")])
 
 
-def word_fingerprints(words: list[bytes], tables: int) -> list[int]:
-    """As many independent fingerprints of the distinct words; a few changed words move few bits, whatever their order."""
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode().lower().split()
+
+
+def node_of(words: list[bytes]) -> int:
+    """One key for all texts with the same words in the same order."""
     from xxhash import xxh64_intdigest
 
-    if not words:
-        return [0] * tables
-    h = np.fromiter((xxh64_intdigest(w, SEED) for w in set(words)), np.uint64)
-    out = []
-    for m in MIXERS[:tables]:
-        x = h * m
-        x ^= x >> np.uint64(32)
-        x *= np.uint64(0x9E3779B97F4A7C15)
-        x ^= x >> np.uint64(29)
-        counts = np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out.append(int(np.packbits(counts * 2 > len(h), bitorder="little").view(np.int64)[0]))
-    return out
+    h = xxh64_intdigest(b" ".join(words), SEED)
+    return h - (1 << 64) if h >> 63 else h
 
 
 def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
-    """The distinct hashes of the word shingles (fewer words: the whole sequence)."""
+    """The distinct hashes of the word shingles (fewer words: the whole sequence), mixed from the words' hashes."""
     from xxhash import xxh64_intdigest
 
-    n = max(1, len(words) - shingle + 1)
-    return np.unique(np.fromiter((xxh64_intdigest(b" ".join(words[i : i + shingle]), SEED) for i in range(n)), np.uint64, n)).view(np.int64)
+    w = np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
+    n, k = max(1, len(words) - shingle + 1), min(shingle, len(words))
+    out = np.full(n, k + 1, np.uint64)
+    for i in range(k):
+        out = (out ^ w[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return np.unique(out).view(np.int64)
+
+
+def in_order(s: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Shingles from rare to common, by their counts in the sample and then by hash: one order for all documents."""
+    at = np.minimum(np.searchsorted(common, s), max(0, len(common) - 1))
+    return s[np.lexsort((s, np.where(common[at] == s, counts[at], 0)))] if len(common) else s
 
 
-def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 4, tables: int = 4) -> DataFrame:
+def shared_prefixes(src: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(h, node, size, pos): shingles that lie in the prefixes of several texts, rows of src (id, text).
+
+    Sets with a Jaccard similarity of at least t share one of the first n - ceil(t n) + 1 of their n shingles, in any order
+    that all sets keep to. The order is a matter of cost only: what is common in a sample comes last.
+    """
+    n, chars = src.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    every = max(1, n // ORDER_DOCS)
+
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_hashes(words_of(t), shingle))], ["h"])
+
+    picked = src.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select("text").distinct().mapInArrow(sampled, "h long")
+    top = picked.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(ORDER_SHINGLES).toPandas().sort_values("h")
+    held = src.sparkSession.sparkContext.broadcast((top["h"].to_numpy(np.int64), top["n"].to_numpy(np.int64)))
+    bits = pow2_at_least(max(64, chars / 5 * (1 - similarity) / BUCKET_ROWS)).bit_length() - 1
+
+    def packed(rows: list[np.ndarray]) -> pa.RecordBatch:
+        own = np.concatenate(rows)
+        to = (own["h"].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
+        order = np.argsort(to, kind="stable")
+        to, own = to[order], own[order]
+        at = np.nonzero(np.append(True, to[1:] != to[:-1]))[0]
+        return pa.RecordBatch.from_arrays([pa.array(to[at].astype(np.int32)), pa.array([x.tobytes() for x in np.split(own, at[1:])], pa.binary())], ["bucket", "rows"])
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held_rows = [], 0
+        for batch in batches:
+            for k in range(0, batch.num_rows, 64):
+                for t in batch.column(0).slice(k, 64).to_pylist():
+                    words = words_of(t)
+                    s = in_order(shingle_hashes(words, shingle), *held.value)
+                    own = np.empty(len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1, PREFIX)
+                    own["h"], own["node"], own["size"], own["pos"] = s[: len(own)], node_of(words), len(s), np.arange(len(own))
+                    rows.append(own)
+                    held_rows += len(own)
+                if held_rows > 200_000:
+                    yield packed(rows)
+                    rows, held_rows = [], 0
+        if rows:
+            yield packed(rows)
+
+    def meet(group: pa.Table) -> pa.Table:
+        own = np.unique(np.frombuffer(b"".join(group["rows"].to_pylist()), PREFIX))  # copies fall together
+        new = np.ones(len(own) + 1, bool)
+        new[1:-1] = own["h"][1:] != own["h"][:-1]
+        own = own[~(new[:-1] & new[1:])]
+        return pa.table({k: np.ascontiguousarray(own[k]) for k in PREFIX.names})
+
+    return src.select("text").mapInArrow(send, "bucket int, rows binary").groupBy("bucket").applyInArrow(meet, "h long, node long, size int, pos int")
+
+
+def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row per input row: id, component_id (smallest id reachable). Documents link if the Jaccard similarity of their
     word shingles is at least `similarity`.
 
-    Candidates collide by ball hashing, in any of several fingerprints of their distinct words, and each colliding pair is
-    verified on the shingles of the whole texts. Texts with the same words are collapsed first. Null text counts as empty;
-    texts without words are copies of one another. Rows with a null id: component null. Empty table: empty result.
+    All such pairs are candidates (shared_prefixes), whatever was edited. Texts with the same words are one node. Candidates
+    that are linked already over others need no check; all others are verified on the shingles of the whole texts. Null
+    text counts as empty; texts without words are copies of one another. Rows with a null id: component null. Empty table:
+    empty result.
     """
 
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh128_hexdigest
-
+    def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):  # the words of few documents at a time are held
-                part = batch.slice(k, 256)
-                rows = [(t or "").encode().lower().split() for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([xxh128_hexdigest(b" ".join(w), SEED) for w in rows], pa.string()), pa.array([word_fingerprints(w, tables) for w in rows], pa.list_(pa.int64()))], ["id", "words", "fps"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([node_of(words_of(t)) for t in batch.column(1).to_pylist()], pa.int64())], ["id", "node"])
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_hashes((t or "").encode().lower().split(), shingle) for t in part.column(1).to_pylist()], pa.list_(pa.int64()))], ["id", "s"])
+            for k in range(0, batch.num_rows, 256):  # the words of few documents at a time are held
+                rows = [words_of(t) for t in batch.column(0).slice(k, 256).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([node_of(w) for w in rows], pa.int64()), pa.array([shingle_hashes(w, shingle) for w in rows], pa.list_(pa.int64()))], ["_node", "s"])
 
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    known = materialize(src.mapInArrow(prints, "id long, words string, fps array<long>"), "similar-prints")
-    distinct = materialize(known.where("id IS NOT NULL").groupBy("words").agg(F.min("id").alias("rep"), F.first("fps").alias("fps")), "similar-distinct")
-    found = None
-    for k in range(tables):
-        own = distinct.select(F.col("fps")[k].alias("fp"), "rep")
-        firsts = materialize(own.groupBy("fp").agg(F.min("rep").alias("rep"), F.count(F.lit(1)).alias("n")), "similar-fps")
-        same = own.join(firsts.where("n > 1").select("fp", F.col("rep").alias("a")), "fp").where("rep != a").select("a", F.col("rep").alias("b"))
-        links = near_links(firsts.select("fp", "rep"), firsts.count(), radius, central=True).unionByName(same)
-        found = links if found is None else found.unionByName(links)
-    pairs = materialize(found.distinct(), "similar-pairs")
-    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct(), "similar-wanted")
-    # An id on several rows: the words of its smallest row stand for it, as in `distinct`.
-    texts = src.join(wanted, F.col("id") == F.col("_id"), "left_semi").groupBy("id").agg(F.min("text").alias("text")) if _repeats(known) else src.join(wanted, F.col("id") == F.col("_id"), "left_semi")
-    sets = materialize(texts.mapInArrow(shingles, "id long, s array<long>"), "similar-shingles")
-    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
-    both = left.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    links = materialize(both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b"), "similar-links")
-    parts = connected_components(links)
-    by_words = distinct.join(parts, F.col("rep") == F.col("node"), "left").select(F.col("words").alias("_w"), F.coalesce("component", "rep").alias("component_id"))
-    out = known.join(materialize(by_words, "similar-known"), (F.col("words") == F.col("_w")) & F.col("id").isNotNull(), "left")
-    return out.select(F.col("id").alias(id_col), "component_id")
-
-
-def _repeats(known: DataFrame) -> bool:
-    return not known.where("id IS NOT NULL").groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    known = materialize(src.mapInArrow(nodes, "id long, node long"), "similar-nodes")
+    src = src.where("id IS NOT NULL")
+    shared = materialize(shared_prefixes(src, shingle, similarity), "similar-shared")
+    wanted = materialize(shared.select("node").distinct(), "similar-wanted")
+    sets = src.select("text").mapInArrow(shingles, "_node long, s array<long>").join(wanted, F.col("_node") == F.col("node"), "left_semi")
+    sets = materialize(sets.groupBy("_node").agg(F.first("s").alias("s")), "similar-shingles")
+
+    def possible(a: str, b: str):
+        """Whether two rows of one shingle can belong to sets that are similar enough, if it is the first that they share."""
+        x, y = F.col(f"{a}.size"), F.col(f"{b}.size")
+        rest = F.least(x - F.col(f"{a}.pos"), y - F.col(f"{b}.pos"))
+        return (F.least(x, y) >= similarity * F.greatest(x, y) - 1e-9) & (rest >= similarity / (1 + similarity) * (x + y) - 1e-9)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = materialize(pairs.distinct(), "similar-pairs")
+        left = pairs.join(sets.select(F.col("_node").alias("a"), F.col("s").alias("sa")), "a")
+        both = left.join(sets.select(F.col("_node").alias("b"), F.col("s").alias("sb")), "b")
+        common = F.size(F.array_intersect("sa", "sb"))
+        return materialize(both.where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b"), "similar-links")
+
+    links, parts, turn, before = None, known.sparkSession.createDataFrame([], "part long, c long"), 0, 0
+    while True:
+        rows = shared.join(parts, F.col("node") == F.col("part"), "left").select("h", "node", "size", "pos", F.coalesce("c", "node").alias("c"))
+        # Shingles of one component only are done with.
+        per = rows.groupBy("h", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("h").agg(F.sum("m").alias("m"), ((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2).alias("p"))
+        per = materialize(per.where("p > 0"), "similar-open")
+        left, most = per.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum("p"), F.lit(0))).first()
+        if not left:
+            break
+        rows = materialize(rows.join(per, "h", "left_semi"), "similar-rows")
+        last = most <= 4 * left or (turn > 1 and before < left / 100)
+        if last:
+            # All that is left: each pair of members of different components.
+            pairs = rows.alias("x").join(rows.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.c") != F.col("y.c")) & possible("x", "y"))
+            pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+        else:
+            # Large groups fall together by one head of each shingle, another in each turn.
+            order = F.col("node") if turn == 0 else F.xxhash64("node", "h", F.lit(turn))
+            heads = materialize(rows.groupBy("h").agg(F.min_by(F.struct("node", "size", "pos", "c"), order).alias("y")), "similar-heads")
+            pairs = rows.alias("x").join(heads, "h").where((F.col("y.c") != F.col("x.c")) & possible("x", "y"))
+            pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+        new = verified(pairs)
+        links, turn, before = new if links is None else links.unionByName(new), turn + 1, new.count()
+        parts = materialize(connected_components(links).select(F.col("node").alias("part"), F.col("component").alias("c")), "similar-parts")
+        if last:
+            break
+    joined = known.join(parts, F.col("node") == F.col("part"), "left").select("id", F.coalesce("c", "node").alias("c"))
+    least = materialize(joined.where("id IS NOT NULL").groupBy("c").agg(F.min("id").alias("component_id")).withColumnRenamed("c", "_c"), "similar-known")
+    return joined.join(least, (F.col("c") == F.col("_c")) & F.col("id").isNotNull(), "left").select(F.col("id").alias(id_col), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", find: Callable[..., DataFrame] = similar_documents, **options) -> DataFrame:
