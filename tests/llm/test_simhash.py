@@ -130,6 +130,38 @@ def test_similar_documents_finds_block_edits(spark):
     assert got == {k: a for a, b in pairs for k in (a, b)}
 
 
+def test_similar_documents_looks_past_a_failed_head(spark):
+    """Text 1 has the words of 2 in another order and links to neither 2 nor 3, which link to each other; a chain links over its middle only."""
+    import random
+
+    rng = random.Random(32)
+    base = [f"w{k % 120}" for k in rng.sample(range(500), 500)]
+    other, swapped = rng.sample(base, 500), list(base)
+    swapped[100], swapped[101] = swapped[101], swapped[100]
+    chain = [[f"c{k}" for k in range(20 * n, 20 * n + 220)] for n in range(4)]
+    rows = dict(enumerate(" ".join(w) for w in (other, base, swapped, *chain)))
+    got = {r["doc_id"]: r["component_id"] for r in similar_documents(spark.createDataFrame(list(rows.items()), "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 1, 2: 1, 3: 3, 4: 3, 5: 3, 6: 3}
+
+
+def test_similar_documents_of_one_crowded_shingle(spark):
+    """Many families that share a long passage: heads alone can't link them, and none is left out or linked by the passage."""
+    import random
+
+    rng, rows = random.Random(33), {}
+    passage = [f"p{k}" for k in range(60)]
+    for k in range(40):
+        own = [f"f{k}-{i}" for i in range(20 + k % 5)]
+        for c in range(5):
+            w = passage + own
+            w[rng.randrange(60)] = f"e{k}-{c}"
+            rows[10 * k + c] = " ".join(w)
+    sets = {k: shingle_set(t) for k, t in rows.items()}
+    root = groups(sorted(rows), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    got = {r["doc_id"]: r["component_id"] for r in similar_documents(spark.createDataFrame(list(rows.items()), "doc_id long, text string")).collect()}
+    assert got == root and len(set(root.values())) > 20
+
+
 def test_one_document_of_each_group_stays(docs, corpus):
     names = docs.columns
     for find in (near_duplicates, similar_documents):
