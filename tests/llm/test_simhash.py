@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from tidemark.llm import simhash as simhash_module
 from tidemark.llm.components import connected_components
-from tidemark.llm.simhash import Balls, drop_near_duplicates, near_duplicates, near_links, similar_documents, simhash
+from tidemark.llm.simhash import Balls, bucket_plan, drop_near_duplicates, near_duplicates, near_links, similar_documents, simhash
 
 
 def plain_fingerprint(text):
@@ -54,18 +55,36 @@ def test_matches_brute_force(docs, corpus):
 
 def test_links_reach_every_distance_up_to_the_radius(spark):
     rng = np.random.default_rng(1)
-    rows, truth, base = [], {}, 0
+    rows, truth = [], {}
     for d in range(1, 8):
         for _ in range(20):
             x = int(rng.integers(0, 2**63))
-            flips = rng.choice(63, d, replace=False)
-            y = x ^ sum(1 << int(b) for b in flips)
-            rows += [(x, base), (y, base + 1)]
-            truth[(base, base + 1)] = d
-            base += 2
-    links = near_links(spark.createDataFrame(rows, "fp long, rep long"), len(rows)).distinct().collect()
-    found = {(r["a"], r["b"]) for r in links}
-    assert {p for p, d in truth.items() if d <= 4} == {p for p in found if p in truth}
+            y = x ^ sum(1 << int(b) for b in rng.choice(63, d, replace=False))
+            rows += [(x,), (y,)]
+            truth[min(x, y), max(x, y)] = d
+    for radius in (2, 4):
+        links = near_links(spark.createDataFrame(rows, "fp long"), len(rows), radius).distinct().collect()
+        found = {(r["a"], r["b"]) for r in links}
+        assert {p for p, d in truth.items() if d <= radius} == {p for p in found if p in truth}
+
+
+def test_bucket_plan_is_bounded_at_any_size():
+    for radius, masks in ((2, 65), (4, 2081)):
+        for n in (0, 1, 10**5, 10**7, 10**8, 10**9):
+            bits, sub_bits = bucket_plan(n, radius)
+            balls = Balls(radius, bits, 0)
+            assert n * len(balls.steps) / 2**bits <= 4_000_000 and n * masks / 2**bits <= 64_000_000
+            assert n * masks / 2 ** (bits + sub_bits) <= 1_000_000
+    assert len(Balls(4, bucket_plan(10**9, 4)[0], 0).steps) < 150  # copies of a fingerprint that are sent
+
+
+def test_crowded_blocks_give_the_same_links(monkeypatch):
+    """A block of very many variants is taken in parts by their hash."""
+    rng = np.random.default_rng(3)
+    fps = np.unique(rng.integers(0, 2**64, 300, dtype=np.uint64)[:, None] ^ np.array([0, 1, 6, 1 << 40], dtype=np.uint64)).ravel()
+    whole = Balls(4, 1, 0).links(fps, 0, 4)
+    monkeypatch.setattr(simhash_module, "BLOCK_VARIANTS", 5000)
+    assert len(whole) >= 300 and (Balls(4, 1, 0).links(fps, 0, 4) == whole).all()
 
 
 def test_buckets_are_linear():
@@ -163,22 +182,36 @@ def test_similar_documents_of_one_crowded_shingle(spark):
 
 
 def test_one_document_of_each_group_stays(docs, corpus):
-    names = docs.columns
-    for find in (near_duplicates, similar_documents):
-        kept = drop_near_duplicates(docs, find=find)
-        assert kept.columns == names
-        ids = [r["doc_id"] for r in kept.collect()]
-        components = {r["doc_id"]: r["component_id"] for r in find(docs).collect() if r["doc_id"] is not None}
-        assert sorted(i for i in ids if i is not None) == sorted(set(components.values()))
-        assert ids.count(None) == 2
+    kept = drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    ids = [r["doc_id"] for r in kept.collect()]
+    components = {r["doc_id"]: r["component_id"] for r in similar_documents(docs).collect() if r["doc_id"] is not None}
+    assert sorted(i for i in ids if i is not None) == sorted(set(components.values()))
+    assert ids.count(None) == 2
+
+
+def test_texts_of_one_id_are_told_apart(spark):
+    a, b, c = ("a b c d e f g h", "i j k l m n o p", "q r s t u v w x")
+    rows = [(1, a), (1, b), (2, b), (3, c), (3, c), (None, a), (4, None), (4, "")]
+    kept = drop_near_duplicates(spark.createDataFrame(rows, "_id long, text string"), id_col="_id").collect()
+    kept = [tuple(r) for r in kept]
+    assert sorted((k, t) for k, t in kept if k in (1, 2, 3)) == [(1, a), (1, b), (3, c)]
+    assert kept.count((None, a)) == 1 and len([k for k, _ in kept if k == 4]) == 1
+
+
+def test_long_and_short_texts(spark):
+    long = " ".join(f"w{k % 9973}" for k in range(300_000))
+    rows = [(1, long), (2, long + " more"), (3, "one two"), (4, "One TWO"), (5, "one two three")]
+    got = {r["doc_id"]: r["component_id"] for r in similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
 
 
 def test_empty_and_clashing_columns(spark, no_docs):
     assert near_duplicates(no_docs).count() == 0
     assert drop_near_duplicates(no_docs).count() == similar_documents(no_docs).count() == 0
-    odd = spark.createDataFrame([(1, "a b c d e", 3, 4), (2, "a b c d e", 5, 6)], "doc_id long, text string, fp long, component_id long")
+    odd = spark.createDataFrame([(1, "a b c d e", 3, 4, 5, 6), (2, "a b c d e", 5, 6, 7, 8)], "doc_id long, text string, fp long, component_id long, _id long, ROW_KEY long")
     assert {r["component_id"] for r in near_duplicates(odd).collect()} == {1}
-    assert [tuple(r) for r in drop_near_duplicates(odd).collect()] == [(1, "a b c d e", 3, 4)]
+    assert [tuple(r) for r in drop_near_duplicates(odd).collect()] == [(1, "a b c d e", 3, 4, 5, 6)]
 
 
 def test_components_of_chains_and_stars(spark):

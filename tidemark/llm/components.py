@@ -20,10 +20,11 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b") ->
     """
     a, b = F.col(left), F.col(right)
     now = materialize(edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "cc-edges")
-    mark = None
     while True:
-        mark, before = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first(), mark
-        if mark == before or not mark[0]:
+        # Done when no node has two edges down, and none that has one is at the lower end of another.
+        ends = now.select(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(now.select(F.col("v").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+        ends = ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+        if not ends.where("down > 1 OR (down > 0 AND up > 0)").agg(F.count(F.lit(1))).first()[0]:
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "cc-low")

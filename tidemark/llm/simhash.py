@@ -5,25 +5,29 @@ fingerprint therefore emits all its variants within half the radius, variants me
 fingerprints share link them. Buckets of variants are the parities of the variant with fixed random words: such a hash is
 linear, so the bucket of a variant follows from the fingerprint's bucket and the flipped bits', and a fingerprint is sent
 once to a bucket with all of its variants there, which the receiving task expands, block by block.
+
+near_duplicates links whole texts by one fingerprint each. similar_documents finds texts whose shingles agree to 0.8 or
+more: one fingerprint of a whole text can differ by ten bits there, so texts have several, each of a few words around an
+anchor that the text's content chooses, searched by the same balls; the pairs that collide are then verified.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import combinations
+from math import ceil, comb, log2
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, pow2_at_least
+from .common import materialize, pow2_at_least, unused
 from .components import connected_components
 
 SEED = 42
-#: Variants that one task, and one block within it, expands.
-TASK_VARIANTS, BLOCK_VARIANTS = 64_000_000, 1_000_000
-PAIR = np.dtype([("fp", "<u8"), ("rep", "<i8")])
+#: Variants that one bucket, and one block within it, expands, and fingerprints that one bucket holds.
+TASK_VARIANTS, BLOCK_VARIANTS, BUCKET_PRINTS = 64_000_000, 1_000_000, 4_000_000
 
 
 def simhash(text: str, shingle: int = 4, seed: int = SEED) -> int:
@@ -59,7 +63,11 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 
 class Balls:
-    """The masks within half the radius, grouped by their bucket difference."""
+    """The masks within half the radius, grouped by their bucket difference.
+
+    The random words of the buckets don't overlap, so a flipped bit changes one bit of the bucket at most: a fingerprint goes
+    to few buckets (at half the radius 2 and b bits: 1 + b + b (b - 1) / 2 of 2^b), each with all its variants there.
+    """
 
     def __init__(self, radius: int, bits: int, sub_bits: int):
         if radius % 2:
@@ -67,7 +75,8 @@ class Balls:
         flips = [c for k in range(radius // 2 + 1) for c in combinations(range(64), k)]
         self.masks = np.array([sum(1 << b for b in c) for c in flips], dtype=np.uint64)
         self.bits, self.sub_bits = bits, sub_bits
-        self.words = np.random.default_rng(7).integers(0, 2**64, bits + sub_bits, dtype=np.uint64)
+        owner = np.random.default_rng(7).permutation(np.arange(64) % max(1, bits + sub_bits))
+        self.words = np.array([sum(1 << int(b) for b in np.nonzero(owner == k)[0]) for k in range(bits + sub_bits)], dtype=np.uint64)
         place = self.place(self.masks)
         order = np.argsort(place, kind="stable")
         self.masks, place = self.masks[order], place[order]
@@ -81,63 +90,84 @@ class Balls:
             out |= (np.bitwise_count(x & w).astype(np.int64) & 1) << k
         return out
 
-    def links(self, pairs: np.ndarray, bucket: int, radius: int) -> np.ndarray:
-        """Links (smaller rep, other rep) between fingerprints that share a variant of this bucket: for each variant
-        from its smallest rep to the others, which is enough to connect them."""
-        pairs = pairs[np.argsort(pairs["rep"])]
-        fps, reps, home = pairs["fp"].copy(), pairs["rep"].copy(), self.place(pairs["fp"])
-        found = [np.zeros((0, 2), np.int64)]
+    def variants(self, fps: np.ndarray, home: np.ndarray, want: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(variants, whose) with that bucket and block: all that meet there, in parts by their hash if they are very many."""
+        step = home ^ want
+        at = np.minimum(np.searchsorted(self.values, step), len(self.values) - 1)
+        n = np.where(self.values[at] == step, self.count[at], 0)
+        passes = pow2_at_least(n.sum() / (4 * BLOCK_VARIANTS))
+        some = np.nonzero(n)[0]
+        cuts = np.searchsorted(np.cumsum(n[some]), np.arange(BLOCK_VARIANTS, n.sum(), BLOCK_VARIANTS)) if passes > 1 else []
+        for turn in range(passes):
+            parts = []
+            for mine in np.split(some, np.unique(cuts).astype(np.int64)):
+                m = n[mine]
+                who = np.repeat(mine, m)
+                which = np.arange(len(who)) - np.repeat(np.cumsum(m) - m, m) + np.repeat(self.first[at[mine]], m)
+                found = fps[who] ^ self.masks[which]
+                if passes > 1:
+                    here = (found * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40) & np.uint64(passes - 1) == turn
+                    found, who = found[here], who[here]
+                parts.append((found, who))
+            yield np.concatenate([x for x, _ in parts]), np.concatenate([w for _, w in parts])
+
+    def links(self, fps: np.ndarray, bucket: int, radius: int) -> np.ndarray:
+        """Links (smaller, other) between fingerprints that share a variant of this bucket: for each variant from its
+        smallest fingerprint to the others, which is enough to connect them."""
+        fps = np.unique(fps)
+        home = self.place(fps)
+        found = [np.zeros((0, 2), np.uint64)]
         for block in range(1 << self.sub_bits):
-            want = home ^ (bucket | block << self.bits)
-            at = np.minimum(np.searchsorted(self.values, want), len(self.values) - 1)
-            n = np.where(self.values[at] == want, self.count[at], 0)
-            who = np.repeat(np.arange(len(fps)), n)
-            which = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[at], n)
-            variants = fps[who] ^ self.masks[which]
-            order = np.argsort(variants)
-            variants, who = variants[order], who[order]
-            new = np.ones(len(variants) + 1, bool)
-            new[1:-1] = variants[1:] != variants[:-1]
-            shared = ~(new[:-1] & new[1:])
-            who, starts = who[shared], np.nonzero(new[:-1][shared])[0]
-            if not len(who):
-                continue
-            sizes = np.diff(np.append(starts, len(who)))
-            head = np.repeat(np.minimum.reduceat(who, starts), sizes)
-            keep = (head != who) & (np.bitwise_count(fps[head] ^ fps[who]) <= radius)
-            links = np.unique(head[keep] * len(fps) + who[keep])
-            found.append(np.stack([reps[links // len(fps)], reps[links % len(fps)]], axis=1))
+            for variants, who in self.variants(fps, home, bucket | block << self.bits):
+                order = np.argsort(variants)
+                variants, who = variants[order], who[order]
+                new = np.ones(len(variants) + 1, bool)
+                new[1:-1] = variants[1:] != variants[:-1]
+                shared = ~(new[:-1] & new[1:])
+                who, starts = who[shared], np.nonzero(new[:-1][shared])[0]
+                if not len(who):
+                    continue
+                sizes = np.diff(np.append(starts, len(who)))
+                head = np.repeat(np.minimum.reduceat(who, starts), sizes)
+                keep = (head != who) & (np.bitwise_count(fps[head] ^ fps[who]) <= radius)
+                links = np.unique(head[keep] * len(fps) + who[keep])
+                found.append(np.stack([fps[links // len(fps)], fps[links % len(fps)]], axis=1))
         return np.unique(np.concatenate(found), axis=0)
 
 
+def bucket_plan(n: int, radius: int) -> tuple[int, int]:
+    """(bits of the bucket, bits of the block in it) for n fingerprints: a bucket holds at most BUCKET_PRINTS fingerprints
+    and TASK_VARIANTS of their variants, a block about BLOCK_VARIANTS, whatever n is."""
+    flips = range(radius // 2 + 1)
+    masks = sum(comb(64, k) for k in flips)
+    bits = 3
+    while n * masks / 2**bits > TASK_VARIANTS or n * min(1.0, sum(comb(bits, k) for k in flips) / 2**bits) > BUCKET_PRINTS:
+        bits += 1
+    return bits, max(0, ceil(log2(max(1, n * masks / 2**bits / BLOCK_VARIANTS))))
+
+
 def near_links(distinct: DataFrame, n: int, radius: int = 4) -> DataFrame:
-    """Links (a, b) between the reps of distinct fingerprints (fp, rep), n of them, that connect all within the radius."""
-    masks = sum(1 for k in range(radius // 2 + 1) for _ in combinations(range(64), k))
-    buckets = pow2_at_least(max(8, n * masks / TASK_VARIANTS))
-    bits = buckets.bit_length() - 1
-    sub_bits = pow2_at_least(max(1, min(TASK_VARIANTS, n * masks / buckets) / BLOCK_VARIANTS)).bit_length() - 1
+    """Links (a, b) between distinct fingerprints (fp long), n of them, that connect all within the radius."""
+    bits, sub_bits = bucket_plan(n, radius)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         balls = Balls(radius, bits, sub_bits)
         for batch in batches:
             for k in range(0, batch.num_rows, 8192):
-                part = batch.slice(k, 8192)
-                pairs = np.empty(part.num_rows, PAIR)
-                pairs["fp"], pairs["rep"] = part.column(0).to_numpy().view(np.uint64), part.column(1).to_numpy()
-                to = ((balls.place(pairs["fp"]) & (buckets - 1))[:, None] ^ balls.steps[None, :]).ravel()
+                fps = batch.column(0).slice(k, 8192).to_numpy().view(np.uint64)
+                to = ((balls.place(fps) & ((1 << bits) - 1))[:, None] ^ balls.steps[None, :]).ravel()
                 order = np.argsort(to, kind="stable")
-                to, rows = to[order], pairs[order // len(balls.steps)]
+                to, rows = to[order], fps[order // len(balls.steps)]
                 at = np.nonzero(np.append(True, to[1:] != to[:-1]))[0]
                 blobs = [x.tobytes() for x in np.split(rows, at[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(to[at].astype(np.int32)), pa.array(blobs, pa.binary())], ["bucket", "pairs"])
+                yield pa.RecordBatch.from_arrays([pa.array(to[at].astype(np.int32)), pa.array(blobs, pa.binary())], ["bucket", "fps"])
 
     def meet(group: pa.Table) -> pa.Table:
-        pairs = np.frombuffer(b"".join(group["pairs"].to_pylist()), PAIR)
-        links = Balls(radius, bits, sub_bits).links(pairs, group["bucket"][0].as_py(), radius)
-        return pa.table({"a": links[:, 0], "b": links[:, 1]})
+        fps = np.frombuffer(b"".join(group["fps"].to_pylist()), np.uint64)
+        links = Balls(radius, bits, sub_bits).links(fps, group["bucket"][0].as_py(), radius).view(np.int64)
+        return pa.table({"a": np.ascontiguousarray(links[:, 0]), "b": np.ascontiguousarray(links[:, 1])})
 
-    sent = distinct.select("fp", "rep").mapInArrow(send, "bucket int, pairs binary")
-    return sent.groupBy("bucket").applyInArrow(meet, "a long, b long")
+    return distinct.select("fp").mapInArrow(send, "bucket int, fps binary").groupBy("bucket").applyInArrow(meet, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, seed: int = SEED) -> DataFrame:
@@ -151,15 +181,20 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     distinct = materialize(fps.where("id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("rep")), "simhash-distinct")
     links = materialize(near_links(distinct, distinct.count(), radius), "simhash-links")
     parts = materialize(connected_components(links), "simhash-parts")
-    known = distinct.join(parts, F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "rep").alias("component_id"))
+    least = distinct.join(parts, F.col("fp") == F.col("node")).groupBy("component").agg(F.min("rep").alias("component_id"))
+    least = materialize(parts.join(least, "component").select("node", "component_id"), "simhash-least")
+    known = distinct.join(least, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("_fp"), F.coalesce("component_id", "rep").alias("component_id"))
     known = materialize(known, "simhash-known")
     out = fps.join(known, (F.col("fp") == F.col("_fp")) & F.col("id").isNotNull(), "left")
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Sampled documents for the order of shingles, shared shingles that are ordered at most, and rows of one bucket of prefixes.
-ORDER_DOCS, ORDER_SHINGLES, BUCKET_ROWS = 10_000, 500_000, 500_000
-PREFIX = np.dtype([("h", "<i8"), ("node", "<i8"), ("size", "<i4"), ("pos", "<i4")])
+#: Fingerprints per text, and words on either side of an anchor, for similar documents.
+TABLES, REACH = 8, 6
+#: Members of a group up to which its open pairs are all verified, and rows of one block of pairs.
+CROWD, PAIR_ROWS = 64, 1024
+MIX = np.uint64(0x9E3779B97F4A7C15)
+SALTS = np.random.default_rng(SEED).integers(0, 2**64, TABLES, dtype=np.uint64)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -174,161 +209,204 @@ def node_of(words: list[bytes]) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
-    """The distinct hashes of the word shingles (fewer words: the whole sequence), mixed from the words' hashes."""
-    from xxhash import xxh64_intdigest
+class WordHashes(dict):
+    """Hashes of words, held while there are not too many different ones."""
+
+    def __missing__(self, word: bytes) -> int:
+        from xxhash import xxh64_intdigest
+
+        if len(self) > 500_000:
+            self.clear()
+        h = self[word] = xxh64_intdigest(word)
+        return h
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
 
-    w = np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
-    n, k = max(1, len(words) - shingle + 1), min(shingle, len(words))
+def shingles_at(w: np.ndarray, shingle: int) -> np.ndarray:
+    """A hash for each word shingle in order (fewer words: the whole sequence), mixed from the words' hashes."""
+    n, k = max(1, len(w) - shingle + 1), min(shingle, len(w))
     out = np.full(n, k + 1, np.uint64)
     for i in range(k):
-        out = (out ^ w[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out = (out ^ w[i : i + n]) * MIX
         out ^= out >> np.uint64(29)
-    return np.unique(out).view(np.int64)
+    return out
 
 
-def in_order(s: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Shingles from rare to common, by their counts in the sample and then by hash: one order for all documents."""
-    at = np.minimum(np.searchsorted(common, s), max(0, len(common) - 1))
-    return s[np.lexsort((s, np.where(common[at] == s, counts[at], 0)))] if len(common) else s
+def anchored_prints(w: np.ndarray, at: np.ndarray, shingle: int, reach: int = REACH) -> np.ndarray:
+    """A fingerprint per table, of the words around the shingle with the smallest hash of that table.
 
-
-def shared_prefixes(src: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(h, node, size, pos): shingles that lie in the prefixes of several texts, rows of src (id, text).
+    Two texts have the same anchor in a table with a chance of their Jaccard similarity, and then mostly the same words
+    around it, wherever else a block was put in, cut off or changed. Tables are told apart by a word that is put over them.
+    """
+    if len(w) < shingle:
+        return np.zeros(0, np.int64)
+    anchors = np.empty(TABLES, np.int64)
+    step = max(1, 500_000 // len(at))
+    for t in range(0, TABLES, step):
+        mixed = (at[None, :] ^ SALTS[t : t + step, None]) * MIX
+        anchors[t : t + step] = (mixed ^ (mixed >> np.uint64(32))).argmin(axis=1)
+    places = anchors[:, None] + np.arange(-reach, shingle + reach)[None, :]
+    inside = (places >= 0) & (places < len(w))
+    around = np.ascontiguousarray(w[np.clip(places, 0, len(w) - 1)])
+    bits = np.unpackbits(around.view(np.uint8).reshape(*places.shape, 8), axis=2, bitorder="little")
+    over_half = 2 * (bits * inside[:, :, None]).sum(axis=1, dtype=np.int64) > inside.sum(axis=1)[:, None]
+    return (np.packbits(over_half, axis=1, bitorder="little").view(np.uint64).ravel() ^ SALTS).view(np.int64)
+
+
+def text_key(text: Column) -> Column:
+    return F.xxhash64(text)
+
+
+def close_in_size(a: str, b: str, similarity: float) -> Column:
+    x, y = F.col(f"{a}.size"), F.col(f"{b}.size")
+    return F.least(x, y) >= similarity * F.greatest(x, y) - 1e-9
+
+
+def all_pairs(rows: DataFrame, key: str, possible: Column) -> DataFrame:
+    """Pairs (a, b) of nodes with one key and different components that are possible, rows x and y. A key with very many
+    rows is dealt in blocks, each block meeting each other one in a task of its own."""
+    blocks = rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / PAIR_ROWS).cast("int").alias("k"))
+    dealt = rows.join(materialize(blocks, "similar-blocks"), key)
+    own = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("k") - 1))
+    x, y = dealt.withColumn("i", own).withColumn("j", every), dealt.withColumn("j", own).withColumn("i", every)
+    same = (F.col(f"x.{key}") == F.col(f"y.{key}")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
+    pairs = x.alias("x").join(y.alias("y"), same & (F.col("x.node") < F.col("y.node")) & (F.col("x.c") != F.col("y.c")) & possible)
+    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+
+
+def rare_shingles(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """rows (node, size, c) by the rare shingles of their sets: (h, node, size, c, pos), for shingles that several share.
 
     Sets with a Jaccard similarity of at least t share one of the first n - ceil(t n) + 1 of their n shingles, in any order
-    that all sets keep to. The order is a matter of cost only: what is common in a sample comes last.
+    that all sets keep to; here from rare to common among these rows, so that a passage which all of them have comes last.
     """
-    n, chars = src.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
-    every = max(1, n // ORDER_DOCS)
-
-    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for t in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_hashes(words_of(t), shingle))], ["h"])
-
-    picked = src.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select("text").distinct().mapInArrow(sampled, "h long")
-    top = picked.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(ORDER_SHINGLES).toPandas().sort_values("h")
-    held = src.sparkSession.sparkContext.broadcast((top["h"].to_numpy(np.int64), top["n"].to_numpy(np.int64)))
-    bits = pow2_at_least(max(64, chars / 5 * (1 - similarity) / BUCKET_ROWS)).bit_length() - 1
-
-    def packed(rows: list[np.ndarray]) -> pa.RecordBatch:
-        own = np.concatenate(rows)
-        to = (own["h"].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
-        order = np.argsort(to, kind="stable")
-        to, own = to[order], own[order]
-        at = np.nonzero(np.append(True, to[1:] != to[:-1]))[0]
-        return pa.RecordBatch.from_arrays([pa.array(to[at].astype(np.int32)), pa.array([x.tobytes() for x in np.split(own, at[1:])], pa.binary())], ["bucket", "rows"])
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, held_rows = [], 0
-        for batch in batches:
-            for k in range(0, batch.num_rows, 64):
-                for t in batch.column(0).slice(k, 64).to_pylist():
-                    words = words_of(t)
-                    s = in_order(shingle_hashes(words, shingle), *held.value)
-                    own = np.empty(len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1, PREFIX)
-                    own["h"], own["node"], own["size"], own["pos"] = s[: len(own)], node_of(words), len(s), np.arange(len(own))
-                    rows.append(own)
-                    held_rows += len(own)
-                if held_rows > 200_000:
-                    yield packed(rows)
-                    rows, held_rows = [], 0
-        if rows:
-            yield packed(rows)
-
-    def meet(group: pa.Table) -> pa.Table:
-        own = np.unique(np.frombuffer(b"".join(group["rows"].to_pylist()), PREFIX))  # copies fall together
-        new = np.ones(len(own) + 1, bool)
-        new[1:-1] = own["h"][1:] != own["h"][:-1]
-        own = own[~(new[:-1] & new[1:])]
-        return pa.table({k: np.ascontiguousarray(own[k]) for k in PREFIX.names})
+    single = rows.join(sets, "node").select("node", "size", "c", F.explode("s").alias("h")).distinct()
+    single = materialize(single, "similar-crowd")
+    counts = materialize(single.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "similar-counts")
+    w = Window.partitionBy("node")
+    ranked = single.join(counts, "h").withColumn("pos", F.row_number().over(w.orderBy("n", "h")) - 1 + F.col("size") - F.count(F.lit(1)).over(w))
+    return ranked.where(F.col("pos") < F.col("size") - F.ceil(similarity * F.col("size") - 1e-9) + 1).select("h", "node", "size", "c", "pos")
 
-    return src.select("text").mapInArrow(send, "bucket int, rows binary").groupBy("bucket").applyInArrow(meet, "h long, node long, size int, pos int")
 
+def similar_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row per input row: id, key (of the text), c: rows with the same c belong together; null for a null id."""
 
-def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row per input row: id, component_id (smallest id reachable). Documents link if the Jaccard similarity of their
-    word shingles is at least `similarity`.
-
-    All such pairs are candidates (shared_prefixes), whatever was edited. Texts with the same words are one node. Candidates
-    that are linked already over others need no check; all others are verified on the shingles of the whole texts. Null
-    text counts as empty; texts without words are copies of one another. Rows with a null id: component null. Empty table:
-    empty result.
-    """
-
-    def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([node_of(words_of(t)) for t in batch.column(1).to_pylist()], pa.int64())], ["id", "node"])
+            for k in range(0, batch.num_rows, 1024):
+                part, nodes, sizes, prints = batch.slice(k, 1024), [], [], []
+                for t in part.column(2).to_pylist():
+                    words = words_of(t)
+                    w = hashes.of(words)
+                    at = shingles_at(w, shingle)
+                    nodes.append(node_of(words))
+                    sizes.append(len(np.unique(at)))
+                    prints.append(anchored_prints(w, at, shingle))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prints, pa.list_(pa.int64()))], ["id", "key", "node", "size", "prints"])
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for batch in batches:
             for k in range(0, batch.num_rows, 256):  # the words of few documents at a time are held
                 rows = [words_of(t) for t in batch.column(0).slice(k, 256).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array([node_of(w) for w in rows], pa.int64()), pa.array([shingle_hashes(w, shingle) for w in rows], pa.list_(pa.int64()))], ["_node", "s"])
-
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    known = materialize(src.mapInArrow(nodes, "id long, node long"), "similar-nodes")
-    src = src.where("id IS NOT NULL")
-    shared = materialize(shared_prefixes(src, shingle, similarity), "similar-shared")
-    wanted = materialize(shared.select("node").distinct(), "similar-wanted")
-    sets = src.select("text").mapInArrow(shingles, "_node long, s array<long>").join(wanted, F.col("_node") == F.col("node"), "left_semi")
-    sets = materialize(sets.groupBy("_node").agg(F.first("s").alias("s")), "similar-shingles")
-
-    def possible(a: str, b: str):
-        """Whether two rows of one shingle can belong to sets that are similar enough, if it is the first that they share."""
-        x, y = F.col(f"{a}.size"), F.col(f"{b}.size")
-        rest = F.least(x - F.col(f"{a}.pos"), y - F.col(f"{b}.pos"))
-        return (F.least(x, y) >= similarity * F.greatest(x, y) - 1e-9) & (rest >= similarity / (1 + similarity) * (x + y) - 1e-9)
+                sets = [np.unique(shingles_at(hashes.of(w), shingle)).view(np.int64) for w in rows]
+                yield pa.RecordBatch.from_arrays([pa.array([node_of(w) for w in rows], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "s"])
+
+    src = docs.select(F.col(id_col).cast("long").alias("id"), text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
+    known = materialize(src.mapInArrow(read, "id long, key long, node long, size int, prints array<long>"), "similar-read")
+    nodes = known.where("id IS NOT NULL").groupBy("node").agg(F.min(F.struct("id", "key")).alias("row"), F.first("size").alias("size"), F.first("prints").alias("prints"))
+    nodes = materialize(nodes, "similar-nodes")
+
+    # Fingerprints that are linked over variants, in any number of steps, are one group; texts that share a group are candidates.
+    prints = materialize(nodes.select("node", "size", F.explode("prints").alias("fp")), "similar-prints")
+    distinct = materialize(prints.select("fp").distinct(), "similar-distinct")
+    balls = materialize(connected_components(materialize(near_links(distinct, distinct.count(), radius=2), "similar-balls")).select(F.col("node").alias("near"), F.col("component").alias("ball")), "similar-near")
+    grouped = prints.join(balls, F.col("fp") == F.col("near"), "left").select("node", "size", F.coalesce("ball", "fp").alias("g"))
+    several = materialize(grouped.groupBy("g").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("g"), "similar-several")
+    shared = materialize(grouped.join(several, "g", "left_semi").distinct(), "similar-shared")
+    wanted = shared.select("node").distinct().join(nodes.select("node", "row.*"), "node").select(F.col("id").alias("_id"), F.col("key").alias("_key"))
+    texts = src.join(materialize(wanted, "similar-wanted"), (F.col("id") == F.col("_id")) & (F.col("key") == F.col("_key")), "left_semi")
+    sets = materialize(texts.select("text").mapInArrow(shingles, "node long, s array<long>"), "similar-sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = materialize(pairs.distinct(), "similar-pairs")
-        left = pairs.join(sets.select(F.col("_node").alias("a"), F.col("s").alias("sa")), "a")
-        both = left.join(sets.select(F.col("_node").alias("b"), F.col("s").alias("sb")), "b")
+        one = pairs.join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+        both = one.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
         common = F.size(F.array_intersect("sa", "sb"))
         return materialize(both.where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b"), "similar-links")
 
-    links, parts, turn, before = None, known.sparkSession.createDataFrame([], "part long, c long"), 0, 0
+    links = known.sparkSession.createDataFrame([], "a long, b long")
+    parts, turn, before = links.toDF("part", "c"), 0, 0
+
+    def linked(pairs: DataFrame) -> None:
+        nonlocal links, parts
+        links = links.unionByName(verified(pairs))
+        parts = materialize(connected_components(links).select(F.col("node").alias("part"), F.col("component").alias("c")), "similar-parts")
+
+    size_fits = close_in_size("x", "y", similarity)
     while True:
-        rows = shared.join(parts, F.col("node") == F.col("part"), "left").select("h", "node", "size", "pos", F.coalesce("c", "node").alias("c"))
-        # Shingles of one component only are done with.
-        per = rows.groupBy("h", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("h").agg(F.sum("m").alias("m"), ((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2).alias("p"))
+        rows = shared.join(parts, F.col("node") == F.col("part"), "left").select("g", "node", "size", F.coalesce("c", "node").alias("c"))
+        # Groups of one component are done with.
+        per = rows.groupBy("g", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("g").agg(F.sum("m").alias("m"), ((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2).alias("p"))
         per = materialize(per.where("p > 0"), "similar-open")
         left, most = per.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum("p"), F.lit(0))).first()
         if not left:
             break
-        rows = materialize(rows.join(per, "h", "left_semi"), "similar-rows")
-        last = most <= 4 * left or (turn > 1 and before < left / 100)
-        if last:
-            # All that is left: each pair of members of different components.
-            pairs = rows.alias("x").join(rows.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.c") != F.col("y.c")) & possible("x", "y"))
-            pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        else:
-            # Large groups fall together by one head of each shingle, another in each turn.
-            order = F.col("node") if turn == 0 else F.xxhash64("node", "h", F.lit(turn))
-            heads = materialize(rows.groupBy("h").agg(F.min_by(F.struct("node", "size", "pos", "c"), order).alias("y")), "similar-heads")
-            pairs = rows.alias("x").join(heads, "h").where((F.col("y.c") != F.col("x.c")) & possible("x", "y"))
-            pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-        new = verified(pairs)
-        links, turn, before = new if links is None else links.unionByName(new), turn + 1, new.count()
-        parts = materialize(connected_components(links).select(F.col("node").alias("part"), F.col("component").alias("c")), "similar-parts")
-        if last:
+        rows = materialize(rows.join(per.select("g", "m"), "g"), "similar-rows")
+        if most <= 4 * left or (turn and most > before / 2):
+            # What is left: all pairs of different components, in crowds only those that share a rare shingle.
+            crowded = F.col("m") > CROWD if most > 4 * left else F.lit(False)
+            pairs = all_pairs(rows.where(~crowded), "g", size_fits)
+            if most > 4 * left:
+                many = rows.where(crowded).select("node", "size", "c").distinct()
+                # By the first shingle that two sets share, both must have enough left for the rest.
+                rest = F.least(F.col("x.size") - F.col("x.pos"), F.col("y.size") - F.col("y.pos"))
+                enough = rest >= similarity / (1 + similarity) * (F.col("x.size") + F.col("y.size")) - 1e-9
+                pairs = pairs.unionByName(all_pairs(materialize(rare_shingles(many, sets, similarity), "similar-rare"), "h", size_fits & enough))
+            linked(pairs)
             break
-    joined = known.join(parts, F.col("node") == F.col("part"), "left").select("id", F.coalesce("c", "node").alias("c"))
+        # Large groups fall together by one head each, first by the smallest of one order for all, which repeats few pairs;
+        # this goes on while a turn at least halves the open pairs.
+        order = F.xxhash64("node") if turn == 0 else F.xxhash64("node", "g", F.lit(turn))
+        heads = materialize(rows.groupBy("g").agg(F.min_by(F.struct("node", "size", "c"), order).alias("y")), "similar-heads")
+        pairs = rows.alias("x").join(heads, "g").where((F.col("y.c") != F.col("x.c")) & size_fits)
+        linked(pairs.select(F.col("y.node").alias("a"), F.col("x.node").alias("b")))
+        turn, before = turn + 1, most
+    return known.join(parts, F.col("node") == F.col("part"), "left").select("id", "key", F.when(F.col("id").isNotNull(), F.coalesce("c", "node")).alias("c"))
+
+
+def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row per input row: id, component_id (smallest id reachable). Documents link if the Jaccard similarity of their
+    word shingles is at least `similarity`.
+
+    Candidates are texts with fingerprints within two bits in one of eight tables (anchored_prints), which pairs at 0.8 miss
+    with a chance below one in a hundred; all are verified on the shingles of the whole texts, but for pairs that are linked
+    over others already. Texts with the same words are one node. Null text counts as empty; texts without words are copies
+    of one another. Texts on rows with one id are told apart. Rows with a null id: component null. Empty table: empty result.
+    """
+    joined = materialize(similar_rows(docs, id_col=id_col, text_col=text_col, shingle=shingle, similarity=similarity), "similar-rows")
     least = materialize(joined.where("id IS NOT NULL").groupBy("c").agg(F.min("id").alias("component_id")).withColumnRenamed("c", "_c"), "similar-known")
-    return joined.join(least, (F.col("c") == F.col("_c")) & F.col("id").isNotNull(), "left").select(F.col("id").alias(id_col), "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", find: Callable[..., DataFrame] = similar_documents, **options) -> DataFrame:
-    """docs without all but the smallest id of each group that `find` gives (similar_documents or near_duplicates), and
-    without repeats of an id. Texts are shuffled only where the list of dropped ids is too large for Spark to broadcast.
-    Rows with a null id stay."""
-    found = materialize(find(docs, id_col=id_col, **options).select(F.col(id_col).alias("_id"), "component_id"), "simhash-found")
-    again = found.where("_id = component_id").groupBy("_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_id")
-    again = materialize(again, "simhash-again")
-    gone = materialize(found.where("_id != component_id").select("_id").distinct(), "simhash-gone")
-    kept = docs.join(gone, F.col(id_col) == F.col("_id"), "left_anti")
+    return joined.join(least, F.col("c") == F.col("_c"), "left").select(F.col("id").alias(id_col), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs without all but one row of each group of similar documents: that with the smallest id, then text key. Of rows
+    that repeat both id and text one stays, of rows with one id and different texts one for each group. Rows with a null
+    id stay. Texts are shuffled only where the list of dropped rows is too large for Spark to broadcast."""
+    found = materialize(similar_rows(docs, id_col=id_col, text_col=text_col, **options).where("id IS NOT NULL"), "similar-found")
+    first = found.groupBy("c").agg(F.min(F.struct("id", "key")).alias("w")).select(F.col("c").alias("of"), "w")
+    gone = found.join(first, F.col("c") == F.col("of")).where((F.col("id") != F.col("w.id")) | (F.col("key") != F.col("w.key")))
+    i, k = unused(docs, "row_id"), unused(docs, "row_key")
+    listed = lambda rows, name: materialize(rows.select(F.col("id").alias(i), F.col("key").alias(k)).distinct(), name)
+    gone = listed(gone, "similar-gone")
+    again = listed(found.groupBy("id", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "similar-again")
+    match = (F.col(id_col).cast("long") == F.col(i)) & (text_key(F.col(text_col)) == F.col(k))
+    kept = docs.join(gone, match, "left_anti")
     if again.isEmpty():
         return kept
-    single = kept.join(again, F.col(id_col) == F.col("_id"), "left_anti")
-    return single.unionByName(kept.join(again, F.col(id_col) == F.col("_id"), "left_semi").dropDuplicates([id_col]))
+    repeats = kept.join(again, match).dropDuplicates([i, k]).drop(i, k)
+    return kept.join(again, match, "left_anti").unionByName(repeats)
