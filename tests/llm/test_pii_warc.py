@@ -21,23 +21,80 @@ def test_detects_and_leaves_alone():
 
 
 def test_surrogates_keep_kind_form_and_coreference():
-    new, spans = pii.rewrite(TEXT + " again 4929-3483-8514-6306", KEY, lambda k, c: 0)
+    new, spans = pii.rewrite(TEXT + " again 4929-3483-8514-6306", KEY, lambda k, c: (0, ""))
     assert kinds(new) == [*kinds(TEXT), "card"] and len(spans) == 7
     cards = [re.sub(r"\D", "", new[a:b]) for k, a, b in spans if k == "card"]
     assert cards[0] == cards[1] != "4929348385146306" and pii.luhn_digit(cards[0][:-1]) == cards[0][-1]
     assert not {x[3] for x in pii.detect(TEXT)} & {x[3] for x in pii.detect(new)}
     assert re.search(r"\+1 \(\d{3}\) \d{3}-\d{4};", new) and re.search(r'token = "[0-9a-f]{40}"', new) and re.search(r"AKIA[0-9A-Z]{16}\.", new)
-    assert pii.rewrite(TEXT, KEY, lambda k, c: 0) == pii.rewrite(TEXT, KEY, lambda k, c: 0) != pii.rewrite(TEXT, b"other", lambda k, c: 0)
+    assert pii.rewrite(TEXT, KEY, lambda k, c: (0, "")) == pii.rewrite(TEXT, KEY, lambda k, c: (0, "")) != pii.rewrite(TEXT, b"other", lambda k, c: (0, ""))
 
 
 def test_names_match_gender_and_script():
     found = {x[3]: x[2] for x in pii.detect("Dr. Maria Lopez met Mrs Lopez and г-н Иван Петров, κ. Νίκος Παππάς")}
-    assert found == {"maria": "givenf_latin", "lopez": "surname_latin", "иван": "givenm_cyrillic", "петров": "surname_cyrillic", "νίκος": "givenm_greek", "παππάς": "surname_greek"}
-    new, _ = pii.rewrite("Dr. Maria Lopez met Mrs Lopez and г-н Иван Петров", KEY, lambda k, c: 0)
+    assert found == {"maria": "name_latin", "lopez": "name_latin", "иван": "name_cyrillic", "петров": "name_cyrillic", "νίκος": "name_greek", "παππάς": "name_greek"}
+    new, _ = pii.rewrite("Dr. Maria Lopez met Mrs Lopez and г-н Иван Петров", KEY, lambda k, c: (0, ""))
     m = re.fullmatch(r"Dr\. (\w+) (\w+) met Mrs (\w+) and г-н ([А-я]+) ([А-я]+)", new)
     assert m and m[2] == m[3] and m[1][-1] == "a" and "Lopez" not in new
 
 
+def test_one_surrogate_for_a_name_whatever_stands_around_it():
+    new, _ = pii.rewrite("Mr Robert Lee met Dr Robert Lee. Lee and Robert Lee signed; Mr. Robert left. ROBERT LEE, robert", KEY, lambda k, c: (0, ""))
+    m = re.fullmatch(r"Mr (\w+) (\w+) met Dr (\w+) (\w+)\. (\w+) and (\w+) (\w+) signed; Mr\. (\w+) left\. (\w+) (\w+), robert", new)
+    assert m and len({m[1], m[3], m[6], m[8], m[9].capitalize()}) == 1 and len({m[2], m[4], m[5], m[7], m[10].capitalize()}) == 1 and m[1] != m[2]
+    assert pii.settled_form("name_latin", "robert", {"m", "u", ""}) == "m" and pii.settled_form("name_latin", "kim", {"m", "f"}) == "u"
+    assert pii.settled_form("name_latin", "lee", {""}) == "s" and pii.settled_form("name_latin", "maria", {"m"}) == "f"
+
+
+def test_codes_and_networks_stay():
+    text = "+380 44 123 4567, +49 30 123456, (212) 555-0143, 212-555-0143, +1 212 555 0143, 10.1.2.3, 8.8.8.8, fe80::1ff:fe23:4567:890a and std::vector at 12:34:56"
+    new, spans = pii.rewrite(text, KEY, lambda k, c: (0, ""))
+    got = [new[a:b] for _, a, b in spans]
+    assert [k for k, *_ in spans] == ["phone"] * 5 + ["ip", "ip", "ipv6"] and new.endswith(" and std::vector at 12:34:56")
+    assert got[0].startswith("+380 ") and got[1].startswith("+49 ") and re.fullmatch(r"\(\d{3}\) \d{3}-\d{4}", got[2])
+    assert [re.sub(r"\D", "", x)[-10:] for x in got[2:5]] == [re.sub(r"\D", "", got[2])] * 3
+    assert got[5].startswith("10.") and not got[6].startswith(("10.", "127.", "192.168.")) and got[7].startswith("fe80:")
+
+
+def brute_replace(texts, key):
+    """Surrogates for a whole table, by plain Python: rounds of attempts until all differ."""
+    told = {}
+    for t in texts:
+        for _, _, kind, canon, form in pii.detect(t or ""):
+            told.setdefault((kind, canon), set()).add(form)
+    form = {x: pii.settled_form(*x, set(f)) for x, f in told.items()}
+    settled, pending = {}, dict.fromkeys(told, 0)
+    while pending:
+        tried = settled | pending
+        new = {x: pii.surrogate(key, *x, n, form[x]) for x, n in tried.items()}
+        best = {}
+        for x, s in new.items():
+            if (x[0], s) not in told:
+                best[x[0], s] = min(best.get((x[0], s), (2, "")), (x in pending, x[1]))
+        settled = {x: n for x, n in tried.items() if best.get((x[0], new[x]), (0, ""))[1] == x[1]}
+        pending = {x: n + 1 for x, n in tried.items() if x not in settled}
+    return [pii.rewrite(t, key, lambda k, c: (settled[k, c], form[k, c]))[0] if t else t for t in texts]
+
+
+def test_whole_tables_against_plain_python(spark, odd_rows):
+    import random
+
+    rng = random.Random(6)
+    titles, given, last = ["Mr", "Mrs", "Dr", "Herr", "Frau"], ["Robert", "Kim", "Maria", "John", "Uwe", "Chris"], ["Lee", "Smith", "Kim", "Okoro"]
+    made = [
+        lambda: f"{rng.choice(titles)} {rng.choice(given)} {rng.choice(last)}", lambda: f"{rng.choice(titles)} {rng.choice(last)}", lambda: rng.choice(given + last), lambda: f"{rng.choice('abcdefgh')}@{rng.choice('xy')}.example.net",
+        lambda: f"192.168.0.{rng.randrange(250)}", lambda: f"(212) 555-0{rng.randrange(100, 130)}", lambda: "AKIA" + "".join(rng.choice("ABC012") for _ in range(16)), lambda: "078-05-11" + str(rng.randrange(10, 30)), lambda: "plain words",
+    ]
+    texts = [" and ".join(rng.choice(made)() for _ in range(rng.randint(1, 8))) for _ in range(200)] + [None, "", "Mr Robert Lee " + "filler words " * 50_000 + "Robert"]
+    texts += texts[:3]
+    docs = spark.createDataFrame([(k, t, "kept", 1.5) for k, t in enumerate(texts)], "doc_id long, text string, pii_entities string, looked_up double")
+    out = pii.replace(docs, KEY, broadcast_rows=odd_rows)
+    assert out.columns == ["doc_id", "text", "pii_entities", "looked_up", "_pii_entities"]
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert [got[k]["text"] for k in range(len(texts))] == brute_replace(texts, KEY)
+    assert {(r["pii_entities"], r["looked_up"]) for r in got.values()} == {("kept", 1.5)}
+
+
 def test_valid_check_digits():
     iban = pii.surrogate(KEY, "iban", "DE89370400440532013000", 0)
     assert iban[:2] == "DE" and pii.mod97(iban) == 1
@@ -52,10 +109,10 @@ def test_distinct_surrogates_whatever_the_collisions(spark, monkeypatch, odd_row
     """With a surrogate that collides at first attempts, rounds go on until all differ; both ways of handing them out agree."""
     texts = [f"a{k}@x.example.com wrote" for k in range(60)]
     plain = pii.surrogate
-    monkeypatch.setattr(pii, "surrogate", lambda key, kind, canon, attempt: plain(key, kind, "same", 0) if attempt < 2 and kind == "email" and canon[1] in "12" else plain(key, kind, canon, attempt))
-    found = spark.createDataFrame([("email", f"a{k}@x.example.com") for k in range(60)], "kind string, canon string")
+    monkeypatch.setattr(pii, "surrogate", lambda key, kind, canon, attempt, form="": plain(key, kind, "same", 0) if attempt < 2 and kind == "email" and canon[1] in "12" else plain(key, kind, canon, attempt, form))
+    found = spark.createDataFrame([("email", f"a{k}@x.example.com", "") for k in range(60)], "kind string, canon string, form string")
     # The worker imports its own, unpatched module: collisions are forced by a domain of one letter instead.
-    small = spark.createDataFrame([("email", f"{c}@x.example.com") for c in "abcdefghijklmnopqrstuvwxyz"], "kind string, canon string")
+    small = spark.createDataFrame([("email", f"{c}@x.example.com", "") for c in "abcdefghijklmnopqrstuvwxyz"], "kind string, canon string, form string")
     for table in (found, small):
         got = pii.assign(table, KEY).collect()
         surrogates = [r["surrogate"] for r in got]

@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from .mixing import hash60
 
-LETTER = re.compile(r"[^\W\d_]")
 OTHER = re.compile(r"[\W\d_]+")
 BLOCK = 4096
 
@@ -31,7 +30,8 @@ def learn_dictionaries(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     """A raw-content dictionary per language, of at most dict_bytes, from slices of hash-sampled labelled documents.
 
     What reaches the driver is bounded: about 4 * dict_bytes / slice_chars slices a language, whatever the table's size.
-    Null languages and null or empty texts teach nothing. No labelled rows: no dictionaries.
+    Null languages and null or empty texts teach nothing, and a row that repeats teaches once. Rows are sampled by id and
+    text, so that rows with one id, or none, are no block. No labelled rows: no dictionaries.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -40,7 +40,7 @@ def learn_dictionaries(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     wanted = 4 * dict_bytes // slice_chars
     limit = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, int(min(1.0, wanted / n) * 2**60))])
     start = F.pmod(F.col("h"), F.greatest(F.length("text") - slice_chars, F.lit(1))).cast("int") + 1
-    picked = rows.withColumn("h", hash60(F.col("id"))).where(F.col("h") < limit[F.col("lang")]).select("lang", "h", F.substring("text", start, F.lit(slice_chars)).alias("part"))
+    picked = rows.withColumn("h", hash60(F.concat_ws(" ", F.col("id").cast("string"), F.xxhash64("text")))).where(F.col("h") < limit[F.col("lang")]).select("lang", "h", F.substring("text", start, F.lit(slice_chars)).alias("part")).distinct()
     parts: dict[str, list] = {}
     for r in picked.collect():
         parts.setdefault(r["lang"], []).append((r["h"], r["part"]))
@@ -86,6 +86,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], *, id_col: str = "
     """One row per input row: id, lang_pred, score, margin, rejected. Only the text is looked at. No shuffle.
 
     Null texts, texts without a letter, and all texts where nothing was learned: lang_pred 'und', score and margin 0.
+    Whole texts are compressed, whatever their length; rows that repeat are answered alike. Empty table: empty result.
     rejected: the margin is below min_margin (lang_pred keeps the best guess).
     """
 
@@ -94,7 +95,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], *, id_col: str = "
         for batch in batches:
             rows = []
             for text in batch.column(1).to_pylist():
-                rows.append(classify(packs.sizes(text), packs.langs) if text and packs.langs and LETTER.search(text) else ("und", 0.0, 0.0))
+                rows.append(classify(packs.sizes(text), packs.langs) if text and packs.langs and any(map(str.isalpha, text)) else ("und", 0.0, 0.0))
             lang, score, margin = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(margin, pa.float64()), pa.array([x < min_margin or n == "und" for x, n in zip(margin, lang, strict=True)], pa.bool_())],

@@ -29,12 +29,17 @@ SALT_ROWS = 2048
 def byte_bpe(path: str):
     """The byte-level BPE of a tokenizers .json file, run by tiktoken: the same ids several times faster.
 
-    Special strings in a text become their special ids, as is the tokenizers library's default.
+    Special strings in a text become their special ids, as is the tokenizers library's default. A file whose text is
+    normalised or split in another way, or whose merges are not in the order of their ids, is refused.
     """
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
+    split, vocab = spec.get("pre_tokenizer") or {}, spec["model"]["vocab"]
+    merged = [vocab[x.replace(" ", "") if isinstance(x, str) else "".join(x)] for x in spec["model"]["merges"]]
+    if spec.get("normalizer") or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True) or any(a >= b for a, b in zip(merged, merged[1:], strict=False)):
+        raise ValueError("not a plain byte-level BPE with merges in the order of their ids")
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     chars = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(shown))}
     special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -43,8 +48,8 @@ def byte_bpe(path: str):
 
 
 def pieces(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", size: int = 2048, end_id: int = 0) -> DataFrame:
-    """(id, piece, start, length, ids_crc32): each document's ids and end_id, longer ones cut into pieces of size tokens
-    of which the first may be shorter."""
+    """(id, piece, start, length, ids_crc32, spread): each document's ids and end_id, longer ones cut into pieces of size
+    tokens of which the first may be shorter. spread tells rows apart that are the same otherwise."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = byte_bpe(tokenizer).encode
@@ -56,11 +61,11 @@ def pieces(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col:
                 rows += [(k, n, a, b - a, zlib.crc32(ids[a:b].tobytes())) for n, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
             row, n, start, length, crc = zip(*rows, strict=True) if rows else ([],) * 5
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(row, pa.int32())), pa.array(n, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["id", "piece", "start", "length", "ids_crc32"]
+                [batch.column(0).take(pa.array(row, pa.int32())), pa.array(n, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(row, pa.int32())], ["id", "piece", "start", "length", "ids_crc32", "spread"]
             )
 
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return src.mapInArrow(work, f"id {src.schema['id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
+    return src.mapInArrow(work, f"id {src.schema['id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, spread int")
 
 
 def plan(counts: dict[int, int], size: int = 2048) -> list[tuple[int, int, int, int]]:
@@ -106,6 +111,7 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: s
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset. Texts are read once and not shuffled.
 
     Null text counts as empty: one piece with end_id alone. Ids may repeat or be null. Empty table: empty result.
+    Rows that repeat, and texts of any length, are packed like others.
     Ranks within a length are counted in salted parts, each with an offset from the counts, so that a length which very
     many pieces share is dealt to many tasks.
     """
@@ -115,11 +121,11 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: s
     planned = cut.sparkSession.sparkContext.broadcast(runs)
 
     salts = pow2_at_least(sum(counts.values()) / SALT_ROWS)
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(salts)))
+    salted = cut.withColumn("salt", F.pmod(F.xxhash64("id", "piece", "ids_crc32", "spread"), F.lit(salts)))
     parts = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")
     parts = materialize(parts.select("length", "salt", before.alias("before")), "pack-parts")
-    local = F.row_number().over(Window.partitionBy("length", "salt").orderBy("id", "piece"))
+    local = F.row_number().over(Window.partitionBy("length", "salt").orderBy("id", "piece", "start", "ids_crc32", "spread"))
     ranked = salted.withColumn("local", local).join(parts, ["length", "salt"])
     ranked = ranked.select("id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("local") - 1).alias("rank"))
 

@@ -14,14 +14,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .common import materialize
 from .mixing import hash60
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 ODD = np.uint64(0xD6E8FEB86659FD93)
 INVERSE = np.uint64(pow(int(ODD), -1, 2**64))
 NGRAMS = (3, 4, 5)
-#: Bytes featurised at a time; longer texts go in several blocks, cut at white space where there is some.
+#: Bytes featurised at a time; longer texts go in several blocks, cut at a space. Of all features only a repeat of a word
+#: over the cut is lost, and n-grams at the cut where so many bytes hold no space.
 BLOCK = 1 << 18
 SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
@@ -65,17 +68,19 @@ def blocks(text: str) -> Iterator[np.ndarray]:
     at = 0
     while at < len(data):
         end = min(len(data), at + BLOCK)
-        if end < len(data) and (cut := data.rfind(b" ", at, end)) > at:
-            end = cut
-        yield np.frombuffer(data, np.uint8, end - at, at)
-        at = end
+        if end < len(data) and (cut := data.rfind(b" ", at + 1, end)) > at:
+            yield np.frombuffer(data, np.uint8, cut + 1 - at, at)
+            at = cut  # the space ends one block and begins the next, so no n-gram is lost
+        else:
+            yield np.frombuffer(data, np.uint8, end - at, at)
+            at = end
 
 
 def bag(text: str, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct table rows of a text and how often each occurs, as shares of all."""
     rows = [r for block in blocks(text) for _, r in features(block, bits)]
     rows, n = np.unique(np.concatenate(rows) if rows else np.zeros(0, np.uint64), return_counts=True)
-    return rows.astype(np.int64), n / max(1, n.sum())
+    return rows.astype(np.int32), (n / max(1, n.sum())).astype(np.float32)
 
 
 @dataclass
@@ -128,21 +133,32 @@ def train(texts: list[str], labels: list[int], *, bits: int = 18, dim: int = 16,
     return QualityModel((table @ (out[:, 1] - out[:, 0])).astype(np.float32), float(bias[1] - bias[0]), bits)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_docs: int = 4000) -> DataFrame:
-    """At most max_docs labelled texts (id, text, label), those with the smallest hash of their id.
+def training_rows(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_docs: int = 4000, max_chars: int = 16_000_000) -> DataFrame:
+    """Labelled texts (id, text, label) in the order of the hash of their id: at most max_docs, and those that still fit
+    into max_chars together.
 
-    Null labels and ids are left out; an id labelled more than once has its labels' rounded mean. The label side of the
-    join is cut to max_docs rows first, so broadcasting it is safe at any size.
+    Null labels and ids are left out; an id labelled more than once has its labels' rounded mean; a row that repeats counts
+    once. The label side of the join is cut to max_docs rows first, so broadcasting it is safe at any size, and lengths
+    are looked at before any text is gathered.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.avg(F.col(label_col).cast("double")) >= 0.5).cast("int").alias("label"))
-    few = known.withColumn("h", hash60(F.col("id"))).orderBy("h", "id").limit(max_docs)
-    texts = docs.select(F.col(id_col).alias("did"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(few), F.col("did") == F.col("id")).orderBy("h", "id").limit(max_docs).select("id", "text", "label")
-
-
-def fit(docs: DataFrame, labels: DataFrame, *, max_docs: int = 4000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **options) -> QualityModel:
-    """Trains on the driver on at most max_docs documents, whatever the tables' size."""
-    rows = training_rows(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, max_docs=max_docs).collect()
+    few = materialize(known.withColumn("h", hash60(F.col("id"))).orderBy("h", "id").limit(max_docs), "quality-few")
+    texts = docs.select(F.col(id_col).alias("did"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
+    both = texts.join(F.broadcast(few), F.col("did") == F.col("id"))
+    sizes = both.select("h", "id", "key", F.length("text").alias("n")).distinct().orderBy("h", "id", "key").limit(max_docs).collect()
+    taken, chars = [], 0
+    for r in sizes:
+        if chars + r["n"] <= max_chars:
+            taken.append((r["id"], r["key"]))
+            chars += r["n"]
+    chosen = docs.sparkSession.createDataFrame(taken, T.StructType([T.StructField("tid", few.schema["id"].dataType), T.StructField("tkey", T.LongType())]))
+    picked = both.join(F.broadcast(chosen), (F.col("id") == F.col("tid")) & (F.col("key") == F.col("tkey")))
+    return picked.select("h", "id", "key", "text", "label").distinct().orderBy("h", "id", "key").select("id", "text", "label")
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, max_docs: int = 4000, max_chars: int = 16_000_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **options) -> QualityModel:
+    """Trains on the driver on at most max_docs documents of max_chars characters together, whatever the tables' size."""
+    rows = training_rows(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, max_docs=max_docs, max_chars=max_chars).collect()
     return train([r["text"] for r in rows], [r["label"] for r in rows], **options)
 
 
@@ -160,8 +176,8 @@ def scorer(model: QualityModel, docs: DataFrame):
 
 
 def score(docs: DataFrame, model: QualityModel, *, text_col: str = "text", score_col: str = "quality_score") -> DataFrame:
-    """docs's columns plus score_col (0 to 1), which replaces a column of that name. Empty and null texts score as the bias
-    does. No shuffle; rows, repeats included, keep their other columns."""
+    """docs's columns plus score_col (0 to 1), which replaces a column of that name. Whole texts are scored, whatever their
+    length; empty and null texts score as the bias does. Empty table: empty result. No shuffle; rows, repeats included, keep their other columns."""
     return docs.withColumn(score_col, scorer(model, docs)(F.col(text_col)))
 
 
