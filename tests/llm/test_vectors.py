@@ -2,8 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm.ann import nearest
-from tidemark.llm.embed_dedup import cells_of, embedding_duplicates, spherical_kmeans, unit
+from tidemark.llm.ann import Shard, nearest
+from tidemark.llm.embed_dedup import cells_of, code_axes, codes_of, embedding_duplicates, near_codes, spherical_kmeans, unit
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
 ODD = [(900, None, 1), (901, [0.0] * 8, 1), (902, [1.0] * 7 + [float("nan")], 1), (903, [1.0] * 7 + [float("inf")], 1), (904, [1.0] * 7 + [None], 1), (905, [1.0] * 8, None), (906, [1.0] * 5, 1), (907, [], 1)]
@@ -57,13 +57,25 @@ def test_guests_cover_links_across_cells():
                 assert home[a] in cells[b]
 
 
+def test_codes_never_keep_a_near_guest_out():
+    rng = np.random.default_rng(9)
+    x = unit(rng.standard_normal((500, 40)))
+    y = unit(x + 0.03 * rng.standard_normal(x.shape) * rng.random((500, 1)))
+    axes, reach = code_axes(np.concatenate([x, y])), np.sqrt(2 - 2 * 0.98)
+    a, b = codes_of(x, axes), codes_of(y, axes)
+    linked = (x * y).sum(axis=1) >= 0.98
+    assert linked.sum() > 100 and all(near_codes(a[k : k + 1], b[k : k + 1], reach)[0] for k in np.nonzero(linked)[0])
+    assert near_codes(a, b[:50][::-1], reach)[50:].mean() < 0.05 and not near_codes(a, b[:0], reach).any()
+
+
 def test_many_blocks_and_cells_agree_with_one(spark, rows, monkeypatch):
     from tidemark.llm import embed_dedup
 
     df = spark.createDataFrame(rows, SCHEMA)
     whole = sorted(map(str, embedding_duplicates(df).collect()))
     monkeypatch.setattr(embed_dedup, "BLOCK", 16)
-    monkeypatch.setattr(embed_dedup, "CELL_ROWS", 60)
+    monkeypatch.setattr(embed_dedup, "CODE_BLOCK", 16)
+    monkeypatch.setattr(embed_dedup, "CELL_ROOT", 2)
     assert sorted(map(str, embedding_duplicates(df).collect())) == whole
 
 
@@ -71,8 +83,10 @@ def test_nearest_recall_order_and_odd_rows(spark, rows, monkeypatch):
     from tidemark.llm import ann
 
     monkeypatch.setattr(ann, "SHARD_ROWS", 200)
-    monkeypatch.setattr(ann, "QUERY_ROWS", 10)
-    got = nearest(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 20 == 0).collect()
+    monkeypatch.setattr(ann, "FIRST_BLOCK", 0.05)
+    monkeypatch.setattr(ann, "MAX_SHARD", 200)
+    odd = spark.createDataFrame([(*r, 1, 2.0) for r in rows], SCHEMA + ", id int, shard double")
+    got = nearest(odd, F.col("vec_id") % 20 == 0).collect()
     live = {k: np.array(v, float) for k, v, _ in rows if k < 900 or k == 905}
     by = {}
     for r in got:
@@ -90,6 +104,29 @@ def test_nearest_recall_order_and_odd_rows(spark, rows, monkeypatch):
     assert hit / total >= 0.9
 
 
+def test_few_vectors_are_verified():
+    """What the collision threshold lets through, of vectors without any structure."""
+    rng = np.random.default_rng(7)
+    x = unit(rng.standard_normal((8000, 64)))
+    queries, own = x[::100], np.arange(0, 8000, 100)
+    best = np.argsort(-(queries @ x.T), axis=1)[:, 1:21]
+    shard = Shard(x, np.arange(8000), 1.0)
+    bound = np.sort(queries @ unit(rng.standard_normal((40_000, 64))).T, axis=1)[:, -20]  # as if 40,000 more had been searched
+    for least in (None, bound):
+        shard.verified = 0
+        found = shard.search(queries, own, 20, shard.reach(20), least)
+        goal = [{int(j) for j in b if least is None or x[j] @ q >= bound[i]} for i, (b, q) in enumerate(zip(best, queries, strict=True))]
+        hit = sum(len(g & set(shard.ids[at].tolist())) for g, (at, _) in zip(goal, found, strict=True))
+        assert hit >= 0.9 * sum(map(len, goal))
+        assert shard.verified / (len(queries) * 8000) < (0.25 if least is None else 0.1)
+
+
+def test_repeated_ids_ask_once(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0], 1), (0, [0.0, 1.0], 1), (0, [0.0, 1.0], 1), (1, [1.0, 2.0], 1), (1, [3.0, 0.5], 1)], SCHEMA)
+    got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in nearest(df, F.col("vec_id") % 20 == 0).orderBy("rank").collect()]
+    assert got == [(0, 1, 1, 2.0), (0, 2, 1, 0.5)]
+
+
 def test_nearest_with_few_candidates_and_ties(spark):
     df = spark.createDataFrame([(0, [1.0, 1.0], 1), (3, [1.0, 0.0], 1), (2, [1.0, 0.0], 1), (1, [-1.0, 0.0], 1)], SCHEMA)
     got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in nearest(df, F.col("vec_id") % 20 == 0).orderBy("rank").collect()]

@@ -1,11 +1,16 @@
 """Nearest neighbours by collision counting: single-projection hashes, query-centred windows, virtual rehashing.
 
 Vectors are dealt into shards and queries into blocks; each pair of a shard and a block is one task. A shard keeps one
-sorted array of values per random projection. Around a query's own value, a window as wide as the search radius is
+sorted array of values per random projection. Around a query's own value, a window in proportion to the search radius is
 counted in every array; vectors that fall into enough windows are verified by their exact product. The radius grows,
-which widens the same windows (virtual rehashing: nothing is hashed again), until the wanted number of verified vectors
-lies within it. The first shard's answers bound the radius in all others. The largest product becomes the smallest distance by one more component that gives all vectors the same
-norm (Neyshabur and Srebro, 2015); the counting follows Huang et al., 2015.
+which widens the same windows (virtual rehashing: nothing is hashed again), until it reaches the distance of the k-th best
+product so far. A first shard's answers bound the radius in all others. The largest product becomes the smallest distance
+by one more component that gives all vectors the same norm (Neyshabur and Srebro, 2015); the counting follows Huang et
+al., 2015.
+
+A vector at distance r falls into a window of half-width WIDTH * r with a chance of 0.866, one at 1.37 times that distance
+with 0.73. The threshold lies between: most vectors at the radius itself are verified, more of nearer ones, and few of
+those far away.
 """
 
 from __future__ import annotations
@@ -18,8 +23,10 @@ from pyspark.sql import functions as F
 from .common import materialize
 from .vectors import matrix, usable
 
-PROJECTIONS, SHARE, GROWTH, SEED = 32, 0.5, 1.3, 17
-SHARD_ROWS, QUERY_ROWS = 8192, 1024
+PROJECTIONS, WIDTH, SHARE, GROWTH, SEED = 192, 1.5, 0.825, 1.12, 17
+#: Rows of a shard: SHARD_ROOT times the root of all rows, between SHARD_ROWS and MAX_SHARD. Queries of a block: so many for
+#: each row of a shard in the first, and as many as MAX_SHARD in all others.
+SHARD_ROWS, MAX_SHARD, SHARD_ROOT, FIRST_BLOCK = 8192, 65_536, 36, 0.125
 
 
 class Shard:
@@ -32,51 +39,57 @@ class Shard:
         self.longest = longest
         self.axes = np.random.default_rng(SEED).standard_normal((x.shape[1] + 1, PROJECTIONS))
         values = (np.column_stack([self.x, rest]) @ self.axes).T
-        self.order = np.argsort(values, axis=1).astype(np.int32)
-        self.values = np.take_along_axis(values, self.order, axis=1)
+        order = np.argsort(values, axis=1)
+        self.values = np.take_along_axis(values, order, axis=1)
+        self.ranks = np.empty(values.shape, np.uint16)
+        np.put_along_axis(self.ranks, order, np.arange(len(x), dtype=np.uint16)[None, :], axis=1)
+        self.verified = 0
 
     def windows(self, at: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First and last rank of each query's window in each array: (projections, queries) each."""
-        low = np.stack([np.searchsorted(v, a - radius) for v, a in zip(self.values, at.T, strict=True)])
-        return low, np.stack([np.searchsorted(v, a + radius, side="right") for v, a in zip(self.values, at.T, strict=True)])
+        """First and last rank of each query's window in each array: (queries, projections) each."""
+        low = [np.searchsorted(v, a - WIDTH * radius) for v, a in zip(self.values, at.T, strict=True)]
+        return np.stack(low, axis=1), np.stack([np.searchsorted(v, a + WIDTH * radius, side="right") for v, a in zip(self.values, at.T, strict=True)], axis=1)
+
+    def collisions(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """In how many windows each vector lies: those of the sorted places from low to high, which may be empty."""
+        counts, offset, inside = np.zeros(len(self.ids), np.uint8), np.empty(len(self.ids), np.uint16), np.empty(len(self.ids), bool)
+        for ranks, a, last in zip(self.ranks, low.astype(np.uint16), (high - low - 1).tolist(), strict=True):
+            if last >= 0:
+                np.less_equal(np.subtract(ranks, a, out=offset), np.uint16(last), out=inside)  # smaller ranks wrap around
+                counts += inside.view(np.uint8)
+        return counts
 
     def search(self, queries: np.ndarray, own: np.ndarray, k: int, first: float, least: np.ndarray | None) -> list[tuple[np.ndarray, np.ndarray]]:
         """Per query (positions, products) of the k best found, best first, ties to the smaller id.
 
-        least: products that k vectors elsewhere reach already, if known: the radius then starts, and ends, where a product
-        of that size lies. Else it starts at first and grows until k verified vectors lie within it.
+        least: products that are enough, if known: the radius need not go beyond where a product of that size lies, and
+        starts not far below. Else it starts at first.
         """
-        n, m = len(self.ids), len(self.order)
+        n, m = len(self.ids), len(self.values)
         scale = self.longest / np.linalg.norm(queries, axis=1)
         at = np.column_stack([queries * scale[:, None], np.zeros(len(queries))]) @ self.axes
         far = lambda product, s: np.sqrt(np.maximum(0.0, 2 * self.longest**2 - 2 * product * s)) * (1 + 1e-9) + 1e-9 * self.longest
-        radius = np.full(len(queries), first) if least is None else far(least, scale)
-        lows, highs = self.windows(at, radius)
+        limits = np.full(len(queries), np.inf) if least is None else far(least, scale)
+        radii = np.full(len(queries), first) if least is None else limits / GROWTH
+        lows, highs = self.windows(at, radii)
         out = []
         for i, q in enumerate(queries):
-            r, low, high = radius[i], lows[:, i], highs[:, i]
-            fresh = [o[a:b] for o, a, b in zip(self.order, low, high, strict=True)]
-            counts, done = np.zeros(n, np.int64), np.zeros(n, bool)
+            radius, limit, low, high = radii[i], limits[i], lows[i], highs[i]
+            done = np.zeros(n, bool)
             done[np.searchsorted(self.ids, own[i]) : np.searchsorted(self.ids, own[i], side="right")] = True
             goal = min(k, n - int(done.sum()))
             found, products = np.zeros(0, np.int64), np.zeros(0)
             while goal:
-                counts += np.bincount(np.concatenate(fresh), minlength=n)
-                passed = np.nonzero((counts >= SHARE * m) & ~done)[0]
+                passed = np.nonzero((self.collisions(low, high) >= SHARE * m) & ~done)[0]
                 done[passed] = True
+                self.verified += len(passed)
                 found, products = np.append(found, passed), np.append(products, self.x[passed] @ q)
-                if least is not None or (high - low).min() == n:
-                    break
-                grown = r * GROWTH
                 if len(found) >= goal:
-                    distance = far(np.partition(products, len(products) - goal)[len(products) - goal], scale[i])
-                    if distance <= r * (1 + 1e-8) + 1e-8 * self.longest:
-                        break
-                    grown = min(grown, distance)
-                r = grown
-                new_low, new_high = (x[:, 0] for x in self.windows(at[i : i + 1], np.array([r])))
-                fresh = [o[a:b] for o, a, b in zip(self.order, new_low, low, strict=True)] + [o[a:b] for o, a, b in zip(self.order, high, new_high, strict=True)]
-                low, high = new_low, new_high
+                    limit = min(limit, far(np.partition(products, len(products) - goal)[len(products) - goal], scale[i]))
+                if radius >= limit * (1 - 1e-9) or (high - low).min() == n:
+                    break
+                radius = min(radius * GROWTH, limit)
+                low, high = (x[0] for x in self.windows(at[i : i + 1], np.array([radius])))
             best = np.lexsort((self.ids[found], -products))[:k]
             out.append((found[best], products[best]))
         return out
@@ -93,21 +106,22 @@ def nearest(vectors: DataFrame, queries: Column, *, id_col: str = "vec_id", vect
     found among all rows but those with the query's own id, nearest first, ties to the smaller id.
 
     Null, zero or non-finite vectors and null ids take no part; only vectors with as many components are compared. Fewer
-    candidates than k: all of them. Rows that repeat a query's id repeat no result. Empty table: empty result. Work grows
-    with queries times rows, as every query is put to every shard; shards and query blocks are of bounded size.
+    candidates than k: all of them. Of rows that repeat an id each is a candidate, and the shortest, smallest vector asks.
+    Empty table: empty result. Work grows with queries times rows, as every query is put to every shard; shards and query
+    blocks are of bounded size.
     """
     ids = F.col(id_col).cast("long")
     live = vectors.where(usable(F.col(vector_col)) & ids.isNotNull()).select(ids.alias("id"), F.col(vector_col).alias("v"), F.size(vector_col).alias("dim"), F.coalesce(queries, F.lit(False)).alias("q"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     found = {r["dim"]: r for r in live.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.count_if("q").alias("q"), F.max(norm).alias("longest")).collect()}
-    shards = {d: -(-r["n"] // SHARD_ROWS) for d, r in found.items()}
-    blocks = {d: max(1, -(-r["q"] // QUERY_ROWS)) for d, r in found.items()}
+    rows_of = {d: max(SHARD_ROWS, min(MAX_SHARD, int(SHARD_ROOT * r["n"] ** 0.5))) for d, r in found.items()}
+    shards = {d: -(-r["n"] // rows_of[d]) for d, r in found.items()}
+    firsts = {d: max(1, -(-r["q"] // max(1, int(rows_of[d] * FIRST_BLOCK)))) for d, r in found.items()}
+    blocks = {d: max(1, -(-r["q"] // MAX_SHARD)) for d, r in found.items()}
     longest = {d: r["longest"] for d, r in found.items()}
     pick = lambda sizes: F.create_map(*[F.lit(x) for d, n in sizes.items() for x in (d, n)])[F.col("dim")] if sizes else F.lit(1)
-    sides = live.withColumns({"shards": pick(shards), "blocks": pick(blocks)})
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    data = sides.withColumn("shard", F.pmod(F.xxhash64("id"), F.col("shards")).cast("int")).withColumn("block", spread("blocks")).select("dim", "shard", "block", "id", "v")
-    asked = sides.where("q").dropDuplicates(["id"]).withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int")).withColumn("shard", spread("shards")).select("dim", "shard", "block", "id", "v")
+    data = live.withColumn("shard", F.pmod(F.xxhash64("id"), pick(shards)).cast("int"))
+    asked = live.where("q").groupBy("id").agg(F.min(F.struct("dim", "v")).alias("row")).select("id", "row.dim", "row.v")
 
     def search(rows: pa.Table, asking: pa.Table) -> pa.Table:
         out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
@@ -126,16 +140,23 @@ def nearest(vectors: DataFrame, queries: Column, *, id_col: str = "vec_id", vect
                         out["score"] += score.tolist()
         return pa.table(out, schema=pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]))
 
-    def run(which: Column, asked: DataFrame) -> DataFrame:
+    def run(rows: DataFrame, asking: DataFrame, blocks: dict[int, int], to: Column) -> DataFrame:
+        """Each block of queries meets the shards `to`; rows are copied once per block."""
         keys = ["dim", "shard", "block"]
-        asked = asked.where(which).toDF(*asked.columns)  # columns of its own: both sides come from one table
-        return data.where(which).groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(search, "query_id long, vec_id long, score double")
+        rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0), pick(blocks) - 1))).select(*keys, "id", "v")
+        asking = asking.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), pick(blocks)).cast("int")).withColumn("shard", F.explode(to)).select(*keys, "id", "v", "least")
+        asking = asking.toDF(*asking.columns)  # columns of its own: both sides come from one table
+        return rows.groupBy(*keys).cogroup(asking.groupBy(*keys)).applyInArrow(search, "query_id long, vec_id long, score double")
 
-    # One shard, a sample by hash, is searched first: its k-th product bounds how far the others need to look.
+    # One shard, a sample by hash, is searched first. Its j-th product bounds how far the others look, where j is the place
+    # in it of the k-th product of all rows, with two standard deviations to spare; without enough answers, nothing does.
     unknown = F.lit(float("nan"))
-    scouted = materialize(run(F.col("shard") == 0, asked.withColumn("least", unknown)), "ann-scout")
-    bounds = scouted.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("kth")).where(F.col("n") >= k)
-    told = asked.join(materialize(bounds.select("query_id", "kth"), "ann-bounds"), F.col("id") == F.col("query_id"), "left").withColumn("least", F.coalesce("kth", unknown)).drop("query_id", "kth", "n")
-    part = scouted.unionByName(run(F.col("shard") > 0, told))
+    scouted = materialize(run(data.where("shard = 0"), asked.withColumn("least", unknown), firsts, F.array(F.lit(0))), "ann-scout")
+    place = {d: min(k, int(k / n + 2 * (k / n) ** 0.5) + 1) for d, n in shards.items()}
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
+    bounds = scouted.withColumn("nth", nth).select("query_id", F.col("score").alias("kth"), "nth")
+    told = asked.join(materialize(bounds, "ann-bounds"), (F.col("id") == F.col("query_id")) & (F.col("nth") == pick(place)), "left").withColumn("least", F.coalesce("kth", unknown)).drop("query_id", "kth", "nth")
+    others = told.where(pick(shards) > 1)
+    part = scouted.unionByName(run(data.where("shard > 0"), others, blocks, F.sequence(F.lit(1), F.greatest(pick(shards) - 1, F.lit(1)))))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return part.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

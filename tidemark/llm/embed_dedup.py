@@ -1,9 +1,11 @@
 """Near-duplicate embeddings: spherical k-means cells, blocked cosine products within cells, one representative a group.
 
-Centroids are fitted on a bounded sample; every vector is assigned. A pair above the threshold can lie in two cells, so a
-vector is also a guest in each cell whose border with its own is as near as two linked vectors can be apart: no link is
-lost. A cell of any size is compared block by block, and what leaves a block is a count per vector and a spanning star
-per group, never its pairs. Equal vectors are collapsed first and count with their number.
+Centroids are fitted on a sample; every vector is assigned. A pair above the threshold can lie in two cells, so a vector
+may be a guest in each cell whose border with its own is as near as two linked vectors can be apart. Guests come as short
+codes first, coordinates along a few axes of a rotation: no two vectors are nearer than their codes, so a guest whose code
+is near no host's stays out, no link is lost, and whole vectors travel for hosts and the few guests that are left. A cell
+of any size is compared block by block, and what leaves a block is a count per vector and a spanning star per group, never
+its pairs. Equal vectors are collapsed first and count with their number.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -20,7 +22,11 @@ from .components import connected_components
 from .mixing import hash60
 from .vectors import matrix, usable
 
-CELL_ROWS, MAX_CELLS, SAMPLE, BLOCK = 2048, 256, 16_384, 1024
+#: There are as many cells as the root of the number of vectors over CELL_ROOT; centroids are fitted on SAMPLE vectors, and
+#: at least SAMPLE_PER_CELL for each of them.
+CELL_ROOT, SAMPLE, SAMPLE_PER_CELL = 9, 16_384, 32
+#: Axes of a code; rows of one block of codes, and of one block of vectors.
+AXES, CODE_BLOCK, BLOCK = 16, 8192, 2048
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -40,6 +46,24 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) ->
     return centroids
 
 
+def code_axes(x: np.ndarray) -> np.ndarray:
+    """Orthonormal axes along which unit vectors differ most."""
+    values, axes = np.linalg.eigh((x.T @ x) / max(1, len(x)))
+    return axes[:, np.argsort(-values)[:AXES]]
+
+
+def codes_of(x: np.ndarray, axes: np.ndarray) -> np.ndarray:
+    return np.rint(x @ axes * 127).astype(np.int8)
+
+
+def near_codes(guests: np.ndarray, hosts: np.ndarray, reach: float) -> np.ndarray:
+    """Whether each guest's code allows for a host within reach; rounding can bring codes apart by half a step each."""
+    a, b = guests.astype(np.float32), hosts.astype(np.float32)
+    most = 127 * reach + np.sqrt(a.shape[1]) + 1e-3
+    apart = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * (a @ b.T)
+    return apart.min(axis=1, initial=np.inf) <= most * most
+
+
 def cells_of(x: np.ndarray, centroids: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, cell, is own) for the own and guest cells of unit vectors: a vector within reach of one in another cell is
     within reach of the border, the plane that halves the way between the two centroids."""
@@ -80,37 +104,62 @@ def embedding_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_c
     live = src.where(usable(F.col("v")) & F.col("id").isNotNull() & F.col("label").isNotNull()).withColumn("dim", F.size("v"))
     distinct = materialize(live.groupBy("label", "dim", "v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "vec-distinct")
     dims = {r["dim"]: r["n"] for r in distinct.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
-    centroids: dict[int, np.ndarray] = {}
+    fitted: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for dim, n in dims.items():
-        few = distinct.where(F.col("dim") == dim).select("v", hash60(F.col("rep")).alias("h")).where(F.col("h") < int(min(1.0, 1.2 * SAMPLE / n) * 2**60)).limit(SAMPLE)
+        cells = max(1, round(n**0.5 / CELL_ROOT))
+        size = max(SAMPLE, SAMPLE_PER_CELL * cells)
+        few = distinct.where(F.col("dim") == dim).select("v", hash60(F.col("rep")).alias("h")).where(F.col("h") < int(min(1.0, 1.2 * size / n) * 2**60)).limit(size)
         sample = unit(np.array([r["v"] for r in few.collect()], dtype=np.float64).reshape(-1, dim))
-        centroids[dim] = spherical_kmeans(sample, min(MAX_CELLS, max(1, n // CELL_ROWS)))
+        fitted[dim] = spherical_kmeans(sample, cells), code_axes(sample)
     reach = float(np.sqrt(2 - 2 * threshold))
-    held = vectors.sparkSession.sparkContext.broadcast(centroids)
+    held = vectors.sparkSession.sparkContext.broadcast(fitted)
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def assigned(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
+        """Hosts with their whole vectors, or all rows of cells with their codes."""
         for batch in batches:
             dim_of = batch.column(1).to_numpy()
             for dim in np.unique(dim_of).tolist():
+                centroids, axes = held.value[dim]
                 part = batch.filter(pa.array(dim_of == dim))
                 for k in range(0, part.num_rows, 4096):
                     some = part.slice(k, 4096)
-                    row, cell, own = cells_of(unit(matrix(some.column(2), dim)), held.value[dim], reach)
-                    took = some.take(pa.array(row))
-                    yield pa.RecordBatch.from_arrays([*took.columns, pa.array(cell.astype(np.int32)), pa.array(own)], [*batch.schema.names, "cell", "host"])
+                    x = unit(matrix(some.column(2), dim))
+                    if whole:
+                        cell = (x @ centroids.T).argmax(axis=1)
+                        yield pa.RecordBatch.from_arrays([*some.columns, pa.array(cell.astype(np.int32)), pa.array(np.ones(len(cell), bool))], [*batch.schema.names, "cell", "host"])
+                        continue
+                    row, cell, own = cells_of(x, centroids, reach)
+                    codes = [c.tobytes() for c in codes_of(x, axes)[row]]
+                    took = some.select(["label", "dim", "rep"]).take(pa.array(row))
+                    yield pa.RecordBatch.from_arrays([*took.columns, pa.array(codes, pa.binary()), pa.array(cell.astype(np.int32)), pa.array(own)], ["label", "dim", "rep", "v", "cell", "host"])
 
     kind = {f.name: f.dataType.simpleString() for f in distinct.schema.fields}
-    placed = materialize(distinct.select("label", "dim", "v", "rep", "n").mapInArrow(place, f"label {kind['label']}, dim int, v {kind['v']}, rep long, n long, cell int, host boolean"), "vec-placed")
-    # Hosts and all rows of a cell are blocked apart: a host meets every block, a row is met by every block of hosts.
-    many = lambda n: F.greatest(F.ceil(n / BLOCK), F.lit(1)).cast("int")
-    sizes = placed.groupBy("label", "dim", "cell").agg(many(F.count_if("host")).alias("hosts"), many(F.count(F.lit(1))).alias("others"))
-    rows = placed.join(materialize(sizes, "vec-cells"), ["label", "dim", "cell"])
-    block = lambda n, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    cols = ["label", "dim", "cell", "i", "j", "v", "rep", "n"]
-    lefts = rows.where("host").withColumns({"i": block("hosts", 0), "j": every("others")}).select(*cols, F.lit(True).alias("left"))
-    rights = rows.withColumns({"j": block("others", 1), "i": every("hosts")}).select(*cols, F.lit(False).alias("left"))
-    dealt = lefts.unionByName(rights)
+    narrow = distinct.select("label", "dim", "v", "rep", "n")
+    keys = ["label", "dim", "cell"]
+
+    def dealt(rows: DataFrame, others: Column, size: int, *columns: str) -> DataFrame:
+        """Hosts (left) and others of each cell, blocked apart: each block of hosts meets each block of others."""
+        many = lambda n: F.greatest(F.ceil(n / size), F.lit(1)).cast("int")
+        sizes = rows.groupBy(*keys).agg(many(F.count_if("host")).alias("hosts"), many(F.count_if(others)).alias("others"))
+        rows = rows.join(materialize(sizes, "vec-cells"), keys)
+        block = lambda n, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        cols = [*keys, "i", "j", "v", "rep", *columns]
+        lefts = rows.where("host").withColumns({"i": block("hosts", 0), "j": every("others")}).select(*cols, F.lit(True).alias("left"))
+        rights = rows.where(others).withColumns({"j": block("others", 1), "i": every("hosts")}).select(*cols, F.lit(False).alias("left"))
+        return lefts.unionByName(rights).groupBy(*keys, "i", "j")
+
+    def admit(group: pa.Table) -> pa.Table:
+        left = group["left"].to_numpy()
+        rep, codes = group["rep"].to_numpy()[~left], np.frombuffer(b"".join(group["v"].to_pylist()), np.int8).reshape(len(left), -1)
+        near = near_codes(codes[~left], codes[left], reach)
+        return pa.table({"guest": rep[near], "cell": pa.array(np.full(near.sum(), group["cell"][0].as_py()), pa.int32())})
+
+    placed = materialize(narrow.mapInArrow(lambda b: assigned(b, False), f"label {kind['label']}, dim int, rep long, v binary, cell int, host boolean"), "vec-codes")
+    guests = materialize(dealt(placed, ~F.col("host"), CODE_BLOCK).applyInArrow(admit, "guest long, cell int").distinct(), "vec-guests")
+    hosts = narrow.mapInArrow(lambda b: assigned(b, True), f"label {kind['label']}, dim int, v {kind['v']}, rep long, n long, cell int, host boolean")
+    came = narrow.join(guests, F.col("rep") == F.col("guest")).withColumn("host", F.lit(False)).select(*hosts.columns)
+    placed = materialize(hosts.unionByName(came), "vec-placed")
 
     def meet(group: pa.Table) -> pa.Table:
         dim = group["dim"][0].as_py()
@@ -123,7 +172,7 @@ def embedding_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_c
         moved = b != rep[right]
         return pa.table({"rep": np.concatenate([rep[left], rep[right][moved]]), "links": np.concatenate([counts, np.zeros(moved.sum(), np.int64)]).astype(np.int64), "root": np.concatenate([a, b[moved]])})
 
-    met = materialize(dealt.groupBy("label", "dim", "cell", "i", "j").applyInArrow(meet, "rep long, links long, root long"), "vec-met")
+    met = materialize(dealt(placed, F.lit(True), BLOCK, "n").applyInArrow(meet, "rep long, links long, root long"), "vec-met")
     counts = met.groupBy("rep").agg(F.sum("links").alias("links"))
     parts = materialize(connected_components(met.where("rep != root").select(F.col("rep").alias("a"), F.col("root").alias("b"))), "vec-parts")
     known = distinct.join(counts, "rep", "left").join(parts, F.col("rep") == F.col("node"), "left")
