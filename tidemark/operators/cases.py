@@ -161,6 +161,11 @@ def ego_network(scored: DataFrame, entity_id: str, max_nodes: int = 45) -> DataF
 
 
 def register_fingerprint(register: DataFrame) -> DataFrame:
-    """SHA-256 over the rows' hashes in sorted order: one short hash per case meets in the last step."""
-    cols = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in sorted(register.columns)]
-    return register.select(F.sha2(F.concat_ws("\x1f", *cols), 256).alias("h")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("fingerprint"))
+    """SHA-256 over the digests of the rows' hashes: rows meet by the first three digits of their hash and the 4,096 digests
+    of these in the last step, so no task holds more than a share of the rows. Doubles count to six digits."""
+    shown = lambda f: F.col(f.name).cast("decimal(38,6)").cast("string") if f.dataType.typeName() == "double" else F.col(f.name).cast("string")
+    cols = [F.coalesce(shown(f), F.lit("")) for f in sorted(register.schema.fields, key=lambda f: f.name)]
+    rows = register.select(F.sha2(F.concat_ws("\x1f", *cols), 256).alias("h"))
+    digest = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), ""), 256)
+    parts = rows.groupBy(F.substring("h", 1, 3).alias("p")).agg(digest("h").alias("d"))
+    return parts.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "d"))), lambda x: x["d"]), ""), 256).alias("fingerprint"))

@@ -7,6 +7,7 @@ grid step or distinct score, not per payment.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import factorial
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -14,11 +15,7 @@ from pyspark.sql import functions as F
 
 from ..config import RULES, PolicyConfig, ScoreConfig
 from .frames import with_frame
-
-
-def whole_table():
-    """The frame of all rows, for tables of few rows."""
-    return Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+from .running import with_ranked
 
 
 def safe(n: Column, d: Column) -> Column:
@@ -37,14 +34,11 @@ def folds(entities: DataFrame, n: int = 5, seed: str = "folds") -> DataFrame:
 
 def percentile_against_train(scores: DataFrame, value: str, n_folds: int = 5) -> DataFrame:
     """scores plus model_component: the share of the rows of the other folds whose value is at most the row's."""
-    counts = scores.groupBy(F.col(value).alias("_v")).agg(*[F.count_if(F.col("fold") == k).alias(f"_n{k}") for k in range(n_folds)])
-    upto = Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total = [F.sum(f"_n{k}") for k in range(n_folds)]
-    shares = []
-    for k in range(n_folds):
-        others = [j for j in range(n_folds) if j != k]
-        shares.append(safe(sum((F.sum(f"_n{j}").over(upto) for j in others), F.lit(0)), sum((total[j].over(whole_table()) for j in others), F.lit(0))))
-    lookup = counts.select("_v", F.array(*shares).alias("_shares"))
+    names = [f"_n{k}" for k in range(n_folds)]
+    counts = scores.groupBy(F.col(value).alias("_v")).agg(*[F.count_if(F.col("fold") == k).alias(names[k]) for k in range(n_folds)])
+    ranked = with_ranked(counts, "_v", names)
+    rest = lambda prefix, k: sum((F.col(f"{prefix}_{n}") for j, n in enumerate(names) if j != k), F.lit(0))
+    lookup = ranked.select("_v", F.array(*[safe(rest("upto", k), rest("all", k)) for k in range(n_folds)]).alias("_shares"))
     return scores.join(lookup, F.col(value) == F.col("_v")).withColumn("model_component", F.element_at("_shares", F.col("fold") + 1)).drop("_v", "_shares")
 
 
@@ -164,9 +158,8 @@ def ablation(scored: DataFrame, cfg: ScoreConfig | None = None) -> DataFrame:
 def ranking_metrics(scored: DataFrame, score: str = "risk_score", by: Sequence[str] = ()) -> DataFrame:
     """Average precision as a step sum over distinct scores, tie-aware ROC AUC, and prevalence."""
     counts = scored.groupBy(*by, F.col(score).alias("s")).agg(F.sum("is_suspicious").alias("pos"), F.count(F.lit(1)).alias("n"))
-    down = Window.partitionBy(*by).orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(*by)
-    steps = counts.select(*by, "pos", "n", F.sum("pos").over(down).alias("tp"), F.sum("n").over(down).alias("flagged"), F.sum("pos").over(whole).alias("p"), F.sum("n").over(whole).alias("all"))
+    ranked = with_ranked(counts, "s", ["pos", "n"], by, down=True)
+    steps = ranked.select(*by, "pos", "n", F.col("upto_pos").alias("tp"), F.col("upto_n").alias("flagged"), F.col("all_pos").alias("p"), F.col("all_n").alias("all"))
     neg = F.col("n") - F.col("pos")
     above = F.col("tp") - F.col("pos")
     return steps.groupBy(*by).agg(
@@ -203,16 +196,15 @@ def missed_cases(scored: DataFrame, threshold: float) -> DataFrame:
 def average_rank(df: DataFrame, value: str) -> DataFrame:
     """df plus average_rank: the mean rank of a row's ties as a share of all rows; one row per distinct value is ordered."""
     counts = df.groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    upto = F.sum("_n").over(Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranks = counts.select("_v", ((upto - F.col("_n") + (F.col("_n") + 1) / 2.0) / F.sum("_n").over(whole_table())).alias("average_rank"))
+    ranks = with_ranked(counts, "_v", ["_n"]).select("_v", ((F.col("upto__n") - F.col("_n") + (F.col("_n") + 1) / 2.0) / F.col("all__n")).alias("average_rank"))
     return df.join(ranks, F.col(value) == F.col("_v")).drop("_v")
 
 
 def best_amount_f1(payments: DataFrame) -> DataFrame:
     """The best F1 that a threshold on the amount alone reaches, and that threshold; of equals the higher one."""
     counts = payments.groupBy("amount_cents").agg(F.sum("is_suspicious").alias("pos"), F.count(F.lit(1)).alias("n"))
-    down = Window.orderBy(F.desc("amount_cents")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    steps = counts.select("amount_cents", F.sum("pos").over(down).alias("tp"), F.sum("n").over(down).alias("flagged"), F.sum("pos").over(whole_table()).alias("p"))
+    ranked = with_ranked(counts, "amount_cents", ["pos", "n"], down=True)
+    steps = ranked.select("amount_cents", F.col("upto_pos").alias("tp"), F.col("upto_n").alias("flagged"), F.col("all_pos").alias("p"))
     f1 = safe(2 * F.col("tp"), F.col("flagged") + F.col("p"))
     best = F.max(F.struct(f1.alias("f1"), "amount_cents"))
     return steps.agg(best.alias("b")).select(F.col("b.f1").alias("best_f1"), F.col("b.amount_cents").alias("threshold_cents"))
@@ -251,7 +243,11 @@ def priority(score: Column, policy: PolicyConfig) -> tuple[Column, Column]:
     return name.cast("string"), hours.cast("int")
 
 
-def bootstrap(scored: DataFrame, threshold: float, draws: int = 500, seed: int = 7) -> DataFrame:
+#: A hash below 2^30 counts as often as it reaches these: Poisson(1).
+POISSON = [round(2**30 * x) for x in np.cumsum([np.exp(-1.0) / factorial(k) for k in range(8)])]
+
+
+def bootstrap(scored: DataFrame, threshold: float, draws: int = 2000, seed: int = 7) -> DataFrame:
     """metric, mean, low, high: 95 % intervals from entities drawn with replacement.
 
     Each entity's weight in a draw is Poisson(1) by a hash of entity and draw, so draws need no global order and are summed
@@ -260,9 +256,8 @@ def bootstrap(scored: DataFrame, threshold: float, draws: int = 500, seed: int =
     y, f = F.col("is_suspicious") == 1, F.col("risk_score") >= threshold
     ent = scored.groupBy("entity_id").agg(F.count_if(f & y).alias("tp"), F.count_if(f & ~y).alias("fp"), F.count_if(~f & y).alias("fn"), F.bool_or(y).alias("case"), F.bool_or(f).alias("alert"))
     drawn = ent.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    u = F.pmod(F.xxhash64("entity_id", "draw", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    steps = np.cumsum([np.exp(-1.0) / float(np.prod(range(1, k + 1)) or 1) for k in range(8)])
-    w = sum(((u >= F.lit(float(s))).cast("int") for s in steps), F.lit(0))
+    u = hash15(F.lit(f"draw{seed}"), F.col("entity_id"), F.col("draw").cast("string")) % (1 << 30)
+    w = sum(((u >= F.lit(step)).cast("int") for step in POISSON), F.lit(0))
     c, a = F.col("case"), F.col("alert")
     sums = drawn.withColumn("w", w).groupBy("draw").agg(*[F.sum(F.col("w") * x.cast("int")).alias(n) for n, x in {"tp": F.col("tp"), "fp": F.col("fp"), "fn": F.col("fn"), "etp": c & a, "efp": ~c & a, "efn": c & ~a}.items()])
     metrics = F.map_from_arrays(F.array(*[F.lit(m) for m in ("txn_precision", "txn_recall", "entity_precision", "entity_recall")]), F.array(safe(F.col("tp"), F.col("tp") + F.col("fp")), safe(F.col("tp"), F.col("tp") + F.col("fn")), safe(F.col("etp"), F.col("etp") + F.col("efp")), safe(F.col("etp"), F.col("etp") + F.col("efn"))))
@@ -285,7 +280,7 @@ folded AS (
   SELECT x.v, x.k, CAST(SUM(c.n) AS DOUBLE) / (SELECT SUM(tn) FROM tot WHERE tk <> x.k) AS share
   FROM (SELECT DISTINCT anomaly AS v, fold AS k FROM folded) x JOIN cnt c ON c.v <= x.v AND c.k <> x.k GROUP BY x.v, x.k
 ), scored AS (
-  SELECT t.*, h.R1_STRUCTURING, h.R2_LAYERING, h.R3_SMURFING, h.R4_ROUND_DOLLAR, h.R5_DORMANT, h.n_rules_fired, d.fold, d.anomaly, COALESCE(c.share, 0) AS model_component,
+  SELECT t.*, h.R1_STRUCTURING, h.R2_LAYERING, h.R3_SMURFING, h.R4_ROUND_DOLLAR, h.R5_DORMANT, h.n_rules_fired, h.reason_codes, d.fold, d.anomaly, COALESCE(c.share, 0) AS model_component,
     least(CAST(h.n_rules_fired AS DOUBLE) / 2, 1.0::DOUBLE) AS rule_component,
     100.0::DOUBLE * (0.6::DOUBLE * least(CAST(h.n_rules_fired AS DOUBLE) / 2, 1.0::DOUBLE) + 0.4::DOUBLE * COALESCE(c.share, 0)) AS risk_score
   FROM transactions t JOIN rule_hits h ON h.transaction_id = t.transaction_id JOIN folded d ON d.transaction_id = t.transaction_id LEFT JOIN cumul c ON c.v = d.anomaly AND c.k = d.fold

@@ -156,6 +156,10 @@ def apply_rules(payments: DataFrame, features: DataFrame, cfg: RuleConfig | None
 
 def rules_sql(senders: int = 8) -> str:
     """The rules' rows as SQL, after transactions and features."""
+    money = lambda cents: f"'$' || format('{{:,.2f}}', CAST({cents} AS DOUBLE) / 100)"
+    number = lambda x, digits: f"format('{{:,.{digits}f}}', {x})"
+    share = lambda x: f"{number(f'({x}) * 100', 0)} || '%'"
+    through, mean = "CAST(out_cents AS DOUBLE) / in_cents", "CAST(total_cents AS DOUBLE) / payments"
     return f"""
 cash1 AS (
   SELECT transaction_id, entity_id, txn_epoch, amount_cents FROM transactions WHERE is_cash = 1 AND direction = 'inbound' AND amount_cents BETWEEN 750000 AND 999999
@@ -163,7 +167,8 @@ cash1 AS (
   SELECT a.transaction_id AS anchor, a.entity_id, a.txn_epoch, COUNT(*) AS n, CAST(SUM(b.amount_cents) AS BIGINT) AS total, MAX(b.txn_epoch) - a.txn_epoch AS span
   FROM cash1 a JOIN cash1 b ON a.entity_id = b.entity_id AND b.txn_epoch BETWEEN a.txn_epoch AND a.txn_epoch + 604800 GROUP BY 1, 2, 3 HAVING COUNT(*) >= 3
 ), r1 AS (
-  SELECT transaction_id, n AS deposits, total AS total_cents, span AS span_seconds FROM (
+  SELECT transaction_id, n AS deposits, total AS total_cents, span AS span_seconds,
+    'R1_STRUCTURING: ' || n || ' cash deposits totalling ' || {money("total")} || ' in ' || {number("span / 86400.0::DOUBLE", 1)} || ' days, each between $7,500 and $10,000' AS reason FROM (
     SELECT c.transaction_id, w.n, w.total, w.span, row_number() OVER (PARTITION BY c.transaction_id ORDER BY w.n DESC, w.txn_epoch ASC, w.total DESC) AS k
     FROM cash1 c JOIN w1 w ON c.entity_id = w.entity_id AND c.txn_epoch BETWEEN w.txn_epoch AND w.txn_epoch + 604800) WHERE k = 1
 ), p2a AS (
@@ -176,7 +181,8 @@ cash1 AS (
 ), m2 AS (
   SELECT anchor AS transaction_id, w2.* FROM w2 UNION ALL SELECT p.leg AS transaction_id, w2.* FROM w2 JOIN p2a p ON p.anchor = w2.anchor
 ), r2 AS (
-  SELECT transaction_id, anchor AS anchor_id, legs, CAST(counterparties AS INTEGER) AS counterparties, out_cents, in_cents, last_seconds FROM (
+  SELECT transaction_id, anchor AS anchor_id, legs, CAST(counterparties AS INTEGER) AS counterparties, out_cents, in_cents, last_seconds,
+    'R2_LAYERING: ' || {money("in_cents")} || ' inbound dispersed to ' || counterparties || ' counterparties in ' || legs || ' transfers within ' || {number("last_seconds / 3600.0::DOUBLE", 0)} || 'h, ' || {share(through)} || ' passed through' AS reason FROM (
     SELECT *, row_number() OVER (PARTITION BY transaction_id ORDER BY aepoch DESC, anchor DESC) AS k FROM m2) WHERE k = 1
 ), p3 AS (
   SELECT a.transaction_id AS anchor, a.txn_epoch AS aepoch, b.transaction_id AS member, b.txn_epoch AS mepoch, b.amount_cents AS mcents, b.counterparty_id AS mcp
@@ -187,13 +193,16 @@ cash1 AS (
     SELECT anchor, aepoch, COUNT(*) AS payments, COUNT(DISTINCT mcp) AS senders, CAST(SUM(mcents) AS BIGINT) AS total_cents, SUM(CAST(mcents AS HUGEINT) * mcents) AS squares, MAX(mepoch) - aepoch AS last_seconds
     FROM p3 GROUP BY 1, 2)
 ), r3 AS (
-  SELECT transaction_id, anchor AS anchor_id, CAST(senders AS INTEGER) AS senders, payments, total_cents, cv, last_seconds FROM (
+  SELECT transaction_id, anchor AS anchor_id, CAST(senders AS INTEGER) AS senders, payments, total_cents, cv, last_seconds,
+    'R3_SMURFING: ' || senders || ' distinct senders paid in ' || {money("total_cents")} || ' over ' || {number("last_seconds / 3600.0::DOUBLE", 0)} || 'h, amounts within ' || {share("cv")} || ' of each other (avg ' || {money(mean)} || ')' AS reason FROM (
     SELECT p.member AS transaction_id, w.*, row_number() OVER (PARTITION BY p.member ORDER BY w.aepoch DESC, w.anchor DESC) AS k
     FROM w3 w JOIN p3 p ON p.anchor = w.anchor WHERE w.senders >= {senders} AND CAST(w.total_cents AS DOUBLE) / w.payments <= 500000 AND w.cv < 0.35) WHERE k = 1
 ), r4 AS (
-  SELECT transaction_id FROM features WHERE is_round_amount = 1 AND amount_zscore_entity >= 2.0 AND prior_txn_count >= 10
+  SELECT transaction_id, 'R4_ROUND_DOLLAR: ' || {money("amount_cents")} || ' is an exact $1,000 multiple and ' || {number("amount_zscore_entity", 1)} || ' standard deviations above this entity''s own historical average' AS reason FROM features WHERE is_round_amount = 1 AND amount_zscore_entity >= 2.0 AND prior_txn_count >= 10
 ), r5 AS (
-  SELECT transaction_id, CAST(amount_cents AS DOUBLE) / prior_mean_cents AS multiple FROM features WHERE prior_mean_cents > 0 AND days_since_prev_txn >= 90 AND CAST(amount_cents AS DOUBLE) / prior_mean_cents >= 4.0
+  SELECT transaction_id, CAST(amount_cents AS DOUBLE) / prior_mean_cents AS multiple,
+    'R5_DORMANT: ' || {money("amount_cents")} || ' after ' || {number("days_since_prev_txn", 0)} || ' days of no activity, ' || {number("CAST(amount_cents AS DOUBLE) / prior_mean_cents", 1)} || 'x the entity''s historical average of ' || {money("prior_mean_cents")} AS reason
+  FROM features WHERE prior_mean_cents > 0 AND days_since_prev_txn >= 90 AND CAST(amount_cents AS DOUBLE) / prior_mean_cents >= 4.0
 ), cash7 AS (
   SELECT transaction_id, entity_id, txn_epoch, amount_cents FROM transactions WHERE is_cash = 1 AND direction = 'inbound'
 ), w7e AS (
@@ -203,7 +212,7 @@ cash1 AS (
   SELECT DISTINCT c.transaction_id, c.entity_id FROM cash7 c JOIN w7e w ON c.entity_id = w.entity_id AND c.txn_epoch BETWEEN w.txn_epoch - 86400 AND w.txn_epoch
 ), hits AS (
   SELECT t.transaction_id, r1.transaction_id IS NOT NULL AS R1_STRUCTURING, r2.transaction_id IS NOT NULL AS R2_LAYERING, r3.transaction_id IS NOT NULL AS R3_SMURFING,
-    r4.transaction_id IS NOT NULL AS R4_ROUND_DOLLAR, r5.transaction_id IS NOT NULL AS R5_DORMANT
+    r4.transaction_id IS NOT NULL AS R4_ROUND_DOLLAR, r5.transaction_id IS NOT NULL AS R5_DORMANT, concat_ws(' | ', r1.reason, r2.reason, r3.reason, r4.reason, r5.reason) AS reason_codes
   FROM transactions t LEFT JOIN r1 ON r1.transaction_id = t.transaction_id LEFT JOIN r2 ON r2.transaction_id = t.transaction_id LEFT JOIN r3 ON r3.transaction_id = t.transaction_id
     LEFT JOIN r4 ON r4.transaction_id = t.transaction_id LEFT JOIN r5 ON r5.transaction_id = t.transaction_id
 ), rule_hits AS (

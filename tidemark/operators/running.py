@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: How what earlier spans add up to (a) and the own span's part (b) combine.
@@ -56,3 +56,27 @@ def with_running(
     if before:
         joined = joined.selectExpr(*events.columns, "_span", *[f"_c_{name}" for name in at], *[value(name, prior) for name in before])
     return joined.selectExpr(*events.columns, *before, *[value(name, upto) for name in at])
+
+
+def with_ranked(counts: DataFrame, value: str, sums: Sequence[str], by: Sequence[str] = (), down: bool = False, ranges: int = 256) -> DataFrame:
+    """counts plus, for each column of sums, upto_<column>: its sum over values up to the row's own (from the largest down, if
+    down), and all_<column>: its sum over all. counts: one row per group and value, values neither null nor NaN.
+
+    A global order in one task is avoided: values are cut into ranges at approximate quantiles, each range is a window of
+    its own, and what the ranges before add up to comes from a table of one row per group and range.
+    """
+    from pyspark.ml.feature import Bucketizer
+
+    shares = F.array(*[F.lit(k / ranges) for k in range(1, ranges)])
+    cuts = counts.agg(F.percentile_approx(F.col(value).cast("double"), shares, 10_000)).first()[0] or []
+    splits = [-float("inf"), *sorted(set(cuts)), float("inf")]
+    dealt = counts.withColumn("_at", F.col(value).cast("double"))
+    dealt = Bucketizer(splits=splits, inputCol="_at", outputCol="_range").transform(dealt) if len(splits) > 2 else dealt.withColumn("_range", F.lit(0.0))
+    totals = dealt.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_s_{c}") for c in sums])
+    order = F.desc if down else F.asc
+    before = Window.partitionBy(*by).orderBy(order("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*by)
+    carried = totals.select(*by, "_range", *[F.coalesce(F.sum(f"_s_{c}").over(before), F.lit(0)).alias(f"_c_{c}") for c in sums], *[F.sum(f"_s_{c}").over(whole).alias(f"all_{c}") for c in sums])
+    inside = Window.partitionBy(*by, "_range").orderBy(order(value)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    joined = dealt.join(carried, [*by, "_range"])
+    return joined.select(*counts.columns, *[(F.col(f"_c_{c}") + F.sum(c).over(inside)).alias(f"upto_{c}") for c in sums], *[f"all_{c}" for c in sums])

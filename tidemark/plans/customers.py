@@ -31,8 +31,20 @@ act AS (
   FROM transactions, (SELECT greatest(1.0::DOUBLE, (MAX(txn_epoch) - MIN(txn_epoch)) / (86400 * 30.4375::DOUBLE)) AS m FROM transactions) GROUP BY entity_id, m
 )"""
 SEG = "CASE segment " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in K.segment_points.items()) + " END"
+FACTORS = "concat_ws('; ', " + ", ".join(
+    f"CASE WHEN {cond} THEN '{name} +{points}' END" for name, cond, points in (
+        ("business", "e.entity_type = 'business'", 1), ("SEGMENT", "", 0), ("domestic_pep_or_hio", "pep_status = 'domestic_pep_or_hio'", 2), ("non_face_to_face", "onboarding_channel = 'non_face_to_face'", 1), ("adverse_media", "adverse_media", 3),
+        ("layered_ownership", "layered_ownership", 2), ("opaque_jurisdiction", "opaque_jurisdiction", 2), ("no_25pct_owner", "no_25pct_owner", 1),
+        ("activity_over_3x_declared", "COALESCE(actual_monthly_inflow_cad, 0) / declared_monthly_inflow_cad > 3", 2), ("activity_over_1_5x_declared", "COALESCE(actual_monthly_inflow_cad, 0) / declared_monthly_inflow_cad > 1.5 AND COALESCE(actual_monthly_inflow_cad, 0) / declared_monthly_inflow_cad <= 3", 1),
+        ("cash_over_half_of_inflows", "cash_share_of_inflows > 0.5", 1), ("wires_over_fifth_of_outflows", "wire_share_of_outflows > 0.2", 1),
+        ("monitoring_alert", "e.entity_id IN (SELECT t.entity_id FROM transactions t JOIN rule_hits h ON h.transaction_id = t.transaction_id WHERE n_rules_fired > 0)", 2),
+    )
+) + ")"
+FACTORS = FACTORS.replace("CASE WHEN  THEN 'SEGMENT +0' END", f"CASE WHEN {SEG} > 0 THEN 'segment:' || segment || ' +' || {SEG} END")
+EDD = """concat_ws(' | ', CASE WHEN pep_status = 'foreign_pep' THEN 'foreign PEP: source of funds, senior approval, enhanced monitoring' END, CASE WHEN refresh_rating = 'High' THEN 'high risk: enhanced measures and monitoring' END,
+  CASE WHEN biz AND noown THEN 'no owner at the line: verify the most senior managing officer' END, CASE WHEN biz AND circ THEN 'circular ownership: obtain the structure chart' END)"""
 RISK = f"""{ALL}, {CHAINS}, {ACTIVITY}, base AS (
-  SELECT e.entity_id, e.entity_type, e.segment, p.pep_status, p.declared_monthly_inflow_cad, COALESCE(actual_monthly_inflow_cad, 0.0::DOUBLE) AS actual_monthly_inflow_cad, e.entity_type = 'business' AS biz, COALESCE(no_25pct_owner, FALSE) AS noown, COALESCE(circular_ownership, FALSE) AS circ,
+  SELECT e.entity_id, e.entity_type, e.segment, p.pep_status, p.declared_monthly_inflow_cad, COALESCE(actual_monthly_inflow_cad, 0.0::DOUBLE) AS actual_monthly_inflow_cad, e.entity_type = 'business' AS biz, COALESCE(no_25pct_owner, FALSE) AS noown, COALESCE(circular_ownership, FALSE) AS circ, {FACTORS} AS factors,
     CASE WHEN e.entity_type = 'business' THEN 1 ELSE 0 END + {SEG} + CASE WHEN pep_status = 'domestic_pep_or_hio' THEN 2 ELSE 0 END + CASE WHEN onboarding_channel = 'non_face_to_face' THEN 1 ELSE 0 END + CASE WHEN adverse_media THEN 3 ELSE 0 END
       + CASE WHEN layered_ownership THEN 2 ELSE 0 END + CASE WHEN opaque_jurisdiction THEN 2 ELSE 0 END + CASE WHEN no_25pct_owner THEN 1 ELSE 0 END AS onp,
     CASE WHEN COALESCE(actual_monthly_inflow_cad, 0) / declared_monthly_inflow_cad > 3 THEN 2 WHEN COALESCE(actual_monthly_inflow_cad, 0) / declared_monthly_inflow_cad > 1.5 THEN 1 ELSE 0 END + CASE WHEN cash_share_of_inflows > 0.5 THEN 1 ELSE 0 END
@@ -42,7 +54,7 @@ RISK = f"""{ALL}, {CHAINS}, {ACTIVITY}, base AS (
   SELECT *, CAST(onp AS INTEGER) AS onboarding_points, CAST(onp + more AS INTEGER) AS refresh_points, CASE WHEN pep_status = 'foreign_pep' OR onp >= 6 THEN 'High' WHEN onp >= 3 THEN 'Medium' ELSE 'Low' END AS onboarding_rating,
     CASE WHEN pep_status = 'foreign_pep' OR onp + more >= 6 THEN 'High' WHEN onp + more >= 3 THEN 'Medium' ELSE 'Low' END AS refresh_rating FROM base
 ), risk2 AS (
-  SELECT *, pep_status = 'foreign_pep' OR refresh_rating = 'High' OR (biz AND noown) OR (biz AND circ) AS edd_required, CASE refresh_rating WHEN 'High' THEN '2027-07-31' WHEN 'Medium' THEN '2028-07-31' ELSE '2029-07-31' END AS next_review FROM risk)"""
+  SELECT *, pep_status = 'foreign_pep' OR refresh_rating = 'High' OR (biz AND noown) OR (biz AND circ) AS edd_required, {EDD} AS edd_reasons, CASE refresh_rating WHEN 'High' THEN '2027-07-31' WHEN 'Medium' THEN '2028-07-31' ELSE '2029-07-31' END AS next_review FROM risk)"""
 
 
 def ents(s, d):
@@ -66,7 +78,7 @@ def risk1(s, d):
 register("beneficial_owners", lambda s, d: owners1(s, d)[0], f"{ALL}, {CHAINS} SELECT entity_id, person_id, round(share, 6) AS effective_share, share >= 0.25 - 1e-12 AS is_beneficial_owner, chains, example_chain FROM per")
 register("ownership_flags", lambda s, d: owners1(s, d)[1], f"{ALL}, {CHAINS} SELECT * FROM ownf")
 register("activity_ratios", lambda s, d: c.activity(p1(s, d)), f"{ALL}, {ACTIVITY} SELECT aid AS entity_id, * EXCLUDE (aid) FROM act")
-register("customer_risk", lambda s, d: risk1(s, d).drop("factors", "edd_reasons"), f"{RISK} SELECT entity_id, entity_type, segment, pep_status, onboarding_points, onboarding_rating, refresh_points, refresh_rating, declared_monthly_inflow_cad, actual_monthly_inflow_cad, edd_required, next_review FROM risk2")
+register("customer_risk", lambda s, d: risk1(s, d), f"{RISK} SELECT entity_id, entity_type, segment, pep_status, onboarding_points, onboarding_rating, refresh_points, refresh_rating, declared_monthly_inflow_cad, actual_monthly_inflow_cad, factors, edd_required, edd_reasons, next_review FROM risk2")
 register("rating_migration", lambda s, d: c.migration(risk1(s, d)), f"""{RISK} SELECT r AS onboarding_rating, COUNT(*) FILTER (WHERE refresh_rating = 'Low') AS "Low", COUNT(*) FILTER (WHERE refresh_rating = 'Medium') AS "Medium", COUNT(*) FILTER (WHERE refresh_rating = 'High') AS "High"
   FROM (SELECT unnest(['Low', 'Medium', 'High']) AS r) LEFT JOIN risk2 ON onboarding_rating = r GROUP BY 1""")
 register("rating_counts", lambda s, d: c.rating_counts(risk1(s, d), "refresh_rating"), f"{RISK} SELECT r AS rating, COUNT(entity_id) AS customers FROM (SELECT unnest(['Low', 'Medium', 'High']) AS r) LEFT JOIN risk2 ON refresh_rating = r GROUP BY 1")

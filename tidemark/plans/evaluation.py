@@ -82,7 +82,7 @@ def typology_sql(by: str, where: str, r1: bool) -> str:
     FROM (SELECT {by}, case_id, COUNT(*) AS n, SUM(CASE WHEN risk_score >= {AT} THEN 1 ELSE 0 END) AS fl, bool_or(risk_score >= {AT}) AS caught, bool_or(R1_STRUCTURING) AS r1 FROM scored WHERE {where} GROUP BY 1, 2) GROUP BY 1"""
 
 
-register("scored", lambda s, d: scored1(s, d).drop("reason_codes"), f"{SCORED} SELECT * FROM scored")
+register("scored", lambda s, d: scored1(s, d), f"{SCORED} SELECT * FROM scored")
 register("threshold_sweep", lambda s, d: ev.sweep(scored1(s, d)), f"{SWEEP} SELECT * FROM sw")
 register("cheapest_threshold", lambda s, d: ev.cheapest(ev.sweep(scored1(s, d))), f"{SWEEP} SELECT * FROM sw {CHEAPEST}")
 register("evaluate_flags", lambda s, d: ev.baseline_comparison(scored1(s, d), AT), f"{SCORED} {flags_sql('layered', f'risk_score >= {AT}')} UNION ALL {flags_sql('naive', 'amount_cents > 1000000')}")
@@ -132,4 +132,14 @@ register(
       CAST(SUM(is_suspicious) AS DOUBLE) / COUNT(*) AS prevalence, MIN(txn_datetime) AS first_txn, MAX(txn_datetime) AS last_txn, CAST(SUM(amount_cents) AS BIGINT) AS total_cents FROM transactions""",
 )
 register("headline_at_threshold", lambda s, d: ev.sweep(scored1(s, d)).withColumn("gap", F.abs(F.col("threshold") - 39.62)).orderBy("gap", "threshold").limit(1).drop("gap"), f"{SWEEP} SELECT * FROM sw ORDER BY abs(threshold - 39.62), threshold LIMIT 1")
-register("bootstrap_intervals", lambda s, d: ev.bootstrap(scored1(s, d), AT))
+register(
+    "bootstrap_intervals",
+    lambda s, d: ev.bootstrap(scored1(s, d), AT).select("metric", *[F.round(c, 9).alias(c) for c in ("mean", "low", "high")], "draws"),
+    f"""{SCORED}, be AS (SELECT entity_id, COUNT(*) FILTER (WHERE f AND y) AS tp, COUNT(*) FILTER (WHERE f AND NOT y) AS fp, COUNT(*) FILTER (WHERE NOT f AND y) AS fn, bool_or(y) AS c, bool_or(f) AS a
+      FROM (SELECT entity_id, is_suspicious = 1 AS y, risk_score >= {AT} AS f FROM scored) GROUP BY 1),
+    bu AS (SELECT be.*, draw, CAST('0x' || substr(md5('draw7|' || entity_id || '|' || draw), 1, 15) AS BIGINT) % 1073741824 AS u FROM be, (SELECT unnest(generate_series(1, 2000)) AS draw)),
+    bw AS (SELECT *, {" + ".join(f"CAST(u >= {x} AS INTEGER)" for x in ev.POISSON)} AS w FROM bu),
+    bs AS (SELECT draw, SUM(w * tp) AS tp, SUM(w * fp) AS fp, SUM(w * fn) AS fn, SUM(CASE WHEN c AND a THEN w ELSE 0 END) AS etp, SUM(CASE WHEN a AND NOT c THEN w ELSE 0 END) AS efp, SUM(CASE WHEN c AND NOT a THEN w ELSE 0 END) AS efn FROM bw GROUP BY 1),
+    bm AS ({" UNION ALL ".join(f"SELECT '{m}' AS metric, CASE WHEN {p} + {q} > 0 THEN CAST({p} AS DOUBLE) / ({p} + {q}) ELSE 0.0::DOUBLE END AS v FROM bs" for m, p, q in (("txn_precision", "tp", "fp"), ("txn_recall", "tp", "fn"), ("entity_precision", "etp", "efp"), ("entity_recall", "etp", "efn")))})
+    SELECT metric, round(AVG(v), 9) AS mean, round(quantile_cont(v, 0.025), 9) AS low, round(quantile_cont(v, 0.975), 9) AS high, COUNT(*) AS draws FROM bm GROUP BY 1""",
+)

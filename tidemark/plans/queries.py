@@ -19,16 +19,24 @@ REGISTRY: dict[str, tuple[Query, str | None]] = {}
 LOOSE = replace(RuleConfig(), r3_senders=3)
 E_SQL, L_SQL = f"WITH {EVENTS_SQL}, {FEATURES_SQL}", f"WITH {LINEITEM_SQL}, {FEATURES_SQL}"
 E_RULES = f"{E_SQL}, {rules.rules_sql(3)}"
-_HELD: dict[tuple[str, str, str], DataFrame] = {}
+_HELD: dict[tuple[str, str, str, int], DataFrame] = {}
 
 
 def register(name: str, query: Query, sql: str | None = None) -> None:
     REGISTRY[name] = (query, sql)
 
 
+def folder_state(spark: SparkSession, sf_dir: str) -> int:
+    """A hash of the names, sizes and times of the files in a folder and the folders in it, so that rewritten data are read anew."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    seen = [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for top in files.listStatus(path) for f in (files.listStatus(top.getPath()) if top.isDirectory() else [top])]
+    return hash(tuple(sorted(seen)))
+
+
 def held(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """A table that several queries start from, written once per session and data folder."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    """A table that several queries start from, written once per session and state of the data folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, name, folder_state(spark, sf_dir))
     if key not in _HELD:
         _HELD[key] = materialize(make(), name)
     return _HELD[key]
@@ -48,14 +56,14 @@ def hits1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 register("features_events", lambda s, d: features(p1(s, d)), f"{E_SQL} SELECT * FROM features")
 register("features_lineitem", lambda s, d: features(payments_from_lineitem(s, d)), f"{L_SQL} SELECT * FROM features")
-register("rule_structuring", lambda s, d: rules.structuring(p1(s, d)).drop("reason"), f"{E_RULES} SELECT * FROM r1")
-register("rule_layering", lambda s, d: rules.layering(p1(s, d)).drop("reason"), f"{E_RULES} SELECT * FROM r2")
-register("rule_smurfing", lambda s, d: rules.smurfing(p1(s, d), LOOSE).drop("reason"), f"{E_RULES} SELECT * FROM r3")
-register("rule_round_dollar", lambda s, d: rules.round_dollar(f1(s, d)).drop("reason"), f"{E_RULES} SELECT * FROM r4")
-register("rule_dormant_lineitem", lambda s, d: rules.dormant(features(payments_from_lineitem(s, d))).drop("reason"), f"{L_SQL}, {rules.rules_sql()} SELECT * FROM r5")
+register("rule_structuring", lambda s, d: rules.structuring(p1(s, d)), f"{E_RULES} SELECT * FROM r1")
+register("rule_layering", lambda s, d: rules.layering(p1(s, d)), f"{E_RULES} SELECT * FROM r2")
+register("rule_smurfing", lambda s, d: rules.smurfing(p1(s, d), LOOSE), f"{E_RULES} SELECT * FROM r3")
+register("rule_round_dollar", lambda s, d: rules.round_dollar(f1(s, d)), f"{E_RULES} SELECT * FROM r4")
+register("rule_dormant_lineitem", lambda s, d: rules.dormant(features(payments_from_lineitem(s, d))), f"{L_SQL}, {rules.rules_sql()} SELECT * FROM r5")
 register("rule_large_cash_24h", lambda s, d: rules.large_cash(p1(s, d)), f"{E_RULES} SELECT * FROM r7")
-register("rule_layering_lineitem", lambda s, d: rules.layering(payments_from_lineitem(s, d)).drop("reason"), f"{L_SQL}, {rules.rules_sql()} SELECT * FROM r2")
-register("rules_applied", lambda s, d: hits1(s, d).drop("reason_codes"), f"{E_RULES} SELECT * FROM rule_hits")
+register("rule_layering_lineitem", lambda s, d: rules.layering(payments_from_lineitem(s, d)), f"{L_SQL}, {rules.rules_sql()} SELECT * FROM r2")
+register("rules_applied", lambda s, d: hits1(s, d), f"{E_RULES} SELECT * FROM rule_hits")
 
 
 def queries() -> dict[str, Query]:
