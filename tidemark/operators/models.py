@@ -1,13 +1,14 @@
-"""Anomaly models, cross-validated by entity: what is fitted comes from bounded samples or from sums, and rows are scored
-on the executors."""
+"""Anomaly models, cross-validated by entity: what is fitted comes from bounded samples or from sums, the folds are fitted
+side by side in tasks, and rows are scored on the executors."""
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,58 +20,90 @@ INPUTS = (*FEATURES, "amount_cents")
 SAMPLE = 20_000
 
 
-def moments(df: DataFrame, names=INPUTS) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """(mean, population sigma with 0 as 1, sample covariance, rows) from one row of sums.
+class Sums:
+    """Count, sums and products of columns around given values: they add up, and take away, exactly as rows do."""
+
+    def __init__(self, mid: np.ndarray, n: float, s: np.ndarray, products: np.ndarray):
+        self.mid, self.n, self.s, self.products = mid, n, s, products
+
+    def __add__(self, other: Sums) -> Sums:
+        return Sums(self.mid, self.n + other.n, self.s + other.s, self.products + other.products)
+
+    def moments(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """(mean, population sigma with 0 as 1, sample covariance, rows)."""
+        d = len(self.mid)
+        if not self.n:
+            return np.zeros(d), np.ones(d), np.eye(d), 0
+        centred = self.products - np.outer(self.s, self.s) / self.n
+        sigma = np.sqrt(np.maximum(np.diag(centred) / self.n, 0))
+        return self.mid + self.s / self.n, np.where(sigma > 0, sigma, 1.0), centred / max(1, self.n - 1), int(self.n)
 
-    Sums are taken around values near the means, which keeps the covariance stable.
-    """
+
+def sums_by(df: DataFrame, key: Column, names=INPUTS) -> dict[object, Sums]:
+    """Sums for each value of key, which must have few, in one pass; around values near the means, which keeps the
+    covariance stable."""
     rough = df.agg(*[F.avg(c) for c in names]).first()
-    mid = [float(x or 0.0) for x in rough]
-    shifted = [F.col(c).cast("double") - m for c, m in zip(names, mid, strict=True)]
+    mid = np.array([float(x or 0.0) for x in rough])
+    shifted = [F.col(c).cast("double") - float(m) for c, m in zip(names, mid, strict=True)]
     cells = [(i, j) for i in range(len(names)) for j in range(i + 1)]
-    row = df.agg(F.count(F.lit(1)), *[F.sum(x) for x in shifted], *[F.sum(shifted[i] * shifted[j]) for i, j in cells]).first()
-    n, d = row[0], len(names)
-    if not n:
-        return np.zeros(d), np.ones(d), np.eye(d), 0
-    s = np.array(row[1 : d + 1], dtype=float)
-    products = np.zeros((d, d))
-    for (i, j), x in zip(cells, row[d + 1 :], strict=True):
-        products[i, j] = products[j, i] = x
-    centred = products - np.outer(s, s) / n
-    sigma = np.sqrt(np.maximum(np.diag(centred) / n, 0))
-    return np.array(mid) + s / n, np.where(sigma > 0, sigma, 1.0), centred / max(1, n - 1), n
+    out, d = {}, len(names)
+    for row in df.groupBy(key.alias("_key")).agg(F.count(F.lit(1)), *[F.sum(x) for x in shifted], *[F.sum(shifted[i] * shifted[j]) for i, j in cells]).collect():
+        products = np.zeros((d, d))
+        for (i, j), x in zip(cells, row[d + 2 :], strict=True):
+            products[i, j] = products[j, i] = x
+        out[row[0]] = Sums(mid, row[1], np.array(row[2 : d + 2], dtype=float), products)
+    return out
+
 
+def total(parts: list[Sums], d: int) -> Sums:
+    out = Sums(np.zeros(d), 0, np.zeros(d), np.zeros((d, d)))
+    for p in parts:
+        out = p + out
+    return out
 
-def sample(df: DataFrame, rows: int = SAMPLE, names=INPUTS) -> np.ndarray:
-    """At most `rows` rows as a matrix, those with the smallest hash of their id."""
-    got = df.select(hash15(F.lit("sample"), F.col("transaction_id")).alias("_h"), *[F.col(c).cast("double").alias(c) for c in names]).orderBy("_h").limit(rows).drop("_h").collect()
-    return np.array([list(r) for r in got], dtype=float).reshape(-1, len(names))
+
+def moments(df: DataFrame, names=INPUTS) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    return total(list(sums_by(df, F.lit(0), names).values()), len(names)).moments()
 
 
 class IsolationForest:
-    """Random trees over small samples; the shorter a row's mean path, the more it stands apart."""
+    """Random trees over samples; the shorter a row's mean path, the more it stands apart."""
 
-    def __init__(self, x: np.ndarray, trees: int = 100, size: int = 512, seed: int = 3):
+    def __init__(self, x: np.ndarray, trees: int = 300, size: int = 4096, seed: int = 3):
         rng, size = np.random.default_rng(seed), min(size, len(x))
-        depth = max(1, int(np.ceil(np.log2(max(2, size)))))
-        self.depth, self.norm = depth, self.expected(np.array([size]))[0]
-        width = 2 ** (depth + 1)
-        self.column, self.cut, self.left = np.full((trees, width), -1), np.zeros((trees, width)), np.zeros((trees, width))
-        for t in range(trees):
-            todo = [(1, x[rng.choice(len(x), size, replace=False)], 0)]
-            while todo:
-                node, rows, level = todo.pop()
-                self.left[t, node] = len(rows)
-                if level == depth or len(rows) < 2:
-                    continue
-                low, high = rows.min(axis=0), rows.max(axis=0)
-                open_ = np.nonzero(high > low)[0]
-                if len(open_):
-                    c = rng.choice(open_)
-                    cut = rng.uniform(low[c], high[c])
-                    self.column[t, node], self.cut[t, node] = c, cut
-                    below = rows[:, c] < cut
-                    todo += [(2 * node, rows[below], level + 1), (2 * node + 1, rows[~below], level + 1)]
+        self.depth = max(1, int(np.ceil(np.log2(max(2, size)))))
+        self.norm = self.expected(np.array([size]))[0]
+        self.trees = [self.grown(x[rng.choice(len(x), size, replace=False)], rng) for _ in range(trees)]
+
+    def grown(self, x: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, ...]:
+        """(column or -1, cut, first child, path added at the end) of each node, grown level by level for all nodes at once."""
+        column, cut, child, extra = [], [], [], []
+        node, first, width = np.zeros(len(x), np.int64), 0, 1
+        for level in range(self.depth + 1):
+            order = np.argsort(node, kind="stable")
+            x, node = x[order], node[order]
+            count = np.bincount(node, minlength=width)
+            held = np.nonzero(count)[0]
+            starts = np.searchsorted(node, held)
+            low, high = np.zeros((width, x.shape[1])), np.zeros((width, x.shape[1]))
+            if len(held):
+                low[held], high[held] = np.minimum.reduceat(x, starts), np.maximum.reduceat(x, starts)
+            open_ = high > low
+            inner = open_.any(axis=1) & (level < self.depth)
+            chosen = np.where(open_, rng.random(open_.shape), -1).argmax(axis=1)
+            k = np.arange(width)
+            at = rng.uniform(low[k, chosen], high[k, chosen])
+            to = first + width + 2 * (np.cumsum(inner) - 1)
+            column.append(np.where(inner, chosen, -1).astype(np.int8))
+            cut.append(at)
+            child.append(np.where(inner, to, 0).astype(np.int32))
+            extra.append(np.where(inner, 1.0, self.expected(count)))
+            if not inner.any():
+                break
+            live = inner[node]
+            x, node = x[live], node[live]
+            first, width, node = first + width, 2 * int(inner.sum()), to[node] - first - width + (x[np.arange(len(x)), chosen[node]] >= at[node])
+        return tuple(np.concatenate(v) for v in (column, cut, child, extra))
 
     @staticmethod
     def expected(n: np.ndarray) -> np.ndarray:
@@ -79,16 +112,16 @@ class IsolationForest:
         return np.where(n > 2, 2 * (np.log(np.maximum(n - 1, 1)) + np.euler_gamma) - 2 * (n - 1) / np.maximum(n, 1), np.where(n == 2, 1.0, 0.0))
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        total, rows = np.zeros(len(x)), np.arange(len(x))
-        for t in range(len(self.column)):
-            node, path = np.ones(len(x), np.int64), np.zeros(len(x))
-            for _ in range(self.depth):
-                c = self.column[t, node]
-                inner = c >= 0
-                path += inner
-                node = np.where(inner, 2 * node + (x[rows, np.maximum(c, 0)] >= self.cut[t, node]), node)
-            total += path + self.expected(self.left[t, node])
-        return 2.0 ** (-total / len(self.column) / max(self.norm, 1e-9))
+        paths, rows = np.zeros(len(x)), np.arange(len(x))
+        for column, cut, child, extra in self.trees:
+            node, live = np.zeros(len(x), np.int64), rows
+            while len(live):
+                here = node[live]
+                paths[live] += extra[here]
+                c = column[here]
+                live, here, c = live[c >= 0], here[c >= 0], c[c >= 0]
+                node[live] = child[here] + (x[live, c] >= cut[here])
+        return 2.0 ** (-paths / max(1, len(self.trees)) / max(self.norm, 1e-9))
 
 
 class LocalOutlierFactor:
@@ -101,9 +134,9 @@ class LocalOutlierFactor:
         self.density = 1.0 / np.maximum(np.maximum(d, self.reach[self.near]).mean(axis=1), 1e-12)
 
     def neighbours(self, q: np.ndarray, own: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        out_d, out_i = [], []
-        for k in range(0, len(q), 512):
-            d = np.sqrt(np.maximum(((q[k : k + 512, None, :] - self.x[None, :, :]) ** 2).sum(axis=2), 0)) if self.x.shape[0] < 256 else np.sqrt(np.maximum((q[k : k + 512] ** 2).sum(1)[:, None] + (self.x**2).sum(1)[None] - 2 * q[k : k + 512] @ self.x.T, 0))
+        out_d, out_i, squares = [], [], (self.x**2).sum(1)
+        for k in range(0, len(q), 256):
+            d = np.sqrt(np.maximum((q[k : k + 256] ** 2).sum(1)[:, None] + squares[None] - 2 * q[k : k + 256] @ self.x.T, 0))
             if own:
                 d[np.arange(len(d)), np.arange(k, k + len(d))] = np.inf
             i = np.argpartition(d, self.k - 1, axis=1)[:, : self.k]
@@ -119,16 +152,51 @@ class LocalOutlierFactor:
         return self.density[near].mean(axis=1) / density
 
 
-def score_with(df: DataFrame, model: Callable[[np.ndarray], np.ndarray], name: str, names=INPUTS) -> DataFrame:
-    """transaction_id and the model's score under `name`, by batches on the executors."""
-    held = df.sparkSession.sparkContext.broadcast(model)
+class BoostedTrees:
+    """Trees of gradient steps for a weighted logistic loss, over columns cut into bins at quantiles of the sample."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 200, rate: float = 0.1, depth: int = 4, bins: int = 64, ridge: float = 1.0):
+        self.cuts = [np.unique(np.quantile(c, np.arange(1, bins) / bins)) for c in x.T]
+        self.rate, self.depth, self.trees = rate, depth, []
+        codes, f = self.coded(x), np.zeros(len(x))
+        columns = x.shape[1]
+        flat = codes + np.arange(columns) * bins
+        share = float(np.clip((weight * y).sum() / weight.sum(), 1e-6, 1 - 1e-6))
+        self.start = float(np.log(share / (1 - share)))
+        f += self.start
+        for _ in range(rounds):
+            p = 1 / (1 + np.exp(-f))
+            g, h = weight * (y - p), weight * p * (1 - p)
+            node, column, cut = np.zeros(len(x), np.int64), np.full(2**depth - 1, -1), np.zeros(2**depth - 1, np.int64)
+            for level in range(depth):
+                width, first = 2**level, 2**level - 1
+                key = (flat + (node * columns * bins)[:, None]).ravel()
+                sums = [np.bincount(key, np.repeat(v, columns), width * columns * bins).reshape(width, columns, bins).cumsum(axis=2) for v in (g, h)]
+                (gl, hl), (ga, ha) = sums, (v[:, :1, -1:] for v in sums)
+                gain = gl**2 / (hl + ridge) + (ga - gl) ** 2 / (ha - hl + ridge) - ga**2 / (ha + ridge)
+                gain = np.where((hl > 1e-6) & (ha - hl > 1e-6), gain, 0).reshape(width, -1)
+                best = gain.argmax(axis=1)
+                split = gain[np.arange(width), best] > 1e-9
+                column[first : first + width] = np.where(split, best // bins, -1)
+                cut[first : first + width] = best % bins
+                c = column[first + node]
+                node = 2 * node + (codes[np.arange(len(x)), c] > cut[first + node]) * (c >= 0)
+            value = np.bincount(node, g, 2**depth) / (np.bincount(node, h, 2**depth) + ridge)
+            f += rate * value[node]
+            self.trees.append((column, cut, value))
+
+    def coded(self, x: np.ndarray) -> np.ndarray:
+        return np.stack([np.searchsorted(cuts, c) for cuts, c in zip(self.cuts, x.T, strict=True)], axis=1)
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"transaction_id": b["transaction_id"], name: held.value(b[list(names)].to_numpy(dtype=float)) if len(b) else []})
-
-    schema = T.StructType([T.StructField("transaction_id", T.StringType()), T.StructField(name, T.DoubleType())])
-    return df.select("transaction_id", *[F.col(c).cast("double").alias(c) for c in names]).mapInPandas(work, schema)
+    def score(self, x: np.ndarray) -> np.ndarray:
+        codes, rows, f = self.coded(x), np.arange(len(x)), np.full(len(x), self.start)
+        for column, cut, value in self.trees:
+            node = np.zeros(len(x), np.int64)
+            for level in range(self.depth):
+                at = 2**level - 1 + node
+                node = 2 * node + (codes[rows, column[at]] > cut[at]) * (column[at] >= 0)
+            f += self.rate * value[node]
+        return 1 / (1 + np.exp(-f))
 
 
 class Scaled:
@@ -151,56 +219,109 @@ class Mahalanobis:
         return np.einsum("ij,jk,ik->i", x, self.inverse, x)
 
 
-def mahalanobis(train: DataFrame) -> Callable[[np.ndarray], np.ndarray]:
-    mean, sigma, covariance, _ = moments(train)
-    return Scaled(Mahalanobis(covariance / np.outer(sigma, sigma)), mean, sigma)
+class Share:
+    """The share of positives, where there are not both classes to learn from."""
 
+    def __init__(self, share: float):
+        self.share = share
 
-def isolation_forest(train: DataFrame, **options) -> Callable[[np.ndarray], np.ndarray]:
-    mean, sigma, _, _ = moments(train)
-    return Scaled(IsolationForest((sample(train) - mean) / sigma, **options), mean, sigma)
+    def score(self, x: np.ndarray) -> np.ndarray:
+        return np.full(len(x), self.share)
 
 
-def local_outliers(train: DataFrame, rows: int = 4_000, k: int = 35) -> Callable[[np.ndarray], np.ndarray]:
-    mean, sigma, _, _ = moments(train)
-    return Scaled(LocalOutlierFactor((sample(train, rows) - mean) / sigma, k), mean, sigma)
+def boosted(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> BoostedTrees | Share:
+    return BoostedTrees(x, y, weight) if 0 < y.sum() < len(y) else Share(float((weight * y).sum() / max(1e-12, weight.sum())))
 
 
-#: Name -> function of training rows that gives a scorer of matrices.
-UNSUPERVISED: dict[str, Callable] = {"isolation_forest": isolation_forest, "lof": local_outliers, "mahalanobis": mahalanobis}
+#: Name -> function of the scaled rows of a sample, their labels and weights, that gives a model. Labels are read by gbt alone.
+SAMPLED: dict[str, Callable] = {"isolation_forest": lambda x, y, w: IsolationForest(x), "lof": lambda x, y, w: LocalOutlierFactor(x), "gbt": boosted}
 
 
-def supervised(train: DataFrame, test: DataFrame, kind: str, label: str = "is_suspicious") -> DataFrame:
-    """transaction_id and <kind>_score of test rows, by a ceiling model that sees labels: balanced logistic regression or
-    boosted trees. Without both classes in train, the score is the share of positives."""
-    from pyspark.ml.classification import GBTClassifier, LogisticRegression
+def samples(rows: DataFrame, n_folds: int, label: str | None, size: int = SAMPLE) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each fold (rows, labels, weights) of at most `size` rows of the other folds, those with the smallest hash of their
+    id; with a label, half of the room is for positives, and weights bring both classes to half of all weight."""
+    y = F.coalesce(F.col(label).cast("int"), F.lit(0)) if label else F.lit(0)
+    cols = rows.select(hash15(F.lit("sample"), F.col("transaction_id")).alias("h"), "fold", y.alias("y"), *[F.col(c).cast("double").alias(c) for c in INPUTS])
+    few = [cols.where(F.col("y") == k).orderBy("h").limit(size).collect() for k in (0, 1)] if label else [cols.orderBy("h").limit(2 * size).collect()]
+    out = {}
+    for k in range(n_folds):
+        part = [[r for r in rows_of if r["fold"] != k] for rows_of in few]
+        if label:
+            pos = part[1][: size // 2]
+            part = [part[0][: size - len(pos)], pos]
+        taken = [r for rows_of in part for r in rows_of][:size]
+        x, t = np.array([list(r)[3:] for r in taken], dtype=float).reshape(-1, len(INPUTS)), np.array([r["y"] for r in taken], dtype=float)
+        out[k] = x, t, np.where(t == 1, len(t) / 2 / max(1, t.sum()), len(t) / 2 / max(1, (1 - t).sum()))
+    return out
+
+
+def sampled_models(rows: DataFrame, model: str, n_folds: int, scales: dict) -> dict[int, Callable[[np.ndarray], np.ndarray]]:
+    """A scorer for each fold, fitted on a sample of the others; the folds are fitted in a task each."""
+    spark = rows.sparkSession
+    few = samples(rows, n_folds, "is_suspicious" if model == "gbt" else None)
+    held = spark.sparkContext.broadcast({k: ((x - scales[k][0]) / scales[k][1], y, w) for k, (x, y, w) in few.items()})
+    make = SAMPLED[model]
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for k in b["fold"].tolist():
+                x, y, w = held.value[k]
+                yield pd.DataFrame({"fold": [k], "model": [pickle.dumps(make(x, y, w) if len(x) else Share(0.0))]})
+
+    fitted = spark.range(0, n_folds, 1, n_folds).select(F.col("id").cast("int").alias("fold")).mapInPandas(fit, "fold int, model binary").collect()  # a model a fold
+    return {r["fold"]: Scaled(pickle.loads(r["model"]), *scales[r["fold"]][:2]) for r in fitted}
+
+
+def logistic_scores(train: DataFrame, test: DataFrame, scale: tuple, label: str) -> DataFrame:
+    """transaction_id and score of test rows, by balanced logistic regression on all of train, which sees labels. Without
+    both classes in train, the score is the share of positives."""
+    from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
     n, pos = train.agg(F.count(F.lit(1)), F.coalesce(F.sum(label), F.lit(0))).first()
     if not pos or pos == n:
-        return test.select("transaction_id", F.lit(float(pos) / max(1, n)).alias(f"{kind}_score"))
-    mean, sigma, _, _ = moments(train)
+        return test.select("transaction_id", F.lit(float(pos) / max(1, n)).alias("score"))
+    mean, sigma = scale[:2]
     scaled = lambda df: df.select("transaction_id", *([F.col(label).cast("double").alias("label")] if label in df.columns else []), *[((F.col(c) - float(m)) / float(s)).alias(c) for c, m, s in zip(INPUTS, mean, sigma, strict=True)])
     assemble = VectorAssembler(inputCols=list(INPUTS), outputCol="x")
     weighted = assemble.transform(scaled(train)).withColumn("w", F.when(F.col("label") == 1, n / (2.0 * pos)).otherwise(n / (2.0 * (n - pos))))
-    if kind == "logistic":
-        model = LogisticRegression(featuresCol="x", weightCol="w", standardization=False, regParam=1.0 / n, maxIter=100)
-    else:
-        model = GBTClassifier(featuresCol="x", weightCol="w", maxIter=20, stepSize=0.1, maxDepth=4, seed=5)
-    out = model.fit(weighted).transform(assemble.transform(scaled(test).drop("label")))
-    return out.select("transaction_id", vector_to_array("probability")[1].alias(f"{kind}_score"))
+    out = LogisticRegression(featuresCol="x", weightCol="w", standardization=False, regParam=1.0 / n, maxIter=100).fit(weighted).transform(assemble.transform(scaled(test).drop("label")))
+    return out.select("transaction_id", vector_to_array("probability")[1].alias("score"))
+
+
+def supervised(train: DataFrame, test: DataFrame, kind: str, label: str = "is_suspicious") -> DataFrame:
+    """transaction_id and <kind>_score of test rows, for kind logistic."""
+    return logistic_scores(train, test, moments(train), label).withColumnRenamed("score", f"{kind}_score")
+
+
+def score_folds(rows: DataFrame, models: dict[int, Callable[[np.ndarray], np.ndarray]]) -> DataFrame:
+    """transaction_id, fold, score: each row by its fold's model, in batches on the executors."""
+    held = rows.sparkSession.sparkContext.broadcast(models)
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            x, fold, score = b[list(INPUTS)].to_numpy(dtype=float), b["fold"].to_numpy(), np.zeros(len(b))
+            for k in np.unique(fold).tolist():
+                score[fold == k] = held.value[k](x[fold == k])
+            yield pd.DataFrame({"transaction_id": b["transaction_id"], "fold": fold.astype(np.int32), "score": score})
+
+    schema = T.StructType([T.StructField("transaction_id", T.StringType()), T.StructField("fold", T.IntegerType()), T.StructField("score", T.DoubleType())])
+    return rows.select("transaction_id", F.col("fold").cast("int").alias("fold"), *[F.col(c).cast("double").alias(c) for c in INPUTS]).mapInPandas(work, schema)
 
 
 def cross_validated(rows: DataFrame, model: str, n_folds: int = 5) -> DataFrame:
-    """transaction_id, fold, score: each row scored by a model fitted on the other folds. rows: INPUTS, transaction_id, fold."""
-    out = None
-    for k in range(n_folds):
-        train, test = rows.where(F.col("fold") != k), rows.where(F.col("fold") == k)
-        if model in UNSUPERVISED:
-            scored = score_with(test, UNSUPERVISED[model](train), "score")
-        else:
-            scored = supervised(train, test, model).withColumnRenamed(f"{model}_score", "score")
-        scored = scored.withColumn("fold", F.lit(k))
-        out = scored if out is None else out.unionByName(scored)
-    return out.select("transaction_id", "fold", "score")
+    """transaction_id, fold, score: each row scored by a model fitted on the other folds. rows: INPUTS, transaction_id, fold,
+    and is_suspicious for the models that see labels (logistic, gbt). All folds' means, sigmas and covariances come from one
+    pass of sums; samples are bounded by SAMPLE."""
+    own = sums_by(rows, F.col("fold"))
+    scales = {k: total([v for j, v in own.items() if j != k], len(INPUTS)).moments() for k in range(n_folds)}
+    if model == "logistic":
+        out = None
+        for k in range(n_folds):
+            scored = logistic_scores(rows.where(F.col("fold") != k), rows.where(F.col("fold") == k), scales[k], "is_suspicious").select("transaction_id", F.lit(k).alias("fold"), "score")
+            out = scored if out is None else out.unionByName(scored)
+        return out
+    if model == "mahalanobis":
+        return score_folds(rows, {k: Scaled(Mahalanobis(c / np.outer(sigma, sigma)), mean, sigma) for k, (mean, sigma, c, _) in scales.items()})
+    return score_folds(rows, sampled_models(rows, model, n_folds, scales))
