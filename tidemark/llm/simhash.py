@@ -190,9 +190,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 #: Fingerprints per text, and words on either side of an anchor, for similar documents.
-TABLES, REACH = 8, 6
-#: Members of a group up to which its open pairs are all verified, and rows of one block of pairs.
-CROWD, PAIR_ROWS = 64, 1024
+TABLES, REACH = 10, 6
+#: Members of a group up to which its open pairs are listed; larger groups are compared in blocks of so many members.
+LISTED, BLOCK = 16, 512
 MIX = np.uint64(0x9E3779B97F4A7C15)
 SALTS = np.random.default_rng(SEED).integers(0, 2**64, TABLES, dtype=np.uint64)
 
@@ -264,31 +264,63 @@ def close_in_size(a: str, b: str, similarity: float) -> Column:
     return F.least(x, y) >= similarity * F.greatest(x, y) - 1e-9
 
 
-def all_pairs(rows: DataFrame, key: str, possible: Column) -> DataFrame:
-    """Pairs (a, b) of nodes with one key and different components that are possible, rows x and y. A key with very many
-    rows is dealt in blocks, each block meeting each other one in a task of its own."""
-    blocks = rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / PAIR_ROWS).cast("int").alias("k"))
-    dealt = rows.join(materialize(blocks, "similar-blocks"), key)
-    own = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.col("k") - 1))
-    x, y = dealt.withColumn("i", own).withColumn("j", every), dealt.withColumn("j", own).withColumn("i", every)
-    same = (F.col(f"x.{key}") == F.col(f"y.{key}")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
-    pairs = x.alias("x").join(y.alias("y"), same & (F.col("x.node") < F.col("y.node")) & (F.col("x.c") != F.col("y.c")) & possible)
-    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many elements each set on the left shares with each on the right, as products of the sets' columns."""
+    flat = np.concatenate(left + right)
+    who = np.repeat(np.arange(len(left) + len(right)), list(map(len, left + right)))
+    _, column, n = np.unique(flat, return_inverse=True, return_counts=True)
+    several = n > 1
+    number = np.cumsum(several) - 1
+    who, column = who[several[column]], number[column[several[column]]]
+    order = np.argsort(column, kind="stable")
+    who, column = who[order], column[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for first in range(0, int(several.sum()), 4096):
+        a, b = np.searchsorted(column, [first, first + 4096])
+        part = np.zeros((len(left) + len(right), 4096), np.float32)
+        part[who[a:b], column[a:b] - first] = 1
+        out += part[: len(left)] @ part[len(left) :].T
+    return out
+
+
+def spanning(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest label that each row and each column reaches over links."""
+    top = np.iinfo(np.int64).max
+    a, b = left.copy(), right.copy()
+    while True:
+        a2 = np.minimum(a, np.where(linked, b[None, :], top).min(axis=1, initial=top))
+        b2 = np.minimum(b, np.where(linked, a2[:, None], top).min(axis=0, initial=top))
+        if (a2 == a).all() and (b2 == b).all():
+            return a, b
+        a, b = a2, b2
 
 
-def rare_shingles(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """rows (node, size, c) by the rare shingles of their sets: (h, node, size, c, pos), for shingles that several share.
+def blocked_links(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between components that connect all similar members of each group; rows: g, m, node, size, c.
 
-    Sets with a Jaccard similarity of at least t share one of the first n - ceil(t n) + 1 of their n shingles, in any order
-    that all sets keep to; here from rare to common among these rows, so that a passage which all of them have comes last.
+    Each block of a group's members meets each other one, and itself, in a task of its own; what leaves it are links that
+    span its components, never its pairs.
     """
-    single = rows.join(sets, "node").select("node", "size", "c", F.explode("s").alias("h")).distinct()
-    single = materialize(single, "similar-crowd")
-    counts = materialize(single.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "similar-counts")
-    w = Window.partitionBy("node")
-    ranked = single.join(counts, "h").withColumn("pos", F.row_number().over(w.orderBy("n", "h")) - 1 + F.col("size") - F.count(F.lit(1)).over(w))
-    return ranked.where(F.col("pos") < F.col("size") - F.ceil(similarity * F.col("size") - 1e-9) + 1).select("h", "node", "size", "c", "pos")
+    dealt = rows.withColumn("k", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("k") - 1))
+    dealt = dealt.withColumn("other", every).select("g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "c")
+    dealt = dealt.join(sets, "node").select("g", "i", "j", "own", "c", "s")
+
+    def meet(group: pa.Table) -> pa.Table:
+        c, own, i = group["c"].to_numpy(), group["own"].to_numpy(), group["i"][0].as_py()
+        members = [np.asarray(x.values) for x in group["s"]]
+        x, y = np.nonzero(own == i)[0], np.nonzero(own == group["j"][0].as_py())[0]
+        found = {"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())}
+        if len(x) and len(y):
+            n = np.array(list(map(len, members)), dtype=np.float64)
+            common = shared_counts([members[k] for k in x], [members[k] for k in y])
+            a, b = spanning((common >= similarity * (n[x][:, None] + n[y][None, :] - common)) | (c[x][:, None] == c[y][None, :]), c[x], c[y])
+            ends = np.unique(np.stack([np.concatenate([c[x], c[y]]), np.concatenate([a, b])], axis=1), axis=0)
+            ends = ends[ends[:, 0] != ends[:, 1]]
+            found = {"a": np.ascontiguousarray(ends[:, 0]), "b": np.ascontiguousarray(ends[:, 1])}
+        return pa.table(found)
+
+    return dealt.groupBy("g", "i", "j").applyInArrow(meet, "a long, b long").distinct()
 
 
 def similar_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -321,13 +353,18 @@ def similar_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     nodes = known.where("id IS NOT NULL").groupBy("node").agg(F.min(F.struct("id", "key")).alias("row"), F.first("size").alias("size"), F.first("prints").alias("prints"))
     nodes = materialize(nodes, "similar-nodes")
 
-    # Fingerprints that are linked over variants, in any number of steps, are one group; texts that share a group are candidates.
-    prints = materialize(nodes.select("node", "size", F.explode("prints").alias("fp")), "similar-prints")
+    # Fingerprints that are linked over variants, in any number of steps, are one group of a table. Texts that share the
+    # groups of two tables are candidates: a passage that both have rarely holds two anchors of both.
+    prints = materialize(nodes.select("node", F.explode("prints").alias("fp")), "similar-prints")
     distinct = materialize(prints.select("fp").distinct(), "similar-distinct")
     balls = materialize(connected_components(materialize(near_links(distinct, distinct.count(), radius=2), "similar-balls")).select(F.col("node").alias("near"), F.col("component").alias("ball")), "similar-near")
-    grouped = prints.join(balls, F.col("fp") == F.col("near"), "left").select("node", "size", F.coalesce("ball", "fp").alias("g"))
-    several = materialize(grouped.groupBy("g").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("g"), "similar-several")
-    shared = materialize(grouped.join(several, "g", "left_semi").distinct(), "similar-shared")
+    grouped = prints.join(balls, F.col("fp") == F.col("near"), "left").select("node", F.coalesce("ball", "fp").alias("one"))
+    several = materialize(grouped.groupBy("one").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "similar-several")
+    lists = grouped.join(several, "one").groupBy("node").agg(F.array_sort(F.collect_set("one")).alias("ones"), F.sum("m").alias("weight")).where(F.size("ones") > 1)
+    both = F.flatten(F.transform("ones", lambda x, k: F.transform(F.slice("ones", k + 2, F.size("ones")), lambda y: F.xxhash64(x, y))))
+    pairs_of = materialize(lists.select("node", "weight", F.explode(both).alias("g")), "similar-tables")
+    held = materialize(pairs_of.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("who")).where("m > 1").groupBy("m", "who").agg(F.min("g").alias("g")).select("g"), "similar-held")
+    shared = materialize(pairs_of.join(held, "g", "left_semi").join(nodes.select("node", "size"), "node"), "similar-shared")
     wanted = shared.select("node").distinct().join(nodes.select("node", "row.*"), "node").select(F.col("id").alias("_id"), F.col("key").alias("_key"))
     texts = src.join(materialize(wanted, "similar-wanted"), (F.col("id") == F.col("_id")) & (F.col("key") == F.col("_key")), "left_semi")
     sets = materialize(texts.select("text").mapInArrow(shingles, "node long, s array<long>"), "similar-sets")
@@ -342,14 +379,15 @@ def similar_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     links = known.sparkSession.createDataFrame([], "a long, b long")
     parts, turn, before = links.toDF("part", "c"), 0, 0
 
-    def linked(pairs: DataFrame) -> None:
+    def linked(*found: DataFrame) -> None:
         nonlocal links, parts
-        links = links.unionByName(verified(pairs))
+        for f in found:
+            links = links.unionByName(f)
         parts = materialize(connected_components(links).select(F.col("node").alias("part"), F.col("component").alias("c")), "similar-parts")
 
     size_fits = close_in_size("x", "y", similarity)
     while True:
-        rows = shared.join(parts, F.col("node") == F.col("part"), "left").select("g", "node", "size", F.coalesce("c", "node").alias("c"))
+        rows = shared.join(parts, F.col("node") == F.col("part"), "left").select("g", "node", "size", "weight", F.coalesce("c", "node").alias("c"))
         # Groups of one component are done with.
         per = rows.groupBy("g", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("g").agg(F.sum("m").alias("m"), ((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2).alias("p"))
         per = materialize(per.where("p > 0"), "similar-open")
@@ -357,24 +395,20 @@ def similar_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         if not left:
             break
         rows = materialize(rows.join(per.select("g", "m"), "g"), "similar-rows")
+        few = F.col("m") <= LISTED
         if most <= 4 * left or (turn and most > before / 2):
-            # What is left: all pairs of different components, in crowds only those that share a rare shingle.
-            crowded = F.col("m") > CROWD if most > 4 * left else F.lit(False)
-            pairs = all_pairs(rows.where(~crowded), "g", size_fits)
-            if most > 4 * left:
-                many = rows.where(crowded).select("node", "size", "c").distinct()
-                # By the first shingle that two sets share, both must have enough left for the rest.
-                rest = F.least(F.col("x.size") - F.col("x.pos"), F.col("y.size") - F.col("y.pos"))
-                enough = rest >= similarity / (1 + similarity) * (F.col("x.size") + F.col("y.size")) - 1e-9
-                pairs = pairs.unionByName(all_pairs(materialize(rare_shingles(many, sets, similarity), "similar-rare"), "h", size_fits & enough))
-            linked(pairs)
+            # What is left: all pairs of different components, listed in small groups and compared in blocks in others.
+            x, y = (rows.where(few).alias(side) for side in "xy")
+            pairs = x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.c") != F.col("y.c")) & size_fits)
+            blocks = materialize(blocked_links(rows.where(~few), sets, similarity), "similar-blocks")
+            linked(verified(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))), blocks)
             break
-        # Large groups fall together by one head each, first by the smallest of one order for all, which repeats few pairs;
-        # this goes on while a turn at least halves the open pairs.
-        order = F.xxhash64("node") if turn == 0 else F.xxhash64("node", "g", F.lit(turn))
-        heads = materialize(rows.groupBy("g").agg(F.min_by(F.struct("node", "size", "c"), order).alias("y")), "similar-heads")
+        # Large groups fall together by one head each: the text whose fingerprints most others share, as an original shares
+        # more of them with its copies than these with each other. This goes on while a turn at least halves the open pairs.
+        order = F.struct("weight", F.xxhash64("node")) if turn == 0 else F.struct(F.xxhash64("node", "g", F.lit(turn)))
+        heads = materialize(rows.groupBy("g").agg(F.max_by(F.struct("node", "size", "c"), order).alias("y")), "similar-heads")
         pairs = rows.alias("x").join(heads, "g").where((F.col("y.c") != F.col("x.c")) & size_fits)
-        linked(pairs.select(F.col("y.node").alias("a"), F.col("x.node").alias("b")))
+        linked(verified(pairs.select(F.col("y.node").alias("a"), F.col("x.node").alias("b"))))
         turn, before = turn + 1, most
     return known.join(parts, F.col("node") == F.col("part"), "left").select("id", "key", F.when(F.col("id").isNotNull(), F.coalesce("c", "node")).alias("c"))
 
@@ -383,7 +417,7 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     """One row per input row: id, component_id (smallest id reachable). Documents link if the Jaccard similarity of their
     word shingles is at least `similarity`.
 
-    Candidates are texts with fingerprints within two bits in one of eight tables (anchored_prints), which pairs at 0.8 miss
+    Candidates are texts with fingerprints within two bits in two of ten tables (anchored_prints), which pairs at 0.8 miss
     with a chance below one in a hundred; all are verified on the shingles of the whole texts, but for pairs that are linked
     over others already. Texts with the same words are one node. Null text counts as empty; texts without words are copies
     of one another. Texts on rows with one id are told apart. Rows with a null id: component null. Empty table: empty result.
