@@ -157,6 +157,14 @@ def test_archives_round_trip(spark, tmp_path):
         assert r["payload"] is None if r["record_type"] == "revisit" else r["payload"] == body
 
 
+def test_revisits_name_their_response(spark, tmp_path):
+    rows = [(1, "http://a/", "x" * 1200), (2, "http://b/ c", "x" * 1200), (3, None, "x" * 1200), (4, "http://d/", "y" * 1200), (5, None, "y" * 1200), (6, "http://f/", "y" * 1200)]
+    warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "w"))
+    heads = [dict(x.split(": ", 1) for x in h.split("\r\n") if ": " in x) for p in (tmp_path / "w").glob("part-*") for h in p.read_text(newline="").split("WARC/1.1\r\n")[1:]]
+    told = {h["X-Page-ID"]: (h["WARC-Refers-To-Target-URI"], h["WARC-Refers-To-Date"] == h["WARC-Date"]) for h in heads if h.get("WARC-Type") == "revisit"}
+    assert told == {"1": ("urn:page:3", True), "2": ("urn:page:3", True), "4": ("http://f/", True), "5": ("http://f/", True)}
+
+
 def test_segments_are_checked(spark):
     block = warc.HTTP_HEAD + warc.chunked(b"hello")
     part = lambda n, b, total=None: {"segment": n, "block": b, "total": total, "page_id": 1, "kind": "response", "digest": None, "length": 5, "refers": None, "problem": None}

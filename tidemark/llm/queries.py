@@ -146,5 +146,27 @@ FROM k
 """
 
 
+#: All pairs of a label, and what they reach by recursion.
+OP9_SQL = """
+WITH RECURSIVE raw AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+), parts_of AS (
+  SELECT vec_id, unnest(v) AS x FROM raw
+), bad AS (
+  SELECT vec_id FROM parts_of GROUP BY 1 HAVING bool_or(x IS NULL OR isnan(x) OR isinf(x)) OR NOT bool_or(x <> 0)
+), live AS (
+  SELECT * FROM raw WHERE label IS NOT NULL AND len(v) > 0 AND vec_id NOT IN (SELECT vec_id FROM bad)
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM live a JOIN live b ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) >= 0.98
+), reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM raw UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b
+), parts AS (
+  SELECT a, MIN(b) AS component_id FROM reach GROUP BY 1
+)
+SELECT vec_id, (SELECT COUNT(*) FROM links WHERE links.a = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM raw JOIN parts ON parts.a = vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": OP5_SQL, "op8_warc": OP8_SQL}
+    return {"op9_embedding_dedup": OP9_SQL, "op5_mixing": OP5_SQL, "op8_warc": OP8_SQL}

@@ -63,13 +63,17 @@ def record(fields: dict[str, object], block: bytes) -> bytes:
     return b"WARC/1.1\r\n%b%b: %d\r\n\r\n%b" % (head.encode(), b"Content-Length", len(block), block)
 
 
-def page_records(page_id, url, html, keeper, digest: str, date: str, segment_bytes: int) -> list[bytes]:
+def target_uri(page_id, url) -> str:
+    return re.sub(r"[\x00-\x20]", "", url or "") or f"urn:page:{page_id}"
+
+
+def page_records(page_id, url, html, keeper, keeper_url, digest: str, date: str, segment_bytes: int) -> list[bytes]:
     payload = (html or "").encode()
     name = f"<urn:uuid:{uuid.uuid4()}>"
-    uri = re.sub(r"[\x00-\x20]", "", url or "") or f"urn:page:{page_id}"
+    uri = target_uri(page_id, url)
     fields = {"WARC-Type": "response", "WARC-Record-ID": name, "WARC-Date": date, "WARC-Target-URI": uri, "Content-Type": "application/http;msgtype=response", "WARC-Payload-Digest": f"sha1:{digest}", "X-Page-ID": page_id, "X-Payload-Length": len(payload)}
     if keeper is not None:
-        return [record(fields | {"WARC-Type": "revisit", "WARC-Profile": PROFILE, "X-Refers-To-Page-ID": keeper}, HTTP_HEAD)]
+        return [record(fields | {"WARC-Type": "revisit", "WARC-Profile": PROFILE, "WARC-Refers-To-Target-URI": target_uri(keeper, keeper_url), "WARC-Refers-To-Date": date, "X-Refers-To-Page-ID": keeper}, HTTP_HEAD)]
     block = HTTP_HEAD + chunked(payload)
     if len(block) <= segment_bytes:
         return [record(fields, block)]
@@ -90,16 +94,16 @@ def write_warc(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col:
     """
     src = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     src = src.withColumns({"digest": F.sha1(F.col("html").cast("binary")), "length": F.octet_length("html").cast("long")})
-    groups = src.where(F.col("length") >= revisit_from).groupBy("digest", "length").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n"))
-    repeated = materialize(groups.where("n > 1 AND keeper IS NOT NULL").select(F.col("digest").alias("d"), F.col("length").alias("l"), "keeper"), "warc-repeated")
+    groups = src.where(F.col("length") >= revisit_from).groupBy("digest", "length").agg(F.max("page_id").alias("keeper"), F.max(F.struct("page_id", "url"))["url"].alias("keeper_url"), F.count(F.lit(1)).alias("n"))
+    repeated = materialize(groups.where("n > 1 AND keeper IS NOT NULL").select(F.col("digest").alias("d"), F.col("length").alias("l"), "keeper", "keeper_url"), "warc-repeated")
     named = src.join(repeated, (F.col("digest") == F.col("d")) & (F.col("length") == F.col("l")), "left")
-    named = named.select("page_id", "url", "html", F.when(F.col("page_id") < F.col("keeper"), F.col("keeper")).alias("keeper"), "digest")
+    named = named.select("page_id", "url", "html", F.when(F.col("page_id") < F.col("keeper"), F.col("keeper")).alias("keeper"), "keeper_url", "digest")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 rows = batch.slice(k, 256).to_pylist()
-                out = [x for r in rows for x in page_records(r["page_id"], r["url"], r["html"], r["keeper"], r["digest"], date, segment_bytes)]
+                out = [x for r in rows for x in page_records(r["page_id"], r["url"], r["html"], r["keeper"], r["keeper_url"], r["digest"], date, segment_bytes)]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
     records = named.mapInArrow(work, "record binary").select(F.col("record").cast("string").alias("value"))
