@@ -9,6 +9,8 @@ from ..operators import screening as sc
 from ..sources.names import CUSTOMER_NAMES_SQL, FAMILY, GIVEN, customer_names, listed_parties
 from .queries import register
 
+#: Easy and hard negatives of both halves together.
+POOL = (8_000, 2_000)
 WORDS = "[" + ", ".join(f"'{x.lower()}'" for x in (*GIVEN, *FAMILY)) + "]"
 
 
@@ -25,6 +27,6 @@ register(
     f"WITH {CUSTOMER_NAMES_SQL} SELECT query_id, array_to_string([t for t in string_split(trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')), ' ') if NOT list_contains([{', '.join(repr(x) for x in STOP)}], t)], ' ') AS tokens FROM cnames",
 )
 register("screening", lambda s, d: sc.screen(customer_names(s, d), listed_parties(s, d)))
-register("screening_evaluation", lambda s, d: sc.evaluate(listed_parties(s, d), sc.negatives(customer_names(s, d), listed_parties(s, d), 500, 100)))
+register("screening_evaluation", lambda s, d: sc.evaluate(listed_parties(s, d), sc.negatives(customer_names(s, d), listed_parties(s, d), *POOL)))
 register("list_description", lambda s, d: sc.describe(listed_parties(s, d)), """SELECT 'parties' AS what, 'individual' AS value, COUNT(*) AS n FROM supplier UNION ALL SELECT 'primary names', 'latin', COUNT(*) FROM supplier UNION ALL SELECT 'aliases', 'latin', COUNT(*) FROM supplier
   UNION ALL SELECT 'with birth year', 'all', COUNT(*) FROM supplier UNION ALL SELECT 'countries', 'all', 1""")
