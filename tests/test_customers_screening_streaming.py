@@ -106,9 +106,20 @@ def test_birth_years_order_scores(spark, listed):
     assert s[0] >= s[1] > s[2]
 
 
-def test_normalisation():
-    assert names.plain_name("  Ёлкин-Çelik & O'Brien  №5 ") == "yolkin celik and obrien no5"
-    assert names.plain_name(None) == "" and names.plain_name("李娜") == ""
+def test_normalisation(spark):
+    """Held to the definition: letters romanised, then decomposed, and all but ASCII letters and digits a space."""
+    import re
+    import unicodedata
+
+    def plain(name):
+        latin = "".join(names.CYRILLIC.get(c.lower(), c) for c in name or "")
+        bare = "".join(c for c in unicodedata.normalize("NFKD", latin) if not unicodedata.combining(c)).lower()
+        return " ".join(re.sub(r"[^a-z0-9]+", " ", bare.replace("&", " and ").replace("'", "")).split())
+
+    given = ["  Ёлкин-Çelik & O'Brien  №5 ", None, "李娜", "", "Щукин Юрий", "Žižka Ångström ﬁn", "e\u0301le\u0300ve", "ＡＢＣ Ltd.", "Łódź ŉ Ǆ", "plain Name 7", "Ümit ÖZ-çağ", "объект", "№"]
+    rows = spark.createDataFrame([(k, n) for k, n in enumerate(given)], "k int, n string").select("k", names.normalized("n").alias("x"), names.tokens(names.normalized(F.col("n"))).alias("t")).collect()
+    got = {r["k"]: r["x"] for r in rows}
+    assert got == {k: plain(n) for k, n in enumerate(given)} and got[0] == "yolkin celik and obrien no5"
     assert names.jaro_winkler("martha", "marhta") == pytest.approx(0.9611, abs=1e-4) and names.jaro_winkler("", "a") == 0.0 and names.jaro_winkler("abc", "xyz") == 0.0
 
 

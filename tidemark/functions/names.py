@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -32,27 +30,49 @@ FOLDS = (
 EXPLAINED, COVERED, INITIAL = 0.85, 0.15, 0.9
 
 
-def plain_name(name: str | None) -> str:
-    """Lower-case ASCII words: romanised, unaccented, without punctuation."""
-    latin = "".join(CYRILLIC.get(c.lower(), c) for c in name or "")
-    bare = "".join(c for c in unicodedata.normalize("NFKD", latin) if not unicodedata.combining(c))
-    return " ".join(re.sub(r"[^a-z0-9]+", " ", bare.lower().replace("&", " and ").replace("'", "")).split())
-
-
-@F.pandas_udf(T.StringType())
-def normalized(names: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in names:
-        yield s.map(plain_name)
+def unaccented() -> dict[str, str]:
+    """What letters of the Latin blocks, letter-like signs, ligatures and full-width forms are in plain ASCII, by Unicode's
+    own compatibility decomposition without combining marks."""
+    out = {}
+    for first, last in ((0xC0, 0x24F), (0x1E00, 0x1EFF), (0x2100, 0x214F), (0xFB00, 0xFB06), (0xFF01, 0xFF5E)):
+        for c in map(chr, range(first, last + 1)):
+            plain = "".join(x for x in unicodedata.normalize("NFKD", c.lower()) if not unicodedata.combining(x)).lower()
+            plain = "".join(x if x.isascii() else " " for x in plain)
+            if plain.strip() and plain != c:
+                out[c] = plain
+    return out
+
+
+def normalized(name: Column | str) -> Column:
+    """Lower-case ASCII words: romanised, unaccented, without punctuation, & as and; null as empty. Built-in functions only;
+    names of ASCII letters skip all but the last steps."""
+    given = F.coalesce(F.col(name) if isinstance(name, str) else name, F.lit(""))
+    low = F.lower(given)
+    maps = CYRILLIC | unaccented()
+    latin = low
+    for c, plain in maps.items():
+        if len(plain) > 1:
+            latin = F.replace(latin, F.lit(c), F.lit(plain))
+    single = {c: p for c, p in maps.items() if len(p) == 1}
+    gone = "".join(c for c, p in maps.items() if not p)
+    latin = F.regexp_replace(F.translate(latin, "".join(single) + gone, "".join(single.values())), r"\p{M}+", "")
+    plain = F.when(given.rlike(r"[^\x00-\x7F]"), latin).otherwise(low)
+    spaced = F.replace(F.replace(plain, F.lit("&"), F.lit(" and ")), F.lit("'"), F.lit(""))
+    return F.trim(F.regexp_replace(spaced, "[^a-z0-9]+", " "))
 
 
 def tokens(normal: Column) -> Column:
     return F.filter(F.split(normal, " "), lambda t: (t != "") & ~t.isin(*STOP))
 
 
+#: C before anything but h sounds like k; a letter counts once in a row.
+HARD_C, DOUBLED = "c(?!h)", r"(.)\1+"
+
+
 def fold(token: Column) -> Column:
     for a, b in FOLDS:
         token = F.replace(token, F.lit(a), F.lit(b))
-    return F.regexp_replace(F.regexp_replace(token, "c(?!h)", "k"), r"(.)\1+", "$1")
+    return F.regexp_replace(F.regexp_replace(token, HARD_C, "k"), DOUBLED, "$1")
 
 
 def folded_tokens(name: Column) -> Column:

@@ -13,6 +13,7 @@ from ..functions.names import CYRILLIC, folded_tokens, keys_of, script_of, simil
 from ..session import materialize
 from .evaluation import hash15
 
+# The tags of a record, and what parts aliases.
 FIELDS = ("Country", "LastName", "GivenName", "Aliases", "DateOfBirthOrShipBuildDate", "Schedule", "Item", "DateOfListing", "EntityOrShip", "ShipIMONumber")
 
 
