@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluation as ev
 from ..operators import models as m
-from .queries import E_SQL, f1, held, p1, register
+from .queries import E_SQL, f1, held, hits1, p1, register
 
 
 def inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,9 +29,18 @@ def ranking(model: str):
     return query
 
 
+def model_scored(s, d):
+    """Payments scored with the isolation forest's own scores, where the other queries keep a stand-in that SQL can follow."""
+    shares = ev.percentile_against_train(m.cross_validated(inputs(s, d), "isolation_forest"), "score").select("transaction_id", "fold", F.col("score").alias("anomaly"), "model_component")
+    return held(s, d, "scored-by-model", lambda: p1(s, d).join(ev.risk_scores(hits1(s, d), shares), "transaction_id"))
+
+
 for name in ("isolation_forest", "lof", "mahalanobis", "logistic"):
     register(f"model_{name}", scores(name))
 register("model_gbt_ranking", ranking("gbt"))
+register("scored_by_model", model_scored)
+register("cheapest_threshold_by_model", lambda s, d: ev.cheapest(ev.sweep(model_scored(s, d))))
+register("ranking_by_model", lambda s, d: ev.ranking_metrics(model_scored(s, d)))
 register(
     "folds",
     lambda s, d: ev.folds(p1(s, d)).groupBy("fold").agg(F.count(F.lit(1)).alias("entities")),
