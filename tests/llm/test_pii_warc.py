@@ -165,9 +165,21 @@ def test_revisits_name_their_response(spark, tmp_path):
     assert told == {"1": ("urn:page:3", True), "2": ("urn:page:3", True), "4": ("http://f/", True), "5": ("http://f/", True)}
 
 
+def test_packed_archives_of_others(spark, tmp_path):
+    import gzip
+
+    body = b"HTTP/1.1 200 OK\r\nContent-Type: text/plain\r\n\r\nhello"
+    digest = hashlib.sha1(b"hello").hexdigest()
+    records = [warc.record({"WARC-Type": k, "WARC-Record-ID": f"<urn:uuid:{k}>", "WARC-Target-URI": f"http://x/{k}"}, b"x" if k == "warcinfo" else body) + b"\r\n\r\n" for k in ("warcinfo", "response")]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(records[1])[:-20])
+    got = [(r["page_id"], r["record_type"], r["target_uri"], r["payload_digest"], r["problem"] is None) for r in warc.read_warc(spark, str(tmp_path), "*.warc.gz").collect()]
+    assert (None, "response", "http://x/response", digest, True) in got and len([r for r in got if r[4]]) <= 2
+
+
 def test_segments_are_checked(spark):
     block = warc.HTTP_HEAD + warc.chunked(b"hello")
-    part = lambda n, b, total=None: {"segment": n, "block": b, "total": total, "page_id": 1, "kind": "response", "digest": None, "length": 5, "refers": None, "problem": None}
+    part = lambda n, b, total=None: {"segment": n, "block": b, "total": total, "page_id": 1, "kind": "response", "digest": None, "length": 5, "refers": None, "uri": None, "problem": None}
     assert warc.assemble([part(2, block[9:], len(block)), part(1, block[:9])])["payload"] == b"hello"
     assert warc.assemble([part(1, block[:9])])["problem"] == "total length differs"
     assert warc.assemble([part(1, block[:9]), part(3, block[9:], len(block))])["problem"] == "segments missing or repeated"

@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import re
 import uuid
+import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -25,7 +26,7 @@ HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTrans
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Records in a file at most; with the segment size this bounds a file, which one task reads whole.
 FILE_RECORDS = 1000
-RECORD = "record_id string, origin string, segment int, total long, page_id long, kind string, digest string, length long, refers long, block binary, problem string"
+RECORD = "record_id string, origin string, segment int, total long, page_id long, kind string, digest string, length long, refers long, uri string, block binary, problem string"
 
 
 def chunked(payload: bytes, size: int = 8192) -> bytes:
@@ -110,6 +111,21 @@ def write_warc(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col:
     records.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
+def unpacked(data: bytes) -> bytes:
+    """An archive's bytes: those of its gzip members, one after another, or as they are. A broken member ends them."""
+    if not data.startswith(b"\x1f\x8b"):
+        return data
+    out = []
+    while data:
+        member = zlib.decompressobj(wbits=31)
+        try:
+            out.append(member.decompress(data))
+        except zlib.error:
+            break
+        data = member.unused_data
+    return b"".join(out)
+
+
 def parse_records(data: bytes) -> Iterator[dict]:
     """The records of one archive file, by their lengths. A broken file yields its whole records, then a row that says so."""
     at = 0
@@ -131,19 +147,19 @@ def parse_records(data: bytes) -> Iterator[dict]:
         number = lambda k, h=head: int(h[k]) if h.get(k) not in (None, "None") else None
         yield {
             "record_id": head.get("warc-record-id"), "origin": head.get("warc-segment-origin-id") or head.get("warc-record-id"), "segment": number("warc-segment-number"), "total": number("warc-segment-total-length"),
-            "page_id": number("x-page-id"), "kind": head.get("warc-type"), "digest": (head.get("warc-payload-digest") or "").removeprefix("sha1:") or None, "length": number("x-payload-length"), "refers": number("x-refers-to-page-id"), "block": block,
+            "page_id": number("x-page-id"), "kind": head.get("warc-type"), "digest": (head.get("warc-payload-digest") or "").removeprefix("sha1:") or None, "length": number("x-payload-length"), "refers": number("x-refers-to-page-id"), "uri": head.get("warc-target-uri"), "block": block,
         }
 
 
-SCHEMA = pa.schema([("record_id", pa.string()), ("origin", pa.string()), ("segment", pa.int32()), ("total", pa.int64()), ("page_id", pa.int64()), ("kind", pa.string()), ("digest", pa.string()), ("length", pa.int64()), ("refers", pa.int64()), ("block", pa.binary()), ("problem", pa.string())])
-NAMES = ("page_id", "record_type", "refers_to", "payload", "payload_bytes", "payload_digest", "problem")
-OUT = pa.schema([("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("problem", pa.string())])
-OUT_DDL = "page_id long, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string, problem string"
+SCHEMA = pa.schema([("record_id", pa.string()), ("origin", pa.string()), ("segment", pa.int32()), ("total", pa.int64()), ("page_id", pa.int64()), ("kind", pa.string()), ("digest", pa.string()), ("length", pa.int64()), ("refers", pa.int64()), ("uri", pa.string()), ("block", pa.binary()), ("problem", pa.string())])
+NAMES = ("page_id", "record_type", "refers_to", "target_uri", "payload", "payload_bytes", "payload_digest", "problem")
+OUT = pa.schema([("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("target_uri", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("problem", pa.string())])
+OUT_DDL = "page_id long, record_type string, refers_to long, target_uri string, payload binary, payload_bytes long, payload_digest string, problem string"
 
 
 def finished(r: dict, block: bytes, problem: str | None = None) -> dict:
     """A page from its whole block: the payload's length and digest are computed, a revisit's are those it states."""
-    out = dict.fromkeys(NAMES) | {"page_id": r.get("page_id"), "record_type": r.get("kind"), "refers_to": r.get("refers"), "problem": problem or r.get("problem")}
+    out = dict.fromkeys(NAMES) | {"page_id": r.get("page_id"), "record_type": r.get("kind"), "refers_to": r.get("refers"), "target_uri": r.get("uri"), "problem": problem or r.get("problem")}
     if r.get("kind") == "revisit":
         return out | {"payload_bytes": r["length"], "payload_digest": r["digest"]}
     if out["problem"]:
@@ -172,7 +188,7 @@ def runs(batches: Iterator[pa.RecordBatch], wanted: Callable[[dict], bool], size
     for batch in batches:
         for content in batch.column(0):
             rows, held = [], 0
-            for r in parse_records(content.as_py()):
+            for r in parse_records(unpacked(content.as_py())):
                 if r.get("kind") in ("response", "revisit", "continuation", None) and wanted(r):
                     rows.append(r)
                     held += len(r.get("block") or b"")
@@ -183,12 +199,12 @@ def runs(batches: Iterator[pa.RecordBatch], wanted: Callable[[dict], bool], size
                 yield rows
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """One row per response or revisit in the archives at path: page_id, record_type, refers_to, payload (null for
-    revisits), payload_bytes, payload_digest (hex SHA-1), problem (null if whole; else payload is null or differs).
+def read_warc(spark: SparkSession, path: str, files: str = "part-*") -> DataFrame:
+    """One row per response or revisit in the archives at path whose names match `files`: page_id and refers_to (null in
+    archives of others, which target_uri tells apart), record_type, target_uri, payload (null for revisits), payload_bytes, payload_digest (hex SHA-1), problem (null if whole; else payload is null or differs).
 
     Whole records are finished where they are read; only segments are shuffled, by origin identifier. Other record types
-    are skipped. No files or no records: an empty result.
+    are skipped. Archives may be packed, a gzip member per record. No files or no records: an empty result.
     """
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +221,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_pylist([assemble(r["s"]) for r in batch.slice(k, 64).to_pylist()], schema=OUT)
 
     # Two passes over the files cost less than keeping or shuffling every payload once more.
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    segments = files.mapInArrow(parts, RECORD).select("origin", F.struct("segment", "total", "page_id", "kind", "digest", "length", "refers", "problem", "block").alias("s"))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", files).load(path).select("content")
+    segments = files.mapInArrow(parts, RECORD).select("origin", F.struct("segment", "total", "page_id", "kind", "digest", "length", "refers", "uri", "problem", "block").alias("s"))
     joined = segments.groupBy("origin").agg(F.collect_list("s").alias("s")).select("s").mapInArrow(join, OUT_DDL)
     return files.mapInArrow(whole, OUT_DDL).unionByName(joined)
