@@ -273,3 +273,25 @@ def test_moments_match_numpy(spark):
     mean, sigma, cov, n = models.moments(df, ("a", "b"))
     assert n == 200 and np.allclose(mean, x.mean(0)) and np.allclose(sigma, x.std(0)) and np.allclose(cov, np.cov(x.T))
     assert models.moments(df.where("a < 0"), ("a", "b"))[3] == 0
+
+
+def test_sampled_models_by_themselves():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((3000, 5))
+    x[:30] += 5
+    y = (np.arange(3000) < 30).astype(float)
+    forest = models.IsolationForest(x, trees=50, size=512).score(x)
+    assert forest[:30].min() > np.median(forest[30:]) and 0 < forest.min() and forest.max() < 1
+    one = models.IsolationForest(np.array([[1.0], [2.0]]), trees=3)  # two rows: one cut, then single rows
+    assert all(len(t[0]) == 3 and t[0].tolist() == [0, -1, -1] for t in one.trees) and len(set(one.score(np.array([[1.0], [2.0]])))) == 1
+    lone = np.concatenate([x[30:1030], [[9.0] * 5]])
+    lof = models.LocalOutlierFactor(lone).score(lone)
+    assert lof.argmax() == 1000
+    trees = models.BoostedTrees(x[::2], y[::2], np.where(y[::2] == 1, 50.0, 0.5), rounds=40)
+    held = trees.score(x[1::2])
+    assert held[y[1::2] == 1].min() > 0.5 and np.mean(held[y[1::2] == 0] < 0.5) > 0.98
+    flat = models.BoostedTrees(np.zeros((10, 2)), np.array([0.0] * 5 + [1.0] * 5), np.ones(10), rounds=3)
+    assert np.allclose(flat.score(np.zeros((2, 2))), 0.5)
+    assert models.boosted(x[30:], y[30:], np.ones(2970)).score(x[:2]).tolist() == [0.0, 0.0]
