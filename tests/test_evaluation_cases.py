@@ -7,6 +7,7 @@ from helpers import T0, frame, pay
 from tidemark.config import RULES, ScoreConfig
 from tidemark.functions import text
 from tidemark.operators import cases, evaluation, notes, validation
+from tidemark.operators.running import with_ranked
 from tidemark.sources import files
 
 
@@ -188,3 +189,19 @@ def test_files(spark, tmp_path, scored):
     assert len(files.canonical_digest(spark, str(tmp_path / "p.json"))) == 64
     assert '"n": 400' in files.metrics_document({"x": scored.agg(F.count(F.lit(1)).alias("n"))})
     assert files.markdown_table(spark.createDataFrame([("$5|", None)], "a string, b string")).endswith("| \\$5\\| |  |")
+
+
+def test_running_sums_over_ranges_match_plain_sums(spark):
+    rng = random.Random(5)
+    rows = [(g, round(v, 3), rng.randint(0, 9), 1) for g in ("a", "b") for v in {rng.random() ** 3 for _ in range(700)}]
+    df = spark.createDataFrame(rows, "g string, v double, x long, n long")
+    for by, down in (((), False), (("g",), True)):
+        base = df.groupBy(*by, "v").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
+        got = with_ranked(base, "v", ["x", "n"], by, down=down, ranges=16).collect()
+        plain = [r.asDict() for r in base.collect()]
+        assert len(got) == len(plain)
+        for r in got[::17]:
+            own = [p for p in plain if not by or p["g"] == r["g"]]
+            upto = [p for p in own if (p["v"] >= r["v"] if down else p["v"] <= r["v"])]
+            assert (r["upto_x"], r["upto_n"], r["all_x"]) == (sum(p["x"] for p in upto), sum(p["n"] for p in upto), sum(p["x"] for p in own))
+    assert with_ranked(df.where("false").select("v", "x"), "v", ["x"]).count() == 0
