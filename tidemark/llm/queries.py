@@ -14,6 +14,7 @@ from .embed_dedup import embedding_duplicates
 from .langid import identify, learn_dictionaries
 from .mixing import mix_sources
 from .packing import pack
+from .piece_codec import encode_pieces
 from .pii import replace
 from .quality import fit, score
 from .simhash import near_duplicates
@@ -89,8 +90,13 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
+def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_pieces(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), keep=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_nearest, op3_pii, op4_quality, op5_mixing, op6_token_counts, op7_packing, op8_warc, op9_embedding_dedup, op10_language)}
+    found = (op1_simhash, op2_nearest, op3_pii, op4_quality, op5_mixing, op6_token_counts, op7_packing, op8_warc, op9_embedding_dedup, op10_language, op12_pieces)
+    return {f.__name__: f for f in found}
 
 
 #: The same mix by sorting: documents in the order of their hash, as long as the running sum stays within the budget.
