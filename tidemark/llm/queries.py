@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ann import nearest
+from .collocations import collocations
 from .common import scratch, table
 from .embed_dedup import embedding_duplicates
 from .langid import identify, learn_dictionaries
@@ -90,12 +91,16 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), keep=False)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_simhash, op2_nearest, op3_pii, op4_quality, op5_mixing, op6_token_counts, op7_packing, op8_warc, op9_embedding_dedup, op10_language, op12_pieces)
+    found = (op1_simhash, op2_nearest, op3_pii, op4_quality, op5_mixing, op6_token_counts, op7_packing, op8_warc, op9_embedding_dedup, op10_language, op11_collocations, op12_pieces)
     return {f.__name__: f for f in found}
 
 
@@ -174,5 +179,37 @@ SELECT vec_id, (SELECT COUNT(*) FROM links WHERE links.a = vec_id) AS n_links, c
 """
 
 
+#: All n-grams of one to five words, every cut of the frequent ones, and whether a longer one stands around each.
+OP11_SQL = r"""
+WITH pieces AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (
+    SELECT COALESCE(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)
+), totals AS (
+  SELECT lang, CAST(SUM(len(w)) AS HUGEINT) AS n FROM pieces GROUP BY 1
+), grams AS (
+  SELECT lang, list_slice(w, i, i + size - 1) AS each, CAST(COUNT(*) AS HUGEINT) AS f
+  FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM pieces), (SELECT unnest(range(1, 6)) AS size) WHERE i + size - 1 <= len(w)
+  GROUP BY 1, 2 HAVING COUNT(*) >= 100
+), candidates AS (
+  SELECT *, array_to_string(each, ' ') AS phrase FROM grams WHERE len(each) > 1
+), cuts AS (
+  SELECT lang, each, phrase, f AS a, unnest(range(1, len(each))) AS k FROM candidates
+), scored AS (
+  SELECT c.*, l.f AS l, r.f AS r, t.n, (1000 * c.a * t.n) // (l.f * r.f) AS score,
+         row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY (1000 * c.a * t.n) // (l.f * r.f), c.k) AS nth
+  FROM cuts c JOIN totals t ON t.lang = c.lang JOIN grams l ON l.lang = c.lang AND l.each = list_slice(c.each, 1, c.k)
+    JOIN grams r ON r.lang = c.lang AND r.each = list_slice(c.each, c.k + 1, len(c.each))
+), parts AS (
+  SELECT lang, f, each, size, unnest(range(1, len(each) - size + 2)) AS i FROM (SELECT lang, f, each, unnest(range(2, len(each))) AS size FROM candidates)
+), around AS (
+  SELECT lang, list_slice(each, i, i + size - 1) AS each, MAX(f) AS f FROM parts GROUP BY 1, 2
+), ranked AS (
+  SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY s.score DESC, s.a DESC, s.phrase) AS rank
+  FROM scored s LEFT JOIN around o ON o.lang = s.lang AND o.each = s.each WHERE s.nth = 1 AND (o.f IS NULL OR 100 * o.f < 100 * s.a)
+)
+SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_embedding_dedup": OP9_SQL, "op5_mixing": OP5_SQL, "op8_warc": OP8_SQL}
+    return {"op11_collocations": OP11_SQL, "op9_embedding_dedup": OP9_SQL, "op5_mixing": OP5_SQL, "op8_warc": OP8_SQL}
