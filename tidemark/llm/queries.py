@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .ann import nearest
 from .collocations import collocations
 from .common import scratch, table
+from .divergence import divergence
 from .embed_dedup import embedding_duplicates
 from .langid import identify, learn_dictionaries
 from .mixing import mix_sources
@@ -99,8 +100,12 @@ def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), keep=False)
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_simhash, op2_nearest, op3_pii, op4_quality, op5_mixing, op6_token_counts, op7_packing, op8_warc, op9_embedding_dedup, op10_language, op11_collocations, op12_pieces)
+    found = (op1_simhash, op2_nearest, op3_pii, op4_quality, op5_mixing, op6_token_counts, op7_packing, op8_warc, op9_embedding_dedup, op10_language, op11_collocations, op12_pieces, op13_divergence)
     return {f.__name__: f for f in found}
 
 
@@ -211,5 +216,37 @@ SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(
 """
 
 
+#: Every group with every kept term of its language.
+OP13_SQL = r"""
+WITH d AS (
+  SELECT COALESCE(lang, '') AS lang, COALESCE(source, '') AS source,
+         regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+), occ AS (
+  SELECT lang, source, unnest(terms) AS term FROM d
+), kept AS (
+  SELECT lang, term FROM (SELECT lang, unnest(list_distinct(terms)) AS term FROM d) GROUP BY 1, 2 HAVING COUNT(*) >= 10
+), groups AS (
+  SELECT DISTINCT lang, source FROM d
+), c AS (
+  SELECT g.lang, g.source, k.term, CAST(COALESCE(o.n, 0) AS HUGEINT) AS n
+  FROM groups g JOIN kept k ON k.lang = g.lang LEFT JOIN (SELECT lang, source, term, COUNT(*) AS n FROM occ GROUP BY 1, 2, 3) o ON o.lang = g.lang AND o.source = g.source AND o.term = k.term
+), p AS (
+  SELECT lang, source, term, n, 1 + 1000000000 * (n + 2) // (SUM(n) OVER (PARTITION BY lang, source) + 2 * COUNT(*) OVER (PARTITION BY lang, source)) AS p FROM c
+), q AS (
+  SELECT lang, term, 1 + 1000000000 * (n + 2) // (SUM(n) OVER (PARTITION BY lang) + 2 * COUNT(*) OVER (PARTITION BY lang)) AS q FROM (SELECT lang, term, SUM(n) AS n FROM c GROUP BY 1, 2)
+), sums AS (
+  SELECT a.lang, a.source, b.source AS item, SUM((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3
+), pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, COALESCE(s.value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+), terms AS (
+  SELECT p.lang, p.source, 'term' AS part, p.term AS item, (p.p - q.q) * (p.p - q.q) // (p.p + q.q) AS value FROM p JOIN q ON q.lang = p.lang AND q.term = p.term WHERE p.n > 0 AND p.p > q.q
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op11_collocations": OP11_SQL, "op9_embedding_dedup": OP9_SQL, "op5_mixing": OP5_SQL, "op8_warc": OP8_SQL}
+    return {"op13_divergence": OP13_SQL, "op11_collocations": OP11_SQL, "op9_embedding_dedup": OP9_SQL, "op5_mixing": OP5_SQL, "op8_warc": OP8_SQL}
