@@ -177,6 +177,70 @@ def test_packed_archives_of_others(spark, tmp_path):
     assert (None, "response", "http://x/response", digest, True) in got and len([r for r in got if r[4]]) <= 2
 
 
+def others_record(name, body, **more):
+    fields = {"WARC-Type": "response", "WARC-Record-ID": f"<urn:uuid:{name}>", "WARC-Target-URI": f"http://x/{name}"}
+    return warc.record(fields | more, b"HTTP/1.1 200 OK\r\n\r\n" + body) + b"\r\n\r\n"
+
+
+def found_in(data):
+    return [(r.get("uri"), r.get("problem") is None) for r in warc.parse_records(warc.unpacked(data))]
+
+
+@pytest.mark.parametrize("harm", ["flip", "cut", "zeros", "header"])
+def test_records_behind_a_damaged_member_are_read(harm):
+    import gzip
+
+    members = [gzip.compress(others_record(k, bytes([65 + k]) * 500 + hashlib.sha1(bytes([k])).digest() * 30)) for k in range(5)]
+    m = bytearray(members[2])
+    harmed = {"flip": bytes(m[:60]) + bytes([m[60] ^ 0xFF]) + bytes(m[61:]), "cut": bytes(m[:100]), "zeros": bytes(m[:40]) + bytes(80) + bytes(m[120:]), "header": b"\x00" * 10 + bytes(m[10:])}[harm]
+    got = found_in(b"".join(members[:2]) + harmed + b"".join(members[3:]))
+    assert [u for u, ok in got if ok and u != "http://x/2"] == [f"http://x/{k}" for k in (0, 1, 3, 4)]
+    assert 1 <= sum(not ok for _, ok in got) <= 3
+
+
+def test_records_behind_a_broken_record_are_read():
+    whole = [others_record(k, b"body %d" % k) for k in range(4)]
+    short = whole[1].replace(b"Content-Length: ", b"Content-Length: 9")  # reaches over the next ones
+    lost = whole[1].replace(b"Content-Length", b"Content-Size")
+    junk = b"not a record at all\r\n\r\n"
+    for bad in (short, lost, junk):
+        got = found_in(whole[0] + bad + whole[2] + whole[3])
+        assert [u for u, ok in got if ok] == ["http://x/0", "http://x/2", "http://x/3"] and sum(not ok for _, ok in got) == 1
+    assert found_in(b"") == [] and found_in(b"".join(whole)) == [(f"http://x/{k}", True) for k in range(4)]
+    assert [ok for _, ok in found_in(whole[0] + whole[1][:40])] == [True, False]
+
+
+def test_digests_in_base32_and_hex(spark, tmp_path):
+    import base64
+
+    digest = hashlib.sha1(b"hello").digest()
+    stated = [f"sha1:{base64.b32encode(digest).decode()}", f"sha1:{digest.hex().upper()}", "sha256:abc", f"sha1:{base64.b32encode(hashlib.sha1(b'x').digest()).decode()}"]
+    data = b"".join(others_record(k, b"hello", **{"WARC-Payload-Digest": d}) for k, d in enumerate(stated))
+    data += others_record(9, b"", **{"WARC-Type": "revisit", "WARC-Payload-Digest": stated[0]})
+    (tmp_path / "a.warc").write_bytes(data)
+    got = {r["target_uri"]: (r["record_type"], r["payload_digest"], r["problem"]) for r in warc.read_warc(spark, str(tmp_path), "*.warc").collect()}
+    assert got == {f"http://x/{k}": ("response", digest.hex(), "digest differs" if k == 3 else None) for k in range(4)} | {"http://x/9": ("revisit", digest.hex(), None)}
+
+
+def test_many_members_take_linear_time():
+    import gzip
+    import time
+
+    took = []
+    for n in (10_000, 100_000):
+        data = gzip.compress(others_record(1, b"hello")) * n
+        began = time.process_time()
+        assert sum(1 for _ in warc.parse_records(warc.unpacked(data))) == n
+        took.append(time.process_time() - began)
+    assert took[1] < 25 * took[0]
+
+
+def test_revisits_are_checked_against_their_response(spark):
+    rows = [(1, "response", None, 5, "aa", None), (2, "revisit", 1, 5, "aa", None), (3, "revisit", 1, 6, "aa", None), (4, "revisit", 9, 5, "aa", None), (5, "revisit", None, 5, "aa", None), (6, "response", None, 5, "bb", "digest differs"), (7, "revisit", 6, 5, "bb", None)]
+    pages = spark.createDataFrame(rows, "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, problem string")
+    assert sorted(map(tuple, warc.unmatched_revisits(pages).collect())) == [(3, 1, "response differs"), (4, 9, "response missing"), (7, 6, "response missing")]
+
+
 def test_segments_are_checked(spark):
     block = warc.HTTP_HEAD + warc.chunked(b"hello")
     part = lambda n, b, total=None: {"segment": n, "block": b, "total": total, "page_id": 1, "kind": "response", "digest": None, "length": 5, "refers": None, "uri": None, "problem": None}
@@ -184,7 +248,7 @@ def test_segments_are_checked(spark):
     assert warc.assemble([part(1, block[:9])])["problem"] == "total length differs"
     assert warc.assemble([part(1, block[:9]), part(3, block[9:], len(block))])["problem"] == "segments missing or repeated"
     assert warc.assemble([part(1, block[:9]), part(2, block[9:-1], len(block) - 1)])["problem"]
-    assert [r.get("problem") for r in warc.parse_records(warc.record({"WARC-Type": "response"}, b"abc") + b"\r\n\r\nWARC/1.1\r\nContent-Length: 99\r\n\r\nx")][-1]
+    assert [r.get("problem") for r in warc.parse_records([warc.record({"WARC-Type": "response"}, b"abc") + b"\r\n\r\nWARC/1.1\r\nContent-Length: 99\r\n\r\nx"])][-1]
 
 
 def test_no_pages(spark, tmp_path):

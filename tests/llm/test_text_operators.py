@@ -129,7 +129,24 @@ def test_ids_are_the_tokenizers_librarys(words):
 
     tok, own = Tokenizer.from_file(BYTES), byte_bpe(BYTES)
     for t in ["", "  a   b\n\n c\t", "I'll don't 123 ½ é  日本🙂", "x <|endoftext|> y<|endoftext|>", " ".join(words), "a" * 3000, " " * 500]:
-        assert own.encode(t, allowed_special="all") == tok.encode(t, add_special_tokens=False).ids
+        assert own.encode(t) == tok.encode(t, add_special_tokens=False).ids
+
+
+def test_long_runs_of_white_space():
+    from tokenizers import Tokenizer
+
+    tok, own = Tokenizer.from_file(BYTES), byte_bpe(BYTES)
+    pad, end = "word " * 25_000, "<|endoftext|>"
+    runs = [" " * 1000, "\n" * 1001, " \t\r\n" * 400, "\u3000\xa0\u2028" * 500, "\t" * 1500 + " "]
+    for t in [r.join(["", pad, "x", "1", "é", "...", end, ""]) for r in runs] + [pad + r + end + r for r in runs] + [" " * 1_000_000, pad + "\n" * 1_000_000 + " a", "\t" * 1_000_000 + "\x1c."]:
+        assert own.encode(t) == tok.encode(t, add_special_tokens=False).ids
+    assert len(own.encode("x" + " " * 10_000_000)) == 10_000_001
+
+
+def test_packing_a_million_spaces(spark):
+    df = spark.createDataFrame([(1, " " * 1_000_000), (2, "a" + "\n" * 1_000_001 + "b")], "doc_id long, text string")
+    got = pack(df, BYTES).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {r["doc_id"]: r["n"] for r in got} == {1: 1_000_001, 2: 500_004}
 
 
 # Quality
@@ -208,6 +225,9 @@ def test_clashing_columns(spark):
     df = spark.createDataFrame([(1, "some words here", "s", 5, 6, 7), (2, "more words there", "s", 5, 6, 7)], "doc_id long, text string, source string, size int, id int, h int")
     assert [r["size"] for r in mix_sources(df).collect()] == [3, 3]
     assert apply_mix(df).columns == df.columns
+    clash = df.select("*", *[F.lit(77).alias(c) for c in ("mix", "_mix", "mix_copy", "_mix_src", "src", "target", "threshold", "source_size", "whole")])
+    taken = apply_mix(clash, weights=(1,), share=2.0).collect()
+    assert len(taken) == 4 and {r["mix_copy"] for r in taken} == {r["_mix_src"] for r in taken} == {r["mix"] for r in taken} == {77}
     assert token_counts(df, PIECES).count() == pack(df, BYTES).count() == 2
     assert langid.identify(df, {"aa": b"some words"}).count() == 2
     assert hashlib.md5(b"").hexdigest()  # md5 is what the mix hashes ids with

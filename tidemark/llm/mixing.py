@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, word_count
+from .common import materialize, unused, word_count
 
 LEVEL_BITS, LEVELS = 12, 5
 
@@ -105,10 +105,16 @@ def mix_sources(docs: DataFrame, *, max_copies: int = 3, **options) -> DataFrame
 
 
 def apply_mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", max_copies: int = 3, **options) -> DataFrame:
-    """The documents of the mix, each as often as it is taken, with the columns of docs. Texts aren't shuffled."""
+    """The documents of the mix, each as often as it is taken, with the columns of docs, whatever their names. Texts aren't
+    shuffled.
+
+    Null text has no words and null source is a source of its own, last in order; documents of a source without words go.
+    Rows that share an id are taken or left together, repeated rows each as often as the others. Empty table: empty result.
+    """
     _, limits = mix_limits(docs, id_col=id_col, source_col=source_col, max_copies=max_copies, **options)
-    limits = limits.select(*[F.col(c).alias(f"_mix_{c}") for c in limits.columns])
-    extra = F.when(F.col("_mix_source_size") == 0, 0).when(hash60(F.col(id_col)) < F.col("_mix_threshold"), 1).otherwise(0)
-    copies = F.least(F.col("_mix_whole") + extra, F.lit(max_copies)).cast("int")
-    joined = docs.join(limits, F.col(source_col).eqNullSafe(F.col("_mix_src"))).withColumn("_mix_copies", copies).where("_mix_copies > 0")
-    return joined.withColumn("_mix_n", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*docs.columns)
+    at, rest = unused(docs, "mix"), unused(docs, "mix_copy")
+    limits = limits.select(F.struct(*limits.columns).alias(at))
+    extra = F.when(F.col(f"{at}.source_size") == 0, 0).when(hash60(F.col(id_col)) < F.col(f"{at}.threshold"), 1).otherwise(0)
+    copies = F.least(F.col(f"{at}.whole") + extra, F.lit(max_copies)).cast("int")
+    joined = docs.join(limits, F.col(source_col).eqNullSafe(F.col(f"{at}.src"))).where(copies > 0)
+    return joined.withColumn(rest, F.explode(F.sequence(F.lit(1), copies))).select(*docs.columns)

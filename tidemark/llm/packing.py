@@ -8,6 +8,7 @@ sequences at which place; each document piece takes the slot of its rank among t
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -22,17 +23,52 @@ from .common import materialize, pow2_at_least
 
 #: The split pattern of byte-level BPE vocabularies of this family: a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: White space as that pattern has it: fixed values.
+SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Runs of white space from this length on are cut out before splitting, in texts from that length on: the splitter's stack
+#: gives out at some 900,000.
+LONG_RUN, LONG_TEXT = 1000, 100_000
 SALT_ROWS = 2048
 
 
+class ByteBpe:
+    """Ids of a byte-level BPE by tiktoken, special strings as special ids, and texts with white space of any length."""
+
+    def __init__(self, ranks: dict[bytes, int], special: dict[str, int]):
+        import tiktoken
+
+        self.split = tiktoken.Encoding("byte-bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        self.whole = tiktoken.Encoding("byte-bpe-runs", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
+        self.special = special
+        self.specials = re.compile(f"({'|'.join(map(re.escape, sorted(special, key=len, reverse=True)))})") if special else None
+        self.run = re.compile(f"[{SPACES}]{{{LONG_RUN},}}")
+
+    def encode(self, text: str) -> list[int]:
+        if len(text) < LONG_TEXT or not self.run.search(text):
+            return self.split.encode(text, allowed_special="all")
+        out: list[int] = []
+        for part in self.specials.split(text) if self.specials else [text]:
+            out += [self.special[part]] if part in self.special else self.around_runs(part)
+        return out
+
+    def around_runs(self, text: str) -> list[int]:
+        """The pattern takes a run of white space but for its last character, which stays with what follows, or to the end."""
+        out, at = [], 0
+        for m in self.run.finditer(text):
+            end = m.end() if m.end() == len(text) else m.end() - 1
+            out += self.split.encode_ordinary(text[at : m.start()]) + self.whole.encode_ordinary(text[m.start() : end])
+            at = end
+        return out + self.split.encode_ordinary(text[at:])
+
+
 @lru_cache(maxsize=2)
-def byte_bpe(path: str):
+def byte_bpe(path: str) -> ByteBpe:
     """The byte-level BPE of a tokenizers .json file, run by tiktoken: the same ids several times faster.
 
     Special strings in a text become their special ids, as is the tokenizers library's default. A file whose text is
-    normalised or split in another way, or whose merges are not in the order of their ids, is refused.
+    normalised or split in another way, whose merges are not in the order of their ids, or whose special strings take in
+    what stands around them, is refused.
     """
-    import tiktoken
 
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
@@ -40,11 +76,13 @@ def byte_bpe(path: str):
     merged = [vocab[x.replace(" ", "") if isinstance(x, str) else "".join(x)] for x in spec["model"]["merges"]]
     if spec.get("normalizer") or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True) or any(a >= b for a, b in zip(merged, merged[1:], strict=False)):
         raise ValueError("not a plain byte-level BPE with merges in the order of their ids")
+    if any(t.get(flag) for t in spec["added_tokens"] for flag in ("lstrip", "rstrip", "single_word")):
+        raise ValueError("special strings take in what stands around them")
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     chars = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(shown))}
     special = {t["content"]: t["id"] for t in spec["added_tokens"]}
     ranks = {bytes(chars[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("byte-bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+    return ByteBpe(ranks, special)
 
 
 def pieces(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", size: int = 2048, end_id: int = 0) -> DataFrame:
@@ -56,7 +94,7 @@ def pieces(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col:
         for batch in batches:
             rows = []
             for k, text in enumerate(batch.column(1).to_pylist()):
-                ids = np.array([*encode(text or "", allowed_special="all"), end_id], dtype="<u4")
+                ids = np.array([*encode(text or ""), end_id], dtype="<u4")
                 cuts = [0, *range(len(ids) % size or size, len(ids) + 1, size)]
                 rows += [(k, n, a, b - a, zlib.crc32(ids[a:b].tobytes())) for n, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
             row, n, start, length, crc = zip(*rows, strict=True) if rows else ([],) * 5

@@ -8,11 +8,12 @@ takes off the chunked transfer framing.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +21,10 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-CRLF = b"\r\n"
+#: Fixed values of the formats: line ends, a gzip member's first bytes, a record's.
+CRLF, GZIP, BEGIN = b"\r\n", b"\x1f\x8b\x08", b"WARC/"
+#: A header's bytes at most, and what stands for the end of an archive.
+HEADER, END = 1 << 20, object()
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 #: Fixed values of the WARC format's identical-payload-digest revisit profile.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -111,44 +115,124 @@ def write_warc(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col:
     records.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
-def unpacked(data: bytes) -> bytes:
-    """An archive's bytes: those of its gzip members, one after another, or as they are. A broken member ends them."""
-    if not data.startswith(b"\x1f\x8b"):
-        return data
-    out = []
-    while data:
-        member = zlib.decompressobj(wbits=31)
+def unpacked(data: bytes, size: int = 1 << 18) -> Iterator[bytes | None]:
+    """An archive's bytes in parts: those of its gzip members, one after another, or as they are. None stands where something is
+    missing: a damaged member is given up and reading goes on at what looks like the next one."""
+    if not data.startswith(GZIP[:2]):
+        yield data
+        return
+    view, at = memoryview(data), 0
+    while 0 <= at < len(data):
+        began, member = at, zlib.decompressobj(wbits=31)
         try:
-            out.append(member.decompress(data))
+            while not member.eof and at < len(data):
+                part = view[at : at + size]
+                out = member.decompress(part)
+                at += len(part) - len(member.unused_data)
+                if out:
+                    yield out
+            whole = member.eof
         except zlib.error:
-            break
-        data = member.unused_data
-    return b"".join(out)
+            whole = False
+        if not whole:
+            yield None
+            at = data.find(GZIP, began + 1)
+
+
+def hex_digest(stated: str | None) -> str | None:
+    """A stated SHA-1, in hex or base32, as lower-case hex; None for other algorithms."""
+    value = (stated or "").strip()
+    kind, _, digest = value.rpartition(":")
+    if kind.lower() not in ("sha1", ""):
+        return None
+    if re.fullmatch(r"[0-9a-fA-F]{40}", digest):
+        return digest.lower()
+    if re.fullmatch(r"[A-Za-z2-7]{32}", digest):
+        return base64.b32decode(digest.upper()).hex()
+    return None
+
+
+def header_of(data: bytes) -> dict[str, str]:
+    """A record's header fields by lower-case name; ValueError if it isn't one."""
+    lines = data.decode().split("\r\n")
+    if not lines[0].startswith("WARC/") or not all(":" in x for x in lines[1:]):
+        raise ValueError("no record header")
+    head = {k.strip().lower(): v.strip() for k, v in (x.split(":", 1) for x in lines[1:])}
+    if not head.get("content-length", "").isdigit():
+        raise ValueError("record without length")
+    return head
+
+
+def parse_records(parts: Iterable[bytes | None]) -> Iterator[dict]:
+    """The records of one archive file, by their lengths. What can't be read gives one row that says so, and reading goes on
+    at the next place that looks like a record's begin: after two line ends, or at the begin of a part after a gap."""
+    held, at, source, ended, gap = bytearray(), 0, iter(parts), False, False
+    told = False  # whether a row has told of what stands before the next record
+
+    def more() -> bool:
+        """Takes in the next part; False at a gap or at the end."""
+        nonlocal ended, gap
+        part = END if ended else None if gap else next(source, END)
+        ended, gap = part is END, part is None
+        if ended or gap:
+            return False
+        held.extend(part)
+        return True
+
+    def drop(n: int) -> None:
+        nonlocal at
+        at += n
+        del held[:n]
 
-
-def parse_records(data: bytes) -> Iterator[dict]:
-    """The records of one archive file, by their lengths. A broken file yields its whole records, then a row that says so."""
-    at = 0
-    while at < len(data):
-        end = data.find(CRLF + CRLF, at)
-        try:
-            if end < 0 or not data.startswith(b"WARC/", at):
-                raise ValueError("no record header")
-            head = dict(x.split(":", 1) for x in data[at:end].decode().split("\r\n")[1:])
-            head = {k.strip().lower(): v.strip() for k, v in head.items()}
-            size = int(head["content-length"])
-            if len(data) < end + 4 + size:
-                raise ValueError("record cut short")
-        except (ValueError, KeyError) as error:
-            yield {"problem": f"at byte {at}: {error}"}
+    while True:
+        if len(held) < len(BEGIN) and more():
+            continue
+        problem, head = "data missing" if gap else "no record header", {}
+        if held.startswith(BEGIN):
+            end = held.find(CRLF + CRLF)
+            while end < 0 and len(held) < HEADER and more():
+                end = held.find(CRLF + CRLF)
+            try:
+                if end < 0:
+                    raise ValueError("header cut short")
+                head = header_of(bytes(held[:end]))
+                body, stop = end + 4, end + 4 + int(head["content-length"])
+                while len(held) < stop + 4 and more():
+                    pass
+                if len(held) < stop or held[stop : stop + 4] not in (CRLF + CRLF, CRLF, b""):
+                    raise ValueError("record cut short" if len(held) < stop else "length differs")
+            except ValueError as error:
+                problem = str(error)
+            else:
+                yield fields_of(head, bytes(held[body:stop]))
+                drop(min(stop + 4, len(held)))
+                told = False
+                continue
+        if not told and (held or gap):
+            known = {"record_id": head.get("warc-record-id"), "uri": head.get("warc-target-uri")}
+            yield {k: v for k, v in known.items() if v} | {"problem": f"at byte {at}: {problem}"}
+            told = True
+        # On to the next begin of a record, in what is held or in what follows.
+        found = held.find(CRLF + CRLF + BEGIN, 1)
+        if found >= 0:
+            drop(found + 4)
+            told = False
+        elif gap:  # after it a record begins with its part
+            drop(len(held))
+            gap, told = False, False
+        elif ended:
             return
-        block = data[end + 4 : end + 4 + size]
-        at = end + 4 + size + 4
-        number = lambda k, h=head: int(h[k]) if h.get(k) not in (None, "None") else None
-        yield {
-            "record_id": head.get("warc-record-id"), "origin": head.get("warc-segment-origin-id") or head.get("warc-record-id"), "segment": number("warc-segment-number"), "total": number("warc-segment-total-length"),
-            "page_id": number("x-page-id"), "kind": head.get("warc-type"), "digest": (head.get("warc-payload-digest") or "").removeprefix("sha1:") or None, "length": number("x-payload-length"), "refers": number("x-refers-to-page-id"), "uri": head.get("warc-target-uri"), "block": block,
-        }
+        else:
+            drop(max(0, len(held) - len(BEGIN) - 4))
+            more()
+
+
+def fields_of(head: dict[str, str], block: bytes) -> dict:
+    number = lambda k: int(head[k]) if head.get(k, "").lstrip("-").isdigit() else None
+    return {
+        "record_id": head.get("warc-record-id"), "origin": head.get("warc-segment-origin-id") or head.get("warc-record-id"), "segment": number("warc-segment-number"), "total": number("warc-segment-total-length"),
+        "page_id": number("x-page-id"), "kind": head.get("warc-type"), "digest": hex_digest(head.get("warc-payload-digest")), "length": number("x-payload-length"), "refers": number("x-refers-to-page-id"), "uri": head.get("warc-target-uri"), "block": block,
+    }
 
 
 SCHEMA = pa.schema([("record_id", pa.string()), ("origin", pa.string()), ("segment", pa.int32()), ("total", pa.int64()), ("page_id", pa.int64()), ("kind", pa.string()), ("digest", pa.string()), ("length", pa.int64()), ("refers", pa.int64()), ("uri", pa.string()), ("block", pa.binary()), ("problem", pa.string())])
@@ -160,7 +244,7 @@ OUT_DDL = "page_id long, record_type string, refers_to long, target_uri string,
 def finished(r: dict, block: bytes, problem: str | None = None) -> dict:
     """A page from its whole block: the payload's length and digest are computed, a revisit's are those it states."""
     out = dict.fromkeys(NAMES) | {"page_id": r.get("page_id"), "record_type": r.get("kind"), "refers_to": r.get("refers"), "target_uri": r.get("uri"), "problem": problem or r.get("problem")}
-    if r.get("kind") == "revisit":
+    if r.get("kind") == "revisit" and not out["problem"]:
         return out | {"payload_bytes": r["length"], "payload_digest": r["digest"]}
     if out["problem"]:
         return out
@@ -204,7 +288,9 @@ def read_warc(spark: SparkSession, path: str, files: str = "part-*") -> DataFram
     archives of others, which target_uri tells apart), record_type, target_uri, payload (null for revisits), payload_bytes, payload_digest (hex SHA-1), problem (null if whole; else payload is null or differs).
 
     Whole records are finished where they are read; only segments are shuffled, by origin identifier. Other record types
-    are skipped. Archives may be packed, a gzip member per record. No files or no records: an empty result.
+    are skipped. Archives may be packed, a gzip member per record. A damaged member or record
+    gives a row with a problem, and those behind it are read. A file is one value, below 2 GB packed, unpacked in parts. No
+    files or no records: an empty result.
     """
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,3 +311,15 @@ def read_warc(spark: SparkSession, path: str, files: str = "part-*") -> DataFram
     segments = files.mapInArrow(parts, RECORD).select("origin", F.struct("segment", "total", "page_id", "kind", "digest", "length", "refers", "uri", "problem", "block").alias("s"))
     joined = segments.groupBy("origin").agg(F.collect_list("s").alias("s")).select("s").mapInArrow(join, OUT_DDL)
     return files.mapInArrow(whole, OUT_DDL).unionByName(joined)
+
+
+def unmatched_revisits(pages: DataFrame) -> DataFrame:
+    """(page_id, refers_to, problem) of read revisits that name a page which isn't among the responses or has another payload.
+
+    Revisits that name no page, as in archives of others, aren't judged. Only ids, lengths and digests are shuffled.
+    """
+    ours = pages.where("record_type = 'revisit' AND refers_to IS NOT NULL").select("page_id", "refers_to", F.col("payload_bytes").alias("length"), F.col("payload_digest").alias("digest"))
+    there = pages.where("record_type = 'response' AND problem IS NULL").groupBy(F.col("page_id").alias("there")).agg(F.min(F.struct("payload_bytes", "payload_digest")).alias("has"))
+    joined = ours.join(there, F.col("refers_to") == F.col("there"), "left")
+    problem = F.when(F.col("there").isNull(), "response missing").when(F.col("has") != F.struct("length", "digest"), "response differs")
+    return joined.select("page_id", "refers_to", problem.alias("problem")).where("problem IS NOT NULL")
