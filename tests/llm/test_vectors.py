@@ -131,3 +131,38 @@ def test_nearest_with_few_candidates_and_ties(spark):
     df = spark.createDataFrame([(0, [1.0, 1.0], 1), (3, [1.0, 0.0], 1), (2, [1.0, 0.0], 1), (1, [-1.0, 0.0], 1)], SCHEMA)
     got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in nearest(df, F.col("vec_id") % 20 == 0).orderBy("rank").collect()]
     assert got == [(0, 1, 2, 1.0), (0, 2, 3, 1.0), (0, 3, 1, -1.0)]
+
+
+def test_a_shard_above_16_bits():
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((70_000, 8))
+    shard = Shard(x, np.arange(70_000), float(np.linalg.norm(x, axis=1).max()))
+    hit = 0
+    for q, (at, score) in zip(x[:20], shard.search(x[:20], np.arange(20), 20, shard.reach(20), None), strict=True):
+        products = x @ q
+        assert np.allclose(products[at], score)
+        hit += len(set(at.tolist()) & set(np.argsort(-products)[:21].tolist()))
+    assert hit >= 0.9 * 400
+
+
+def test_one_id_and_one_vector_on_many_rows(spark, monkeypatch):
+    """They are dealt to all shards."""
+    from tidemark.llm import ann
+
+    monkeypatch.setattr(ann, "SHARD_ROWS", 100)
+    monkeypatch.setattr(ann, "MAX_SHARD", 100)
+    rng = np.random.default_rng(7)
+    vectors = [[float(v) for v in rng.standard_normal(6)] for _ in range(300)]
+    rows = [(k, v) for k, v in enumerate(vectors)] + [(5, vectors[5])] * 300 + [(5, vectors[6])] * 100
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, k=20).collect()
+    x = np.array([v for _, v in rows])
+    ids = np.array([k for k, _ in rows])
+    hit = total = 0
+    for q in range(0, 300, 50):
+        best = sorted((-float(x[j] @ x[q]), int(ids[j])) for j in range(len(ids)) if ids[j] != q)[:20]
+        own = sorted((r["rank"], r["vec_id"]) for r in got if r["query_id"] == q)
+        assert [r for r, _ in own] == list(range(1, 21))
+        scores = sorted((-r["score"] for r in got if r["query_id"] == q))
+        hit += sum(s <= best[-1][0] + 1e-9 for s in scores)
+        total += 20
+    assert hit >= 0.9 * total

@@ -27,6 +27,8 @@ PROJECTIONS, WIDTH, SHARE, GROWTH, SEED = 192, 1.5, 0.825, 1.12, 17
 #: Rows of a shard: SHARD_ROOT times the root of all rows, between SHARD_ROWS and MAX_SHARD. Queries of a block: so many for
 #: each row of a shard in the first, and as many as MAX_SHARD in all others.
 SHARD_ROWS, MAX_SHARD, SHARD_ROOT, FIRST_BLOCK = 8192, 65_536, 36, 0.125
+#: Parts of a sorted array, counted in a byte: windows are taken up to whole parts.
+PARTS = 256
 
 
 class Shard:
@@ -40,56 +42,58 @@ class Shard:
         self.axes = np.random.default_rng(SEED).standard_normal((x.shape[1] + 1, PROJECTIONS))
         values = (np.column_stack([self.x, rest]) @ self.axes).T
         order = np.argsort(values, axis=1)
-        self.values = np.take_along_axis(values, order, axis=1)
-        self.ranks = np.empty(values.shape, np.uint16)
-        np.put_along_axis(self.ranks, order, np.arange(len(x), dtype=np.uint16)[None, :], axis=1)
+        # Each sorted array in equal parts: their least and largest values, and the part in which each vector stands.
+        n = len(x)
+        starts = np.unique(np.arange(PARTS) * n // PARTS)
+        ends = np.append(starts[1:], n) - 1
+        sorted_values = np.take_along_axis(values, order, axis=1)
+        self.least, self.largest = sorted_values[:, starts], sorted_values[:, ends]
+        self.parts = np.empty(values.shape, np.uint8)
+        np.put_along_axis(self.parts, order, np.repeat(np.arange(len(starts)), ends - starts + 1).astype(np.uint8)[None, :], axis=1)
+        self.held, self.inside = np.empty(values.shape, np.uint8), np.empty(values.shape, bool)
         self.verified = 0
 
-    def windows(self, at: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First and last rank of each query's window in each array: (queries, projections) each."""
-        low = [np.searchsorted(v, a - WIDTH * radius) for v, a in zip(self.values, at.T, strict=True)]
-        return np.stack(low, axis=1), np.stack([np.searchsorted(v, a + WIDTH * radius, side="right") for v, a in zip(self.values, at.T, strict=True)], axis=1)
+    def windows(self, at: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+        """First and last part that a query's window touches in each array; the last stands before the first if there is none."""
+        return (self.largest < (at - WIDTH * radius)[:, None]).sum(axis=1), (self.least <= (at + WIDTH * radius)[:, None]).sum(axis=1) - 1
 
-    def collisions(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """In how many windows each vector lies: those of the sorted places from low to high, which may be empty."""
-        counts, offset, inside = np.zeros(len(self.ids), np.uint8), np.empty(len(self.ids), np.uint16), np.empty(len(self.ids), bool)
-        for ranks, a, last in zip(self.ranks, low.astype(np.uint16), (high - low - 1).tolist(), strict=True):
-            if last >= 0:
-                np.less_equal(np.subtract(ranks, a, out=offset), np.uint16(last), out=inside)  # smaller ranks wrap around
-                counts += inside.view(np.uint8)
-        return counts
+    def collisions(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """In how many windows each vector lies."""
+        np.subtract(self.parts, first.astype(np.uint8)[:, None], out=self.held)  # smaller parts wrap around
+        np.less_equal(self.held, (last - first).astype(np.uint8)[:, None], out=self.inside)
+        if (none := last < first).any():
+            self.inside[none] = False
+        return np.add.reduce(self.inside.view(np.uint8), axis=0, dtype=np.uint8)
 
     def search(self, queries: np.ndarray, own: np.ndarray, k: int, first: float, least: np.ndarray | None) -> list[tuple[np.ndarray, np.ndarray]]:
         """Per query (positions, products) of the k best found, best first, ties to the smaller id.
 
-        least: products that are enough, if known: the radius need not go beyond where a product of that size lies, and
-        starts not far below. Else it starts at first.
+        least: products that are enough, if known: the radius is where a product of that size lies. Else it grows from first.
         """
-        n, m = len(self.ids), len(self.values)
+        n, m = len(self.ids), len(self.parts)
         scale = self.longest / np.linalg.norm(queries, axis=1)
         at = np.column_stack([queries * scale[:, None], np.zeros(len(queries))]) @ self.axes
         far = lambda product, s: np.sqrt(np.maximum(0.0, 2 * self.longest**2 - 2 * product * s)) * (1 + 1e-9) + 1e-9 * self.longest
         limits = np.full(len(queries), np.inf) if least is None else far(least, scale)
-        radii = np.full(len(queries), first) if least is None else limits / GROWTH
-        lows, highs = self.windows(at, radii)
+        radii = np.full(len(queries), first) if least is None else limits
         out = []
         for i, q in enumerate(queries):
-            radius, limit, low, high = radii[i], limits[i], lows[i], highs[i]
+            radius, limit = radii[i], limits[i]
             done = np.zeros(n, bool)
             done[np.searchsorted(self.ids, own[i]) : np.searchsorted(self.ids, own[i], side="right")] = True
             goal = min(k, n - int(done.sum()))
             found, products = np.zeros(0, np.int64), np.zeros(0)
             while goal:
+                low, high = self.windows(at[i], radius)
                 passed = np.nonzero((self.collisions(low, high) >= SHARE * m) & ~done)[0]
                 done[passed] = True
                 self.verified += len(passed)
                 found, products = np.append(found, passed), np.append(products, self.x[passed] @ q)
                 if len(found) >= goal:
                     limit = min(limit, far(np.partition(products, len(products) - goal)[len(products) - goal], scale[i]))
-                if radius >= limit * (1 - 1e-9) or (high - low).min() == n:
+                if radius >= limit * (1 - 1e-9) or (high - low).min() == self.least.shape[1] - 1:
                     break
                 radius = min(radius * GROWTH, limit)
-                low, high = (x[0] for x in self.windows(at[i : i + 1], np.array([radius])))
             best = np.lexsort((self.ids[found], -products))[:k]
             out.append((found[best], products[best]))
         return out
@@ -120,7 +124,8 @@ def nearest(vectors: DataFrame, queries: Column, *, id_col: str = "vec_id", vect
     blocks = {d: max(1, -(-r["q"] // MAX_SHARD)) for d, r in found.items()}
     longest = {d: r["longest"] for d, r in found.items()}
     pick = lambda sizes: F.create_map(*[F.lit(x) for d, n in sizes.items() for x in (d, n)])[F.col("dim")] if sizes else F.lit(1)
-    data = live.withColumn("shard", F.pmod(F.xxhash64("id"), pick(shards)).cast("int"))
+    # Rows are dealt by all that they hold and their place in the table, so that neither an id nor a copy crowds a shard.
+    data = live.withColumn("shard", F.pmod(F.xxhash64("id", "v", F.monotonically_increasing_id()), pick(shards)).cast("int"))
     asked = live.where("q").groupBy("id").agg(F.min(F.struct("dim", "v")).alias("row")).select("id", "row.dim", "row.v")
 
     def search(rows: pa.Table, asking: pa.Table) -> pa.Table:
