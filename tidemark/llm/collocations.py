@@ -18,10 +18,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_partitions
+from .common import bitmap, materialize, shuffle_partitions
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of pieces that a task holds before it sums their n-grams, and memory of a bucket's duckdb before it spills.
@@ -159,17 +159,6 @@ def with_spots(batch: pa.RecordBatch, bits: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], [*batch.schema.names, "spot"])
 
 
-def bitmap(spark: SparkSession, counts: DataFrame, bits: int):
-    """A broadcast bitmap of 2^bits bits in which the counted rows' places are set; the driver gets no more than it."""
-    spot = F.col("spot") + 1  # these functions count from one
-    parts = counts.where("spot IS NOT NULL").groupBy(F.bitmap_bucket_number(spot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(spot)).alias("bits"))
-    out = np.zeros(1 << (bits - 3), np.uint8)
-    for r in parts.toLocalIterator():
-        part = np.frombuffer(bytes(r["bits"]), np.uint8)
-        out[(r["bucket"] - 1) * 4096 :][: len(part)] = part
-    return spark.sparkContext.broadcast(out)
-
-
 def collocations(
     docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", least: int = 100, longest: int = 5, top: int = 2000, bits: int = 26
 ) -> DataFrame:
@@ -187,7 +176,7 @@ def collocations(
     for sizes in ((1,), (2,), tuple(range(3, longest + 1))):
         levels.append(materialize(counted(pieces, sizes, least, known, bits), "phrases"))
         if len(sizes) == 1:
-            known = bitmap(spark, levels[-1], bits)
+            known = bitmap(spark, levels[-1], "spot", bits)
     counts = levels[0]
     for level in levels[1:]:
         counts = counts.unionByName(level)

@@ -67,3 +67,17 @@ def pow2_at_least(x: float) -> int:
     while n < x:
         n *= 2
     return n
+
+
+def bitmap(spark: SparkSession, rows: DataFrame, spot: str, bits: int):
+    """A broadcast bitmap of 2^bits bits, in bytes from the lowest bit up, in which the rows' spots (0 to 2^bits - 1) are set. The
+    driver gets no more than the bitmap; rows without a spot are skipped."""
+    import numpy as np
+
+    at = F.col(spot) + 1  # these functions count from one
+    parts = rows.where(F.col(spot).isNotNull()).groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for r in parts.toLocalIterator():
+        part = np.frombuffer(bytes(r["bits"]), np.uint8)[: len(out)]
+        out[(r["bucket"] - 1) * 4096 :][: len(part)] = part
+    return spark.sparkContext.broadcast(out)

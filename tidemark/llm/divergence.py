@@ -35,6 +35,8 @@ BLOCK, SHARD, HEAVY = 256, 2048, 0.5
 LONG_LIST = 512
 #: Pair sums that a task holds before it hands them on.
 HELD_PAIRS = 2_000_000
+#: Groups of all languages up to which their table is broadcast, so that no language's rows meet in one task.
+BROADCAST_GROUPS = 100_000
 
 
 def term_counts(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> DataFrame:
@@ -180,8 +182,9 @@ def divergence(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang
     groups = groups.withColumn("gid", F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1).withColumn("g", F.count(F.lit(1)).over(Window.partitionBy("lang")))
     groups = groups.withColumn("none", F.lit(0)).withColumn("p0", share("none", "size", "v")).drop("none")
     groups = materialize(groups, "groups")
+    known = F.broadcast(groups) if groups.count() <= BROADCAST_GROUPS else groups
     heavy = F.col("k") >= F.least(F.ceil(F.col("g") * HEAVY), F.lit(LONG_LIST))
-    cells = cells.join(groups, ["lang", "source"]).withColumns({"p": share("n", "size", "v"), "q": share("total", "lang_size", "v"), "heavy": heavy})
+    cells = cells.join(known, ["lang", "source"]).withColumns({"p": share("n", "size", "v"), "q": share("total", "lang_size", "v"), "heavy": heavy})
     cells = materialize(cells.select("lang", "source", "term", "gid", "g", "p", "p0", "q", "heavy"), "cells")
 
     def f(p: str, q: str) -> Column:
@@ -201,7 +204,7 @@ def divergence(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang
     base = pairs.join(weight, "lang", "left").select("lang", "i", "j", ((F.col("v") - F.coalesce("heavy_terms", F.lit(0))) * f("p0i", "p0j")).alias("part"))
     light = cells.where("NOT heavy")
     shares = light.groupBy("lang", "gid", "p", "p0").agg(F.count(F.lit(1)).alias("times"))
-    there = groups.select("lang", F.col("gid").alias("other"), F.col("p0").alias("p0o"))
+    there = known.select("lang", F.col("gid").alias("other"), F.col("p0").alias("p0o"))
     alone = shares.join(there, "lang").where("other != gid")
     alone = alone.groupBy("lang", F.least("gid", "other").alias("i"), F.greatest("gid", "other").alias("j")).agg(F.sum(F.col("times") * (f("p", "p0o") - f("p0", "p0o"))).alias("part"))
     posts = light.groupBy("lang", "term").agg(F.array_sort(F.collect_list(F.struct("gid", "p", "p0"))).alias("posts")).where(F.size("posts") > 1)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, pow2_at_least, unused
+from .common import bitmap, materialize, pow2_at_least, unused
 from .components import connected_components
 
 SEED = 42
@@ -193,6 +193,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 TABLES, REACH = 10, 6
 #: Members of a group up to which its open pairs are listed; larger groups are compared in blocks of so many members.
 LISTED, BLOCK = 16, 512
+#: A bitmap of wanted rows has so many bits at most (128 MB), and eight for each row at least.
+BITMAP_BITS = 30
 MIX = np.uint64(0x9E3779B97F4A7C15)
 SALTS = np.random.default_rng(SEED).integers(0, 2**64, TABLES, dtype=np.uint64)
 
@@ -340,9 +342,12 @@ def similar_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                     prints.append(anchored_prints(w, at, shingle))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prints, pa.list_(pa.int64()))], ["id", "key", "node", "size", "prints"])
 
-    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def shingles(batches: Iterator[pa.RecordBatch], asked=None, bits: int = 0) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
+            if asked is not None:
+                at = batch.column(1).to_numpy() & ((1 << bits) - 1)
+                batch = batch.filter(pa.array((asked.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
             for k in range(0, batch.num_rows, 256):  # the words of few documents at a time are held
                 rows = [words_of(t) for t in batch.column(0).slice(k, 256).to_pylist()]
                 sets = [np.unique(shingles_at(hashes.of(w), shingle)).view(np.int64) for w in rows]
@@ -366,8 +371,17 @@ def similar_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     held = materialize(pairs_of.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("who")).where("m > 1").groupBy("m", "who").agg(F.min("g").alias("g")).select("g"), "similar-held")
     shared = materialize(pairs_of.join(held, "g", "left_semi").join(nodes.select("node", "size"), "node"), "similar-shared")
     wanted = shared.select("node").distinct().join(nodes.select("node", "row.*"), "node").select(F.col("id").alias("_id"), F.col("key").alias("_key"))
-    texts = src.join(materialize(wanted, "similar-wanted"), (F.col("id") == F.col("_id")) & (F.col("key") == F.col("_key")), "left_semi")
-    sets = materialize(texts.select("text").mapInArrow(shingles, "node long, s array<long>"), "similar-sets")
+    wanted = materialize(wanted, "similar-wanted")
+    bits = min(BITMAP_BITS, max(20, (16 * wanted.count()).bit_length()))
+    if wanted.count() <= 1 << (BITMAP_BITS - 3):
+        # A bitmap tells which rows are wanted, so texts are read again without a shuffle; few others slip in, to no effect.
+        mark = F.xxhash64("id", "key")
+        asked = bitmap(docs.sparkSession, wanted.select(F.xxhash64("_id", "_key").bitwiseAND(F.lit((1 << bits) - 1)).alias("spot")), "spot", bits)
+        sets = src.select("text", mark.alias("mark")).mapInArrow(lambda batches: shingles(batches, asked, bits), "node long, s array<long>")
+    else:
+        texts = src.join(wanted, (F.col("id") == F.col("_id")) & (F.col("key") == F.col("_key")), "left_semi")
+        sets = texts.select("text").mapInArrow(shingles, "node long, s array<long>")
+    sets = materialize(sets, "similar-sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = materialize(pairs.distinct(), "similar-pairs")
