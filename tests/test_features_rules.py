@@ -4,6 +4,7 @@ from dataclasses import replace
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from helpers import DAY, HOUR, T0, frame, pay, plain_features, plain_large_cash, plain_layering, plain_smurfing, plain_structuring
 from tidemark.config import FeatureConfig, RuleConfig
@@ -139,3 +140,22 @@ def test_quiet_account(spark):
     rows = [pay(k, "ENT-1", "CPT-1", T0 + k * DAY, 2_000 + k, "outbound" if k % 2 else "inbound") for k in range(30)]
     df = frame(spark, rows)
     assert rules.rule_hits(df, features(df)).count() == 0
+
+
+def dense(n, seconds):
+    """One entity's day: credits and debits of many counterparties in turn."""
+    return [pay(k, "ENT-1", f"CPT-{k % 50}", T0 + k * seconds // n, 1_600_000 if k % 3 == 0 else 400_000 + k % 7, "inbound" if k % 3 != 1 else "outbound") for k in range(n)]
+
+
+def test_windows_that_hold_every_payment(spark):
+    check_rules(spark, dense(400, DAY))
+
+
+def test_dense_windows_cost_no_more_a_row(spark):
+    """A hundred thousand payments of one entity in a day: five thousand million pairs, which no plan lists."""
+    rows = frame(spark, dense(100_000, DAY)).cache()
+    legs = rules.layering(rows)
+    got = legs.agg(F.count(F.lit(1)).alias("n"), F.max("legs").alias("most")).first()
+    assert got.n > 0 and got.most > 2
+    few = rules.smurfing(rows, replace(RuleConfig(), r3_mean=10**9, r3_cv=10.0)).agg(F.count(F.lit(1)).alias("n"), F.max("payments").alias("most")).first()
+    assert few.n == few.most == sum(k % 3 != 1 for k in range(100_000))

@@ -3,15 +3,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import RULES, RuleConfig
-from .frames import band_pairs, with_frame
+from ..config import RULES, FeatureConfig, RuleConfig
+from ..session import materialize
+from .frames import last_within, with_frame, with_last, with_swept
 
-ROW = ("transaction_id", "entity_id", "counterparty_id", "txn_epoch", "amount_cents", "direction", "is_cash")
+#: Seconds of the spans by which a hot entity's payments are dealt to tasks; results don't depend on it.
+SPAN = FeatureConfig().chunk
 
 
 def money(cents: Column) -> Column:
@@ -38,64 +40,66 @@ def structuring(payments: DataFrame, cfg: RuleConfig | None = None) -> DataFrame
     return best.select("transaction_id", F.col("best.n").alias("deposits"), F.col("best.total").alias("total_cents"), F.col("best.span").alias("span_seconds"), reason.alias("reason"))
 
 
+#: Of a payment, what the windows of layering and smurfing are made of.
+SWEPT = ("entity_id", "transaction_id", "counterparty_id", "txn_epoch", "amount_cents")
+KEYS = ("entity_id", "txn_epoch", "transaction_id")
+
+
+def near_anchors(rows: DataFrame, width: int) -> DataFrame:
+    """Anchors, and the members whose span of time or the one before it has an anchor of their entity: others are in no window."""
+    span = F.floor(F.col("txn_epoch") / (width + 1))
+    spans = rows.where("is_anchor").select("entity_id", F.explode(F.array(span, span + 1)).alias("_span")).distinct()
+    return rows.withColumn("_span", span).join(spans, ["entity_id", "_span"], "left_semi").drop("_span")
+
+
+def told(rows: DataFrame, hits: DataFrame, figures: Mapping[str, str], reason: Column, width: int) -> tuple[DataFrame, DataFrame]:
+    """(transaction_id, anchor_id, the figures, last_seconds, reason) of the rows in windows of hits, of which the last
+    tells, and the hits as (entity_id, txn_epoch, transaction_id, mark)."""
+    hits = last_within(materialize(hits, "rule-hits"), rows, "entity_id", "txn_epoch", width, SPAN).withColumn("last_seconds", F.expr("last_time - txn_epoch"))
+    mark = F.struct("txn_epoch", "transaction_id", *[F.expr(sql).alias(name) for name, sql in figures.items()], "last_seconds", reason.alias("reason"))
+    marks = materialize(hits.select(*KEYS, mark.alias("mark")), "rule-marks")
+    last = with_last(rows.select(*KEYS), marks, *KEYS, width, SPAN)
+    return last.select("transaction_id", F.col("last.transaction_id").alias("anchor_id"), *[f"last.{name}" for name in figures], "last.last_seconds", "last.reason"), marks
+
+
 def layering(payments: DataFrame, cfg: RuleConfig | None = None) -> DataFrame:
     """(transaction_id, anchor_id, legs, counterparties, out_cents, in_cents, last_seconds, reason): a large credit and the
     debits after it, in the order of (time, id), that carry most of it to several counterparties. The last anchor tells."""
     cfg = cfg or RuleConfig()
-    rows = payments.select(*ROW)
-    legs = rows.where("direction = 'outbound'")
-    anchors = rows.where((F.col("direction") != "outbound") & (F.col("amount_cents") >= cfg.r2_inbound))
-    pairs = band_pairs(anchors, legs, "entity_id", "txn_epoch", "transaction_id", cfg.r2_window, itself=False)
-    found = pairs.groupBy("a").agg(
-        F.count(F.lit(1)).alias("legs"),
-        F.size(F.collect_set(F.when(F.col("o.counterparty_id") != "", F.col("o.counterparty_id")))).alias("counterparties"),
-        F.sum("o.amount_cents").alias("out_cents"),
-        (F.max("o.txn_epoch") - F.first("a.txn_epoch")).alias("last_seconds"),
-        F.collect_list("o.transaction_id").alias("members"),
-    )
-    through = F.col("out_cents") / F.col("a.amount_cents")
-    hit = found.where((F.col("legs") >= cfg.r2_legs) & (F.col("counterparties") >= cfg.r2_counterparties) & (through >= cfg.r2_passthrough))
+    debit = F.col("direction") == "outbound"
+    rows = payments.withColumns({"counterparty_id": F.coalesce("counterparty_id", F.lit("")), "is_member": debit, "is_anchor": ~debit & (F.col("amount_cents") >= cfg.r2_inbound)})
+    rows = near_anchors(rows.where("is_member OR is_anchor").select(*SWEPT, "is_member", "is_anchor"), cfg.r2_window)
+    swept = with_swept(rows, "entity_id", "txn_epoch", "transaction_id", "counterparty_id", cfg.r2_window, SPAN, {"legs": "1L", "out_cents": "amount_cents"})
+    through = F.col("out_cents") / F.col("amount_cents")
+    hits = swept.where((F.col("legs") >= cfg.r2_legs) & (F.col("n_distinct") >= cfg.r2_counterparties) & (through >= cfg.r2_passthrough))
     reason = F.concat(
-        F.lit("R2_LAYERING: "), money(F.col("a.amount_cents")), F.lit(" inbound dispersed to "), F.col("counterparties").cast("string"), F.lit(" counterparties in "), F.col("legs").cast("string"),
+        F.lit("R2_LAYERING: "), money(F.col("amount_cents")), F.lit(" inbound dispersed to "), F.col("n_distinct").cast("string"), F.lit(" counterparties in "), F.col("legs").cast("string"),
         F.lit(" transfers within "), F.format_number(F.col("last_seconds") / 3600.0, 0), F.lit("h, "), percent(through), F.lit(" passed through"),
     )
-    told = F.struct("a.txn_epoch", "a.transaction_id", "legs", "counterparties", "out_cents", F.col("a.amount_cents").alias("in_cents"), "last_seconds", reason.alias("reason"))
-    each = hit.select(F.concat(F.array("a.transaction_id"), "members").alias("ids"), told.alias("w")).select(F.explode("ids").alias("transaction_id"), "w")
-    last = each.groupBy("transaction_id").agg(F.max("w").alias("w"))
-    return last.select("transaction_id", F.col("w.transaction_id").alias("anchor_id"), "w.legs", "w.counterparties", "w.out_cents", "w.in_cents", "w.last_seconds", "w.reason")
+    figures = {"legs": "legs", "counterparties": "CAST(n_distinct AS INT)", "out_cents": "out_cents", "in_cents": "amount_cents"}
+    members, marks = told(rows.where("is_member"), hits, figures, reason, cfg.r2_window)
+    own = marks.select("transaction_id", F.col("transaction_id").alias("anchor_id"), *[f"mark.{name}" for name in figures], "mark.last_seconds", "mark.reason")
+    return members.unionByName(own)
 
 
 def smurfing(payments: DataFrame, cfg: RuleConfig | None = None) -> DataFrame:
     """(transaction_id, anchor_id, senders, payments, total_cents, cv, last_seconds, reason): similar modest credits of many
     senders from an anchor on, in the order of (time, id). The last anchor tells."""
     cfg = cfg or RuleConfig()
-    credits = payments.where((F.col("direction") == "inbound") & (F.coalesce("counterparty_id", F.lit("")) != "")).select(*ROW)
-    # Only anchors that can have enough senders are joined.
-    ahead = with_frame(credits, ["entity_id"], "txn_epoch", cfg.r3_window, {"ahead": F.count(F.lit(1))}, forward=True)
-    anchors = ahead.where(F.col("ahead") >= cfg.r3_senders).select("transaction_id", "entity_id", "txn_epoch")
-    pairs = band_pairs(anchors, credits, "entity_id", "txn_epoch", "transaction_id", cfg.r3_window, itself=True)
-    cents = F.col("o.amount_cents")
-    wide = cents.cast("decimal(18,0)")
-    found = pairs.groupBy("a").agg(
-        F.count(F.lit(1)).alias("payments"),
-        F.size(F.collect_set("o.counterparty_id")).alias("senders"),
-        F.sum(cents).alias("total_cents"),
-        F.sum(wide * wide).cast("decimal(38,0)").alias("squares"),
-        (F.max("o.txn_epoch") - F.first("a.txn_epoch")).alias("last_seconds"),
-        F.collect_list("o.transaction_id").alias("members"),
-    )
+    credits = payments.where((F.col("direction") == "inbound") & (F.coalesce("counterparty_id", F.lit("")) != ""))
+    rows = credits.select(*SWEPT, F.lit(True).alias("is_member"), F.lit(True).alias("is_anchor"))
+    wide = "CAST(amount_cents AS DECIMAL(18,0))"
+    swept = with_swept(rows, "entity_id", "txn_epoch", "transaction_id", "counterparty_id", cfg.r3_window, SPAN, {"payments": "1L", "total_cents": "amount_cents", "squares": f"{wide} * {wide}"})
     n, total = F.col("payments").cast("double"), F.col("total_cents").cast("double")
     # sqrt(n * sum of squares - square of sum) / sum, exact until the root.
     spread = F.col("payments").cast("decimal(10,0)") * F.col("squares").cast("decimal(27,0)") - F.col("total_cents").cast("decimal(18,0)") * F.col("total_cents").cast("decimal(18,0)")
-    found = found.withColumn("cv", F.sqrt(spread.cast("double")) / total)
-    hit = found.where((F.col("senders") >= cfg.r3_senders) & (total / n <= cfg.r3_mean) & (F.col("cv") < cfg.r3_cv))
+    hits = swept.where(F.col("n_distinct") >= cfg.r3_senders).withColumn("cv", F.sqrt(spread.cast("double")) / total).where((total / n <= cfg.r3_mean) & (F.col("cv") < cfg.r3_cv))
     reason = F.concat(
-        F.lit("R3_SMURFING: "), F.col("senders").cast("string"), F.lit(" distinct senders paid in "), money(F.col("total_cents")), F.lit(" over "), F.format_number(F.col("last_seconds") / 3600.0, 0),
+        F.lit("R3_SMURFING: "), F.col("n_distinct").cast("string"), F.lit(" distinct senders paid in "), money(F.col("total_cents")), F.lit(" over "), F.format_number(F.col("last_seconds") / 3600.0, 0),
         F.lit("h, amounts within "), percent(F.col("cv")), F.lit(" of each other (avg "), money(total / n), F.lit(")"),
     )
-    told = F.struct("a.txn_epoch", "a.transaction_id", "senders", "payments", "total_cents", "cv", "last_seconds", reason.alias("reason"))
-    last = hit.select("members", told.alias("w")).select(F.explode("members").alias("transaction_id"), "w").groupBy("transaction_id").agg(F.max("w").alias("w"))
-    return last.select("transaction_id", F.col("w.transaction_id").alias("anchor_id"), "w.senders", "w.payments", "w.total_cents", "w.cv", "w.last_seconds", "w.reason")
+    figures = {"senders": "CAST(n_distinct AS INT)", "payments": "payments", "total_cents": "total_cents", "cv": "cv"}
+    return told(rows, hits.drop("squares"), figures, reason, cfg.r3_window)[0]
 
 
 def round_dollar(features: DataFrame, cfg: RuleConfig | None = None) -> DataFrame:
