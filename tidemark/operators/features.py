@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import FeatureConfig
 from ..session import materialize
-from .running import with_running
+from .running import with_moments, with_running
 
 BASE = ("transaction_id", "entity_id", "counterparty_id", "txn_epoch", "amount_cents", "direction", "is_cash")
 
@@ -34,6 +34,8 @@ def counterparty_history(payments: DataFrame, cfg: FeatureConfig) -> DataFrame:
     return known.unionByName(cash)
 
 
+#: Where the two halves of a square part.
+HALF = 1 << 30
 SUMS = ("cnt7", "sum7", "cash7", "cnt30", "sum30", "out48", "in48", "distinct7", "new7")
 
 
@@ -66,11 +68,16 @@ def features(payments: DataFrame, cfg: FeatureConfig | None = None) -> DataFrame
     cfg = cfg or FeatureConfig()
     history = materialize(counterparty_history(payments, cfg), "feature-history")
     events = entries_and_exits(history, cfg)
-    x = "CAST(IF(is_row, amount_cents, NULL) AS DOUBLE)"
-    before = {"prior_n": ("sum", "CAST(is_row AS BIGINT)"), "prior_sum": ("sum", x), "prior_sq": ("sum", f"{x} * {x}"), "prev_time": ("max", "IF(is_row, time, NULL)")}
+    # Sums of cents and of their squares, in two halves that each fit a long, are exact, and so is what the variance is made of.
+    x = "IF(is_row, amount_cents, NULL)"
+    square = f"CAST({x} AS DECIMAL(18,0)) * CAST({x} AS DECIMAL(18,0))"
+    halves = {"prior_high": ("sum", f"CAST({square} div {HALF} AS BIGINT)"), "prior_low": ("sum", f"CAST({square} % {HALF} AS BIGINT)")}
+    before = {"prior_n": ("sum", "CAST(is_row AS BIGINT)"), "prior_sum": ("sum", x), **halves, "prev_time": ("max", "IF(is_row, time, NULL)")}
     run = with_running(events, ["entity_id"], "time", cfg.chunk, at={k: ("sum", f"d_{k}") for k in SUMS}, before=before, tie="transaction_id").where("is_row")
-    run = run.selectExpr("*", "CASE WHEN prior_n > 0 THEN prior_sum / prior_n END AS mean").selectExpr("*", "CASE WHEN prior_n > 0 THEN prior_sq / prior_n - mean * mean END AS var")
-    run = run.selectExpr("*", "sqrt(CASE WHEN var > 0 THEN var END) AS sigma")
+    wide = lambda c: f"CAST({c} AS DECIMAL(19,0))"
+    squares = f"CAST({wide('prior_high')} * {HALF} + prior_low AS DECIMAL(27,0))"
+    spread = f"CAST(CAST(prior_n AS DECIMAL(10,0)) * {squares} - {wide('prior_sum')} * {wide('prior_sum')} AS DOUBLE)"
+    run = run.selectExpr("*", "CASE WHEN prior_n > 0 THEN CAST(prior_sum AS DOUBLE) / CAST(prior_n AS DOUBLE) END AS mean", f"CASE WHEN prior_n > 0 THEN sqrt({spread}) / CAST(prior_n AS DOUBLE) END AS sigma")
     return run.selectExpr(
         *BASE,
         "cnt7 AS txn_count_7d",
@@ -94,14 +101,11 @@ def features(payments: DataFrame, cfg: FeatureConfig | None = None) -> DataFrame
 
 
 def two_pass_zscore(payments: DataFrame, cfg: FeatureConfig | None = None) -> DataFrame:
-    """(transaction_id, zscore) by a stable variance over the same prior rows: a control for the one-pass column."""
-    from pyspark.sql import Window
-
+    """(transaction_id, zscore) by merged moments over the same prior rows: a control for the column from exact sums."""
     cfg = cfg or FeatureConfig()
-    prior = Window.partitionBy("entity_id").orderBy("txn_epoch", "transaction_id").rowsBetween(Window.unboundedPreceding, -1)
-    x = F.col("amount_cents").cast("double")
-    n, mean, sigma = F.count(F.lit(1)).over(prior), F.avg(x).over(prior), F.stddev_pop(x).over(prior)
-    return payments.select("transaction_id", F.when((n >= cfg.min_history) & (sigma >= cfg.min_sigma), (x - mean) / sigma).otherwise(0.0).alias("zscore"))
+    x, sigma = F.col("amount_cents").cast("double"), F.sqrt(F.col("moments.m2") / F.greatest(F.col("moments.n"), F.lit(1)))
+    run = with_moments(payments.select("transaction_id", "entity_id", "txn_epoch", "amount_cents"), ["entity_id"], "txn_epoch", cfg.chunk, "CAST(amount_cents AS DOUBLE)", tie="transaction_id")
+    return run.select("transaction_id", F.when((F.col("moments.n") >= cfg.min_history) & (sigma >= cfg.min_sigma), (x - F.col("moments.mean")) / sigma).otherwise(0.0).alias("zscore"))
 
 
 FEATURES_SQL = """
@@ -112,7 +116,7 @@ f0 AS (
     CAST(SUM(CASE WHEN is_cash = 1 THEN amount_cents ELSE 0 END) OVER w7 AS BIGINT) AS cash7,
     CAST(SUM(CASE WHEN direction = 'outbound' THEN amount_cents ELSE 0 END) OVER w48 AS BIGINT) AS out48,
     CAST(SUM(CASE WHEN direction = 'inbound' THEN amount_cents ELSE 0 END) OVER w48 AS BIGINT) AS in48,
-    COUNT(*) OVER wp AS prior_n, SUM(CAST(amount_cents AS DOUBLE)) OVER wp AS psum, SUM(CAST(amount_cents AS DOUBLE) * CAST(amount_cents AS DOUBLE)) OVER wp AS psq,
+    COUNT(*) OVER wp AS prior_n, SUM(CAST(amount_cents AS HUGEINT)) OVER wp AS psum, SUM(CAST(amount_cents AS HUGEINT) * amount_cents) OVER wp AS psq,
     lag(txn_epoch) OVER (PARTITION BY entity_id ORDER BY txn_epoch, transaction_id) AS prev_epoch,
     MIN(txn_epoch) OVER (PARTITION BY counterparty_id) AS cp_first
   FROM transactions t
@@ -129,11 +133,11 @@ f0 AS (
 ), deg AS (
   SELECT transaction_id AS did, COUNT(*) AS degree FROM f0 JOIN pairs ON pcp = counterparty_id AND pfirst <= txn_epoch GROUP BY 1
 ), f1 AS (
-  SELECT *, CASE WHEN prior_n > 0 THEN psum / prior_n END AS pmean, CASE WHEN prior_n > 0 THEN psq / prior_n - (psum / prior_n) * (psum / prior_n) END AS pvar
+  SELECT *, CASE WHEN prior_n > 0 THEN CAST(psum AS DOUBLE) / CAST(prior_n AS DOUBLE) END AS pmean, CASE WHEN prior_n > 0 THEN sqrt(CAST(prior_n * psq - psum * psum AS DOUBLE)) / CAST(prior_n AS DOUBLE) END AS psigma
   FROM f0 LEFT JOIN j ON jid = transaction_id LEFT JOIN deg ON did = transaction_id
 ), features AS (
   SELECT transaction_id, entity_id, counterparty_id, txn_epoch, amount_cents, direction, is_cash, txn_count_7d, txn_sum_7d_cents, txn_count_30d, txn_sum_30d_cents,
-    CASE WHEN prior_n >= 5 AND pvar > 0 AND sqrt(CASE WHEN pvar > 0 THEN pvar END) >= 0.000000001 THEN (CAST(amount_cents AS DOUBLE) - pmean) / sqrt(CASE WHEN pvar > 0 THEN pvar END) ELSE 0.0::DOUBLE END AS amount_zscore_entity,
+    CASE WHEN prior_n >= 5 AND psigma >= 0.000000001 THEN (CAST(amount_cents AS DOUBLE) - pmean) / psigma ELSE 0.0::DOUBLE END AS amount_zscore_entity,
     CAST(CASE WHEN amount_cents % 100000 = 0 THEN 1 ELSE 0 END AS INTEGER) AS is_round_amount,
     COALESCE((txn_epoch - prev_epoch) / 86400.0::DOUBLE, -1.0::DOUBLE) AS days_since_prev_txn,
     COALESCE(distinct_counterparties_7d, 0) AS distinct_counterparties_7d,

@@ -80,3 +80,27 @@ def with_ranked(counts: DataFrame, value: str, sums: Sequence[str], by: Sequence
     inside = Window.partitionBy(*by, "_range").orderBy(order(value)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     joined = dealt.join(carried, [*by, "_range"])
     return joined.select(*counts.columns, *[(F.col(f"_c_{c}") + F.sum(c).over(inside)).alias(f"upto_{c}") for c in sums], *[f"all_{c}" for c in sums])
+
+
+#: Merges the state (n, mean, m2) of what stands before with that of a part, m2 being the sum of squares around the mean.
+MERGED = "named_struct('n', {a}.n + {b}.n, 'mean', {a}.mean + ({b}.mean - {a}.mean) * {b}.n / greatest({a}.n + {b}.n, 1), 'm2', {a}.m2 + {b}.m2 + pow({b}.mean - {a}.mean, 2) * {a}.n * {b}.n / greatest({a}.n + {b}.n, 1))"
+STATE = "named_struct('n', count({x}){over}, 'mean', coalesce(avg({x}){over}, 0D), 'm2', coalesce(var_pop({x}){over} * count({x}){over}, 0D))"
+
+
+def with_moments(events: DataFrame, keys: Sequence[str], time: str, span: int, value: str, *, tie: str) -> DataFrame:
+    """events plus moments: (n, mean, m2) of value (SQL, in doubles) over the key's events strictly before by (time, tie).
+
+    States are merged instead of sums of squares subtracted, so a small spread around a large mean keeps its digits. A key's
+    spans are folded in one row of one small state each; its events are dealt by spans. Keys must not be null.
+    """
+    by = ", ".join(keys)
+    spans = events.groupBy(*keys, F.expr(f"floor({time} / {span}) AS _span")).agg(F.expr(f"{STATE.format(x=value, over='')} AS _state"))
+    zero = "named_struct('n', 0L, 'mean', 0D, 'm2', 0D)"
+    merged = MERGED.format(a="s.at", b="x._state")
+    fold = f"aggregate(_all, named_struct('at', {zero}, 'out', CAST(array() AS array<struct<_s: bigint, _c: struct<n: bigint, mean: double, m2: double>>>)), (s, x) -> named_struct('at', {merged}, 'out', concat(s.out, array(named_struct('_s', x._span, '_c', s.at)))), s -> s.out)"
+    carried = spans.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_span", "_state"))).alias("_all")).selectExpr(*[f"{k} AS _k{i}" for i, k in enumerate(keys)], f"inline({fold})")
+    on = " AND ".join(["_span = _s", *[f"{k} = _k{i}" for i, k in enumerate(keys)]])
+    joined = events.selectExpr("*", f"floor({time} / {span}) AS _span").join(carried, F.expr(on), "left")
+    over = f" OVER (PARTITION BY {by}, _span ORDER BY {time}, {tie} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    own = joined.selectExpr(*events.columns, "_c", f"{STATE.format(x=value, over=over)} AS _own")
+    return own.selectExpr(*events.columns, f"{MERGED.format(a='_c', b='_own')} AS moments")

@@ -6,21 +6,27 @@ from pyspark.sql import functions as F
 
 from ..functions.names import STOP, jaro_winkler_column, normalized, tokens
 from ..operators import screening as sc
-from ..sources.names import CUSTOMER_NAMES_SQL, FAMILY, GIVEN, customer_names, listed_parties
+from ..session import table
+from ..sources.names import CUSTOMER_NAMES_SQL, customer_names, listed_parties
 from .queries import register
 
 #: Easy and hard negatives of both halves together.
 POOL = (8_000, 2_000)
-WORDS = "[" + ", ".join(f"'{x.lower()}'" for x in (*GIVEN, *FAMILY)) + "]"
 
 
-def word_pairs(spark, _):
-    words = [x.lower() for x in (*GIVEN, *FAMILY)]
-    pairs = spark.createDataFrame([(a, b) for a in words for b in words], "a string, b string")
+def word_pairs(s, d):
+    """Words of the benchmark that begin alike."""
+    words = table(s, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("a")).distinct()
+    others = words.select(F.col("a").alias("b"))
+    pairs = words.join(others, (F.substring("a", 1, 2) == F.substring("b", 1, 2)) & (F.col("a") < F.col("b")))
     return pairs.select("a", "b", F.round(jaro_winkler_column("a", "b"), 9).alias("similarity"))
 
 
-register("jaro_winkler", word_pairs, f"SELECT a, b, round(jaro_winkler_similarity(a, b), 9) AS similarity FROM (SELECT unnest({WORDS}) AS a), (SELECT unnest({WORDS}) AS b)")
+register(
+    "jaro_winkler",
+    word_pairs,
+    "WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS a FROM benchmark) SELECT x.a, y.a AS b, round(jaro_winkler_similarity(x.a, y.a), 9) AS similarity FROM w x JOIN w y ON substr(x.a, 1, 2) = substr(y.a, 1, 2) AND x.a < y.a",
+)
 register(
     "name_tokens",
     lambda s, d: customer_names(s, d).select("query_id", F.array_join(tokens(normalized("name")), " ").alias("tokens")),
