@@ -27,9 +27,28 @@ def hash15(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
-def folds(entities: DataFrame, n: int = 5, seed: str = "folds") -> DataFrame:
-    """entity_id, fold: by a seeded hash, so each class falls evenly in expectation and no global order is needed."""
-    return entities.select("entity_id").distinct().withColumn("fold", (hash15(F.lit(seed), F.col("entity_id")) % n).cast("int"))
+def folds(payments: DataFrame, n: int = 5, seed: str = "folds", label: str = "is_suspicious", bits: int = 16) -> DataFrame:
+    """entity_id, fold: entities of each class, those with a suspicious payment and those without, dealt in turn in the order of
+    a seeded hash, so that fold sizes differ by one per class at most.
+
+    Ranks are exact without a global order: entities are counted by class and leading bits of the hash, what stands before
+    comes from that table of at most 2^bits rows a class, and only within a bucket are entities ordered.
+    """
+    mark = F.coalesce(F.max(F.col(label).cast("int")), F.lit(0)) if label in payments.columns else F.max(F.lit(0))
+    each = payments.groupBy("entity_id").agg(mark.alias("class")).withColumn("h", hash15(F.lit(seed), F.col("entity_id")))
+    each = each.withColumn("bucket", F.shiftright("h", 60 - bits))
+    counts = each.groupBy("class", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("class").orderBy("bucket")) - F.col("n")
+    inside = F.row_number().over(Window.partitionBy("class", "bucket").orderBy("h", "entity_id"))
+    ranked = each.withColumn("inside", inside).join(counts.select("class", "bucket", before.alias("before")), ["class", "bucket"])
+    return ranked.select("entity_id", ((F.col("before") + F.col("inside") - 1) % n).cast("int").alias("fold"))
+
+
+#: The same in SQL, after transactions.
+FOLDS_SQL = """folds AS (
+  SELECT entity_id, CAST((row_number() OVER (PARTITION BY class ORDER BY CAST('0x' || substr(md5('folds|' || entity_id), 1, 15) AS BIGINT), entity_id) - 1) % 5 AS INTEGER) AS fold
+  FROM (SELECT entity_id, COALESCE(MAX(is_suspicious), 0) AS class FROM transactions GROUP BY 1)
+)"""
 
 
 def percentile_against_train(scores: DataFrame, value: str, n_folds: int = 5) -> DataFrame:
@@ -267,11 +286,10 @@ def bootstrap(scored: DataFrame, threshold: float, draws: int = 2000, seed: int
 
 def scored_sql() -> str:
     """Folds, percentiles and scores as SQL, after transactions, features and rule_hits."""
-    return """
-folded AS (
-  SELECT f.transaction_id, f.entity_id, CAST(CAST('0x' || substr(md5('folds|' || f.entity_id), 1, 15) AS BIGINT) % 5 AS INTEGER) AS fold,
+    return FOLDS_SQL + """, folded AS (
+  SELECT f.transaction_id, f.entity_id, folds.fold,
     CAST(CAST(floor(least(abs(amount_zscore_entity), 10.0::DOUBLE) * 100) AS BIGINT) + CAST(floor(new_counterparty_ratio_7d * 100) AS BIGINT) + CAST(floor(outbound_to_inbound_ratio_48h * 10) AS BIGINT) AS DOUBLE) / 100 AS anomaly
-  FROM features f
+  FROM features f JOIN folds ON folds.entity_id = f.entity_id
 ), cnt AS (
   SELECT anomaly AS v, fold AS k, COUNT(*) AS n FROM folded GROUP BY 1, 2
 ), tot AS (

@@ -1,5 +1,5 @@
-"""Anomaly models, cross-validated by entity: what is fitted comes from bounded samples or from sums, the folds are fitted
-side by side in tasks, and rows are scored on the executors."""
+"""Anomaly models, cross-validated by entity. Sums, the forest's samples and the outlier factors' neighbours are taken from all
+rows, boosted trees are fitted on a bounded sample; folds are fitted side by side in tasks, rows scored on the executors."""
 
 from __future__ import annotations
 
@@ -8,15 +8,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import FEATURES
+from ..session import materialize
 from .evaluation import hash15
+from .neighbours import local_outlier_factors
 
 INPUTS = (*FEATURES, "amount_cents")
-#: Rows that a sampled model is fitted on at most.
+#: Rows that the boosted trees are fitted on at most.
 SAMPLE = 20_000
 
 
@@ -71,15 +74,23 @@ class IsolationForest:
 
     def __init__(self, x: np.ndarray, trees: int = 300, size: int = 4096, seed: int = 3):
         rng, size = np.random.default_rng(seed), min(size, len(x))
-        self.depth = max(1, int(np.ceil(np.log2(max(2, size)))))
         self.norm = self.expected(np.array([size]))[0]
         self.trees = [self.grown(x[rng.choice(len(x), size, replace=False)], rng) for _ in range(trees)]
 
-    def grown(self, x: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, ...]:
+    @classmethod
+    def of(cls, trees: list[tuple[np.ndarray, ...]], size: int) -> IsolationForest:
+        """A forest of trees that were each grown on `size` rows."""
+        out = cls.__new__(cls)
+        out.norm, out.trees = cls.expected(np.array([size]))[0], trees
+        return out
+
+    @classmethod
+    def grown(cls, x: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, ...]:
         """(column or -1, cut, first child, path added at the end) of each node, grown level by level for all nodes at once."""
         column, cut, child, extra = [], [], [], []
+        depth = max(1, int(np.ceil(np.log2(max(2, len(x))))))
         node, first, width = np.zeros(len(x), np.int64), 0, 1
-        for level in range(self.depth + 1):
+        for level in range(depth + 1):
             order = np.argsort(node, kind="stable")
             x, node = x[order], node[order]
             count = np.bincount(node, minlength=width)
@@ -89,7 +100,7 @@ class IsolationForest:
             if len(held):
                 low[held], high[held] = np.minimum.reduceat(x, starts), np.maximum.reduceat(x, starts)
             open_ = high > low
-            inner = open_.any(axis=1) & (level < self.depth)
+            inner = open_.any(axis=1) & (level < depth)
             chosen = np.where(open_, rng.random(open_.shape), -1).argmax(axis=1)
             k = np.arange(width)
             at = rng.uniform(low[k, chosen], high[k, chosen])
@@ -97,7 +108,7 @@ class IsolationForest:
             column.append(np.where(inner, chosen, -1).astype(np.int8))
             cut.append(at)
             child.append(np.where(inner, to, 0).astype(np.int32))
-            extra.append(np.where(inner, 1.0, self.expected(count)))
+            extra.append(np.where(inner, 1.0, cls.expected(count)))
             if not inner.any():
                 break
             live = inner[node]
@@ -124,34 +135,6 @@ class IsolationForest:
         return 2.0 ** (-paths / max(1, len(self.trees)) / max(self.norm, 1e-9))
 
 
-class LocalOutlierFactor:
-    """Density of a row's neighbourhood in a bounded sample against that of its neighbours."""
-
-    def __init__(self, x: np.ndarray, k: int = 35):
-        self.x, self.k = x, min(k, max(1, len(x) - 1))
-        d, self.near = self.neighbours(x, own=True)
-        self.reach = d[:, -1]
-        self.density = 1.0 / np.maximum(np.maximum(d, self.reach[self.near]).mean(axis=1), 1e-12)
-
-    def neighbours(self, q: np.ndarray, own: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        out_d, out_i, squares = [], [], (self.x**2).sum(1)
-        for k in range(0, len(q), 256):
-            d = np.sqrt(np.maximum((q[k : k + 256] ** 2).sum(1)[:, None] + squares[None] - 2 * q[k : k + 256] @ self.x.T, 0))
-            if own:
-                d[np.arange(len(d)), np.arange(k, k + len(d))] = np.inf
-            i = np.argpartition(d, self.k - 1, axis=1)[:, : self.k]
-            d = np.take_along_axis(d, i, axis=1)
-            order = np.argsort(d, axis=1)
-            out_d.append(np.take_along_axis(d, order, axis=1))
-            out_i.append(np.take_along_axis(i, order, axis=1))
-        return np.concatenate(out_d), np.concatenate(out_i)
-
-    def score(self, q: np.ndarray) -> np.ndarray:
-        d, near = self.neighbours(q)
-        density = 1.0 / np.maximum(np.maximum(d, self.reach[near]).mean(axis=1), 1e-12)
-        return self.density[near].mean(axis=1) / density
-
-
 class BoostedTrees:
     """Trees of gradient steps for a weighted logistic loss, over columns cut into bins at quantiles of the sample."""
 
@@ -234,7 +217,77 @@ def boosted(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> BoostedTrees |
 
 
 #: Name -> function of the scaled rows of a sample, their labels and weights, that gives a model. Labels are read by gbt alone.
-SAMPLED: dict[str, Callable] = {"isolation_forest": lambda x, y, w: IsolationForest(x), "lof": lambda x, y, w: LocalOutlierFactor(x), "gbt": boosted}
+SAMPLED: dict[str, Callable] = {"gbt": boosted}
+
+
+def tree_hashes(ids: np.ndarray, tree: int, seed: int) -> np.ndarray:
+    """A row's place in a tree's order, from its id's hash."""
+    salt = np.random.SeedSequence([seed, tree]).generate_state(1, np.uint64)[0]
+    h = (ids.view(np.uint64) ^ salt) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
+def forest_rows(rows: DataFrame, trees: int, share: float, seed: int) -> DataFrame:
+    """(tree, h, fold, x): the rows of each tree's order up to a share of it, from one pass over all rows."""
+    limit = np.uint64(min(share, 1.0) * float(2**64 - 2**11)) if share < 1 else np.uint64(2**64 - 1)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column(0).to_numpy()
+            for t in range(trees):
+                h = tree_hashes(ids, t, seed)
+                at = np.flatnonzero(h <= limit)
+                if len(at):
+                    some = pa.array(at)
+                    yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(t, pa.int32()), len(at)), pa.array(h[at].view(np.int64)), b.column(1).take(some), b.column(2).take(some)], ["tree", "h", "fold", "x"])
+
+    src = rows.select(F.xxhash64("transaction_id").alias("id"), F.col("fold").cast("int").alias("fold"), F.array(*[F.col(c).cast("double") for c in INPUTS]).alias("x"))
+    return src.mapInArrow(work, "tree int, h long, fold int, x array<double>")
+
+
+def smallest(h: np.ndarray, fold: np.ndarray, leave: int, size: int) -> np.ndarray:
+    """Places of the rows outside a fold that come first in a tree's order."""
+    at = np.flatnonzero(fold != leave)
+    return at[np.argsort(h[at].view(np.uint64), kind="stable")[:size]]
+
+
+def isolation_forests(rows: DataFrame, n_folds: int, scales: dict, trees: int = 300, size: int = 4096, seed: int = 3) -> dict[int, Callable[[np.ndarray], np.ndarray]]:
+    """A scorer for each fold: every tree is grown on the `size` rows of the other folds that come first in its own order of all
+    rows. Tasks pass on only rows below a hash that enough rows stay under; should one tree get too few, all try a larger one."""
+    others = {k: scales[k][3] for k in range(n_folds)}
+    n = sum(others.values()) / max(1, n_folds - 1) if n_folds > 1 else others.get(0, 0)
+    wanted = size + 8 * size**0.5 + 64
+
+    def grow(table: pa.Table) -> pa.Table:
+        tree = table["tree"][0].as_py()
+        h, fold, x = table["h"].to_numpy(), table["fold"].to_numpy(), table["x"].combine_chunks().flatten().to_numpy().reshape(len(table), -1)
+        out = []
+        for k in range(n_folds):
+            at = smallest(h, fold, k, size)
+            whole = len(at) == min(size, others[k])
+            mean, sigma = scales[k][:2]
+            out.append(pickle.dumps(IsolationForest.grown((x[at] - mean) / sigma, np.random.default_rng([seed, k, tree]))) if whole and len(at) else None if not whole else b"")
+        return pa.table({"tree": pa.array([tree] * n_folds, pa.int32()), "fold": pa.array(range(n_folds), pa.int32()), "model": pa.array(out, pa.binary())})
+
+    while True:
+        share = wanted / max(1.0, min((m for m in others.values() if m), default=1))
+        grown = forest_rows(rows, trees, share, seed).groupBy("tree").applyInArrow(grow, "tree int, fold int, model binary").collect() if n else []
+        if all(r["model"] is not None for r in grown) and (len(grown) == trees * n_folds or share >= 1 or not n):
+            break
+        wanted *= 2
+    by = {k: [pickle.loads(r["model"]) for r in sorted(grown, key=lambda r: r["tree"]) if r["fold"] == k and r["model"]] for k in range(n_folds)}
+    return {k: Scaled(IsolationForest.of(by[k], min(size, others[k])) if by[k] else Share(0.0), *scales[k][:2]) for k in range(n_folds)}
+
+
+def outlier_factors(rows: DataFrame, n_folds: int, scales: dict) -> DataFrame:
+    """transaction_id, fold, score: the local outlier factor of each row among all rows of the other folds, exactly; 0 where there
+    are none. Each fold is a setting of its own, in which its rows ask and all others are candidates."""
+    scaled = lambda k: F.array(*[(F.col(c).cast("double") - float(m)) / float(s) for c, m, s in zip(INPUTS, *scales[k][:2], strict=True)])
+    settings = F.array(*[F.struct(F.lit(k).alias("setting"), (F.col("fold") != k).alias("candidate"), scaled(k).alias("v")) for k in range(n_folds)])
+    points = materialize(rows.select(F.col("transaction_id").alias("id"), F.explode(settings).alias("p")).select("p.setting", "id", "p.candidate", "p.v"), "points")
+    found = local_outlier_factors(points).select(F.col("id").alias("transaction_id"), "factor")
+    return rows.select("transaction_id", F.col("fold").cast("int").alias("fold")).join(found, "transaction_id", "left").select("transaction_id", "fold", F.coalesce("factor", F.lit(0.0)).alias("score"))
 
 
 def samples(rows: DataFrame, n_folds: int, label: str | None, size: int = SAMPLE) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -313,7 +366,7 @@ def score_folds(rows: DataFrame, models: dict[int, Callable[[np.ndarray], np.nda
 def cross_validated(rows: DataFrame, model: str, n_folds: int = 5) -> DataFrame:
     """transaction_id, fold, score: each row scored by a model fitted on the other folds. rows: INPUTS, transaction_id, fold,
     and is_suspicious for the models that see labels (logistic, gbt). All folds' means, sigmas and covariances come from one
-    pass of sums; samples are bounded by SAMPLE."""
+    pass of sums; the boosted trees' sample is bounded by SAMPLE."""
     own = sums_by(rows, F.col("fold"))
     scales = {k: total([v for j, v in own.items() if j != k], len(INPUTS)).moments() for k in range(n_folds)}
     if model == "logistic":
@@ -324,4 +377,8 @@ def cross_validated(rows: DataFrame, model: str, n_folds: int = 5) -> DataFrame:
         return out
     if model == "mahalanobis":
         return score_folds(rows, {k: Scaled(Mahalanobis(c / np.outer(sigma, sigma)), mean, sigma) for k, (mean, sigma, c, _) in scales.items()})
+    if model == "lof":
+        return outlier_factors(rows, n_folds, scales)
+    if model == "isolation_forest":
+        return score_folds(rows, isolation_forests(rows, n_folds, scales))
     return score_folds(rows, sampled_models(rows, model, n_folds, scales))

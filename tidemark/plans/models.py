@@ -44,7 +44,12 @@ register("ranking_by_model", lambda s, d: ev.ranking_metrics(model_scored(s, d))
 register(
     "folds",
     lambda s, d: ev.folds(p1(s, d)).groupBy("fold").agg(F.count(F.lit(1)).alias("entities")),
-    f"{E_SQL} SELECT fold, COUNT(*) AS entities FROM (SELECT DISTINCT entity_id, CAST(CAST('0x' || substr(md5('folds|' || entity_id), 1, 15) AS BIGINT) % 5 AS INTEGER) AS fold FROM transactions) GROUP BY 1",
+    f"{E_SQL}, {ev.FOLDS_SQL} SELECT fold, COUNT(*) AS entities FROM folds GROUP BY 1",
+)
+register(
+    "fold_classes",
+    lambda s, d: ev.folds(p1(s, d)).join(p1(s, d).groupBy("entity_id").agg(F.max("is_suspicious").alias("class")), "entity_id").groupBy("class", "fold").agg(F.count(F.lit(1)).alias("entities")),
+    f"{E_SQL}, {ev.FOLDS_SQL} SELECT class, fold, COUNT(*) AS entities FROM folds JOIN (SELECT entity_id, MAX(is_suspicious) AS class FROM transactions GROUP BY 1) USING (entity_id) GROUP BY 1, 2",
 )
 register(
     "scaling",
