@@ -34,6 +34,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Like materialize, dealt into files by the key's hash, which Spark knows when it reads them: joins on the key don't shuffle
+    these rows again. The table stands in the session's catalog, its files in the shared folder."""
+    spark, table = df.sparkSession, f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    n = shuffle_partitions(spark)
+    df.repartition(n, key).write.format("parquet").bucketBy(n, key).sortBy(key).option("path", f"{scratch(spark)}/{table}").saveAsTable(table)
+    return spark.table(table)
+
+
 def ship(spark: SparkSession) -> None:
     """Lets Python workers on this machine, or with this folder mounted, import the package; else ship it by --py-files."""
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bitmap, materialize, pow2_at_least, unused
+from .common import bitmap, bucketed, materialize, pow2_at_least, unused
 from .components import connected_components
 
 SEED = 42
@@ -360,16 +360,16 @@ def similar_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     # Fingerprints that are linked over variants, in any number of steps, are one group of a table. Texts that share the
     # groups of two tables are candidates: a passage that both have rarely holds two anchors of both.
-    prints = materialize(nodes.select("node", F.explode("prints").alias("fp")), "similar-prints")
+    prints = materialize(nodes.select("node", "size", F.explode("prints").alias("fp")), "similar-prints")
     distinct = materialize(prints.select("fp").distinct(), "similar-distinct")
     balls = materialize(connected_components(materialize(near_links(distinct, distinct.count(), radius=2), "similar-balls")).select(F.col("node").alias("near"), F.col("component").alias("ball")), "similar-near")
-    grouped = prints.join(balls, F.col("fp") == F.col("near"), "left").select("node", F.coalesce("ball", "fp").alias("one"))
+    grouped = prints.join(balls, F.col("fp") == F.col("near"), "left").select("node", "size", F.coalesce("ball", "fp").alias("one"))
     several = materialize(grouped.groupBy("one").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "similar-several")
-    lists = grouped.join(several, "one").groupBy("node").agg(F.array_sort(F.collect_set("one")).alias("ones"), F.sum("m").alias("weight")).where(F.size("ones") > 1)
+    lists = grouped.join(several, "one").groupBy("node").agg(F.first("size").alias("size"), F.array_sort(F.collect_set("one")).alias("ones"), F.sum("m").alias("weight")).where(F.size("ones") > 1)
     both = F.flatten(F.transform("ones", lambda x, k: F.transform(F.slice("ones", k + 2, F.size("ones")), lambda y: F.xxhash64(x, y))))
-    pairs_of = materialize(lists.select("node", "weight", F.explode(both).alias("g")), "similar-tables")
+    pairs_of = materialize(lists.select("node", "size", "weight", F.explode(both).alias("g")), "similar-tables")
     held = materialize(pairs_of.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("who")).where("m > 1").groupBy("m", "who").agg(F.min("g").alias("g")).select("g"), "similar-held")
-    shared = materialize(pairs_of.join(held, "g", "left_semi").join(nodes.select("node", "size"), "node"), "similar-shared")
+    shared = materialize(pairs_of.join(held, "g", "left_semi"), "similar-shared")
     wanted = shared.select("node").distinct().join(nodes.select("node", "row.*"), "node").select(F.col("id").alias("_id"), F.col("key").alias("_key"))
     wanted = materialize(wanted, "similar-wanted")
     bits = min(BITMAP_BITS, max(20, (16 * wanted.count()).bit_length()))
@@ -381,7 +381,7 @@ def similar_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     else:
         texts = src.join(wanted, (F.col("id") == F.col("_id")) & (F.col("key") == F.col("_key")), "left_semi")
         sets = texts.select("text").mapInArrow(shingles, "node long, s array<long>")
-    sets = materialize(sets, "similar-sets")
+    sets = bucketed(sets, "similar-sets", "node")
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = materialize(pairs.distinct(), "similar-pairs")
