@@ -292,3 +292,14 @@ def test_sampled_models_by_themselves():
     flat = models.BoostedTrees(np.zeros((10, 2)), np.array([0.0] * 5 + [1.0] * 5), np.ones(10), rounds=3)
     assert np.allclose(flat.score(np.zeros((2, 2))), 0.5)
     assert models.boosted(x[30:], y[30:], np.ones(2970)).score(x[:2]).tolist() == [0.0, 0.0]
+
+
+def test_candidates_share_a_key_however_common_it_is(spark):
+    """Each pair once, and a key that most names have is dealt to several tasks."""
+    rows = [[f"petr{a}{b}"] for a in "abcdefg" for b in "abcdefg"] + [["li"], ["li", "petraa"], ["xyzzy", "zq"]]
+    df = spark.createDataFrame([(r,) for r in rows], "folded array<string>")
+    queries = df.withColumnRenamed("folded", "q_folded").unionByName(spark.createDataFrame([(["unmatched"],), ([],)], "q_folded array<string>"))
+    keys = {tuple(r["folded"]): set(r["k"]) for r in df.select("folded", names.keys_of(F.col("folded")).alias("k")).collect()}
+    want = sorted((q, n) for q in keys for n in keys if keys[q] & keys[n])
+    for block in (1000, 5):
+        assert sorted((tuple(r["q_folded"]), tuple(r["folded"])) for r in screening.candidates(queries, df, block).collect()) == want

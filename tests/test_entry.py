@@ -50,3 +50,14 @@ def test_entry_and_sql_agree_on_a_sample(spark):
 
 def test_corpus_package_is_optional_by_specification():
     assert importlib.util.find_spec("tidemark") is not None
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="needs the driver's tables")
+def test_every_query_runs(spark):
+    """Each registered query of the payment part, whole, on the smallest tables."""
+    from tidemark.plans import queries as plans
+
+    for name, query in plans.queries().items():
+        df = query(spark, str(DATA))
+        assert df.columns and len(set(df.columns)) == len(df.columns), name
+        df.write.format("noop").mode("overwrite").save()

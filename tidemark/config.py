@@ -93,9 +93,12 @@ class KycConfig:
     as_of: str = "2026-07-31"
 
 
+# The rules' codes.
 RULES = ("R1_STRUCTURING", "R2_LAYERING", "R3_SMURFING", "R4_ROUND_DOLLAR", "R5_DORMANT")
+# The feature columns.
 FEATURES = (
     "txn_count_7d", "txn_sum_7d_cents", "txn_count_30d", "txn_sum_30d_cents", "amount_zscore_entity", "is_round_amount", "days_since_prev_txn", "distinct_counterparties_7d",
     "outbound_to_inbound_ratio_48h", "cash_ratio_7d", "counterparty_entity_degree_asof", "counterparty_age_days", "new_counterparty_ratio_7d", "hour_of_day", "is_weekend",
 )
+# The columns of ground truth.
 TRUTH = ("is_suspicious", "typology", "typology_variant", "case_id")

@@ -13,7 +13,8 @@ from ..functions.names import CYRILLIC, folded_tokens, keys_of, script_of, simil
 from ..session import materialize
 from .evaluation import hash15
 
-# The tags of a record, and what parts aliases.
+# What parts aliases, a year in a date, and the tags of a record.
+BETWEEN_ALIASES, YEAR = r";|\n|\s/\s|\baka\b|\ba\.k\.a\.", r"\b(1[89]\d\d|20\d\d)\b"
 FIELDS = ("Country", "LastName", "GivenName", "Aliases", "DateOfBirthOrShipBuildDate", "Schedule", "Item", "DateOfListing", "EntityOrShip", "ShipIMONumber")
 
 
@@ -26,7 +27,7 @@ def read_list(spark: SparkSession, path: str, row_tag: str = "record") -> DataFr
 
 def split_aliases(text: Column, person: Column) -> Column:
     """Aliases of a field: by semicolon, line, ' / ', aka; for people by comma too."""
-    parts = F.split(F.coalesce(text, F.lit("")), r";|\n|\s/\s|\baka\b|\ba\.k\.a\.")
+    parts = F.split(F.coalesce(text, F.lit("")), BETWEEN_ALIASES)
     finer = F.when(person, F.flatten(F.transform(parts, lambda p: F.split(p, ",")))).otherwise(parts)
     return F.filter(F.transform(finer, lambda p: F.regexp_replace(p, r"^[ ,.]+|[ ,.]+$", "")), lambda p: p != "")
 
@@ -38,7 +39,7 @@ def parties(records: DataFrame) -> DataFrame:
     person = (text("LastName") != "") | (text("GivenName") != "")
     primary = F.when(person, F.trim(F.concat_ws(" ", F.nullif(text("GivenName"), F.lit("")), F.nullif(text("LastName"), F.lit(""))))).otherwise(text("EntityOrShip"))
     kind = F.when(person, "individual").when(text("ShipIMONumber") != "", "ship").otherwise("entity")
-    year = F.regexp_extract(text("DateOfBirthOrShipBuildDate"), r"\b(1[89]\d\d|20\d\d)\b", 1)
+    year = F.regexp_extract(text("DateOfBirthOrShipBuildDate"), YEAR, 1)
     return records.select(
         F.concat_ws("|", text("Schedule"), text("Item"), text("Country")).alias("party"), kind.alias("kind"), F.array_distinct(F.concat(F.array(primary), split_aliases(F.col("Aliases"), person))).alias("names"),
         F.when(person & (year != ""), year.try_cast("int")).alias("birth_year"), text("Country").alias("country"), text("DateOfListing").alias("listed_on"),
@@ -51,11 +52,19 @@ def name_index(listed: DataFrame) -> DataFrame:
     return names.withColumn("folded", folded_tokens(F.col("name"))).where(F.size("folded") > 0)
 
 
-def candidates(queries: DataFrame, index: DataFrame) -> DataFrame:
-    """Pairs (q_folded, folded) of distinct folded names that share any blocking key, each pair once."""
-    left = queries.select("q_folded").distinct().select("q_folded", F.explode(keys_of(F.col("q_folded"))).alias("k"))
-    right = index.select("folded").distinct().select("folded", F.explode(keys_of(F.col("folded"))).alias("k"))
-    return left.join(right, "k").select("q_folded", "folded").distinct()
+def candidates(queries: DataFrame, index: DataFrame, block: int = 1000) -> DataFrame:
+    """Pairs (q_folded, folded) of distinct folded names that share any blocking key, each pair once: at the smallest key that
+    both have, so pairs need no shuffle of their own. A key that many listed names have is dealt to as many tasks as it fills
+    blocks; queries with that key go to all of them."""
+    left = queries.select("q_folded").distinct().withColumn("q_keys", keys_of(F.col("q_folded")))
+    right = index.select("folded").distinct().withColumn("keys", keys_of(F.col("folded")))
+    left, right = left.select("*", F.explode("q_keys").alias("k")), right.select("*", F.explode("keys").alias("k"))
+    wide = right.groupBy("k").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts")).where("parts > 1")
+    wide = materialize(wide, "screen-keys")
+    parts = F.coalesce("parts", F.lit(1))
+    left = left.join(wide, "k", "left").select("q_folded", "q_keys", "k", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    right = right.join(wide, "k", "left").select("folded", "keys", "k", F.pmod(F.xxhash64("folded"), parts).cast("int").alias("part"))
+    return left.join(right, ["k", "part"]).where(F.col("k") == F.array_min(F.array_intersect("q_keys", "keys"))).select("q_folded", "folded")
 
 
 def screen(queries: DataFrame, listed: DataFrame, *, id_col: str = "query_id", name_col: str = "name", year_col: str | None = None, top: int = 3) -> DataFrame:
