@@ -12,7 +12,7 @@ import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +38,17 @@ class ByteBpe:
         import tiktoken
 
         self.split = tiktoken.Encoding("byte-bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
-        self.whole = tiktoken.Encoding("byte-bpe-runs", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
-        self.special = special
+        self.ranks, self.special = ranks, special
         self.specials = re.compile(f"({'|'.join(map(re.escape, sorted(special, key=len, reverse=True)))})") if special else None
         self.run = re.compile(f"[{SPACES}]{{{LONG_RUN},}}")
 
+    @cached_property
+    def whole(self):
+        """The same vocabulary over unsplit texts; few texts need it."""
+        import tiktoken
+
+        return tiktoken.Encoding("byte-bpe-runs", pat_str=r"(?s:.+)", mergeable_ranks=self.ranks, special_tokens={})
+
     def encode(self, text: str) -> list[int]:
         if len(text) < LONG_TEXT or not self.run.search(text):
             return self.split.encode(text, allowed_special="all")
@@ -92,15 +98,17 @@ def pieces(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = byte_bpe(tokenizer).encode
         for batch in batches:
-            rows = []
-            for k, text in enumerate(batch.column(1).to_pylist()):
-                ids = np.array([*encode(text or ""), end_id], dtype="<u4")
-                cuts = [0, *range(len(ids) % size or size, len(ids) + 1, size)]
-                rows += [(k, n, a, b - a, zlib.crc32(ids[a:b].tobytes())) for n, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
-            row, n, start, length, crc = zip(*rows, strict=True) if rows else ([],) * 5
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(row, pa.int32())), pa.array(n, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(row, pa.int32())], ["id", "piece", "start", "length", "ids_crc32", "spread"]
-            )
+            for first in range(0, batch.num_rows, 512):  # the texts of few rows at a time are held
+                part, rows = batch.slice(first, 512), []
+                for k, text in enumerate(part.column(1).to_pylist()):
+                    ids = np.array([*encode(text or ""), end_id], dtype="<u4")
+                    cuts = [0, *range(len(ids) % size or size, len(ids) + 1, size)]
+                    rows += [(k, n, a, b - a, zlib.crc32(ids[a:b].tobytes())) for n, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+                row, n, start, length, crc = zip(*rows, strict=True)
+                spread = pa.array(np.array(row, dtype=np.int32) + first)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(pa.array(row, pa.int32())), pa.array(n, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), spread], ["id", "piece", "start", "length", "ids_crc32", "spread"]
+                )
 
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return src.mapInArrow(work, f"id {src.schema['id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, spread int")
