@@ -28,7 +28,7 @@ from .common import materialize
 
 SCALE = 1_000_000_000
 #: Distinct terms that a task holds before it hands on their counts.
-HELD_TERMS = 200_000
+HELD_TERMS = 400_000
 #: Groups in a block, and terms in a shard, of a dense tile; a term is heavy from this share of its language's groups.
 BLOCK, SHARD, HEAVY = 256, 2048, 0.5
 #: Groups from which on a term is heavy in any case, so that lists of postings stay short.
