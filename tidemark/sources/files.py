@@ -63,14 +63,18 @@ def metrics_document(parts: dict[str, DataFrame], most: int = 2_000) -> str:
 
 
 def markdown_table(df: DataFrame, most: int = 200) -> str:
-    """The first rows as a Markdown table; '$' is escaped, as it starts formulas there."""
-    rows = df.limit(most).collect()
+    """A small result table in Markdown; '$' is escaped, as it starts formulas there. ValueError for more than `most` rows."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows")
     cell = lambda x: ("" if x is None else str(x)).replace("|", "\\|").replace("$", "\\$")
     lines = [df.columns, ["---"] * len(df.columns), *[[cell(x) for x in r] for r in rows]]
     return "\n".join("| " + " | ".join(line) + " |" for line in lines)
 
 
 def canonical_digest(spark: SparkSession, path: str) -> str:
-    """SHA-256 of a text file's content, whatever its line ends and compression (Spark unpacks by the file's suffix)."""
-    text = "".join(r["value"] for r in spark.read.option("wholetext", True).text(path).orderBy("value").collect())
-    return hashlib.sha256(text.replace("\r\n", "\n").encode()).hexdigest()
+    """SHA-256 of a text file's content, whatever its line ends and compression (Spark unpacks by the file's suffix). Of several
+    files, that of their digests in order. The driver gets digests only."""
+    digest = F.sha2(F.replace("value", F.lit("\r\n"), F.lit("\n")), 256)
+    found = sorted(r[0] for r in spark.read.option("wholetext", True).text(path).select(digest).collect())
+    return found[0] if len(found) == 1 else hashlib.sha256("".join(found).encode()).hexdigest()
