@@ -58,3 +58,11 @@ def test_digests_do_not_depend_on_line_ends(spark, tmp_path):
     assert files.canonical_digest(spark, str(tmp_path / "a.txt")) == files.canonical_digest(spark, str(tmp_path / "b.txt.gz")) == hashlib.sha256(b"x\ny\n").hexdigest()
     with pytest.raises(ValueError):
         files.markdown_table(spark.range(300))
+
+
+def test_a_policy_of_many_lines(spark, tmp_path):
+    import json
+
+    policy = {"schema_version": 1, "priority_bands": [1, 2], "typologies": [{"id": "T", "minimum_evidence": ["a", "b"]}]}
+    (tmp_path / "p.json").write_text(json.dumps(policy, indent=2))
+    assert files.read_policy(spark, str(tmp_path / "p.json")) == policy

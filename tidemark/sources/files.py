@@ -33,7 +33,7 @@ def write_csv(df: DataFrame, path: str, order: list[str] | None = None) -> None:
 
 def read_policy(spark: SparkSession, path: str, required: tuple[str, ...] = ("priority_bands", "typologies"), version: int = 1) -> dict[str, Any]:
     """A JSON policy, read through Spark so that any store will do; ValueError unless its version and keys are as expected."""
-    text = "\n".join(r["value"] for r in spark.read.option("wholetext", True).text(path).limit(2).collect())
+    text = "\n".join(r["value"] for r in spark.read.text(path, wholetext=True).limit(2).collect())
     policy = json.loads(text)
     if policy.get("schema_version") != version:
         raise ValueError(f"schema_version is {policy.get('schema_version')}, not {version}")
@@ -76,5 +76,5 @@ def canonical_digest(spark: SparkSession, path: str) -> str:
     """SHA-256 of a text file's content, whatever its line ends and compression (Spark unpacks by the file's suffix). Of several
     files, that of their digests in order. The driver gets digests only."""
     digest = F.sha2(F.replace("value", F.lit("\r\n"), F.lit("\n")), 256)
-    found = sorted(r[0] for r in spark.read.option("wholetext", True).text(path).select(digest).collect())
+    found = sorted(r[0] for r in spark.read.text(path, wholetext=True).select(digest).collect())
     return found[0] if len(found) == 1 else hashlib.sha256("".join(found).encode()).hexdigest()
