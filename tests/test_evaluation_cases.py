@@ -164,13 +164,31 @@ def test_validation(spark, scored, entities):
 def test_review_notes(spark):
     import json
 
-    good = {"schema_version": 1, "investigation_id": "INV-1", "observed_facts": [{"observation": "x", "source_ref": "TXN-1"}], "benign_explanation": "a", "suspicious_explanation": "b", "rationale": "c", "next_action": "d", "limitations": "e", "missing_evidence": ["y"], "recommendation": "REQUEST ADDITIONAL EVIDENCE", "human_approved": False, "filing_status": "NOT ASSESSED OR FILED"}
-    bad = [good | {"recommendation": notes.CLOSURE}, good | {"deep": {"er": [{"typology": 1}]}}, good | {"observed_facts": [{"observation": "x", "source_ref": "TXN-9"}]}, good | {"observed_facts": []}, good | {"investigation_id": "INV-9"}, good | {"rationale": " "}, good | {"schema_version": 2}]
-    df = spark.createDataFrame([(json.dumps(n),) for n in (good, *bad)] + [("not json",)], "note string")
-    got = notes.assess(df, spark.createDataFrame([("INV-1",)], "investigation_id string"), spark.createDataFrame([("INV-1", "TXN-1")], "investigation_id string, source_ref string")).collect()
-    assert [r["status"] for r in got].count("READY FOR REVIEW") == 1 and len(got) == 9
-    problems = {p for r in got for p in r["problems"]}
-    assert {"closes while evidence is missing", "holds a label key", "unknown references", "no facts", "unknown investigation", "a text field is empty", "not a version 1 note"} <= problems
+    good = {"schema_version": 1, "investigation_id": "INV-1", "observed_facts": [{"observation": "x", "source_ref": "counterparty:C1"}], "alternative_explanation": "a", "discriminator": "b", "analysis": "c", "recommended_next_step": "d", "missing_evidence": ["y"], "recommendation": "escalate_for_review", "human_approved": False, "filing_status": "NOT FILED"}
+    fact = lambda **x: good | {"observed_facts": [x]}
+    deep = json.dumps(good | {"deep": [1, {"er": [["x", {"typology": 1}]]}]})
+    expected = [
+        (json.dumps(good), ""), (json.dumps(good | {"deep": ['{"typology": 1}', {"typology,": 1, ',"typology': ",", "x": "typology"}]}), ""), (json.dumps(fact(observation="x", source_ref="register:INV-1")), ""),
+        (deep, "holds a label key"), (deep.replace("typology", "typolog\\u0079"), "holds a label key"), (json.dumps(good | {"ground_truth": None}), "holds a label key"),
+        (json.dumps(good | {"recommendation": notes.CLOSURE}), "closes while evidence is missing"), (json.dumps(good | {"recommendation": notes.CLOSURE, "missing_evidence": []}), ""), (json.dumps(good | {"recommendation": "file"}), "unknown recommendation"),
+        (json.dumps(fact(observation="x", source_ref="counterparty:C2")), "unknown references"), (json.dumps(fact(observation="x")), "unknown references"), (json.dumps(fact(observation="\t ", source_ref="register:INV-1")), "a fact without an observation"),
+        (json.dumps(good | {"observed_facts": []}), "no facts"), (json.dumps(good | {"observed_facts": "x"}), "no facts"), (json.dumps(good | {"investigation_id": "INV-9"}), "unknown investigation; unknown references"),
+        (json.dumps(good | {"analysis": " "}), "a text field is empty"), (json.dumps(good | {"discriminator": 5}), "a text field is empty"), (json.dumps(good | {"schema_version": "1"}), "not a version 1 note"),
+        (json.dumps(good | {"missing_evidence": ["y", 1]}), "missing evidence is not a list of texts"), (json.dumps(good | {"missing_evidence": None}), "missing evidence is not a list of texts"),
+        (json.dumps(good | {"human_approved": "false"}), "claims approval or a filing"), (json.dumps(good | {"filing_status": "FILED"}), "claims approval or a filing"),
+    ]
+    broken = ["not json", None, "", "[1]", "null", '{"schema_version": 1, "schema_version": 1}']
+    df = spark.createDataFrame([(k, t) for k, t in enumerate([t for t, _ in expected] + [expected[0][0]] + broken + [None])], "n int, note string")
+    register = spark.createDataFrame([("INV-1", "E1"), ("INV-2", "E2")], "investigation_id string, entity_id string")
+    refs = notes.case_references(register, spark.createDataFrame([("E1", "C1"), ("E2", "C2"), ("E9", "C9")], "entity_id string, counterparty_id string"))
+    got = {r["n"]: r for r in notes.assess(df, register, refs).collect()}
+    assert len(got) == df.count()
+    for k, (text_, problems) in enumerate([*expected, expected[0]]):
+        assert ("; ".join(got[k]["problems"]), got[k]["status"]) == (problems, "BLOCKED" if problems else "READY FOR REVIEW"), text_
+    assert all(got[k]["status"] == "BLOCKED" and got[k]["investigation_id"] is None for k in range(len(expected) + 1, len(got)))
+    assert notes.assess(df.where("false"), register, refs).count() == 0
+    with pytest.raises(ValueError):
+        notes.assess(df.withColumn("status", F.lit(1)), register, refs)
 
 
 def test_files(spark, tmp_path, scored):

@@ -67,7 +67,7 @@ register("rules_applied", lambda s, d: hits1(s, d), f"{E_RULES} SELECT * FROM ru
 
 
 def queries() -> dict[str, Query]:
-    from . import console, customers, evaluation, generated, models, relational, screening, streams, tables  # noqa: F401  each registers its own
+    from . import console, customers, evaluation, generated, models, relational, reviews, screening, streams, tables  # noqa: F401  each registers its own
 
 
     return {k: q for k, (q, _) in REGISTRY.items()}
