@@ -29,3 +29,10 @@ def test_packets_read_the_graph_once(spark):
     edges = spark.range(30).selectExpr("'E1' AS entity_id", "concat('C', id) AS counterparty_id", "1L AS transactions", "1D AS amount_cad", "'inbound' AS directions")
     rows = jobs_rows(spark, lambda f: packets.case_packets(register, edges.mapInArrow(f, edges.schema)).collect())
     assert rows == 30
+
+
+def test_draws_are_dealt_to_tasks(spark):
+    rows = [(f"E{k}", int(k % 9 == 0), float(k % 100)) for k in range(300)]
+    df = spark.createDataFrame(rows, "entity_id string, is_suspicious int, risk_score double")
+    plan = evaluation.bootstrap(df, 50.0, draws=40)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
