@@ -36,3 +36,9 @@ def test_draws_are_dealt_to_tasks(spark):
     df = spark.createDataFrame(rows, "entity_id string, is_suspicious int, risk_score double")
     plan = evaluation.bootstrap(df, 50.0, draws=40)._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan
+
+
+def test_counts_are_made_once_for_ranks(spark):
+    df = spark.range(500).selectExpr("CAST(id % 50 AS DOUBLE) AS v", "1L AS n")
+    rows = jobs_rows(spark, lambda f: running.with_ranked(df.mapInArrow(f, df.schema).groupBy("v").agg(F.sum("n").alias("n")), "v", ["n"]).collect())
+    assert rows == 500
