@@ -42,3 +42,19 @@ def test_counts_are_made_once_for_ranks(spark):
     df = spark.range(500).selectExpr("CAST(id % 50 AS DOUBLE) AS v", "1L AS n")
     rows = jobs_rows(spark, lambda f: running.with_ranked(df.mapInArrow(f, df.schema).groupBy("v").agg(F.sum("n").alias("n")), "v", ["n"]).collect())
     assert rows == 500
+
+
+def test_forest_scores_are_made_once(spark, monkeypatch, tmp_path):
+    """Of rows that percentiles, sweeps and rankings read again, each is put through the forest once; nothing when held."""
+    df = spark.range(200).selectExpr("concat('T', id) AS transaction_id", "CAST(id % 5 AS INT) AS fold", "CAST(id % 7 AS DOUBLE) AS score")
+    hits = df.select("transaction_id", F.lit(1).alias("n_rules_fired"))
+
+    def run(f):
+        monkeypatch.setattr(plans, "inputs", lambda s, d: None)
+        monkeypatch.setattr(plans.m, "cross_validated", lambda rows, model: df.mapInArrow(f, df.schema))
+        monkeypatch.setattr(plans, "hits1", lambda s, d: hits)
+        monkeypatch.setattr(plans, "p1", lambda s, d: df.select("transaction_id"))
+        for _ in range(2):
+            assert plans.model_scored(spark, str(tmp_path)).count() == 200
+
+    assert jobs_rows(spark, run) == 200
