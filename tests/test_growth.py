@@ -58,3 +58,22 @@ def test_forest_scores_are_made_once(spark, monkeypatch, tmp_path):
             assert plans.model_scored(spark, str(tmp_path)).count() == 200
 
     assert jobs_rows(spark, run) == 200
+
+
+def test_steps_through_trees_are_the_plain_walk():
+    """Leaves at many depths, and values that are missing or infinite."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.standard_normal((300, 4)), np.zeros((40, 4)), rng.standard_normal((5, 4)) * 50])
+    forest = IsolationForest(x, trees=12, size=128)
+    asked = np.concatenate([x, [[np.nan, 0, 1, np.inf], [-np.inf, np.inf, 0, 0]]])
+    want = []
+    for row in asked:
+        total = 0.0
+        for column, cut, child, extra in forest.trees:
+            node = 0
+            total += extra[0]
+            while column[node] >= 0:
+                node = child[node] + int(row[column[node]] >= cut[node])
+                total += extra[node]
+        want.append(2.0 ** (-total / 12 / forest.norm))
+    assert forest.score(asked) == pytest.approx(want, rel=1e-12)
