@@ -77,3 +77,13 @@ def test_steps_through_trees_are_the_plain_walk():
                 total += extra[node]
         want.append(2.0 ** (-total / 12 / forest.norm))
     assert forest.score(asked) == pytest.approx(want, rel=1e-12)
+
+
+def test_the_streams_files_are_written_by_tasks(spark, monkeypatch, tmp_path):
+    rows = [pay(k, f"E{k % 4}", "", T0 + k * 3600, 800_000 + k, cash=1) for k in range(240)]
+    df = frame(spark, rows).repartition(3)
+    monkeypatch.setattr(streams, "p1", lambda s, d: df)
+    monkeypatch.setattr(streams, "scratch", lambda s: str(tmp_path))
+    found = streams.cw.flagged_members(streams.streamed(spark, "any"))
+    assert streams.cw.difference(found, streams.batch_members(spark, "any")).count() == 0 and found.count() > 0
+    assert len(list(tmp_path.glob("stream-*/in/part-*"))) == 3 * streams.BATCHES
