@@ -1,11 +1,14 @@
 """What keeps large inputs in time: work done once, and by many tasks."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from helpers import T0, frame, pay
 from tidemark.operators import evaluation, packets, running
+from tidemark.operators.features import features
 from tidemark.operators.models import IsolationForest
 from tidemark.plans import models as plans
 from tidemark.plans import streams
@@ -87,3 +90,28 @@ def test_the_streams_files_are_written_by_tasks(spark, monkeypatch, tmp_path):
     found = streams.cw.flagged_members(streams.streamed(spark, "any"))
     assert streams.cw.difference(found, streams.batch_members(spark, "any")).count() == 0 and found.count() > 0
     assert len(list(tmp_path.glob("stream-*/in/part-*"))) == 3 * streams.BATCHES
+
+
+def test_rows_are_never_broadcast_to_their_values(spark, monkeypatch):
+    """Rows that look small as a file stay where they are beside few values, and are dealt beside many."""
+    rows = spark.range(400).selectExpr("concat('T', id) AS transaction_id", "CAST(id % 5 AS INT) AS fold", "CAST(id % 7 AS DOUBLE) AS score")
+    found = []
+    for few in (evaluation.FEW, 3):
+        monkeypatch.setattr(evaluation, "FEW", few)
+        out = evaluation.percentile_against_train(rows, "score")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BuildLeft" not in plan and bool(re.search(r"SortMergeJoin \[[^]]*score", plan)) == (few == 3)
+        found.append(sorted(map(tuple, out.collect())))
+    assert found[0] == found[1] and len(found[0]) == 400
+    hits = rows.selectExpr("transaction_id", "1 AS n_rules_fired")
+    model = out.select("transaction_id", "model_component")
+    assert "SortMergeJoin [transaction_id" in evaluation.risk_scores(hits, model)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_of_a_task_are_bounded(spark, monkeypatch):
+    """Features are made by so many tasks as rows need, whatever number of partitions the session has."""
+    monkeypatch.setattr(running, "ROWS", 10)
+    df = frame(spark, [pay(k, f"E{k % 40}", f"C{k % 30}", T0 + k * 3600, 1000 + k) for k in range(200)])
+    plan = features(df)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(entity_id" in plan and plan.count(", 20), REPARTITION_BY_NUM") == 2
+    assert features(df).count() == 200 and features(df.where("false")).count() == 0
