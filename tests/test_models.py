@@ -110,3 +110,13 @@ def test_moments_merge_over_spans_without_losing_digits(spark):
             assert r["moments"]["n"] == len(prior)
             if len(prior) > 1:
                 assert r["moments"]["m2"] == pytest.approx(((prior - prior.mean()) ** 2).sum(), rel=1e-3)
+
+
+def test_equal_vectors_are_searched_once(spark, monkeypatch):
+    """Twenty copies of each vector, of both kinds: few places go into the search, and all points have their own neighbours."""
+    x = np.random.default_rng(6).standard_normal((30, 3))
+    rows = points_of(np.concatenate([x] * 20))
+    searched, whole = [], neighbours.near_places
+    monkeypatch.setattr(neighbours, "near_places", lambda points, k: searched.append(points.count()) or whole(points, k))
+    got = {(r["setting"], r["id"]): [(n["d"], n["other"]) for n in r["near"]] for r in neighbours.neighbours(spark.createDataFrame(rows, POINTS), 25).collect()}
+    assert searched == [30] and got == plain_near(rows, 25)
