@@ -11,7 +11,7 @@ from tidemark.operators import evaluation, packets, running
 from tidemark.operators.features import features
 from tidemark.operators.models import IsolationForest
 from tidemark.plans import models as plans
-from tidemark.plans import streams
+from tidemark.plans import queries, streams
 
 
 def jobs_rows(spark, run):
@@ -115,3 +115,21 @@ def test_rows_of_a_task_are_bounded(spark, monkeypatch):
     plan = features(df)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(entity_id" in plan and plan.count(", 20), REPARTITION_BY_NUM") == 2
     assert features(df).count() == 200 and features(df.where("false")).count() == 0
+
+
+def test_labels_and_folds_need_no_shuffle_of_features(spark, monkeypatch, tmp_path):
+    """Rows are dealt by counterparty and by entity for the features, and not again for labels, folds or what a ranking reads."""
+    rows = [pay(k, f"E{k % 40}", f"C{k % 30}", T0 + k * 3600, 1000 + k, suspicious=int(k % 9 == 0)) for k in range(200)]
+    rows += [(*pay(200, "", "C1", T0, 7)[:1], None, *pay(200, "", "C1", T0, 7)[2:])]
+    made = []
+    monkeypatch.setattr(queries, "p1", lambda s, d: frame(spark, rows))
+    monkeypatch.setattr(queries, "held", lambda s, d, name, make: made.append(make()) or made[-1])
+    got = {r["transaction_id"]: (r["is_suspicious"], r["fold"]) for r in plans.inputs(spark, str(tmp_path)).collect()}
+    folds = {r["entity_id"]: r["fold"] for r in evaluation.folds(frame(spark, rows)).collect()}
+    assert got == {r[0]: (r[10], folds[r[1]]) for r in rows[:-1]}
+    plan = made[0]._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange hashpartitioning\([^\n]*REPARTITION_BY_NUM", plan)) == 2
+    assert not re.search(r"Exchange hashpartitioning\(transaction_id", plan)
+    assert queries.f1(spark, str(tmp_path)).count() == 201 and queries.f1(spark, str(tmp_path)).columns == features(frame(spark, rows)).columns
+    plan = plans.ranking("gbt")(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "transaction_id" not in "".join(re.findall(r"SortMergeJoin[^\n]*", plan))
