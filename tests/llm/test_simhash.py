@@ -219,3 +219,59 @@ def test_components_of_chains_and_stars(spark):
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {k: 0 for k in range(41)} | {k: 100 for k in range(100, 150)} | {199: 199, 200: 199}
     assert connected_components(spark.range(0).select(F.col("id").alias("a"), F.col("id").alias("b"))).count() == 0
+
+
+def test_blocks_of_one_component_do_not_meet(spark, monkeypatch):
+    """Members of a large component are sent to the other blocks alone; links are those of all pairs."""
+    monkeypatch.setattr(simhash_module, "BLOCK", 8)
+    rng = np.random.default_rng(8)
+    sets, rows = {}, []
+    for g, (large, few) in enumerate([(60, 5), (0, 20), (40, 0)]):
+        base = [rng.integers(0, 2**60, 40) for _ in range(5)]
+        for k in range(large + few):
+            node = 1000 * g + k
+            sets[node] = np.unique(np.concatenate([base[k % 5][: 40 - k % 3], rng.integers(0, 2**60, 1 + k % 2)])).tolist()
+            rows.append((g, node, len(sets[node]), g * 1000 if k < large else node))
+    df = spark.createDataFrame(rows, "g long, node long, size int, c long")
+    dealt = simhash_module.dealt_blocks(df).groupBy("g").count().collect()
+    assert {r["g"]: r["count"] for r in dealt} == {0: 60 + 5 * 9, 1: 20 * 3}
+    got = simhash_module.blocked_links(df, spark.createDataFrame(list(sets.items()), "node long, s array<long>"), 0.8).collect()
+    reach = {r[3]: r[3] for r in rows}
+
+    def root(c):
+        return c if reach[c] == c else root(reach[c])
+
+    def joined(pairs):
+        reach.update({c: c for c in reach})
+        for a, b in pairs:
+            low, high = sorted((root(a), root(b)))
+            reach[high] = low
+        return {c: root(c) for c in reach}
+
+    common = lambda a, b: len(set(a) & set(b))
+    want = [(x[3], y[3]) for x in rows for y in rows if x[0] == y[0] and common(sets[x[1]], sets[y[1]]) >= 0.8 * (x[2] + y[2] - common(sets[x[1]], sets[y[1]]))]
+    assert joined(map(tuple, got)) == joined(want) and len(set(reach.values())) < len(reach)
+
+
+def test_a_text_goes_to_one_head(spark):
+    pairs = [(1, 9, 50), (2, 9, 10), (2, 9, 10), (3, 8, 5), (4, 8, 7)]
+    got = simhash_module.one_head_each(spark.createDataFrame(pairs, "a long, b long, weight long")).collect()
+    assert sorted(map(tuple, got)) == [(2, 9), (4, 8)]
+
+
+def test_texts_of_rows_that_stay_are_not_shuffled(spark, monkeypatch):
+    """With a list too large to broadcast, only rows that the bitmap doesn't rule out are; the rows are those of the plain join."""
+    docs = spark.range(3000).selectExpr("IF(id % 50 = 0, NULL, id) AS doc_id", "concat('t', id) AS text")
+    gone = spark.range(0, 3000, 7).selectExpr("id AS i", "xxhash64(concat('t', id)) AS k")
+    match = (F.col("doc_id") == F.col("i")) & (F.xxhash64("text") == F.col("k"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        want = sorted(map(str, docs.join(gone, match, "left_anti").collect()))
+        for most in (30, 19):
+            monkeypatch.setattr(simhash_module, "BITMAP_BITS", most)
+            kept = simhash_module.without(docs, gone, "i", "k", F.col("doc_id"), F.xxhash64("text"), match)
+            plan = kept._jdf.queryExecution().executedPlan().toString()
+            assert sorted(map(str, kept.collect())) == want
+            assert plan.count("SortMergeJoin") == 1 and ("Union" in plan) == (most == 30)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -18,6 +18,7 @@ from itertools import combinations
 from math import ceil, comb, log2
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -297,15 +298,33 @@ def spanning(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[n
         a, b = a2, b2
 
 
+def dealt_blocks(rows: DataFrame) -> DataFrame:
+    """rows with own and other: the block of each member and each block that it meets. A component of more than BLOCK members of a
+    group has blocks of its own, which don't meet each other, as nothing is to be found there; all others share theirs."""
+    part = F.when(F.col("n") > BLOCK, F.col("c"))
+    each = rows.groupBy("g", "c").agg(F.count(F.lit(1)).alias("n")).select("g", "c", "n", part.alias("big"))
+    parts = each.groupBy("g", "big").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("k"))
+    whole = Window.partitionBy("g")
+    parts = parts.select("g", "big", "k", (F.sum("k").over(whole.orderBy("big")) - F.col("k")).cast("int").alias("first"), F.sum("k").over(whole).cast("int").alias("blocks"))
+    known = each.alias("e").join(parts.alias("p"), (F.col("e.g") == F.col("p.g")) & F.col("e.big").eqNullSafe(F.col("p.big"))).select("e.g", "e.c", "e.big", "k", "first", "blocks")
+    dealt = rows.join(known, ["g", "c"]).withColumn("own", F.col("first") + F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+    every = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return every.where(F.col("big").isNull() | (F.col("other") < F.col("first")) | (F.col("other") >= F.col("first") + F.col("k")))
+
+
+def one_head_each(pairs: DataFrame) -> DataFrame:
+    """(a, b) of pairs (head a, text b, the head's weight), a row per group: of each text's heads that of most of its groups."""
+    counted = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("weight").alias("weight"))
+    return counted.groupBy("b").agg(F.max_by("a", F.struct("n", "weight", "a")).alias("a")).select("a", "b")
+
+
 def blocked_links(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) between components that connect all similar members of each group; rows: g, m, node, size, c.
+    """Links (a, b) between components that connect all similar members of each group; rows: g, node, size, c.
 
-    Each block of a group's members meets each other one, and itself, in a task of its own; what leaves it are links that
-    span its components, never its pairs.
+    Blocks of a group's members meet in a task for each two of them, and what leaves it are links that span its components,
+    never its pairs.
     """
-    dealt = rows.withColumn("k", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("k") - 1))
-    dealt = dealt.withColumn("other", every).select("g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "c")
+    dealt = dealt_blocks(rows).select("g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "c")
     dealt = dealt.join(sets, "node").select("g", "i", "j", "own", "c", "s")
 
     def meet(group: pa.Table) -> pa.Table:
@@ -418,11 +437,12 @@ def similar_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             linked(verified(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))), blocks)
             break
         # Large groups fall together by one head each: the text whose fingerprints most others share, as an original shares
-        # more of them with its copies than these with each other. This goes on while a turn at least halves the open pairs.
+        # more of them with its copies than these with each other. A text of many groups goes to one of their heads a turn, so its
+        # set moves once, not for each group. This goes on while a turn at least halves the open pairs.
         order = F.struct("weight", F.xxhash64("node")) if turn == 0 else F.struct(F.xxhash64("node", "g", F.lit(turn)))
-        heads = materialize(rows.groupBy("g").agg(F.max_by(F.struct("node", "size", "c"), order).alias("y")), "similar-heads")
+        heads = materialize(rows.groupBy("g").agg(F.max_by(F.struct("node", "size", "c", "weight"), order).alias("y")), "similar-heads")
         pairs = rows.alias("x").join(heads, "g").where((F.col("y.c") != F.col("x.c")) & size_fits)
-        linked(verified(pairs.select(F.col("y.node").alias("a"), F.col("x.node").alias("b"))))
+        linked(verified(one_head_each(pairs.select(F.col("y.node").alias("a"), F.col("x.node").alias("b"), F.col("y.weight").alias("weight")))))
         turn, before = turn + 1, most
     return known.join(parts, F.col("node") == F.col("part"), "left").select("id", "key", F.when(F.col("id").isNotNull(), F.coalesce("c", "node")).alias("c"))
 
@@ -441,10 +461,29 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     return joined.join(least, F.col("c") == F.col("_c"), "left").select(F.col("id").alias(id_col), "component_id")
 
 
+def without(docs: DataFrame, gone: DataFrame, i: str, k: str, row_id: Column, row_key: Column, match: Column) -> DataFrame:
+    """docs without the rows that match one of gone (i, k); rows that a bitmap of gone rules out are not shuffled."""
+    n = gone.count()
+    bits = max(20, (64 * n).bit_length())
+    if bits > BITMAP_BITS:
+        return docs.join(gone, match, "left_anti")
+    spot = lambda x, y: F.xxhash64(x, y).bitwiseAND(F.lit((1 << bits) - 1))
+    listed, mark = bitmap(docs.sparkSession, gone.select(spot(F.col(i), F.col(k)).alias("spot")), "spot", bits), unused(docs, "listed")
+
+    @F.pandas_udf("boolean")
+    def perhaps(at: pd.Series) -> pd.Series:
+        at = at.to_numpy()
+        return pd.Series((listed.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
+
+    marked = docs.withColumn(mark, perhaps(spot(row_id, row_key)))
+    return marked.where(~F.col(mark)).drop(mark).unionByName(marked.where(mark).drop(mark).join(gone, match, "left_anti"))
+
+
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs without all but one row of each group of similar documents: that with the smallest id, then text key. Of rows
     that repeat both id and text one stays, of rows with one id and different texts one for each group. Rows with a null
-    id stay. Texts are shuffled only where the list of dropped rows is too large for Spark to broadcast."""
+    id stay. A bitmap tells which rows are not on the list of dropped ones, and only the texts of others, these and one in 64 at
+    most of all, may be shuffled to look."""
     found = materialize(similar_rows(docs, id_col=id_col, text_col=text_col, **options).where("id IS NOT NULL"), "similar-found")
     first = found.groupBy("c").agg(F.min(F.struct("id", "key")).alias("w")).select(F.col("c").alias("of"), "w")
     gone = found.join(first, F.col("c") == F.col("of")).where((F.col("id") != F.col("w.id")) | (F.col("key") != F.col("w.key")))
@@ -453,7 +492,7 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     gone = listed(gone, "similar-gone")
     again = listed(found.groupBy("id", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "similar-again")
     match = (F.col(id_col).cast("long") == F.col(i)) & (text_key(F.col(text_col)) == F.col(k))
-    kept = docs.join(gone, match, "left_anti")
+    kept = without(docs, gone, i, k, F.col(id_col).cast("long"), text_key(F.col(text_col)), match)
     if again.isEmpty():
         return kept
     repeats = kept.join(again, match).dropDuplicates([i, k]).drop(i, k)
