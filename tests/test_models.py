@@ -120,3 +120,20 @@ def test_equal_vectors_are_searched_once(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "near_places", lambda points, k: searched.append(points.count()) or whole(points, k))
     got = {(r["setting"], r["id"]): [(n["d"], n["other"]) for n in r["near"]] for r in neighbours.neighbours(spark.createDataFrame(rows, POINTS), 25).collect()}
     assert searched == [30] and got == plain_near(rows, 25)
+
+
+def test_places_of_enough_candidates_ask_no_other_group(spark, monkeypatch):
+    """Sixty copies of a vector hold all neighbours themselves, but for the six vectors that are no candidates; with fewer copies no
+    more is listed than is needed."""
+    monkeypatch.setattr(neighbours, "CELL", 5)
+    monkeypatch.setattr(neighbours, "BLOCK", 10)
+    x = np.random.default_rng(7).standard_normal((30, 3))
+    kept, whole = {}, neighbours.materialize
+    monkeypatch.setattr(neighbours, "materialize", lambda df, name: kept.setdefault(name, []).append(whole(df, name)) or kept[name][-1])
+    for copies, k in ((60, 10), (4, 10)):
+        rows = points_of(np.concatenate([x] * copies))
+        got = {(r["setting"], r["id"]): [(n["d"], n["other"]) for n in r["near"]] for r in neighbours.neighbours(spark.createDataFrame(rows, POINTS), k).collect()}
+        assert got == plain_near(rows, k)
+    asking = [df.select("id").distinct().count() for df in kept["near-asked"]]
+    assert asking[0] <= 6 < asking[1]
+    assert kept["near-first"][1].where(F.size("near") > 3).count() == 0
